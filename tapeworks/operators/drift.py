@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.mathx import div, uniform
 from tapeworks.operators import fills
 from tapeworks.operators.fills import EVERY, HORIZONS, MODELS, SIZE
-from tapeworks.operators.scan import SLOT_SECONDS, asof
+from tapeworks.operators.scan import SLOT_SECONDS, asof, cut
 from tapeworks.operators.signals import queue_imbalance
 from tapeworks.operators.tape import KEYS, SESSION, SPLIT, TICK, clock_grid, mid, trades
 
@@ -57,7 +57,8 @@ def order_drift(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODE
     baseline, after an instant fill at the decision time. `sets` adds order columns (such as latency) that
     the queue median is taken within."""
     by = list(by)
-    out = fills.simulate(tape, orders, models, by, width, slot)
+    orders = cut(orders)
+    out = cut(fills.simulate(tape, orders, models, by, width, slot))
     key = F.concat_ws("|", "model", "order")
     offs = {f"h{label(h)}": h for h in horizons}
     base = orders.select(*by, F.concat_ws("|", F.lit("base"), "order").alias("point"), F.col("decision_time").alias("_at"))
@@ -116,9 +117,12 @@ def end_counts(outcomes: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
 
 
 def spread_parts(tape: DataFrame, horizons: Sequence[float] = (5.0, 60.0), session: Sequence[float] = SESSION,
-                 by: Sequence[str] = KEYS, slot: float = SLOT_SECONDS) -> DataFrame:
-    """Effective spread = realised spread + impact on the tape's own trades, share-weighted, per horizon."""
+                 by: Sequence[str] = KEYS, slot: float = SLOT_SECONDS, pool: Sequence[str] | None = None) -> DataFrame:
+    """Effective spread = realised spread + impact on the tape's own trades, share-weighted, per horizon.
+
+    Trades are grouped within `by`; results are pooled over `pool` (default: the same groups)."""
     tr = trades(tape, (session[0], session[1] - max(horizons)), by).withColumn("point", F.col("island"))
+    tr = cut(tr)
     offs = {f"h{label(h)}": h for h in horizons}
     m = mid_after(tr, tape, "time", offs, by, slot)
     arms = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("horizon"), F.col(f"h{label(h)}").alias("mh")) for h in horizons]))
@@ -129,7 +133,7 @@ def spread_parts(tape: DataFrame, horizons: Sequence[float] = (5.0, 60.0), sessi
     for k, x in kinds.items():
         cols += [(div(F.sum(x * F.col("size")), F.sum("size")) / TICK).alias(f"{k}_ticks"),
                  div(F.sum(div(x, m0) * 1e4 * F.col("size")), F.sum("size")).alias(f"{k}_bps")]
-    return j.where("mid_before is not null and mh is not null").groupBy(*by, "horizon").agg(
+    return j.where("mid_before is not null and mh is not null").groupBy(*(by if pool is None else pool), "horizon").agg(
         F.count(F.lit(1)).alias("n_trades"), *cols)
 
 
@@ -153,13 +157,14 @@ def decisions(tape: DataFrame, horizon: float = DECISION_HORIZON, every: float =
         "order": order, "point": order, "strength": strength,
         "signal_bucket": sum(((strength > k).cast("int") for k in SIGNAL_EDGES), F.lit(0)),
     })
+    d = cut(d)
     d = d.join(mid_after(d, tape, "t", {"mid_h": horizon}, by, slot), [*by, "point"], "left")
     orders = d.select(*by, "order", "place_seq", "side", F.col("post_price").alias("price"),
                       F.lit(SIZE).cast("long").alias("size"),
                       (F.col("t") + float(horizon) - F.col("place_time")).alias("max_wait"))
     out = fills.simulate(tape, orders, models, by, width, slot).select(
         *by, "order", "model", (F.col("filled_qty") / float(SIZE)).alias("fill_frac"))
-    d = with_queue_bucket(d, "queue", by)
+    d = with_queue_bucket(cut(d), "queue", by)
     side = F.col("side")
     d = d.withColumns({
         "move": side * (F.col("mid_h") - F.col("mid0")) / TICK,
@@ -219,7 +224,7 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], t: str, x: str, block: flo
     blocks = df.join(t0, by).groupBy(*by, F.floor((F.col(t) - F.col("_t0")) / float(block)).alias("_blk")).agg(
         F.sum(x).alias("_s"), F.count(x).alias("_c"))
     w = Window.partitionBy(*by)
-    blocks = blocks.withColumns({
+    blocks = cut(blocks).withColumns({
         "_i": F.row_number().over(w.orderBy("_blk")) - 1, "_nb": F.count(F.lit(1)).over(w)})
     draws = blocks.select(*by, "_nb", F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
     draws = draws.withColumn("_i", F.floor(uniform(seed, *by, "_rep", "_j") * F.col("_nb")).cast("int"))
@@ -235,10 +240,11 @@ def evaluate_rule(dec: DataFrame, by: Sequence[str] = KEYS, split: float = SPLIT
     """Choose on decisions that resolve before the split, score on the decisions after it."""
     by = list(by)
     one = [*by, "model"]
+    dec = cut(dec)
     train, test = dec.where(F.col("t") + float(horizon) <= split), dec.where(F.col("t") >= split)
     rule = choose(train, by, min_n)
     ins = apply_rule(rule, train, by).groupBy(*one).agg(F.avg("ev").alias("in_sample"))
-    oos = apply_rule(rule, test, by).withColumn("net", F.col("ev") - fee * (F.col("action") == "cross").cast("double"))
+    oos = cut(apply_rule(rule, test, by).withColumn("net", F.col("ev") - fee * (F.col("action") == "cross").cast("double")))
     share = lambda a: F.avg((F.col("action") == a).cast("double"))
     perf = oos.groupBy(*one).agg(
         F.avg("ev").alias("out_of_sample"), F.avg(F.col("ev") * F.col("tick_bps")).alias("oos_bps"),

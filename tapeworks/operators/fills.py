@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.operators.scan import SLOT_SECONDS, asof
+from tapeworks.operators.scan import SLOT_SECONDS, asof, cut
 from tapeworks.operators.tape import KEYS, SESSION, clock_grid, depth_at
 
 MODELS = ("touch", "fifo", "through")
@@ -128,7 +128,7 @@ def _ending_rows(tape: DataFrame, live: DataFrame, by: Sequence[str], width: flo
     row = F.struct("seq", "time")
     ends = m.groupBy(*by, "order").agg(
         F.min(F.when(F.col("type") == 7, row)).alias("halt"),
-        F.min(F.when((beyond | opp) & (F.col("type") != 7) | opp, row)).alias("all_in"),
+        F.min(F.when(beyond | opp, row)).alias("all_in"),
         F.min(F.when(gone, row)).alias("exit"),
     )
     return o.select(*by, "order", "_b0", F.coalesce("_bx", _bucket(F.col("until"), width)).alias("_b1")).join(
@@ -230,14 +230,14 @@ def simulate(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODELS,
     by = list(by)
     one = [*by, "order"]
     last = tape.groupBy(*by).agg(F.max(F.struct("seq", "time")).alias("_last"))
-    placed = place(tape, check_orders(orders, models), by).join(last, by)
+    placed = cut(place(tape, check_orders(orders, models), by).join(last, by))
     live = placed.where("not rejected").withColumn("until", F.least("deadline", "_last.time"))
     rows = _ending_rows(tape, live, by, width)
     live = live.join(rows, one).withColumn(
         "stop_seq", F.least(F.col("halt.seq") - 1, F.col("all_in.seq"), F.col("exit.seq"))
     )
     at_deadline = asof(live.select(*one, "deadline"), tape, by, "deadline", "time", "seq", {"_to_seq": "seq"}, slot)
-    live = live.join(at_deadline.drop("deadline"), one, "left")
+    live = cut(live.join(at_deadline.drop("deadline"), one, "left"))
 
     nothing = (F.lit(None).cast("long").alias("got"), F.lit(None).cast("struct<seq:bigint,time:double>").alias("last_fill"),
                F.lit(None).cast("struct<seq:bigint,time:double>").alias("full"))

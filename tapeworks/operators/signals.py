@@ -62,6 +62,7 @@ def imbalance_samples(tape: DataFrame, step: float = STEP, session: Sequence[flo
                       by: Sequence[str] = KEYS, slot: float = SLOT_SECONDS) -> DataFrame:
     """Clock-grid samples of the imbalance, labelled by the direction of the next mid change."""
     s = with_next_mid(tape, by).withColumn("imbalance", queue_imbalance())
+    s = cut(s.select(*by, "seq", "time", "imbalance", "mid", "next_mid", "next_mid_time"))
     grid = clock_grid(tape, session[0], session[1] - 1e-6, step, by)
     cols = {x: x for x in ("imbalance", "mid", "next_mid", "next_mid_time")}
     at = asof(grid, s, by, "t", "time", "seq", cols, slot)
@@ -82,8 +83,8 @@ def flow_buckets(tape: DataFrame, width: float = BUCKET, session: Sequence[float
     dep0 = (F.col("prev_bid_size") + F.col("prev_ask_size")) / 2.0
     step = F.coalesce(dep0 * (F.col("time") - F.col("_pt")), F.lit(0.0))
     t = ordered_scan(t, by, "seq", sums={"flow_sum": flow_event(), "area": step}, chunk_rows=chunk_rows)
-    t = t.withColumn("value", depth_best())
-    t = t.withColumn("mid", mid() / TICK)
+    t = t.select(*by, "seq", "time", "flow_sum", "area", depth_best().alias("value"), (mid() / TICK).alias("mid"))
+    t = cut(t)  # narrow rows, written once and read by both sides of the lookup
     edges = clock_grid(tape, session[0], session[1] + width * 0.499, width, by)
     at = asof(edges, t, by, "t", "time", "seq",
               {"mid": "mid", "_f": "flow_sum", "_v": "value", "_a": "area", "_from": "time"}, slot)
@@ -126,6 +127,7 @@ def depth_slope(regs: DataFrame, by: Sequence[str] = (), group: str | None = Non
     With x~ the deviation from the group mean, h = 1/n_g + x~^2/Sxx is the leverage, so slope and robust
     variance need only sums; residuals come from one join with the fitted row."""
     one = list(by) or ["_all"]
+    regs = cut(regs)  # one row per window, read several times below
     d = regs.withColumn("_all", F.lit(1)) if not by else regs
     good = F.coalesce((F.col("beta") > 0) & (F.col("depth") > 0), F.lit(False))
     dropped = d.groupBy(*one).agg(F.count_if(~good).alias("n_dropped"))
@@ -239,6 +241,7 @@ def fit_logistic(df: DataFrame, by: Sequence[str], x: str, y: str, steps: int =
 
 def score_imbalance(samples: DataFrame, split: float = SPLIT, by: Sequence[str] = KEYS) -> DataFrame:
     """P(next mid change is up | imbalance): fit before the split, AUC and Brier after it."""
+    samples = cut(samples)
     train = samples.where((F.col("t") < split) & (F.col("resolve") < split))
     test = samples.where(F.col("t") >= split)
     par = fit_logistic(train, by, "imbalance", "up")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import div
-from tapeworks.operators.scan import CHUNK_ROWS, SLOT_SECONDS, asof, islands, ordered_scan
+from tapeworks.operators.scan import CHUNK_ROWS, SLOT_SECONDS, asof, cut, islands, ordered_scan
 
 KEYS = ("day", "ticker")
 TICK = 100  # price units per tick (prices are dollars x 10^4)
@@ -94,7 +94,7 @@ def with_area(tape: DataFrame, value: Column, by: Sequence[str] = KEYS, chunk_ro
 def time_average(tape: DataFrame, intervals: DataFrame, value: Column, by: Sequence[str] = KEYS,
                  slot: float = SLOT_SECONDS, out: str = "average") -> DataFrame:
     """Clock-time average of a per-state value over each interval [lo, hi); NULL before the first state."""
-    area = with_area(tape, value, by)
+    area = cut(with_area(tape, value, by).select(*by, "seq", "time", "value", "area"))
     ends = intervals.select(*by, "lo", "hi", F.explode(F.array("lo", "hi")).alias("t")).distinct()
     at = asof(ends, area, by, "t", "time", "seq", {"_v": "value", "_a": "area", "_from": "time"}, slot)
     filled = at.withColumn("_int", F.col("_a") + F.col("_v") * (F.col("t") - F.col("_from")))

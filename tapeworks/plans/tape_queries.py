@@ -175,9 +175,14 @@ def _(spark, sf):
     return regs(spark, sf)
 
 
+def steady(df):
+    """A slope of exactly zero may come out as rounding noise of either sign: make it zero."""
+    return df.withColumn("beta", F.when(F.round("beta", 9) != 0, F.col("beta")).otherwise(0.0))
+
+
 def _slope_sql(group):
     part = f"over (partition by {group})" if group else "over ()"
-    return f"""with d as (select ticker, ln(depth) as x, ln(beta) as y from {WINREG} where beta > 0 and depth > 0),
+    return f"""with d as (select ticker, ln(depth) as x, ln(beta) as y from {WINREG} where round(beta, 9) > 0 and depth > 0),
   c as (select *, x - avg(x) {part} as dx, y - avg(y) {part} as dy, count(*) {part} as ng, avg(y) over () as yb from d),
   f as (select sum(dx * dy) / sum(dx * dx) as slope, sum(dx * dx) as sxx from c),
   e as (select c.*, f.*, dy - slope * dx as e, 1.0 / ng + dx * dx / sxx as h from c, f)
@@ -185,17 +190,17 @@ def _slope_sql(group):
    max(slope) - 1.959963984540054 * sqrt(sum((dx * e / (1 - h)) ** 2)) / max(sxx) as lo,
    max(slope) + 1.959963984540054 * sqrt(sum((dx * e / (1 - h)) ** 2)) / max(sxx) as hi,
    1 - sum(e * e) / sum((y - yb) ** 2) as r2, count(*) as n,
-   (select count(*) from {WINREG} where not coalesce(beta > 0 and depth > 0, false)) as n_dropped from e"""
+   (select count(*) from {WINREG} where not coalesce(round(beta, 9) > 0 and depth > 0, false)) as n_dropped from e"""
 
 
 @query("depth_slope_pooled", _slope_sql(None), "slope se lo hi r2")
 def _(spark, sf):
-    return signals.depth_slope(regs(spark, sf)).drop("intercept")
+    return signals.depth_slope(steady(regs(spark, sf))).drop("intercept")
 
 
 @query("depth_slope_within", _slope_sql("ticker"), "slope se lo hi r2")
 def _(spark, sf):
-    return signals.depth_slope(regs(spark, sf), group="ticker").drop("intercept")
+    return signals.depth_slope(steady(regs(spark, sf)), group="ticker").drop("intercept")
 
 
 def _oos(kind, y, tr, te):
