@@ -63,6 +63,11 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.when(x.isNull(), None).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
+def bind(x: Column, fn) -> Column:
+    """fn(x) with x computed once, however often fn uses it."""
+    return F.transform(F.array(x), fn)[0]
+
+
 def norm_cdf(x) -> Column:
     """P(Z <= x), double precision, inside the JVM."""
     x = c(x).cast("double")
@@ -81,7 +86,10 @@ def norm_pdf(x) -> Column:
 
 def norm_ppf(p) -> Column:
     """Normal quantile for 0 < p < 1, one Newton step on the rational start; NULL outside."""
-    p = c(p).cast("double")
+    return bind(c(p).cast("double"), _ppf)
+
+
+def _ppf(p: Column) -> Column:
 
     def tail(u: Column) -> Column:
         q = F.sqrt(-2 * F.ln(u))
@@ -95,8 +103,7 @@ def norm_ppf(p) -> Column:
         .when(p > 1 - ACKLAM_SPLIT, -tail(1 - p))
         .otherwise(mid)
     )
-    err = norm_cdf(x0) - p
-    return x0 - err / norm_pdf(x0)
+    return bind(F.struct(x0.alias("x"), p.alias("p")), lambda s: s["x"] - (norm_cdf(s["x"]) - s["p"]) / norm_pdf(s["x"]))
 
 
 def _beta_tail(x: np.ndarray, a: np.ndarray, b: float) -> np.ndarray:

@@ -163,7 +163,7 @@ def _(spark, sf):
 
 def _spread_sql(h):
     tr = f"(select *, 0 as zz from {TRADES} where time < 82800)"
-    src = _mid_at(tr, f"time + {h}").replace("a.mid as m", "a.mid as mh")
+    src = _mid_at(tr, f"p.time + {h}").replace("a.mid as m", "a.mid as mh")
     k = {"effective": "2 * sign * (vwap - mid_before)", "realized": "2 * sign * (vwap - mh)", "impact": "2 * sign * (mh - mid_before)"}
     cols = ", ".join(f"sum({x} * size) / sum(size) / 100 as {n}_ticks, sum({x} / mid_before * 1e4 * size) / sum(size) as {n}_bps" for n, x in k.items())
     return f"select ticker, cast({h} as double) as horizon, count(*) as n_trades, {cols} from {src} where mid_before is not null group by ticker"
@@ -188,7 +188,7 @@ DEC = f"""(select d.day, d.ticker, d."order", f.model, d.t, d.side, imb as imbal
    filled_qty / 100.0 * d.side * (m - d.price) / 100.0 - d.side * (m - (case when imb > 0 then ask_price else bid_price end)) / 100.0 as diff
   from (select *, quantile_cont(queue, 0.5) over (partition by day, ticker) as mq from (select *, case when imb > 0 then qb else qa end as queue,
      (case when abs(imb) > 0.2 then 1 else 0 end) + (case when abs(imb) > 0.4 then 1 else 0 end) + (case when abs(imb) > 0.6 then 1 else 0 end) + (case when abs(imb) > 0.8 then 1 else 0 end) as signal_bucket
-     from {_mid_at(DEC_ORDERS, 't + 3600')})) d join {fills_sql(DEC_ORDERS, '')} f on d.day = f.day and d.ticker = f.ticker and d."order" = f."order")"""
+     from {_mid_at(DEC_ORDERS, 't + 3600')})) d join {fills_sql('(select day, ticker, "order", place_seq, side, price, size, max_wait from ' + DEC_ORDERS + ')', '')} f on d.day = f.day and d.ticker = f.ticker and d."order" = f."order")"""
 
 
 @query("decision_values", f"select * from {DEC}", "t imbalance strength spread tick_bps move ev_cross fill_frac ev_post diff")
