@@ -52,3 +52,26 @@ def tape_view() -> str:
     return f"""(select *, bid_price - 100 as bid2, 100 * (1 + (k + 1) % 9) as bid2_size, bid_price - 200 as bid3,
   100 * (1 + (k + 2) % 9) as bid3_size, ask_price + 100 as ask2, 100 * (1 + (k + 1) % 9) as ask2_size,
   ask_price + 200 as ask3, 100 * (1 + (k + 2) % 9) as ask3_size from ({tape_sql('sql')}) tp)"""
+
+DAY_INDEX = {"spark": "datediff(cast(ts as date), date '2024-01-01')", "sql": "datediff('day', date '2024-01-01', cast(ts as date))"}
+
+
+def snapshots_sql(dialect: str, events: str = "events") -> str:
+    """Auction snapshots: one row per stock, day and clock hour (20 auction seconds an hour)."""
+    return f"""
+select stock_id, date_id, seconds_in_bucket, sk * 10e0 as imbalance_size, se % 3 - 1 as imbalance_buy_sell_flag,
+  wap + (sk % 7 - 3) / 1e4 as reference_price, 1e2 * (se % 11) as matched_size,
+  case when seconds_in_bucket >= 300 then 1e0 + (se % 9 - 4) / 1e3 end as far_price,
+  case when seconds_in_bucket >= 300 then 1e0 + (sk % 9 - 4) / 2e3 end as near_price,
+  wap - (1 + n % 3) / 2e4 - (sk % 5 - 2) / 1e5 as bid_price, 1e4 * (1 + sk % 9) as bid_size,
+  wap + (1 + n % 3) / 2e4 - (sk % 5 - 2) / 1e5 as ask_price, 1e4 * (1 + se % 7) as ask_size, wap,
+  case when se % 17 = 0 then null else (se % 2001 - 1000) / 5e1 end as target, n, sk, se
+from (
+  select user_id % 12 as stock_id, {DAY_INDEX[dialect]} as date_id, 20 * hour(ts) as seconds_in_bucket,
+    count(*) as n, cast(sum(cast({JSON_K[dialect]} as bigint)) as bigint) as sk, cast(sum(event_id) as bigint) as se,
+    1e0 + (avg(value) - 5e1) / 1e4 as wap
+  from {events} group by user_id % 12, {DAY_INDEX[dialect]}, 20 * hour(ts)) g"""
+
+
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(snapshots_sql("spark", "{events}"), events=table(spark, sf, "events"))

@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
     def add(fn):
         QUERIES[name] = lambda spark, sf: rounded(fn(spark, sf), digits)
         if sql is not None:
-            reps = ", ".join(f"round({x}, {digits}) + 0.0 as {x}" for x in doubles.split())
+            reps = ", ".join(f"round(cast({x} as double), {digits}) + cast(0 as double) as {x}" for x in doubles.split())
             ORACLES[name] = f"select * replace ({reps}) from ({sql}) q" if reps else sql
         return fn
 
