@@ -75,3 +75,44 @@ from (
 
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(snapshots_sql("spark", "{events}"), events=table(spark, sf, "events"))
+
+
+def series_sql(orders: str = "orders") -> str:
+    """Daily index series of four underlyings from the orders of a date."""
+    return f"""
+select symbol, cast(o_orderdate as date) as date, 1e3 * exp(2e-2 * (avg(o_totalprice) / 2.5e5 - 1)) as spx,
+  1.2e1 + cast(sum(o_custkey) as bigint) % 13 as vix,
+  case when cast(o_orderdate as date) >= date '1996-01-01' then 1e1 + cast(sum(o_custkey) as bigint) % 13 + cast(sum(o_orderkey) as bigint) % 5 end as vix3m
+from (select *, o_custkey % 4 as symbol from {orders}) o group by symbol, cast(o_orderdate as date)"""
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(series_sql("{orders}"), orders=table(spark, sf, "orders"))
+
+
+ASOF = "2026-01-05"  # 16:00 in New York that day is 21:00 UTC
+TENORS = (7, 14, 30, 60, 91, 180)
+
+
+def chain_sql(dialect: str, part: str = "part") -> str:
+    """Option chains: 82 contracts per expiry, six expiries per underlying, spot 500."""
+    div = "div" if dialect == "spark" else "//"
+    days = "case (p_partkey " + div + " 82) % 6 " + " ".join(f"when {i} then {d}" for i, d in enumerate(TENORS)) + " end"
+    add = f"date_add(date '{ASOF}', {{}})" if dialect == "spark" else f"(date '{ASOF}' + cast({{}} as integer))"
+    return f"""
+select contract, underlying, {add.format('days')} as expiry, kind, strike, mid0 - half as bid, mid0 + half as ask, mid0 - half > 0 as usable, days, p_size
+from (select p_partkey as contract, p_partkey {div} 492 as underlying, {days} as days, case when p_partkey % 2 = 0 then 'C' else 'P' end as kind, 4e2 + 5 * ((p_partkey {div} 2) % 41) as strike,
+   2e-2 * (1 + p_size % 3) as half, p_size,
+   (case when p_partkey % 2 = 0 then greatest(1e2 - 5 * ((p_partkey {div} 2) % 41), 0) else greatest(5 * ((p_partkey {div} 2) % 41) - 1e2, 0) end)
+    + 6e0 * exp(-abs(5e0 * ((p_partkey {div} 2) % 41) - 1e2) / 3e1) * sqrt(({days}) / 3e1) + p_size / 1e2 as mid0
+  from {part}) c"""
+
+
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(chain_sql("spark", "{part}"), part=table(spark, sf, "part"))
+
+
+def chain_meta(ch: DataFrame) -> DataFrame:
+    return ch.select("underlying").distinct().select(
+        "underlying", F.lit(500.0).alias("S"), F.lit(499.99).alias("s_bid"), F.lit(500.01).alias("s_ask"), F.lit(0.04).alias("r"),
+        F.lit(f"{ASOF} 21:00:00").cast("timestamp").alias("quote_time"))
