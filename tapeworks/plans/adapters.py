@@ -116,3 +116,26 @@ def chain_meta(ch: DataFrame) -> DataFrame:
     return ch.select("underlying").distinct().select(
         "underlying", F.lit(500.0).alias("S"), F.lit(499.99).alias("s_bid"), F.lit(500.01).alias("s_ask"), F.lit(0.04).alias("r"),
         F.lit(f"{ASOF} 21:00:00").cast("timestamp").alias("quote_time"))
+
+
+def feed_sql(dialect: str, events: str = "events") -> str:
+    """Decoded exchange events: adds carry the row's id as reference, later events name a recent row."""
+    div = "div" if dialect == "spark" else "//"
+    return f"""
+select day, ticker, seq, ts_ns, msg, case when msg in ('A', 'F') then seq when msg in ('P', 'Q', 'H') then 0 else seq - 1 - k % 12 end as ref,
+  case when msg = 'U' then seq end as new_ref, case when seq % 2 = 0 then 'B' else 'S' end as side, 100 * (1 + k % 5) as shares,
+  case when seq % 2 = 0 then 10000 - 100 * (k % 6) else 10100 + 100 * (k % 6) end as price, case when msg = 'H' then substr('HTP', 1 + cast(seq % 3 as int), 1) end as state
+from (select cast(ts as date) as day, (event_id {div} 100) % 8 as ticker, event_id as seq, cast(hour(ts) * 3600 + minute(ts) * 60 + second(ts) as bigint) * 1000000000 as ts_ns, k,
+   case when k = 98 then 'H' when k = 97 then 'Q' when k >= 94 then 'P' when event_type in ('view', 'signup') then case when k % 10 = 0 then 'F' else 'A' end
+     when event_type = 'click' then case when k % 4 = 0 then 'C' else 'E' end when event_type = 'purchase' then 'U' when k % 2 = 0 then 'X' else 'D' end as msg
+  from (select *, cast({JSON_K[dialect]} as bigint) as k from {events}) e0) e1"""
+
+
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(feed_sql("spark", "{events}"), events=table(spark, sf, "events"))
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events table as a stream of files."""
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
