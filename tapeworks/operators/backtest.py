@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import div
 from tapeworks.operators import evaluate
+from tapeworks.operators.scan import cut, quantiles
 
 ID = ("stock_id", "date_id", "seconds_in_bucket")
 INSTANT = ("date_id", "seconds_in_bucket")
@@ -105,8 +106,6 @@ def summarize(day: DataFrame, tr: DataFrame, by: Sequence[str] = ("trial_id",),
 
 def backtest(dec: DataFrame, policies: Sequence[dict], days: tuple[int, int], mults=(("base", 1.0, 1.0),), edge: str = "edge"):
     """(trades, daily, summary) of every policy and cost setting in one job."""
-    from tapeworks.operators.scan import cut
-
     dec = cut(dec)
     p = with_policies(dec, policies, mults)
     tr = trades(p, edge)
@@ -129,8 +128,8 @@ def capacity(tr: DataFrame, day: DataFrame, by: Sequence[str] = ("trial_id",)) -
     lev = r.groupBy(*by).agg(F.when(F.var_pop("_r") > 0, div(F.avg("_r"), F.var_samp("_r"))).alias("kelly_leverage_on_peak"))
     t = tr.groupBy(*by).agg(
         F.avg((F.col("depth_frac") * F.col("touch") < F.col("max_notional")).cast("double")).alias("share_trades_depth_capped"),
-        F.avg("notional").alias("mean_notional_usd"), F.percentile("touch", F.lit(0.5)).alias("median_touch_usd"))
-    return peak.join(lev, by).join(t, by)
+        F.avg("notional").alias("mean_notional_usd"))
+    return peak.join(lev, by).join(t, by).join(quantiles(tr, by, "touch", {"median_touch_usd": 0.5}), by)
 
 
 def kelly_table(day: DataFrame, by: Sequence[str], pos: str, pnl: str, capital: float,

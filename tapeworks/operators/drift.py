@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeworks.functions.mathx import div, uniform
 from tapeworks.operators import fills
 from tapeworks.operators.fills import EVERY, HORIZONS, MODELS, SIZE
-from tapeworks.operators.scan import SLOT_SECONDS, asof, cut
+from tapeworks.operators.scan import SLOT_SECONDS, asof, cut, quantiles
 from tapeworks.operators.signals import queue_imbalance
 from tapeworks.operators.tape import KEYS, SESSION, SPLIT, TICK, clock_grid, mid, trades
 
@@ -102,11 +102,12 @@ def summarize(drift: DataFrame, horizons: Sequence[float] = HORIZONS, by: Sequen
 
 
 def by_queue(drift: DataFrame, horizon: float = 10.0, by: Sequence[str] = KEYS) -> DataFrame:
-    return drift.groupBy(*by, "model", "queue_bucket").agg(
+    cell = [*by, "model", "queue_bucket"]
+    drift = cut(drift.select(*cell, "filled_qty", "queue_ahead", f"drift_{label(horizon)}"))
+    return drift.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("filled_qty") > 0).cast("double")).alias("p_fill"),
         qty_mean(f"drift_{label(horizon)}").alias("drift"),
-        F.percentile("queue_ahead", F.lit(0.5)).alias("median_queue"),
-    )
+    ).join(quantiles(drift, cell, "queue_ahead", {"median_queue": 0.5}), cell)
 
 
 def end_counts(outcomes: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:

@@ -161,6 +161,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (a global aggregate) to every row. One row is safe to broadcast."""
+    key = "_one_row"
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(row.limit(1).withColumn(key, F.lit(1))), key).drop(key)
+
+
 BINS = 4096
 
 
@@ -182,7 +188,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     )
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     slot = F.coalesce(F.floor((F.asinh("_v") - F.col("_lo")) / width * bins), F.lit(0))
-    binned = x.join(span, one).select(*one, "_v", F.least(slot, F.lit(bins - 1)).alias("_bin"))
+    few = (lambda d: d) if by else F.broadcast  # without groups: one row, and two ranks per wanted quantile
+    binned = x.join(few(span), one).select(*one, "_v", F.least(slot, F.lit(bins - 1)).alias("_bin"))
     hist = binned.groupBy(*one, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*one).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     hist = hist.withColumn("_upto", F.sum("_c").over(wb)).withColumn("_base", F.col("_upto") - F.col("_c"))
@@ -198,7 +205,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     needed = target.select(*one, "_bin", "_base").distinct()
     wv = Window.partitionBy(*one, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        binned.join(needed, [*one, "_bin"]).groupBy(*one, "_bin", "_base", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        binned.join(few(needed), [*one, "_bin"]).groupBy(*one, "_bin", "_base", "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_end", F.col("_base") + F.sum("_c").over(wv))
     )
     at = ranked.drop("_base").join(target, [*one, "_bin"]).where(

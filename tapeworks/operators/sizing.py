@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import c, div
 from tapeworks.operators import backtest
-from tapeworks.operators.scan import cut, quantiles
+from tapeworks.operators.scan import cut, quantiles, with_row
 
 CLIP = 1e-6
 TO_JUDGE = 10
@@ -94,7 +94,7 @@ def quantile_bins(df: DataFrame, by: Sequence[str], value: str, bins: int, out:
     """Bin 0..bins-1 by exact quantile edges; a value on an edge goes up, the top value stays in the last bin."""
     probs = {f"_e{i}": i / bins for i in range(1, bins)}
     q = quantiles(df, by, value, probs).withColumn("_edges", F.array(*probs)).drop(*probs)
-    j = df.join(q, list(by)) if by else df.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    j = df.join(q, list(by)) if by else with_row(df, q)
     return j.withColumn(out, F.size(F.filter("_edges", lambda e: e <= F.col(value)))).drop("_edges")
 
 
@@ -119,13 +119,12 @@ def with_synthetic(dec: DataFrame, rhos: Sequence[float], seed: int = 0, bins: i
     """Perfectly calibrated forecasts of correlation rho (one copy of the frame per rho): the edge is the mean
     standardised target of the forecast's quantile bin, at the stock's own volatility."""
     y = F.col("target").cast("double")
-    tot = dec.agg(F.avg(y).alias("_m"), F.stddev_pop(y).alias("_s")).withColumn("_k", F.lit(1))
+    tot = dec.agg(F.avg(y).alias("_m"), F.stddev_pop(y).alias("_s"))
     own = dec.groupBy("stock_id").agg(F.stddev_samp(y).alias("_own"))
-    d = dec.withColumn("_k", F.lit(1)).join(tot, "_k").join(own, "stock_id")
+    d = with_row(dec, tot).join(own, "stock_id")
     d = d.withColumn("_sd", F.when(F.col("_own") > 0, F.col("_own")).otherwise(F.col("_s")))
     d = cut(d.withColumn("_raw", (y - F.col("_m")) / F.col("_sd")))
-    k = d.agg(F.stddev_pop("_raw").alias("_kk")).withColumn("_k", F.lit(1))
-    d = d.join(k, "_k").withColumn("_z", F.col("_raw") / F.col("_kk"))
+    d = with_row(d, d.agg(F.stddev_pop("_raw").alias("_kk"))).withColumn("_z", F.col("_raw") / F.col("_kk"))
     noise = F.sqrt(-2 * F.ln(F.greatest(_u(seed, 0), F.lit(1e-300)))) * F.cos(2 * 3.141592653589793 * _u(seed, 1))
     d = d.withColumn("rho", F.explode(F.array(*[F.lit(float(r)) for r in rhos])))
     d = cut(d.withColumn("_f", F.col("rho") * F.col("_z") + F.sqrt(F.greatest(1 - F.col("rho") ** 2, F.lit(0.0))) * noise))
@@ -133,7 +132,7 @@ def with_synthetic(dec: DataFrame, rhos: Sequence[float], seed: int = 0, bins: i
     m = b.groupBy("rho", "_b").agg(F.avg("_z").alias("_mz"))
     j = b.join(m, ["rho", "_b"])
     edge = F.when(F.col("rho") == 0, 0.0).otherwise(F.col("_m") + F.col("_sd") * F.col("_kk") * F.col("_mz"))
-    return j.withColumn("edge", edge).drop("_k", "_m", "_s", "_own", "_sd", "_raw", "_kk", "_z", "_b", "_mz")
+    return j.withColumn("edge", edge).drop("_m", "_s", "_own", "_sd", "_raw", "_kk", "_z", "_b", "_mz")
 
 
 def _u(seed: int, arm: int) -> Column:

@@ -297,3 +297,24 @@ def _(spark, sf):
     d = drift.order_drift(t, o, ("touch", "fifo", "l2"), (600.0,), slot=SLOT, width=WIDTH, sets=["latency"])
     cls = tp.facts(t, DAY).groupBy("ticker").agg(F.mode("tick_class", deterministic=True).alias("tick_class"))
     return drift.pool_latency(drift.latency_cells(d, 600.0), cls)
+
+
+@query("study_rollup", digits=4)
+def _(spark, sf):
+    """One row per ticker: replay check, facts, price impact, fills, verdict of the decision rule."""
+    from tapeworks.operators.scan import cut
+    from tapeworks.plans.tape_queries import regs
+
+    t = tape(spark, sf)
+    check = tp.consistency_summary(tp.consistency(t, ["day", "ticker"]), ["ticker"])
+    facts = tp.facts(t, DAY).groupBy("ticker").agg(F.avg("spread_ticks").alias("spread_ticks"), F.avg("depth_best").alias("depth_best"), F.sum("n_trades").alias("n_trades"),
+                                                   F.mode("tick_class", deterministic=True).alias("tick_class"))
+    r2 = regs(spark, sf).groupBy("ticker").agg(F.avg("r2").alias("mean_r2"), F.min("r2").alias("min_r2"), F.percentile("beta", F.lit(0.5)).alias("median_beta"))
+    sums = drift.summarize(drifted(spark, sf), HORIZONS, ["ticker"]).where("model = 'fifo'").select("ticker", "n_orders", "p_fill", F.col("drift_600_bps").alias("fifo_drift_bps"))
+    out = cut(check).join(cut(facts), "ticker").join(cut(r2), "ticker").join(cut(sums), "ticker")
+    return out.join(drift.verdict(rules(spark, sf)), "ticker")
+
+
+@query("signal_survives")
+def _(spark, sf):
+    return drift.survives(drift.verdict(rules(spark, sf)))

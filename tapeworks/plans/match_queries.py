@@ -37,7 +37,7 @@ def prepared(spark, sf, name, key):
 @query("text_tokens", f"select id, t from {tok_sql('documents', 'doc_id')}")
 def _(spark, sf):
     d = texts(spark, sf, "documents", "doc_id")
-    return d.select("id", F.explode(F.array_distinct(lk.tokens(lk.fold("text")))).alias("t"))
+    return d.select("id", F.explode(lk.tokens(lk.fold("text"), once=True)).alias("t"))
 
 
 @query("text_numbers", r"""select distinct doc_id as id, replace(rtrim(n, '.'), ',', '') as n from (select doc_id, unnest(regexp_extract_all(text, '[0-9][0-9,]*\.?[0-9]*')) as n from documents)""")
