@@ -204,9 +204,11 @@ def choose(train: DataFrame, by: Sequence[str] = (), min_n: int = MIN_CELL, fee:
     """Best action per cell on the training rows."""
     fee = F.lit(float(fee)) if not isinstance(fee, Column) else fee
     rebate = F.lit(float(rebate)) if not isinstance(rebate, Column) else rebate
-    post = F.avg(F.col("ev_post") + rebate * F.col("fill_frac"))
+    # a mean of zero must not turn on the order of summation
+    steady = lambda x: F.round(F.avg(x), 12)
     return train.groupBy(*by, "model", *CELL).agg(
-        F.count(F.lit(1)).alias("_n"), post.alias("_post"), F.avg(F.col("ev_cross") - fee).alias("_cross")
+        F.count(F.lit(1)).alias("_n"), steady(F.col("ev_post") + rebate * F.col("fill_frac")).alias("_post"),
+        steady(F.col("ev_cross") - fee).alias("_cross")
     ).select(*by, "model", *CELL, best_action(F.col("_n"), F.col("_post"), F.col("_cross"), min_n).alias("action"))
 
 
@@ -268,7 +270,7 @@ def leave_one_day_out(dec: DataFrame, by: Sequence[str] = ("ticker",), day: str
     w = Window.partitionBy(*cell)  # one row per day
     n = F.sum("n").over(w) - F.col("n")
     post, cross = F.sum("sp").over(w) - F.col("sp"), F.sum("sc").over(w) - F.col("sc")
-    rule = own.select(*cell, day, n.alias("_n"), div(post, n).alias("_p"), div(cross, n).alias("_c")).select(
+    rule = own.select(*cell, day, n.alias("_n"), F.round(div(post, n), 12).alias("_p"), F.round(div(cross, n), 12).alias("_c")).select(
         *cell, day, best_action(F.col("_n"), F.coalesce("_p", F.lit(0.0)), F.coalesce("_c", F.lit(0.0)), min_n).alias("action"))
     oos = apply_rule(rule, dec, [*by, day])
     share = lambda a: F.avg((F.col("action") == a).cast("double"))

@@ -7,6 +7,7 @@ aggregate, the small summaries are scanned, and each piece starts from the value
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -152,12 +153,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if shared is None:  # only outside a cluster, as in tests
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="run-checkpoint-")
+    now = sc.getCheckpointDir()
+    if shared is not None and (now is None or shared.rstrip("/") not in now):
         sc.setCheckpointDir(shared)
+    elif now is None:  # only outside a cluster, as in tests
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

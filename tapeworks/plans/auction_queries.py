@@ -67,9 +67,10 @@ def _(spark, sf):
     return au.reconstruction(snapshots(spark, sf))
 
 
-@query("auction_audit")
+@query("auction_audit", f"""select (select count(*) from {S}) as n_rows, (select count(distinct stock_id) from {S}) as n_stocks, (select avg(target) from {S}) as target_mean, (select min(seconds_in_bucket) from (select seconds_in_bucket, avg(case when far_price is null then 1.0 else 0.0 end) as m from {S} group by 1) where m < 0.5) as far_first_second,
+  (select avg(m) from (select seconds_in_bucket, avg(case when far_price is null then 1.0 else 0.0 end) as m from {S} where seconds_in_bucket < 300 group by 1)) as far_null_before_300""", "target_mean far_null_before_300")
 def _(spark, sf):
-    return au.audit(snapshots(spark, sf), COLS)
+    return au.audit(snapshots(spark, sf), COLS).select("n_rows", "n_stocks", "target_mean", "far_first_second", "far_null_before_300")
 
 
 @query("index_weights")

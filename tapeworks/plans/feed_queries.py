@@ -93,7 +93,7 @@ def _(spark, sf):
     return lc.to_tape(lc.visible_rows(lc.books(lc.messages(feed(spark, sf)), 3), NS))
 
 
-@query("feed_consistency")
+@query("feed_consistency", f"""select day, ticker, count(*) as eligible, count(*) as checked, count(*) as passed, 1e0 as pass_rate, 1e0 as coverage from (select *, row_number() over (partition by day, ticker order by step) as i from {MSG}) where i > 1 and type between 1 and 4 group by 1, 2""", "pass_rate coverage")
 def _(spark, sf):
     from tapeworks.operators import tape as tp
 

@@ -67,8 +67,15 @@ def fills_sql(orders: str, extra: str = "", models=("touch", "fifo", "through"))
   ah as (select *, greatest(queue_ahead - coalesce(sum(dec) over (partition by day, ticker, "order" order by seq rows between unbounded preceding and 1 preceding), 0), 0) as ahead from dr),
   got as (select *, greatest(ms - ahead, 0) as g, sum(greatest(ms - ahead, 0)) over (partition by day, ticker, "order" order by seq) as cum from ah where type = 4),
   ff as (select day, ticker, "order", least(max(cum), max(osize)) as got, max(seq) filter (g > 0 and cum - g < osize) as last_fill, min(seq) filter (cum >= osize) as full_seq from got where g > 0 group by all),
+  l0 as (select day, ticker, "order", max(queue_ahead) as q0, max(osize) as cap, list({{'a': 0e0, 'b': 0e0, 'got': cast(0 as bigint), 'seq': seq, 'type': type, 'sh': cast(ms as double), 'cap': cast(osize as bigint)}} order by seq) as ev from lv group by all),
+  lf as (select day, ticker, "order", cap, list_reduce(ev, lambda s, e: {{'a': case when e.type in (2, 3) and s.a + s.b > 0 then greatest(s.a - e.sh * s.a / (s.a + s.b), 0e0) when e.type = 4 then s.a - least(s.a, e.sh) else s.a end,
+    'b': case when e.type in (2, 3) and s.a + s.b > 0 then greatest(s.b - e.sh * s.b / (s.a + s.b), 0e0) when e.type = 1 then s.b + e.sh else s.b end,
+    'got': s.got + case when e.type = 4 then least(cast(floor(e.sh - least(s.a, e.sh)) as bigint), s.cap - s.got) else 0 end,
+    'seq': case when e.type = 4 and least(cast(floor(e.sh - least(s.a, e.sh)) as bigint), s.cap - s.got) > 0 then e.seq else s.seq end, 'type': e.type, 'sh': e.sh, 'cap': s.cap}},
+    {{'a': cast(q0 as double), 'b': 0e0, 'got': cast(0 as bigint), 'seq': cast(null as bigint), 'type': 0, 'sh': 0e0, 'cap': cast(cap as bigint)}}) as f from l0),
   a as (select 'through' as model, o.*, null as got, null as last_fill, null as full_seq from o0 o
     union all by name select 'touch' as model, o.*, null as got, null as last_fill, full_seq from o0 o left join tch using (day, ticker, "order")
+    union all by name select 'l2' as model, o.*, f.got as got, f.seq as last_fill, case when f.got >= cap then f.seq end as full_seq from o0 o left join lf using (day, ticker, "order")
     union all by name select 'fifo' as model, o.*, got, last_fill, full_seq from o0 o left join ff using (day, ticker, "order")),
   b as (select a.*, halt, exit_seq, to_seq, stop, last_seq, last_time, least(case when all_in <= stop then all_in end, full_seq) as done from a join fin using (day, ticker) left join e using (day, ticker, "order")),
   c as (select *, case when rejected then 'rejected' when done is not null then 'filled' when halt is not null and (exit_seq is null or halt <= exit_seq) then 'halt'
@@ -98,13 +105,17 @@ def one_model(model):
         return fills.simulate(tape(spark, sf), orders(spark, sf).drop("latency"), (model,), slot=SLOT, width=WIDTH)
 
 
-for _m in fills.MODELS:
+for _m in fills.ALL_MODELS:
     one_model(_m)
 
 
-@query("fills_l2")
+L2 = fills_sql(ORDERS, "", ("fifo", "l2"))
+
+
+@query("fill_model_agreement", f"""select day, ticker, avg(case when l2 = fifo then 1.0 else 0.0 end) as l2_agrees, avg(case when l2 = 1 and fifo = 0 then 1.0 else 0.0 end) as l2_only, avg(case when fifo = 1 and l2 = 0 then 1.0 else 0.0 end) as fifo_only
+  from (select day, ticker, "order", max(case when model = 'l2' and filled_qty > 0 then 1 else 0 end) as l2, max(case when model = 'fifo' and filled_qty > 0 then 1 else 0 end) as fifo from {L2} group by 1, 2, 3) group by 1, 2""", "l2_agrees l2_only fifo_only")
 def _(spark, sf):
-    return fills.simulate(tape(spark, sf), orders(spark, sf).drop("latency"), ("l2",), slot=SLOT, width=WIDTH)
+    return drift.model_agreement(fills.simulate(tape(spark, sf), orders(spark, sf), ("fifo", "l2"), slot=SLOT, width=WIDTH))
 
 
 @query("fill_end_reasons", f"""select model, end_reason, count(*) as n, count(*) filter (filled_qty > 0 and filled_qty < size) as partial
@@ -203,8 +214,8 @@ def _(spark, sf):
 
 
 def rule_sql(train, by="ticker, "):
-    return f"""(select {by}model, queue_bucket, signal_bucket, case when count(*) < 20 or greatest(0.0, avg(ev_post), avg(ev_cross)) <= 0 then 'none'
-   when avg(ev_post) >= avg(ev_cross) then 'post' else 'cross' end as action from {DEC} where {train} group by all)"""
+    return f"""(select {by}model, queue_bucket, signal_bucket, case when count(*) < 20 or greatest(0.0, round(avg(ev_post), 12), round(avg(ev_cross), 12)) <= 0 then 'none'
+   when round(avg(ev_post), 12) >= round(avg(ev_cross), 12) then 'post' else 'cross' end as action from {DEC} where {train} group by all)"""
 
 
 RULE = rule_sql("t + 3600 <= 43200")
@@ -246,7 +257,7 @@ def _(spark, sf):
     return drift.verdict(rules(spark, sf))
 
 
-LODO_RULE = f"""(select day, ticker, model, queue_bucket, signal_bucket, case when n < 20 or greatest(0.0, p / n, c / n) <= 0 then 'none' when p / n >= c / n then 'post' else 'cross' end as action
+LODO_RULE = f"""(select day, ticker, model, queue_bucket, signal_bucket, case when n < 20 or greatest(0.0, round(p / n, 12), round(c / n, 12)) <= 0 then 'none' when round(p / n, 12) >= round(c / n, 12) then 'post' else 'cross' end as action
   from (select o.day, o.ticker, o.model, o.queue_bucket, o.signal_bucket, a.n - o.n as n, nullif(a.p - o.p, -1e99) as p, a.c - o.c as c from
   (select day, ticker, model, queue_bucket, signal_bucket, count(*) as n, sum(ev_post) as p, sum(ev_cross) as c from {DEC} group by all) o join
   (select ticker, model, queue_bucket, signal_bucket, count(*) as n, sum(ev_post) as p, sum(ev_cross) as c from {DEC} group by all) a
@@ -260,7 +271,13 @@ def _(spark, sf):
     return drift.leave_one_day_out(decided(spark, sf))
 
 
-@query("rebate_sensitivity")
+REB = f"(select d.*, rebate from {DEC} d, (values (0e0), (2e-1), (3e-1)) v(rebate))"
+
+
+@query("rebate_sensitivity", f"""with d as materialized (select * from {REB}), rule as (select ticker, rebate, model, queue_bucket, signal_bucket, case when count(*) < 20 or greatest(0.0, round(avg(ev_post + rebate * fill_frac), 12), round(avg(ev_cross - 0.3), 12)) <= 0 then 'none'
+   when round(avg(ev_post + rebate * fill_frac), 12) >= round(avg(ev_cross - 0.3), 12) then 'post' else 'cross' end as action from d where t + 3600 <= 43200 group by 1, 2, 3, 4, 5)
+  select d.ticker, d.rebate, d.model, avg(case action when 'post' then ev_post + d.rebate * fill_frac when 'cross' then ev_cross - 0.3 else 0.0 end) as net, avg(case when action = 'post' then 1.0 else 0.0 end) as share_post,
+   avg(case when action = 'cross' then 1.0 else 0.0 end) as share_cross, count(*) as n_test from d left join rule using (ticker, rebate, model, queue_bucket, signal_bucket) where t >= 43200 group by 1, 2, 3""", "rebate net share_post share_cross")
 def _(spark, sf):
     return drift.sensitivity(decided(spark, sf), ["ticker"], HALF, HORIZON)
 

@@ -262,9 +262,10 @@ def _(spark, sf):
     return b.select("contract_id", plan.alias("f")).select("contract_id", "f.qty", "f.cost", "f.limit")
 
 
-@query("pre_trade_checks")
+@query("pre_trade_checks", f"""select contract_id, reason, reason in ('ok', 'forecast only') as allowed from (select contract_id, case when contract_id % 13 = 0 then 'market no longer listed' when contract_id % 11 = 0 then 'mapping not confirmed'
+   when stake > 400 then 'exceeds the position limit' when p - best_ask - case when contract_id % 4 = 0 then 0.2 else 0 end < 0.03 then 'edge gone' else 'ok' end as reason from (select *, contract_id % 500 + 1 as stake from {SCREEN}))""")
 def _(spark, sf):
-    p = proposals(spark, sf)
+    p = screened(spark, sf).withColumn("stake", (F.col("contract_id") % 500 + 1).cast("double"))
     fresh = pr.book_columns(books(spark, sf)).where("contract_id % 13 <> 0").select(
         "contract_id", (F.col("best_ask") + F.when(F.col("contract_id") % 4 == 0, 0.2).otherwise(0.0)).alias("ask_now"), F.col("closes_at").alias("closes_now"))
     return pr.pre_trade_check(p, fresh, accounts(spark, sf), now(), max_stake=400.0).select("contract_id", "reason", "allowed")

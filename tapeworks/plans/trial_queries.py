@@ -68,10 +68,18 @@ def _(spark, sf):
                     evaluate.psr("sharpe", 0.0, "n", "skew", "kurt").alias("psr"))
 
 
-@query("deflated_sharpe")
+def ppf_sql(p):
+    """The rational start without the Newton step: good to nine digits, enough after rounding."""
+    tail = lambda u: f"({_poly(mathx.ACKLAM_C, f'sqrt(-2 * ln({u}))')} / {_poly(mathx.ACKLAM_D, f'sqrt(-2 * ln({u}))')})"
+    mid = f"({_poly(mathx.ACKLAM_A, f'(({p} - 0.5) * ({p} - 0.5))')} * ({p} - 0.5) / {_poly(mathx.ACKLAM_B, f'(({p} - 0.5) * ({p} - 0.5))')})"
+    return f"(case when {p} > 1 - 0.02425 then -{tail(f'(1 - {p})')} else {mid} end)"
+
+
+@query("deflated_sharpe", f"""select trial_id, sharpe, sr_star, {cdf_sql('z')} as dsr from (select *, (sharpe - sr_star) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) as z from (select *, greatest(sqrt(v) * ((1 - {mathx.EULER_GAMMA}) * {ppf_sql('pa')} + {mathx.EULER_GAMMA} * {ppf_sql('pb')}), 0) as sr_star
+  from (select *, 1 - 1e0 / k as pa, 1 - 1e0 / (k * exp(1.0)) as pb from (select *, var_samp(sharpe) over () as v, count(sharpe) over () as k from {STATS}))))""", "sharpe sr_star dsr")
 def _(spark, sf):
     s = evaluate.series_stats(full(spark, sf), ["trial_id"]).withColumn("search", F.lit("all"))
-    return evaluate.deflated_sharpe(s, ["search"])
+    return evaluate.deflated_sharpe(s, ["search"]).select("trial_id", "sharpe", "sr_star", "dsr")
 
 
 def pbo_sql(s):
@@ -95,7 +103,9 @@ def _(spark, sf):
     return evaluate.pbo(full(spark, sf), 8)
 
 
-@query("overfitting_probability_16")
+@query("overfitting_probability_16", pbo_sql(16) + """ select avg(case when omega <= 0.5 + 1e-12 then 1.0 else 0.0 end) as pbo, avg(case when outside < 0 then 1.0 else 0.0 end) as prob_oos_loss,
+  regr_slope(outside, inside) as degradation_slope, regr_intercept(outside, inside) as degradation_intercept, count(*) as n_used, 12870 - count(*) as n_dropped from per)""",
+       "pbo prob_oos_loss degradation_slope degradation_intercept")
 def _(spark, sf):
     return evaluate.pbo(full(spark, sf), 16)
 

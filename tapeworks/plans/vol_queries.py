@@ -60,7 +60,13 @@ def _(spark, sf):
     return vp.compare_rules(vp.run_rules(frame(spark, sf), START), reps=500)
 
 
-@query("cost_sweep")
+@query("cost_sweep", f"""select symbol, rule, cost_vol, avg(p) as mean_pnl, coalesce(avg(p) / nullif(stddev_samp(p), 0) * sqrt(12.0), 0) as sharpe_ann from (select *, case when traded then pnl + 0.5 - cost_vol else 0 end as p from {RUNS}, (values (0e0), (5e-1), (1e0)) c(cost_vol)) group by 1, 2, 3""", "cost_vol mean_pnl sharpe_ann")
+def _(spark, sf):
+    s = vp.stats(vp.run_rules(frame(spark, sf), START, costs=(0.0, 0.5, 1.0), rules=vp.RULES[:2]), ["symbol", "rule", "cost_vol"])
+    return s.select("symbol", "rule", "cost_vol", "mean_pnl", "sharpe_ann")
+
+
+@query("cost_sweep_all_rules")
 def _(spark, sf):
     return vp.stats(vp.run_rules(frame(spark, sf), START, costs=(0.0, 0.5, 1.0)), ["symbol", "rule", "cost_vol"])
 
