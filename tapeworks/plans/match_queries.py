@@ -80,14 +80,27 @@ def _(spark, sf):
     return lk.similarity(pairs, left, right, "x", "y")
 
 
+def sentences(df, key: str):
+    """Every sentence of every text, each a question of its own: (key, place, text)."""
+    parts = F.split("text", r"\n+|(?<=[.?!])\s+")
+    return df.select(key, F.posexplode(parts).alias("place", "text")).where(F.trim("text") != "")
+
+
 def contracts(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("contract_id"), F.col("text").alias("title"), F.lit("Yes").alias("name"),
-                                                F.lit("2026-06-30").cast("timestamp").alias("resolves_at"), F.lit("contest").alias("source"))
+    b = sentences(table(spark, sf, "benchmark"), "item_id")
+    return b.select((F.col("item_id") * 100_000 + F.col("place")).alias("contract_id"), F.col("text").alias("title"), F.lit("Yes").alias("name"),
+                    F.lit("2026-06-30").cast("timestamp").alias("resolves_at"), F.lit("contest").alias("source"))
 
 
 def quotes(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "source", F.col("text").alias("question"), F.lit("No").alias("outcome"),
-                                                F.lit("2026-07-02").cast("timestamp").alias("end"))
+    d = sentences(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    src = table(spark, sf, "documents").select("doc_id", "source")
+    return d.join(src, "doc_id").select((F.col("doc_id") * 100_000 + F.col("place")).alias("quote_id"), "source", F.col("text").alias("question"), F.lit("No").alias("outcome"),
+                                        F.lit("2026-07-02").cast("timestamp").alias("end"))
+
+
+def whole_quotes(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "source", F.col("text").alias("question"), F.lit("No").alias("outcome"), "n_chars")
 
 
 @query("match_candidates")
@@ -111,7 +124,7 @@ def _(spark, sf):
 
 @query("match_lookup", "select source, doc_id as quote_id, 'No' as outcome, n_chars from documents where doc_id in (select doc_id from labels where quality = 1)")
 def _(spark, sf):
-    q = quotes(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "n_chars"), "quote_id")
+    q = whole_quotes(spark, sf)
     keys = q.join(table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("quote_id")), "quote_id", "left_semi")
     return lk.lookup(keys, q).select("source", "quote_id", "outcome", "n_chars")
 
