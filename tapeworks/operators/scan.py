@@ -7,12 +7,13 @@ aggregate, the small summaries are scanned, and each piece starts from the value
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.functions.shared import cut  # noqa: F401
+
 CHUNK_ROWS = 1_000_000  # row positions per piece; a piece holds at most this many rows of a group
 SLOT_SECONDS = 900.0  # clock seconds per as-of piece
 
@@ -148,19 +149,6 @@ def islands(df: DataFrame, by: Sequence[str], seq: str, starts: Column, out: str
     return ordered_scan(df, by, seq, sums={out: F.when(starts, 1).otherwise(0)}, chunk_rows=chunk_rows)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    now = sc.getCheckpointDir()
-    if shared is not None and (now is None or shared.rstrip("/") not in now):
-        sc.setCheckpointDir(shared)
-    elif now is None:  # only outside a cluster, as in tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row table (a global aggregate) to every row. One row is safe to broadcast."""
     key = "_one_row"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,21 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from tapeworks.functions.shared import folder as shared_folder
 from tapeworks.operators import proposals
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="run-stream-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what its source holds now; results are a table in the shared folder."""
     spark = stream.sparkSession
