@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeworks.llm import simhash
-from tapeworks.llm.common import read
+from tapeworks.llm import langid, quality, simhash
+from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,20 @@ def query(fn):
     return fn
 
 
+@query
+def op3_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs, rest = read(spark, sf, "documents"), id_remainder("doc_id", 3)
+    model = langid.fit(docs, rest != 1)
+    return langid.predict(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(rest == 1, F.lit(False))})
+
+
+@query
+def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    model = quality.fit(docs, read(spark, sf, "labels"), id_remainder("_id", 4) != 2)
+    return quality.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))})
+
+
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
