@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import langid, quality, simhash
+from tapeworks.llm import decontaminate, langid, mixing, quality, simhash
 from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,19 @@ def op10_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))})
 
 
+@query
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read(spark, sf, "documents"))
+
+
+ORACLES["op4_mixing"] = mixing.SQL
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))

@@ -74,7 +74,7 @@ def powers(step: np.uint64, n: int) -> np.ndarray:
     done = 1
     while done < n:
         more = min(done, n - done)
-        top = out[done - 1] * step
+        top = out[done - 1 : done] * step
         out[done : done + more] = out[:more] * top
         done += more
     return out[:n]
