@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import decontaminate, langid, mixing, quality, simhash
+from tapeworks.llm import ctw, decontaminate, langid, mixing, quality, simhash
 from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["op4_mixing"] = mixing.SQL
 
 
+@query
+def op7_ctw(spark: SparkSession, sf: str) -> DataFrame:
+    docs, rest = read(spark, sf, "documents"), id_remainder("doc_id", 5)
+    return ctw.score(docs, rest != 1, {"doc_id": F.col("doc_id"), "held_out": F.coalesce(rest == 1, F.lit(False))})
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.find(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
