@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import ctw, decontaminate, langid, mixing, quality, simhash
+from tapeworks.llm import chat, ctw, decontaminate, langid, mixing, pivots, quality, simhash, urlfilter
 from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,22 @@ def query(fn):
     return fn
 
 
+@query
+def op1_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op1_pivots"] = pivots.SQL
+
+
+@query
+def op2_urlfilter(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.screen_pages(spark, sf)
+
+
+ORACLES["op2_urlfilter"] = urlfilter.SQL
+
+
 @query
 def op3_langid(spark: SparkSession, sf: str) -> DataFrame:
     docs, rest = read(spark, sf, "documents"), id_remainder("doc_id", 3)
@@ -41,6 +57,14 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["op4_mixing"] = mixing.SQL
 
 
+@query
+def op6_chat(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.digest_of_table(spark, sf)
+
+
+ORACLES["op6_chat"] = chat.SQL
+
+
 @query
 def op7_ctw(spark: SparkSession, sf: str) -> DataFrame:
     docs, rest = read(spark, sf, "documents"), id_remainder("doc_id", 5)
