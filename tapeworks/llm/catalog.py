@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import chat, ctw, decontaminate, langid, mixing, pivots, quality, simhash, urlfilter
+from tapeworks.llm import chat, ctw, decontaminate, htmltext, langid, mixing, pivots, quality, simhash, urlfilter
 from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,11 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
 ORACLES["op4_mixing"] = mixing.SQL
 
 
+@query
+def op5_html(spark: SparkSession, sf: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf, "pages"))
+
+
 @query
 def op6_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest_of_table(spark, sf)
@@ -79,3 +85,8 @@ def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

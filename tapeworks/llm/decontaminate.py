@@ -164,21 +164,41 @@ def _find(block: tuple[bytes, np.ndarray, list], batches: Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(cols[0], pa.int64())), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.list_(pa.int64()), *[pa.int64()] * 4), strict=True)]], names=["_id", "_items", "words", "item_words", "first_word", "end_word"])
 
 
-def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, words, item_words, first_word, end_word) of every text and benchmark item that overlap.
+def _clean(block: tuple[bytes, np.ndarray, list], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = Index(np.frombuffer(block[0], np.uint8), block[1])
+    for batch in batches:
+        left = np.ones(batch.num_rows, bool)
+        for first, _, data, at in pieces(batch, "_text"):
+            left[[first + r for r, *_ in overlaps(index, data, at)]] = False
+        yield batch.filter(pa.array(left))
 
-    words: equal words of the item; first_word, end_word: where in the words of the text.
-    """
+
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, block: int) -> Iterator[tuple[bytes, np.ndarray, list]]:
+    """The items as blocks of about `block` words: texts, offsets, and the ids of each text."""
     items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("_text")).agg(F.sort_array(F.collect_set(F.col(item_id).cast("long"))).alias("_ids"))
     total = items.agg(F.sum(F.size(F.split("_text", "\\W+")))).first()[0] or 0
     blocks = total // block + 1
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    out = []
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == k).orderBy("_text").collect()
         texts = [r["_text"].encode() for r in mine]
-        held = (b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), [list(r["_ids"]) for r in mine])
-        out.append(rows.mapInArrow(partial(_find, held), f"_id {kind}, _items array<long>, words long, item_words long, first_word long, end_word long"))
+        yield b"".join(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), [list(r["_ids"]) for r in mine]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, words, item_words, first_word, end_word) of every text and benchmark item that overlap.
+
+    words: equal words of the item; first_word, end_word: where in the words of the text.
+    """
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    kind = docs.schema[doc_id].dataType.simpleString()
+    out = [rows.mapInArrow(partial(_find, held), f"_id {kind}, _items array<long>, words long, item_words long, first_word long, end_word long") for held in blocks_of(benchmark, item_id, item_text, block)]
     got = reduce(DataFrame.unionByName, out)
     return got.select(F.col("_id").alias("doc_id"), F.explode_outer("_items").alias("item_id"), "words", "item_words", "first_word", "end_word")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs that overlap no benchmark item."""
+    rows = docs.select(*[docs[f"`{c}`"].alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("_text"))
+    for held in blocks_of(benchmark, item_id, item_text, block):
+        rows = rows.mapInArrow(partial(_clean, held), rows.schema)
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.functions.shared import stored
-from tapeworks.llm.common import LOWER, pieces, word_spans
+from tapeworks.llm.common import LOWER, mixed, pieces, word_hashes, word_spans
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 SUBTREE = 50_000  # distinct fingerprints of a block value from which its subtree is dealt as pairs of children
@@ -96,16 +96,27 @@ class Forest:
 
 
 def trie_links(values: np.ndarray, group: np.ndarray, side: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest over all pairs within `budget` bits of one group.
+    """Positions of links of a spanning forest over all pairs of one group that differ in at most `budget` bits.
 
-    values: uint64; group: int; side: 0 or 1. In a group with both sides, only pairs across are looked at; else all.
+    values: uint64; group: int; side: 0 or 1. In a group with both sides, only pairs across are looked at (and equal
+    values of a side); else all.
     """
     order = np.lexsort((values, side, group))
-    v, g, s = values[order], group[order], side[order]
+    n = len(order)
+    if n < 2:
+        return order[:0], order[:0]
+    first = np.ones(n, bool)
+    first[1:] = (values[order][1:] != values[order][:-1]) | (side[order][1:] != side[order][:-1]) | (group[order][1:] != group[order][:-1])
+    leaf = order[first]  # one position for each value
+    equal = leaf[np.cumsum(first) - 1][~first], order[~first]
+    a, b = _trie(values[leaf], group[leaf], side[leaf], budget)
+    return np.concatenate([equal[0], leaf[a]]), np.concatenate([equal[1], leaf[b]])
+
+
+def _trie(v: np.ndarray, g: np.ndarray, s: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for distinct values in the order of group, side and value."""
     n = len(v)
     forest = Forest(n)
-    if n < 2:
-        return v[:0], v[:0]
     new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])]))
     end = np.concatenate([new[1:], [n]])
     if len(new) > 1:
@@ -151,7 +162,7 @@ def trie_links(values: np.ndarray, group: np.ndarray, side: np.ndarray, budget:
                 parts.append((x0[ok], x1[ok], y0[ok], y1[ok], dd[ok].astype(np.int8)))
         stack.append((bit - 1, *(np.concatenate(c) for c in zip(*parts, strict=True))))
     linked = np.flatnonzero(forest.root != np.arange(n))
-    return v[linked], v[forest.root[linked]]
+    return linked, forest.root[linked]
 
 
 def _split(v: np.ndarray, begin: np.ndarray, end: np.ndarray, bit: int) -> np.ndarray:
@@ -174,27 +185,32 @@ def _links(budget: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         whole = pa.Table.from_batches(got)
         _, group = np.unique(whole.column("_tree").to_numpy(), return_inverse=True)
         a, b = trie_links(whole.column("_fp").to_numpy().view(np.uint64), group, whole.column("_side").to_numpy(), budget)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        node = whole.column("_node").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
 
+def links(prints: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
+    """(a, b): links that connect all nodes with fingerprints of one table that differ in at most `budget` bits.
 
-def links(distinct: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """(a, b): links that connect all distinct fingerprints (`fingerprint` long) that differ in at most `budget` bits."""
+    prints: (node long, table int, fingerprint long), few rows with the same fingerprint of a table.
+    """
     blocks = budget + 1
     width = 64 // blocks
     block = lambda k: F.shiftrightunsigned("fingerprint", k * width).bitwiseAND((1 << (width if k < blocks - 1 else 64 - k * width)) - 1)
-    rows = distinct.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v")) for k in range(blocks)])).alias("_b")).select("fingerprint", "_b.k", "_b.v")
-    big = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > subtree).select("k", "v", F.lit(True).alias("_big"))
-    rows = rows.join(big, ["k", "v"], "left")
+    rows = prints.select("node", "table", "fingerprint", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), block(k).alias("v")) for k in range(blocks)])).alias("_b"))
+    rows = rows.select("node", "fingerprint", "table", "_b.k", "_b.v")
+    big = rows.groupBy("table", "k", "v").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > subtree).select("table", "k", "v", F.lit(True).alias("_big"))
+    rows = rows.join(F.broadcast(stored(big)), ["table", "k", "v"], "left")  # at most one row for each `subtree` rows of the join
     # a child of a large subtree is named by the eight bits above its block, round the word; it meets the children near it
-    after = F.pmod((F.col("k") + 1) * width, F.lit(64))
-    child = F.when(after == 0, F.col("fingerprint").bitwiseAND(255))
-    for k in range(blocks - 1):
-        child = child.when(F.col("k") == k, F.shiftrightunsigned("fingerprint", (k + 1) * width).bitwiseAND(255))
-    near = F.array(*[F.lit(x) for x in range(256) if x.bit_count() <= budget])
-    plain = rows.where("_big is null").select("fingerprint", F.struct("k", "v", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y")).alias("_key"), F.lit(0).alias("_side"))
+    child = F.lit(None).cast("long")
+    for k in range(blocks):
+        child = F.when(F.col("k") == k, F.shiftrightunsigned("fingerprint", (k + 1) * width if k < blocks - 1 else 0).bitwiseAND(255)).otherwise(child)
+    near = F.array(*[F.lit(x).cast("long") for x in range(256) if x.bit_count() <= budget])
+    no = F.lit(-1).cast("long")
+    plain = rows.where("_big is null").select("node", "fingerprint", F.xxhash64("table", "k", "v", no, no).alias("_tree"), F.lit(0).alias("_side"))
     dealt = rows.where("_big").withColumn("_c", child).withColumn("_x", F.explode(near)).withColumn("_o", F.col("_c").bitwiseXOR(F.col("_x")))
-    dealt = dealt.select("fingerprint", F.struct("k", "v", F.least("_c", "_o").alias("x"), F.greatest("_c", "_o").alias("y")).alias("_key"), (F.col("_c") > F.col("_o")).cast("int").alias("_side"))
-    dealt = plain.unionByName(dealt).select(F.xxhash64("_key").alias("_tree"), F.col("fingerprint").alias("_fp"), "_side")
+    dealt = dealt.select("node", "fingerprint", F.xxhash64("table", "k", "v", F.least("_c", "_o"), F.greatest("_c", "_o")).alias("_tree"), (F.col("_c") > F.col("_o")).cast("int").alias("_side"))
+    dealt = plain.unionByName(dealt).select("_tree", F.col("node").alias("_node"), F.col("fingerprint").alias("_fp"), "_side")
     return dealt.repartition("_tree").mapInArrow(partial(_links, budget), "a long, b long")
 
 
@@ -225,8 +241,102 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, fingerprint as 16 hex digits, component_id) of every row: linked fingerprints share the smallest doc_id."""
     prints = stored(fingerprints(docs, doc_id, text, shingle))
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")))
-    roots = components(links(distinct, budget))
+    roots = components(links(distinct.select(F.col("fingerprint").alias("node"), F.lit(0).alias("table"), "fingerprint"), budget))
     named = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     first = named.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = named.join(first, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Groups of near copies for a corpus, where similarity is that of sets of five-word shingles.
+
+TABLES, SIGNATURE = 24, 8  # fingerprints of three-word shingles that find links, and of five-word ones that decide
+SIMILAR = 0.8
+SLACK = 1.65  # standard errors that a signature may be beyond the similarity: 95 of 100 pairs at the limit pass
+
+
+def _bit_majorities(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: range) -> list[np.ndarray]:
+    """For each salt, the fingerprint of each text: the bits set in over half of its hashes."""
+    out = []
+    full = np.flatnonzero(counts)
+    for salt in salts:
+        got = np.zeros(len(counts), np.uint64)
+        if len(full):
+            bits = np.unpackbits(mixed(h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
+            got[full] = np.packbits(2 * ones > counts[full, None], axis=1).view(np.uint64).ravel()
+        out.append(got.view(np.int64))
+    return out
+
+
+def _shingle_hashes(word: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first of each text, count of each text) of all runs of n words; a shorter text is one run."""
+    words = np.bincount(row, minlength=rows)
+    count = np.where(words > 0, np.maximum(words - n + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(words)[:-1]])
+    start = np.concatenate([[0], np.cumsum(count)[:-1]])
+    at = np.repeat(first - start, count) + np.arange(count.sum())
+    end = np.repeat(first + words, count)
+    h = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        inside = at + k < end
+        step = np.where(inside, word[np.minimum(at + k, len(word) - 1)], 0) if len(word) else h
+        h = np.where(inside, h * np.uint64(0x9E3779B97F4A7C15) + step, h)
+    return mixed(h), start, count
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, at in pieces(batch, "_text"):
+            data = LOWER[data]
+            row, begin, stop = word_spans(data, at)
+            word = word_hashes(data, begin, stop)
+            parts = []
+            for n, salts in ((3, range(TABLES)), (5, range(100, 100 + SIGNATURE))):
+                got = np.stack(_bit_majorities(*_shingle_hashes(word, row, end - first, n), salts), 1)
+                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * got.shape[1], pa.int32()), pa.array(got.ravel())))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, end - first), batch.column("_key").slice(first, end - first), *parts], names=["_id", "_key", "tables", "signature"])
+
+
+def row_key(docs: DataFrame):
+    """A 64-bit hash of all columns of a row."""
+    return F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(_key) of the rows that are near copies of one that stays, and (_key) of rows that are there more than once.
+
+    Two texts are near copies if their fingerprints of one table differ in at most BUDGET bits and their signatures are as
+    close as those of texts with `similar` of their five-word shingles in common. Of each group (near copies of near
+    copies included) the row with the smallest id stays; NULL ids come last.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    prints = docs.select(F.col(doc_id).alias("_id"), row_key(docs).alias("_key"), F.col(text).alias("_text")).mapInArrow(_signatures, f"_id {kind}, _key long, tables array<long>, signature array<long>")
+    prints = stored(prints)
+    twice = prints.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
+    order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_key")
+    nodes = stored(prints.groupBy("signature", "tables").agg(F.min(order).alias("_first"), F.min("_key").alias("node")))  # equal texts once
+    found = links(nodes.select("node", F.posexplode("tables").alias("table", "fingerprint")))
+    found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    angle = np.arccos(2 * similar / (1 + similar)) / np.pi
+    bits = 64 * SIGNATURE
+    most = bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle))
+    side = nodes.select("node", "signature")
+    pairs = found.join(side.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    roots = components(pairs.where(differ <= float(most)).select("a", "b"))
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = named.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"), F.lit(True).alias("_stays"))
+    gone = prints.select("_key").distinct().join(stays, "_key", "left_anti")
+    return gone, twice
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The rows of docs without near copies: one of each group stays."""
+    gone, twice = repeats(docs, doc_id, text, similar)
+    keyed = docs.withColumn("_row_key", row_key(docs))
+    left = keyed.join(gone.select(F.col("_key").alias("_row_key")), "_row_key", "left_anti")
+    twice = stored(twice.select(F.col("_key").alias("_row_key")))
+    if not twice.isEmpty():  # equal rows: one of them
+        left = left.join(twice, "_row_key", "left_anti").unionByName(left.join(twice, "_row_key", "left_semi").dropDuplicates(["_row_key"]))
+    return left.drop("_row_key")
