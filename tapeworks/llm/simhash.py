@@ -55,13 +55,28 @@ def _of_texts(n: int, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     last = np.minimum(k + n, np.repeat(first_word + words, shingles))
     body, digest = flat.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(body[a:b], SEED) for a, b in zip(to[k].tolist(), (to[last] - 1).tolist(), strict=True)), np.uint64, len(k))
-    out = np.zeros(rows, np.uint64)
-    full = np.flatnonzero(shingles)
-    if len(full):
-        for bit in range(64):
-            ones = np.add.reduceat(((h >> np.uint64(bit)) & np.uint64(1)).astype(np.int64), starts[full])
-            out[full] |= (2 * ones > shingles[full]).astype(np.uint64) << np.uint64(bit)
-    return out.view(np.int64)
+    return majority(h, starts[:-1], shingles).view(np.int64)
+
+
+def majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of hashes, the bits set in over half of them; an empty run has none.
+
+    Bits are counted eight at a time, in the bytes of one word, over at most 255 hashes; those counts are then summed.
+    """
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    chunks = -(-counts[full] // 255)
+    first = np.concatenate([[0], np.cumsum(chunks)[:-1]])
+    cuts = np.repeat(starts[full], chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(first, chunks))
+    ones = np.uint64(0x0101010101010101)
+    for k in range(8):
+        lanes = np.add.reduceat((h >> np.uint64(k)) & ones, cuts).view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(lanes.astype(np.int64), first, axis=0)
+        for j in range(8):
+            out[full] |= (2 * total[:, j] > counts[full]).astype(np.uint64) << np.uint64(8 * j + k)
+    return out
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -257,16 +272,7 @@ SLACK = 1.65  # standard errors that a signature may be beyond the similarity: 9
 
 def _bit_majorities(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: range) -> list[np.ndarray]:
     """For each salt, the fingerprint of each text: the bits set in over half of its hashes."""
-    out = []
-    full = np.flatnonzero(counts)
-    for salt in salts:
-        got = np.zeros(len(counts), np.uint64)
-        if len(full):
-            bits = np.unpackbits(mixed(h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)).view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
-            got[full] = np.packbits(2 * ones > counts[full, None], axis=1).view(np.uint64).ravel()
-        out.append(got.view(np.int64))
-    return out
+    return [majority(mixed(h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)), starts, counts).view(np.int64) for salt in salts]
 
 
 def _shingle_hashes(word: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
