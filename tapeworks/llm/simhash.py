@@ -265,9 +265,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # Groups of near copies for a corpus, where similarity is that of sets of five-word shingles.
 
-TABLES, SIGNATURE = 24, 8  # fingerprints of three-word shingles that find links, and of five-word ones that decide
+TABLES, SIGNATURE = 24, 8  # fingerprints of three-word shingles that find links, and of five-word ones that screen them
 SIMILAR = 0.8
-SLACK = 1.65  # standard errors that a signature may be beyond the similarity: 95 of 100 pairs at the limit pass
+SLACK = 2.0  # standard errors that a signature may be beyond the similarity: 97 of 100 pairs at the limit pass
+SKETCH, BELOW = 128, 0.03  # smallest shingle hashes that decide; they are all of a short text, else an estimate with this slack
 
 
 def _bit_majorities(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: range) -> list[np.ndarray]:
@@ -288,7 +289,7 @@ def _shingle_hashes(word: np.ndarray, row: np.ndarray, rows: int, n: int) -> tup
         inside = at + k < end
         step = np.where(inside, word[np.minimum(at + k, len(word) - 1)], 0) if len(word) else h
         h = np.where(inside, h * np.uint64(0x9E3779B97F4A7C15) + step, h)
-    return mixed(h), start, count
+    return mixed(h) >> np.uint64(1), start, count
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +300,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word = word_hashes(data, begin, stop)
             parts = []
             for n, salts in ((3, range(TABLES)), (5, range(100, 100 + SIGNATURE))):
-                got = np.stack(_bit_majorities(*_shingle_hashes(word, row, end - first, n), salts), 1)
+                h, begin, count = _shingle_hashes(word, row, end - first, n)
+                got = np.stack(_bit_majorities(h, begin, count, salts), 1)
                 parts.append(pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * got.shape[1], pa.int32()), pa.array(got.ravel())))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, end - first), batch.column("_key").slice(first, end - first), *parts], names=["_id", "_key", "tables", "signature"])
+            low = [np.unique(h[b : b + c])[:SKETCH].view(np.int64) for b, c in zip(begin.tolist(), count.tolist(), strict=True)]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in low])])
+            parts.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(low))))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, end - first), batch.column("_key").slice(first, end - first), *parts], names=["_id", "_key", "tables", "signature", "sketch"])
 
 
 def row_key(docs: DataFrame):
@@ -312,12 +317,12 @@ def row_key(docs: DataFrame):
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(_key) of the rows that are near copies of one that stays, and (_key) of rows that are there more than once.
 
-    Two texts are near copies if their fingerprints of one table differ in at most BUDGET bits and their signatures are as
-    close as those of texts with `similar` of their five-word shingles in common. Of each group (near copies of near
-    copies included) the row with the smallest id stays; NULL ids come last.
+    Two texts are near copies if their fingerprints of one table differ in at most BUDGET bits, their signatures are as
+    close as those of texts with `similar` of their five-word shingles in common, and so are the smallest hashes of
+    these. Of each group (near copies of near copies included) the row with the smallest id stays; NULL ids come last.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    prints = docs.select(F.col(doc_id).alias("_id"), row_key(docs).alias("_key"), F.col(text).alias("_text")).mapInArrow(_signatures, f"_id {kind}, _key long, tables array<long>, signature array<long>")
+    prints = docs.select(F.col(doc_id).alias("_id"), row_key(docs).alias("_key"), F.col(text).alias("_text")).mapInArrow(_signatures, f"_id {kind}, _key long, tables array<long>, signature array<long>, sketch array<long>")
     prints = stored(prints)
     twice = prints.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
     order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_key")
@@ -330,7 +335,16 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     side = nodes.select("node", "signature")
     pairs = found.join(side.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    roots = components(pairs.where(differ <= float(most)).select("a", "b"))
+    near = stored(pairs.where(differ <= float(most)).select("a", "b"))
+    ends = near.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    low = prints.join(ends, "_key", "left_semi").groupBy("_key").agg(F.min("sketch").alias("s"))
+    pairs = near.join(low.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(low.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
+    full = F.greatest(F.size("sa"), F.size("sb")) == SKETCH
+    union = F.sort_array(F.array_union("sa", "sb"))
+    union = F.when(full, F.slice(union, 1, SKETCH)).otherwise(union)
+    share = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.greatest(F.size(union), F.lit(1))
+    equal = (F.size("sa") == 0) & (F.size("sb") == 0)
+    roots = components(pairs.where(equal | (share >= F.when(full, similar - BELOW).otherwise(similar))).select("a", "b"))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = named.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"), F.lit(True).alias("_stays"))
     gone = prints.select("_key").distinct().join(stays, "_key", "left_anti")
