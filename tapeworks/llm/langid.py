@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import LOWER, padded, pieces
 
-SAMPLE = 4000  # rows learned from, all languages together
+SAMPLE = 2000  # rows learned from, all languages together
 WIDTH = 1 << 12  # hashed n-grams of one to three bytes
 CLOSE = 0.05  # a score of the nearest codeword less than this above that of the second is ambiguous
 _LETTERS = np.where(np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)]), LOWER, 32).astype(np.uint8)
@@ -68,12 +68,11 @@ def code_matrix(k: int) -> np.ndarray:
 
 def fit_bits(x: np.ndarray, y: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> np.ndarray:
     """Weights (inputs and one constant, bits) of logistic classifiers for labels of -1 and 1, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
-    ahead, rate = w.copy(), np.float32(2.0)  # rows have length at most root 2, so the curvature is at most a half
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
+    ahead, rate = w.copy(), np.float32(2.0)  # rows with the constant have length at most root 2, so the curvature is at most a half
     for t in range(steps):
-        g = -(y / (1 + np.exp(np.clip(y * (x @ ahead) * 1, -30, 30)))).astype(np.float32)
-        new = ahead - rate * ((x.T @ g) / len(x) + np.float32(ridge) * ahead) * np.float32(20.0 if t < 0 else 1.0)
+        g = -(y / (1 + np.exp(np.clip(y * (x @ ahead[:-1] + ahead[-1]), -30, 30)))).astype(np.float32)
+        new = ahead - rate * (np.vstack([x.T @ g, g.sum(0)]) / np.float32(len(x)) + np.float32(ridge) * ahead)
         ahead = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w
@@ -110,7 +109,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, at in pieces(batch, "_text"):
             x = ngram_rows(data, at)
-            yield pa.RecordBatch.from_arrays([batch.column("_lang").slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], names=["_lang", "_x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_lang").slice(first, end - first), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["_lang", "_x"])
 
 
 def _predict(model: Codes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +143,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     drawn = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_at"), (place / rate[F.col(lang)]).alias("_in")).where("_in < 1")
     drawn = drawn.orderBy("_in", "_text").limit(sample)
     got = drawn.select("_lang", "_text").mapInArrow(_rows, "_lang string, _x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column("_x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for v in got.column("_x")]) if got.num_rows else np.zeros((0, WIDTH), np.float32)
     place_of = {n: i for i, n in enumerate(names)}
     return Codes(names, x, np.array([place_of[v] for v in got.column("_lang").to_pylist()]))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tapeworks.llm.common import LOWER, mixed, pieces, word_hashes, word_spans
 
-SAMPLE = 8000  # labelled rows learned from
+SAMPLE = 6000  # labelled rows learned from
 BITS = 18  # hashed indicators
 ACCEPT = 0.7
 _CLASS = np.zeros(256, np.uint16)  # what a byte says about its word
@@ -66,13 +66,13 @@ def indicators(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def log_count_ratios(slots: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Logarithm of the share of each indicator in class 1 over that in class 0, with one added to each count."""
-    counts = [np.bincount(np.concatenate([s for s, v in zip(slots, y, strict=True) if v == c] or [np.zeros(0, np.int64)]), minlength=1 << BITS) + 1.0 for c in (0, 1)]
+    counts = [np.bincount(np.concatenate([s for s, v in zip(slots, y, strict=True) if v == c] or [np.zeros(0, np.int32)]), minlength=1 << BITS) + 1.0 for c in (0, 1)]
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
 def scaled(slots: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    x = ratios[slots]
-    return x / max(np.sqrt((x * x).sum()), 1e-12)
+    x = ratios[slots].astype(np.float32)
+    return x / np.float32(max(np.sqrt(float(x @ x)), 1e-12))
 
 
 def hinge_fit(slots: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: float = 1.0, rounds: int = 12) -> np.ndarray:
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")  # at most `sample` rows of two numbers
     rows = rows.groupBy("_id", "_y").agg(F.max("_text").alias("_text"))
     got = rows.orderBy(place, "_id").select("_y", "_text").mapInArrow(_slots, "_y int, _s array<int>").toArrow()
-    return Model([np.asarray(s.values, np.int64) for s in got.column("_s")], np.array(got.column("_y").to_pylist(), int))
+    return Model([s.values.to_numpy() for s in got.column("_s")], np.array(got.column("_y").to_pylist(), int))
 
 
 def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text") -> DataFrame:
