@@ -108,21 +108,26 @@ def longest_stretch(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int,
     return best
 
 
-def _stretches(equal: np.ndarray) -> list[tuple[int, int]]:
-    """Disjoint stretches of SHORTEST equal words or more, longest first."""
+def _stretches(equal: np.ndarray, few: int = SHORTEST) -> list[tuple[int, int]]:
+    """Disjoint stretches of `few` equal words or more."""
     out, open_ = [], [(0, len(equal))]
     while open_:
         a, b = open_.pop()
-        if equal[a:b].sum() < SHORTEST:
+        if equal[a:b].sum() < few:
             continue
         i, j = longest_stretch(equal[a:b])
         i, j = a + i, a + j
-        if equal[i:j].sum() >= SHORTEST:
+        if equal[i:j].sum() >= few:
             out.append((i, j))
             open_ += [(a, i), (j, b)]
     return out
 
 
+def _few(words: int) -> int:
+    """Equal words that make a stretch: SHORTEST, or for the shortest items those that cover them."""
+    return min(SHORTEST, int(np.ceil(COVER * words)))
+
+
 def overlaps(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item, equal words, first word, end word in the text) of every text and item that overlap."""
     row, code = tokens(data, at)
@@ -136,7 +141,7 @@ def overlaps(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int,
         a = max(index.first[i], first[r] - shift)
         b = min(index.first[i] + index.words[i], first[r + 1] - shift)
         equal = index.code[a:b] == code[a + shift : b + shift]
-        if equal.sum() >= min(SHORTEST, index.words[i]):
+        if equal.sum() >= _few(index.words[i]):
             found.setdefault((r, i), []).append((a, shift, equal))
     out = []
     for (r, i), diagonal in found.items():
@@ -145,7 +150,7 @@ def overlaps(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int,
         if sum(int(e.sum()) for _, _, e in diagonal) < min(LEAST, COVER * index.words[i]):
             continue
         for a, shift, equal in diagonal:
-            for x, y in _stretches(equal.astype(np.int64)):
+            for x, y in _stretches(equal.astype(np.int64), _few(index.words[i])):
                 best = max(best, int(equal[x:y].sum()))
                 held[a - index.first[i] + x : a - index.first[i] + y] |= equal[x:y]
                 span += [a + shift + x - first[r], a + shift + y - first[r]]

@@ -9,7 +9,7 @@ entry decides: an exact URL before a path prefix before a host, the longer entry
 Edge cases: a NULL or unparsable URL has an empty host, matches no host or prefix entry and gets verdict `none`; a
 NULL fetch day matches nothing; an entry added and removed on one day counts as removed; repeated events count once; NULL
 entries and dates are ignored; repeated captures are each returned; without entries every verdict is `none`; an empty
-table gives no rows; further columns of the captures are kept.
+table gives no rows; further columns of the captures are kept, those with the name of a column of the result are replaced.
 """
 
 from __future__ import annotations
@@ -57,9 +57,10 @@ def screen(captures: DataFrame, events: DataFrame, url: str = "url", day: str =
     wanted = asked.select("_url", "_day", F.explode(keys).alias("_k")).select("_url", "_day", "_k.kind", "_k.entry")
     active = wanted.join(spans, ["kind", "entry"]).where((F.col("since") <= F.col("_day")) & (F.col("until").isNull() | (F.col("_day") < F.col("until"))))
     rank = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("r"), F.length("entry").alias("l"), (F.col("action") == "allow").alias("a"), F.col("entry").alias("entry"), F.col("since").alias("since"), F.col("action").alias("action"))
-    verdicts = active.groupBy("_url", "_day").agg(F.count(F.lit(1)).alias("n_active"), F.max(rank).alias("_best"))
+    verdicts = active.groupBy("_url", "_day").agg(F.count(F.lit(1)).alias("_active"), F.max(rank).alias("_best"))
     out = captures.join(verdicts, (F.col(url) == F.col("_url")) & (F.col(day) == F.col("_day")), "left")
-    return out.select(*[captures[c] for c in captures.columns], host(captures[url]).alias("host"), F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+    new = ("host", "n_active", "verdict", "entry", "since")
+    return out.select(*[captures[f"`{c}`"] for c in captures.columns if c not in new], host(captures[url]).alias("host"), F.coalesce("_active", F.lit(0)).cast("long").alias("n_active"),
                       F.coalesce("_best.action", F.lit("none")).alias("verdict"), F.col("_best.entry").alias("entry"), F.col("_best.since").alias("since"))
 
 
