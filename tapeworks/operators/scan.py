@@ -150,9 +150,11 @@ def islands(df: DataFrame, by: Sequence[str], seq: str, starts: Column, out: str
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a one-row table (a global aggregate) to every row. One row is safe to broadcast."""
+    """Add the columns of a one-row table (a global aggregate) to every row; a second row is an error. One row is safe to broadcast."""
     key = "_one_row"
-    return df.withColumn(key, F.lit(1)).join(F.broadcast(row.limit(1).withColumn(key, F.lit(1))), key).drop(key)
+    packed = row.agg(F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*row.columns)).alias("_r"))
+    one = packed.where((F.col("_rows") > 0) & F.assert_true(F.col("_rows") <= 1, F.lit("more than one row")).isNull())
+    return df.withColumn(key, F.lit(1)).join(F.broadcast(one.select(F.lit(1).alias(key), "_r.*")), key).drop(key)
 
 
 BINS = 4096

@@ -137,15 +137,16 @@ def _(spark, sf):
 
 
 @query("stream_flow_buckets", f"""select ticker, cast(ceil(s / 3600) - 1 as bigint) as hour, cast(sum(flow) as double) as flow, count(*) as n from (select *, epoch(cast(day as timestamp)) + time as s from {STREAM_FLOW})
-  group by 1, 2 having (hour + 1) * 3600 <= (select max(epoch(cast(day as timestamp)) + time) - 60 from {T})""", "flow")
+  group by 1, 2""", "flow")
 def _(spark, sf):
-    """Closed buckets only: the watermark holds back the ones that late rows may still reach."""
+    """The stream emits the buckets that the watermark has closed; the end of the run adds those still open."""
     rows = jobs.run_available(jobs.flow_events(stream_quotes(spark, sf)))
     at = jobs.shared_folder(spark)
     rows.write.parquet(at)
     buckets = jobs.flow_buckets(spark.readStream.schema(rows.schema).parquet(at), "1 hour")
     done = jobs.run_available(buckets.select("ticker", F.col("window.start").alias("start"), "flow", "n"))
-    return done.select("ticker", (F.col("start").cast("long") / 3600).cast("long").alias("hour"), "flow", "n")
+    tail = jobs.open_buckets(spark.read.schema(rows.schema).parquet(at), done, "1 hour")
+    return done.unionByName(tail).select("ticker", (F.col("start").cast("long") / 3600).cast("long").alias("hour"), "flow", "n")
 
 
 @query("stream_cool_down")
@@ -165,5 +166,6 @@ def _(spark, sf):
     maps = table(spark, sf, "customer").select(F.explode(F.array(F.lit("kalshi"), F.lit("polymarket"))).alias("source"), F.col("c_custkey").alias("quote_id"),
                                                F.col("c_custkey").alias("contract_id"), F.lit(False).alias("invert"))
     at = jobs.shared_folder(spark)
-    jobs.intake(q, pr.book_columns(books(spark, sf)), maps, at).awaitTermination()
-    return spark.read.parquet(f"{at}/pooled/0").select("contract_id", "p", "lo", "hi", "n_refs")
+    run = jobs.intake(q, pr.book_columns(books(spark, sf)), maps, at)
+    run.awaitTermination()
+    return spark.read.parquet(f"{at}/pooled/{jobs.last_batch(run)}").select("contract_id", "p", "lo", "hi", "n_refs")

@@ -51,19 +51,15 @@ def _(spark, sf):
     return p.select("id", F.array_sort("thr").alias("thr"), F.array_sort("dat").alias("dat"), F.array_sort("yr").alias("yr"), F.array_sort("ent").alias("ent"))
 
 
-INFO = f"""(select * from (select *, row_number() over (partition by q order by round(info, 6) desc, p) as i from (select q.id as q, d.id as p, sum(ln(n / cast(df as double))) as info
+INFO = f"""(select q.id as q, d.id as p, sum(ln(n / cast(df as double))) as info
   from {tok_sql('benchmark', 'item_id')} q join {tok_sql('documents', 'doc_id')} d on q.t = d.t join (select t, count(*) as df from {tok_sql('documents', 'doc_id')} group by t) f on f.t = q.t, (select count(*) as n from documents)
-  where n <= 100 or df <= 0.2 * n group by 1, 2)) where i <= 400)"""
+  group by 1, 2)"""
 
 
 @query("block_candidates", f"select q, p, info from {INFO}", "info", 4)
 def _(spark, sf):
     b, d = prepared(spark, sf, "benchmark", "item_id"), prepared(spark, sf, "documents", "doc_id")
-    from pyspark.sql import Window
-
-    s = lk.prefilter(b.select(F.col("id").alias("q"), "tok"), d.select(F.col("id").alias("p"), "tok"), "q", "p", 10_000_000)
-    w = Window.partitionBy("q").orderBy(F.round("info", 6).desc(), "p")
-    return s.withColumn("i", F.row_number().over(w)).where("i <= 400").drop("i")
+    return lk.shared_information(b.select(F.col("id").alias("q"), "tok"), d.select(F.col("id").alias("p"), "tok"), "q", "p")
 
 
 GRAM = "(select {k} as id, gram, count(*) as c from (select {k}, unnest(list_transform(range(1, len(x) - 1), lambda i: substr(x, i, 3))) as gram from (select {k}, '  ' || lower(text) || ' ' as x from {t})) group by 1, 2)"
@@ -119,7 +115,7 @@ def _(spark, sf):
 def _(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "text")
-    return lk.search(q, d, 5, 50)
+    return lk.search(q, d, 5)
 
 
 @query("match_lookup", "select source, doc_id as quote_id, 'No' as outcome, n_chars from documents where doc_id in (select doc_id from labels where quality = 1)")
@@ -382,3 +378,9 @@ def _(spark, sf):
 def _(spark, sf):
     b = table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_acctbal") / 500).alias("score"))
     return sz.prize_split(b, (5000.0, 3000.0, 2000.0), ["c_nationkey"]).select("c_custkey", "prize")
+
+
+@query("match_unmatched")
+def _(spark, sf):
+    c = contracts(spark, sf)
+    return lk.unmatched(c, lk.candidates(c, quotes(spark, sf))).select("contract_id", "title")

@@ -54,11 +54,13 @@ def read_day_csv(spark: SparkSession, message_csv: str, book_csv: str, day: str,
     return msg.join(book, "seq").withColumns({"day": F.lit(day).cast("date"), "ticker": F.lit(ticker)})
 
 
-def write_tape(tape: DataFrame, path: str, mode: str = "append", chunk: int = 5_000_000) -> None:
-    """Typed, partitioned by day and ticker, in row order; a busy stock-day becomes several files."""
+def write_tape(tape: DataFrame, path: str, mode: str = "overwrite", chunk: int = 5_000_000) -> None:
+    """Typed, partitioned by day and ticker, in row order; a busy stock-day becomes several files.
+
+    Only the stock-days at hand are replaced, so converting a day again leaves it as it was."""
     cut = F.floor(F.col("seq") / chunk)
     (tape.withColumn("_c", cut).repartition(*KEYS, "_c").sortWithinPartitions(*KEYS, "seq").drop("_c")
-     .write.mode(mode).partitionBy(*KEYS).option("compression", "zstd").parquet(path))
+     .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).option("compression", "zstd").parquet(path))
 
 
 def load_day(spark: SparkSession, path: str, ticker, day: str, levels: int | None = None) -> DataFrame:
@@ -166,7 +168,8 @@ def stable_number(x: Column, digits: int = 12) -> Column:
     """Rounded to significant digits, NaN and infinity as NULL."""
     ok = ~F.isnan(x) & (F.abs(x) != float("inf"))
     scale = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(F.nullif(x, F.lit(0.0))))))
-    return F.when(ok, F.coalesce(F.rint(x * scale) / scale, F.lit(0.0)))
+    rounded = F.when(scale < float("inf"), F.rint(x * scale) / scale).otherwise(F.when(x != 0.0, x))  # too small to scale: as it is
+    return F.when(ok, F.coalesce(rounded, F.lit(0.0)))
 
 
 def save_results(df: DataFrame, path: str) -> None:

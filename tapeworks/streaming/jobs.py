@@ -94,6 +94,17 @@ def flow_buckets(flows: DataFrame, width: str = "10 seconds", late: str = "1 min
     return w.groupBy("ticker", F.window("_at", width)).agg(F.sum("flow").alias("flow"), F.count(F.lit(1)).alias("n"))
 
 
+def open_buckets(flows: DataFrame, closed: DataFrame, width: str = "10 seconds") -> DataFrame:
+    """(ticker, start, flow, n) of the buckets that a finished run has not emitted, from its whole input."""
+    w = flows.groupBy("ticker", F.window(F.col("ts") - F.expr("interval 1 microsecond"), width).alias("window")).agg(F.sum("flow").alias("flow"), F.count(F.lit(1)).alias("n"))
+    return w.select("ticker", F.col("window.start").alias("start"), "flow", "n").join(closed.select("ticker", "start"), ["ticker", "start"], "left_anti")
+
+
+def last_batch(run) -> int:
+    """Number of the last micro-batch of a run that had rows."""
+    return max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=0)
+
+
 class CoolDown(StatefulProcessor):
     """Lets a contract's proposal through if none went out in the last hours, or the numbers moved."""
 

@@ -129,3 +129,15 @@ def test_journal_and_references(spark, tmp_path):
     assert (r["source"], r["outcome"], r["kind"], r["p"]) == ("static", "Yes", "market", 0.4)
     with pytest.raises(Exception, match="probability or a percent"):
         spark.range(1).select(venues.as_prob(F.lit(0.0))).collect()
+
+
+def test_name_pairs_lose_no_match(spark):
+    """The blocking finds every pair that the hard rules let through and that shares a word, as an all-pairs comparison does."""
+    texts = ["Will Acme Corp close above 90 in 2026?", "Acme Corp to win the award", "Will Bravo win the Acme award in 2026?", "Who wins the election in Freedonia", "Freedonian election: who wins",
+             "the rain in may", "Will Acme and Bravo merge?", "Bravo and Acme merge", "Will the Fed cut rates?", "Fed to cut rates", "Fed rates"]
+    d = lk.prepare(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text").drop("text").cache()
+    q, p = d.withColumnRenamed("id", "q"), d.withColumnRenamed("id", "p")
+    got = {tuple(r) for r in lk.name_pairs(q, p, "q", "p").collect()}
+    every = q.select("q", F.struct(*[c for c in d.columns if c != "id"]).alias("a")).crossJoin(p.select("p", F.struct(*[c for c in d.columns if c != "id"]).alias("b")))
+    want = {(r["q"], r["p"]) for r in every.where(lk.hard_reject().isNull() & F.arrays_overlap("a.tok", "b.tok")).collect()}
+    assert want and want <= got
