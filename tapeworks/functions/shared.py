@@ -7,16 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}  # application -> the folder of a session on one machine
+
 
 def base(spark: SparkSession) -> str:
     """The shared folder. Where none is set, one of this machine's own is set, but only if this machine is all there is."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if at is None:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="run-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="run-shared-")
     return at.rstrip("/")
 
 
