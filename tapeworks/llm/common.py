@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = "[^\\x20\\x09-\\x0D]+"  # a word: no space, tab, line feed, vertical tab, form feed, carriage return
 GAP = "[\\x20\\x09-\\x0D]+"
@@ -21,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fields(rows: DataFrame, without: tuple[str, ...], **more: str) -> T.StructType:
+    """The schema of rows without some columns and with more of the named types."""
+    kept = [T.StructField(f.name, f.dataType) for f in rows.schema if f.name not in without]
+    return T.StructType([*kept, *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in more.items()]])
+
+
 def id_remainder(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo; NULL for a NULL id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import LOWER, padded, pieces
+from tapeworks.llm.common import LOWER, fields, padded, pieces
 
 SAMPLE = 2000  # rows learned from, all languages together
 WIDTH = 1 << 12  # hashed n-grams of one to three bytes
@@ -117,7 +117,7 @@ def _predict(model: Codes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         best, score, second = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
         for first, end, data, at in pieces(batch, "_text"):
             best[first:end], score[first:end], second[first:end] = model.decode(ngram_rows(data, at))
-        known = np.asarray(batch.column("_letter").fill_null(False))
+        known = np.asarray(batch.column("_letter").fill_null(False)) & bool(model.names)
         names = np.array(model.names, object)
         lang = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
         score = np.where(known, score, 0.0)
@@ -151,5 +151,4 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
 def predict(docs: DataFrame, model: Codes, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns `keep` of every row, with lang_pred, score and ambiguous."""
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"), has_letter(text).alias("_letter"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("_text", "_letter"))
-    return rows.mapInArrow(partial(_predict, model), f"{kept}, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(partial(_predict, model), fields(rows, ("_text", "_letter"), lang_pred="string", score="double", ambiguous="boolean"))

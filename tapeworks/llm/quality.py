@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.common import LOWER, mixed, pieces, word_hashes, word_spans
+from tapeworks.llm.common import LOWER, fields, mixed, pieces, word_hashes, word_spans
 
 SAMPLE = 6000  # labelled rows learned from
 BITS = 18  # hashed indicators
@@ -174,5 +174,4 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns `keep` of every row, with score and predicted."""
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(partial(_score, model), f"{kept}, score double, predicted int")
+    return rows.mapInArrow(partial(_score, model), fields(rows, ("_text",), score="double", predicted="int"))
