@@ -122,3 +122,16 @@ def test_prizes_are_shared_by_ties(spark):
     b = spark.createDataFrame([("a", 10), ("b", 9), ("c", 9), ("d", 1)], "who string, score int")
     got = {r["who"]: r["prize"] for r in sz.prize_split(b, (100.0, 50.0, 20.0)).collect()}
     assert got == {"a": 100.0, "b": 35.0, "c": 35.0, "d": 0.0}
+
+
+def test_walk_forward_cache_follows_its_inputs(spark, tmp_path):
+    days = [(s, d, 0, float(d), 1.0, float(s + d)) for s in range(3) for d in range(30)]
+    feat = spark.createDataFrame(days, "stock_id long, date_id long, seconds_in_bucket long, target double, wap double, x double")
+    w = spark.createDataFrame([(s, 1 / 3) for s in range(3)], "stock_id long, index_weight double")
+    design, spec, at = au.Design.scaled(30), au.ModelSpec("zero"), str(tmp_path)
+    first = au.walk_forward(feat, spec, design, w, at).count()
+    assert au.walk_forward(feat, spec, design, w, at).count() == first and len(list(tmp_path.iterdir())) == 1
+    au.walk_forward(feat.withColumn("x", F.col("x") + 1), spec, design, w, at)
+    au.walk_forward(feat, spec, design, w.withColumn("index_weight", F.col("stock_id") / 3), at)
+    assert len(list(tmp_path.iterdir())) == 3
+    assert au.fingerprint(feat.repartition(3)) == au.fingerprint(feat)
