@@ -17,7 +17,8 @@ DAYS = (0, 29)
 PATH = "partition by stock_id, date_id order by seconds_in_bucket"
 INST = "partition by date_id, seconds_in_bucket"
 SPREAD = "(ask_price - bid_price) / ((ask_price + bid_price) / 2) * 1e4"
-DESIGN = au.Design.scaled(30)
+PLAN = au.blocks(30)
+OPEN = PLAN[:-1]
 
 
 def weights(df):
@@ -137,9 +138,9 @@ def _(spark, sf):
     return au.build(df, weights(df)).select(*bt.ID, *au.feature_list())
 
 
-@query("walk_forward_folds", f"""select date_id, count(*) as n, {' '.join(f"case when date_id between {f.test[0]} and {f.test[1]} then {f.k} else" for f in DESIGN.folds())} null {'end ' * len(DESIGN.folds())} as fold from {S} group by date_id""")
+@query("walk_forward_folds", f"""select date_id, count(*) as n, {' '.join(f"case when date_id between {b.first} and {b.last} then {b.fold} else" for b in OPEN)} null {'end ' * len(OPEN)} as fold from {S} group by date_id""")
 def _(spark, sf):
-    return au.assign_folds(snapshots(spark, sf), DESIGN.folds()).groupBy("date_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return au.assign_folds(snapshots(spark, sf), OPEN).groupBy("date_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stock_median_baseline", f"select stock_id, quantile_cont(target, 0.5) as pred from {S} where target is not null and date_id <= 14 group by stock_id", "pred")
@@ -328,20 +329,20 @@ RIDGE = au.ModelSpec("ridge", au.ALL_GROUPS, {"alpha": 10.0})
 @query("ridge_walk_forward", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    return au.walk_forward(f, RIDGE, DESIGN, weights(df))
+    return au.walk_forward(f, RIDGE, PLAN, weights(df))
 
 
 @query("boosted_fold", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    return au.predict_fold(f, au.ModelSpec("boosted", ("book", "auction"), {"rounds": 3, "depth": 3, "valid_days": 3}), DESIGN.folds()[-1])
+    return au.forecasts(f, au.ModelSpec("boosted", ("book", "auction"), {"rounds": 3, "depth": 3, "valid_days": 3}), OPEN[-1:])
 
 
 @query("model_comparison", digits=4)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    a = au.walk_forward(f, au.ModelSpec("median"), DESIGN, weights(df))
-    b = au.walk_forward(f, au.ModelSpec("zero"), DESIGN, weights(df))
+    a = au.walk_forward(f, au.ModelSpec("median"), PLAN, weights(df))
+    b = au.walk_forward(f, au.ModelSpec("zero"), PLAN, weights(df))
     return au.compare_models(a, b, df)
 
 
@@ -353,5 +354,5 @@ def _(spark, sf):
 @query("holdout_score", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    research = preds(spark, sf).where(F.col("date_id") <= DESIGN.research_end).select(*bt.ID, "pred")
-    return au.holdout_score(f, df, weights(df), au.ModelSpec("median"), research, POL[0], DESIGN)
+    research = preds(spark, sf).where(F.col("date_id") < PLAN[-1].first).select(*bt.ID, "pred")
+    return au.holdout_score(f, df, weights(df), au.ModelSpec("median"), research, POL[0], PLAN)

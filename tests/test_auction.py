@@ -70,7 +70,7 @@ def test_planted_index_weights_are_found(spark):
     got = [r["index_weight"] for r in au.index_weights(x, (0, 7)).orderBy("stock_id").collect()]
     assert got == pytest.approx(w.tolist(), abs=1e-6)
     few = au.index_weights(x.where("seconds_in_bucket < 160"), (0, 0))
-    assert [r["index_weight"] for r in few.collect()] == pytest.approx([1 / 3] * 3)
+    assert [r["index_weight"] for r in few.collect()] == pytest.approx([1 / 3] * 3) and not any(r["calibrated"] for r in few.collect())
 
 
 def test_ridge_equals_the_closed_form(spark):
@@ -79,7 +79,7 @@ def test_ridge_equals_the_closed_form(spark):
     y = 2 * X[:, 0] - X[:, 1] + rng.normal(0, 0.5, 300)
     rows = [(i, 0, 0, float(a), float(b), float(t)) for i, ((a, b), t) in enumerate(zip(X, y))]
     d = spark.createDataFrame(rows, "stock_id int, date_id int, seconds_in_bucket int, a double, b double, target double")
-    got = np.array([r["pred"] for r in au._ridge(d, d, ["a", "b"], 25.0, 0.005).orderBy("stock_id").collect()])
+    got = np.array([r["pred"] for r in au._ridge(d.withColumn("fold", F.lit(0)), d.withColumn("fold", F.lit(0)), ["a", "b"], 25.0, 0.005).orderBy("stock_id").collect()])
     lo, hi = np.quantile(X, 0.005, axis=0), np.quantile(X, 0.995, axis=0)
     Z = np.clip(X, lo, hi)
     Z = (Z - Z.mean(axis=0)) / (Z.std(axis=0) + 1e-9)
@@ -88,13 +88,47 @@ def test_ridge_equals_the_closed_form(spark):
     assert np.allclose(got, t.mean() + Z @ b, atol=1e-6)
 
 
-def test_design_of_folds():
-    d = au.Design()
-    f = d.folds()
-    assert [x.test for x in f] == [(121, 180), (181, 240), (241, 300), (301, 360), (361, 420)]
-    assert f[1].train == (0, 179) and d.final_fold().test == (421, 480) and f[0].role == "calibration"
-    s = au.Design.scaled(30)
-    assert all(x.train[1] < x.test[0] - 1 for x in s.folds()) and s.holdout[1] == 29
+def test_blocks_of_days():
+    f = au.blocks()
+    assert [(b.first, b.last) for b in f] == [(121, 180), (181, 240), (241, 300), (301, 360), (361, 420), (421, 480)]
+    assert f[1].train_to == 179 and f[0].role == "calibration" and f[5].role == "holdout"
+    s = au.blocks(30)
+    assert all(b.train_to < b.first - 1 for b in s) and s[-1].last == 29
+
+
+def test_ridge_of_several_folds_and_missing_values(spark):
+    """Each fold learns from its own rows; a missing value counts as the mean; a feature without values has no part."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 30), 0, float(rng.normal()) if rng.random() > 0.2 else None, float("nan") if rng.random() < 0.1 else float(rng.normal(3, 2)), None, float(rng.normal(1, 4))) for i in range(600)]
+    d = spark.createDataFrame(rows, "stock_id int, date_id int, seconds_in_bucket int, a double, b double, c double, target double")
+    plan = [au.Block(0, "evaluation", 9, 11, 14), au.Block(1, "evaluation", 19, 21, 29)]
+    marked = au.assign_folds(d, plan)
+    got = au._ridge(marked.withColumn("fold", F.explode("train_folds")), marked.where("fold is not null"), ["a", "b", "c"], 10.0, 0.005)
+    got = {r["stock_id"]: r["pred"] for r in got.collect()}
+    X = np.array([[np.nan if v is None else v for v in r[3:5]] for r in rows], float)
+    y, day = np.array([r[6] for r in rows]), np.array([r[1] for r in rows])
+    for b in plan:
+        t, e = day <= b.train_to, (day >= b.first) & (day <= b.last)
+        lo, hi = np.nanquantile(X[t], 0.005, axis=0), np.nanquantile(X[t], 0.995, axis=0)
+        C = np.clip(X, lo, hi)
+        m, s = np.nanmean(C[t], axis=0), np.nanstd(C[t], axis=0) + 1e-9
+        Z = np.nan_to_num((C - m) / s)
+        ty = np.clip(y[t], *np.quantile(y[t], [0.01, 0.99]))
+        w = np.linalg.solve(Z[t].T @ Z[t] + 10 * np.eye(2), Z[t].T @ (ty - ty.mean()))
+        assert np.allclose([got[i] for i in np.flatnonzero(e)], ty.mean() + Z[e] @ w, atol=1e-6)
+
+
+def test_boosted_blocks_beat_the_constant(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 30), 0, float(x), float(5 * np.sign(x) + rng.normal(0, 0.3))) for i, x in enumerate(rng.normal(0, 1, 900))]
+    d = spark.createDataFrame(rows, "stock_id int, date_id int, seconds_in_bucket int, x double, target double")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setitem(au.FEATURES, "planted", ("x",))
+        spec = au.ModelSpec("boosted", ("planted",), {"rounds": 5, "depth": 2, "valid_days": 3})
+        got = au.forecasts(d, spec, [au.Block(0, "evaluation", 19, 21, 29)]).join(d, list(bt.ID))
+        gain = au.feature_importance(d, spec, au.Block(0, "evaluation", 19, 21, 29)).collect()
+    mae = got.agg(F.avg(F.abs(F.col("pred") - F.col("target"))), F.avg(F.abs("target"))).first()
+    assert mae[0] < 0.5 * mae[1] and gain[0]["feature"] == "x" and gain[0]["importance"] == pytest.approx(1.0)
 
 
 def test_slopes_use_earlier_folds_only(spark):
@@ -128,10 +162,10 @@ def test_walk_forward_cache_follows_its_inputs(spark, tmp_path):
     days = [(s, d, 0, float(d), 1.0, float(s + d)) for s in range(3) for d in range(30)]
     feat = spark.createDataFrame(days, "stock_id long, date_id long, seconds_in_bucket long, target double, wap double, x double")
     w = spark.createDataFrame([(s, 1 / 3) for s in range(3)], "stock_id long, index_weight double")
-    design, spec, at = au.Design.scaled(30), au.ModelSpec("zero"), str(tmp_path)
-    first = au.walk_forward(feat, spec, design, w, at).count()
-    assert au.walk_forward(feat, spec, design, w, at).count() == first and len(list(tmp_path.iterdir())) == 1
-    au.walk_forward(feat.withColumn("x", F.col("x") + 1), spec, design, w, at)
-    au.walk_forward(feat, spec, design, w.withColumn("index_weight", F.col("stock_id") / 3), at)
+    plan, spec, at = au.blocks(30), au.ModelSpec("zero"), str(tmp_path)
+    first = au.walk_forward(feat, spec, plan, w, at).count()
+    assert au.walk_forward(feat, spec, plan, w, at).count() == first and len(list(tmp_path.iterdir())) == 1
+    au.walk_forward(feat.withColumn("x", F.col("x") + 1), spec, plan, w, at)
+    au.walk_forward(feat, spec, plan, w.withColumn("index_weight", F.col("stock_id") / 3), at)
     assert len(list(tmp_path.iterdir())) == 3
     assert au.fingerprint(feat.repartition(3)) == au.fingerprint(feat)
