@@ -89,6 +89,23 @@ def test_price_question(spark):
     assert got == [("AAPL", 1250.5, True), ("NVDA", 90.0, False), (None, None, None)]
 
 
+def test_price_question_words(spark):
+    cases = [("Apple stock end over 1,200.5 by May", ("AAPL", 1200.5, True)), ("$XYZ below 20", ("XYZ", 20.0, False)), ("Does gold trade under $1900 in June", ("GLD", 1900.0, False)),
+             ("Will Tesla shares be above 300?", ("TSLA", 300.0, True)), ("Will Nike finish HIGHER than 80", ("NKE", 80.0, True)), ("In 2026, Intel close above $50", ("INTC", 50.0, True)),
+             ("Will $AB close above 5 and under 9", ("AB", 5.0, True)), ("Will an unknown firm close above 5", (None, None, None)), ("Over 20 people come", (None, None, None)),
+             ("Is Apple above the rest", (None, None, None)), ("Some Firm(QQ.B) above 7.25", ("QQ.B", 7.25, True)), ("", (None, None, None)), (None, (None, None, None))]
+    d = spark.createDataFrame([(i, t, "kept") for i, (t, _) in enumerate(cases)], "id int, title string, name string")
+    got = [(r["ticker"], r["strike"], r["above"]) for r in lk.price_questions(d).orderBy("id").collect()]
+    assert got == [w for _, w in cases]
+
+
+def test_capitalised_words(spark):
+    cases = [("Will Ann Lee win? The Oscars - Best Film", ["Ann", "Lee", "Oscars", "Best", "Film"]), ("How many. O'Neil's AT&T; over", ["O'Neil's", "AT&T"]), ("nothing here", []), (None, [])]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "id int, t string")
+    got = [r["c"] for r in d.select("id", lk.capitalised(F.col("t")).alias("c")).orderBy("id").collect()]
+    assert got == [w for _, w in cases]
+
+
 def test_cash_is_used_in_rank_order(spark):
     rng = np.random.default_rng(4)
     rows = [(1, i, float(k), float(a)) for i, (k, a) in enumerate(zip(rng.random(30), rng.uniform(0.05, 0.9, 30)))]
