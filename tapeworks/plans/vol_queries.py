@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import SQRT_2PI
-from tapeworks.operators import chains, volprem as vp
+from tapeworks.operators import chains, linkage, volprem as vp
 from tapeworks.operators.scan import cut
 from tapeworks.plans.adapters import ASOF, chain, chain_meta, chain_sql, series, series_sql
 from tapeworks.plans.registry import query, table
@@ -261,10 +261,13 @@ def _(spark, sf):
 Q = "(select o_orderkey as question_id, o_custkey % 4 as underlying, 450e0 + o_orderkey % 100 + 5e-1 as k, date '2026-01-05' + cast(1 + o_orderkey % 90 as integer) as w from orders)"
 
 
-@query("digital_probabilities", f"""select underlying, question_id, k as strike, expiry, least(greatest(m * ((l.bid + l.ask) - (h.bid + h.ask)) / 2, 0.005), 0.995) as p, least(greatest(m * (l.bid - h.ask), 0.005), 0.995) as lo, least(greatest(m * (l.ask - h.bid), 0.005), 0.995) as hi from (
+DIGITAL = f"""select underlying, question_id, k as strike, expiry, least(greatest(m * ((l.bid + l.ask) - (h.bid + h.ask)) / 2, 0.005), 0.995) as p, least(greatest(m * (l.bid - h.ask), 0.005), 0.995) as lo, least(greatest(m * (l.ask - h.bid), 0.005), 0.995) as hi from (
   select *, exp(0.04 * greatest(expiry - date '{ASOF}', 1) / 365.0) / (h.strike - l.strike) as m from (select x.underlying, question_id, k, x.expiry, arg_max(c, c.strike) filter (c.strike < k) as l, arg_min(c, c.strike) filter (c.strike > k) as h
   from (select q.underlying, question_id, k, min(e.expiry) as expiry from {Q} q join (select distinct underlying, expiry from {C} where kind = 'C' and bid > 0) e on e.underlying = q.underlying and e.expiry >= w group by 1, 2, 3) x
-  join (select underlying, expiry, {{'strike': strike, 'bid': bid, 'ask': ask}} as c from {C} where kind = 'C' and bid > 0 and ask >= bid) s on s.underlying = x.underlying and s.expiry = x.expiry group by 1, 2, 3, 4) where l is not null and h is not null)""", "strike p lo hi")
+  join (select underlying, expiry, {{'strike': strike, 'bid': bid, 'ask': ask}} as c from {C} where kind = 'C' and bid > 0 and ask >= bid) s on s.underlying = x.underlying and s.expiry = x.expiry group by 1, 2, 3, 4) where l is not null and h is not null)"""
+
+
+@query("digital_probabilities", DIGITAL, "strike p lo hi")
 def _(spark, sf):
     o = table(spark, sf, "orders")
     qs = o.select(F.col("o_orderkey").alias("question_id"), (F.col("o_custkey") % 4).alias("underlying"), (450.5 + F.col("o_orderkey") % 100).alias("strike"),
@@ -272,6 +275,33 @@ def _(spark, sf):
     return chains.digital_from_calls(qs, chain(spark, sf))
 
 
+@query("price_references", f"""select question_id as contract_id, 'Q' || chr(65 + cast(underlying as integer)) as ticker, strike, expiry, p, lo, hi, 0.9 as score, (question_id % 3 <> 0) = (question_id % 2 = 0) as invert,
+  'parsed Q' || chr(65 + cast(underlying as integer)) || (case when question_id % 3 = 0 then ' > ' else ' < ' end) || cast(cast(strike as decimal(10, 1)) as varchar) || ' by ' || cast(date '2026-01-05' + cast(1 + question_id % 90 as integer) as varchar) as why from ({DIGITAL})""", "strike p lo hi score")
+def _(spark, sf):
+    ticker = F.concat(F.lit("Q"), F.chr(65 + F.col("o_custkey") % 4))
+    side = F.when(F.col("o_orderkey") % 3 == 0, "close above").otherwise("finish below")
+    c = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("contract_id"), F.concat(F.lit("Will the firm ("), ticker, F.lit(") "), side, F.lit(" $"), (450.5 + F.col("o_orderkey") % 100).cast("string"), F.lit(" soon?")).alias("title"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("No").alias("name"), F.lit(ASOF).cast("date").alias("asof"),
+        F.date_add(F.lit(ASOF).cast("date"), (1 + F.col("o_orderkey") % 90).cast("int")).alias("resolves_at"))
+    return linkage.price_references(c, chain(spark, sf).withColumn("ticker", F.concat(F.lit("Q"), F.chr(65 + F.col("underlying")))))
+
+
+BEATEN = "case o_custkey % 3 when 0 then 'AAPL' when 1 then 'MSFT' else 'NVDA' end"
+
+
+@query("earnings_references", f"""select p_partkey as contract_id, ticker, p, 0.9 as score, p_partkey % 2 = 0 as invert, 'parsed ' || ticker || ' EPS beat' as why
+  from (select *, case p_size % 4 when 0 then 'AAPL' when 1 then 'MSFT' when 2 then 'NVDA' end as ticker from part) join (select ticker, (6.0 + count(*) filter (o_totalprice > 250000)) / (8.0 + count(*)) as p
+    from (select *, row_number() over (partition by ticker order by o_orderkey desc) as i from (select *, {BEATEN} as ticker from orders)) where i <= 12 group by 1) using (ticker) where p_size % 5 <> 0""", "p score")
+def _(spark, sf):
+    firm = F.element_at(F.array(*[F.lit(x) for x in ("Apple", "Microsoft", "NVIDIA", "A firm nobody knows")]), (1 + F.col("p_size") % 4).cast("int"))
+    c = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("contract_id"), F.concat(firm, F.when(F.col("p_size") % 5 == 0, " reports earnings").otherwise(" beats the consensus")).alias("title"),
+        F.when(F.col("p_partkey") % 2 == 0, "No").otherwise("Yes").alias("name"))
+    r = table(spark, sf, "orders").select(F.expr(BEATEN).alias("ticker"), F.col("o_orderkey").alias("date"), F.lit(250000.0).alias("estimate"), F.col("o_totalprice").alias("reported"))
+    return linkage.earnings_references(c, r)
+
+
 @query("beat_probabilities", """select o_custkey as ticker, count(*) as n, count(*) filter (o_totalprice > 250000) as beats, (6.0 + count(*) filter (o_totalprice > 250000)) / (8.0 + count(*)) as p
   from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders) where i <= 12 group by 1""", "p")
 def _(spark, sf):
