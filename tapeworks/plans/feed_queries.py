@@ -149,7 +149,12 @@ def _(spark, sf):
     return done.unionByName(tail).select("ticker", (F.col("start").cast("long") / 3600).cast("long").alias("hour"), "flow", "n")
 
 
-@query("stream_cool_down")
+@query("stream_cool_down", f"""with recursive e as (select *, row_number() over (partition by contract_id order by ts, p) as i from (
+    select user_id as contract_id, cast(ts as timestamp) as ts, floor(value / 5e1) / 1e2 + 3e-1 as p, 3e-1 as ask from events)),
+  r as (select contract_id, i, ts, p, ask, true as keep, ts as last_ts, p as last_p from e where i = 1
+    union all select contract_id, i, ts, p, ask, go, case when go then ts else last_ts end, case when go then p else last_p end from (
+      select e.*, r.last_ts, r.last_p, epoch(e.ts) - epoch(r.last_ts) > {pr.COOL_HOURS} * 3600 or abs(e.p - r.last_p) >= cast({pr.MOVE} as double) as go from r join e on e.contract_id = r.contract_id and e.i = r.i + 1))
+  select contract_id, ts, p, ask from r where keep""", "p ask")
 def _(spark, sf):
     ev = event_stream(spark, sf)
     p = ev.select(F.col("user_id").alias("contract_id"), F.col("ts").cast("timestamp").alias("ts"), (F.floor(F.col("value") / 50) / 100 + 0.3).alias("p"), F.lit(0.3).alias("ask"))

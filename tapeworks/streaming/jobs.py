@@ -1,4 +1,4 @@
-"""Streaming forms: order audit, order-flow buckets, proposal cool-down, quote intake. State is keyed and bounded."""
+"""Streaming forms: order audit, order-flow buckets, proposal cool-down, quote intake. State is kept by key."""
 
 from __future__ import annotations
 
@@ -106,12 +106,14 @@ def last_batch(run) -> int:
 
 
 class CoolDown(StatefulProcessor):
-    """Lets a contract's proposal through if none went out in the last hours, or the numbers moved."""
+    """Lets a contract's proposal through if none went out in the last hours, or the numbers moved. What went out last is
+    forgotten by a timer once those hours lie behind the watermark: from then on it can hold nothing back."""
 
     def __init__(self, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE) -> None:
         self.seconds, self.move = hours * 3600.0, move
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "p double, ask double, at double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -124,17 +126,28 @@ class CoolDown(StatefulProcessor):
             if fresh or abs(r.p - last[0]) >= self.move or abs(r.ask - last[1]) >= self.move:
                 last = (float(r.p), float(r.ask), at)
                 keep.append(i)
-        if last is not None:
+        if keep:
             self.last.update(last)
+            self.handle.registerTimer(self._over(last[2]))
         yield pdf.iloc[keep][["contract_id", "ts", "p", "ask"]]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self._over(self.last.get()[2]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # nothing newer went out since the timer was set
+        return iter(())
+
+    def _over(self, at: float) -> int:
+        return int((at + self.seconds) * 1000) + 1000
+
     def close(self) -> None:
         pass
 
 
-def cool_down(props: DataFrame, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE) -> DataFrame:
+def cool_down(props: DataFrame, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE, late: str = "1 hour") -> DataFrame:
+    """Proposals (contract_id, ts, p, ask) that go out. Rows that come later than `late` behind the newest of earlier batches are dropped."""
     schema = T.StructType([props.schema[k] for k in ("contract_id", "ts", "p", "ask")])
-    return props.groupBy("contract_id").transformWithStateInPandas(CoolDown(hours, move), schema, "Append", "None")
+    timed = props.withWatermark("ts", late)
+    return timed.groupBy("contract_id").transformWithStateInPandas(CoolDown(hours, move), schema, "Append", "EventTime")
 
 
 def intake(quotes: DataFrame, books: DataFrame, mappings: DataFrame, folder: str):
