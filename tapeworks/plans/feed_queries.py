@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import lifecycle as lc
 from tapeworks.operators import proposals as pr
 from tapeworks.plans.adapters import event_stream, feed, feed_sql, tape_sql
-from tapeworks.plans.match_queries import books, refs
+from tapeworks.plans.match_queries import POOL, REFS, books, refs
 from tapeworks.plans.registry import query, table
 from tapeworks.plans.tape_queries import T
 from tapeworks.streaming import jobs
@@ -161,7 +161,12 @@ def _(spark, sf):
     return jobs.run_available(jobs.cool_down(p))
 
 
-@query("stream_quote_intake")
+NEWEST = """(select source, quote_id, quote_id as contract_id, false as invert, (1 + k % 97) / 99.0 as p, 'market' as kind, price as liquidity, price as volume_24h, 10 as n, cast(null as double) as bid, cast(null as double) as ask from (
+  select *, row_number() over (partition by source, quote_id order by placed desc, (1 + k % 97) / 99.0 desc, price desc) as i from (
+    select case when o_orderkey % 2 = 0 then 'kalshi' else 'polymarket' end as source, o_custkey as quote_id, o_orderdate as placed, o_orderkey as k, o_totalprice as price from orders)) where i = 1 and quote_id in (select c_custkey from customer))"""
+
+
+@query("stream_quote_intake", f"select contract_id, p, lo, hi, n_refs from {POOL.replace(REFS, NEWEST)}", "p lo hi")
 def _(spark, sf):
     schema = table(spark, sf, "orders").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf)

@@ -115,7 +115,14 @@ def _(spark, sf):
     return evaluate.selection_frequency(full(spark, sf), 8)
 
 
-@query("overfitting_by_median")
+MEDIANS = pbo_sql(6)
+MEDIANS = MEDIANS[:MEDIANS.index(" half as (")] + """ met as (select m, trial_id, ((m >> block) & 1) as side, quantile_cont(pnl, 0.5) as v from combos, b group by all),
+""" + MEDIANS[MEDIANS.index(" w as ("):]
+
+
+@query("overfitting_by_median", MEDIANS + """ select avg(case when omega <= 0.5 + 1e-12 then 1.0 else 0.0 end) as pbo, avg(case when outside < 0 then 1.0 else 0.0 end) as prob_oos_loss,
+  case when max(inside) > min(inside) then regr_slope(outside, inside) end as degradation_slope, case when max(inside) > min(inside) then regr_intercept(outside, inside) end as degradation_intercept,
+  count(*) as n_used, 20 - count(*) as n_dropped from per)""", "pbo prob_oos_loss degradation_slope degradation_intercept")
 def _(spark, sf):
     return evaluate.pbo(full(spark, sf), 6, lambda v: float(np.median(v)))
 

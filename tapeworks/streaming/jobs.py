@@ -150,18 +150,29 @@ def cool_down(props: DataFrame, hours: float = proposals.COOL_HOURS, move: float
     return timed.groupBy("contract_id").transformWithStateInPandas(CoolDown(hours, move), schema, "Append", "EventTime")
 
 
+def _latest(quotes: DataFrame) -> DataFrame:
+    """The newest quote of each source and id; of equal times the one that is largest in the other columns, so reruns agree."""
+    rest = [c for c in quotes.columns if c not in ("source", "quote_id", "ts")]
+    newest = quotes.groupBy("source", "quote_id").agg(F.max(F.struct("ts", *rest)).alias("_q"))
+    return newest.select(*[F.col(c) if c in ("source", "quote_id") else F.col(f"_q.{c}").alias(c) for c in quotes.columns])
+
+
 def intake(quotes: DataFrame, books: DataFrame, mappings: DataFrame, folder: str):
-    """Start a quote stream: each micro-batch is merged into the table of latest quotes (one per source and id)
-    and the mapped contracts are pooled again. Both tables live under `folder`, one version per batch."""
+    """Start a quote stream: each micro-batch is merged into the table of latest quotes (one per source and id), and the
+    contracts that its quotes serve are pooled again; the others keep their row. Both tables live under `folder`, one
+    version per batch, so that a batch that is run again reads the same version before it."""
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("source", "quote_id").agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), "ts").alias("q")).select("q.*")
+        links = mappings.select("source", "quote_id", "contract_id", "invert")
+        new = _latest(batch)
+        merged = new if number == 0 else _latest(spark.read.schema(batch.schema).parquet(f"{folder}/quotes/{number - 1}").unionByName(new))
+        merged.write.mode("overwrite").parquet(f"{folder}/quotes/{number}")
+        touched = new.select("source", "quote_id").join(links, ["source", "quote_id"]).select("contract_id").distinct()
+        refs = spark.read.schema(batch.schema).parquet(f"{folder}/quotes/{number}").join(links.join(touched, "contract_id", "left_semi"), ["source", "quote_id"])
+        pooled = proposals.pool(books, refs)
         if number > 0:
-            old = spark.read.schema(new.schema).parquet(f"{folder}/quotes/{number - 1}")
-            new = old.unionByName(new).groupBy("source", "quote_id").agg(F.max_by(F.struct(*[F.col(c) for c in new.columns]), "ts").alias("q")).select("q.*")
-        new.write.mode("overwrite").parquet(f"{folder}/quotes/{number}")
-        latest = spark.read.parquet(f"{folder}/quotes/{number}")
-        refs = latest.join(mappings.select("source", "quote_id", "contract_id", "invert"), ["source", "quote_id"])
-        proposals.pool(books, refs).write.mode("overwrite").parquet(f"{folder}/pooled/{number}")
+            old = spark.read.schema(pooled.schema).parquet(f"{folder}/pooled/{number - 1}")
+            pooled = pooled.unionByName(old.join(touched, "contract_id", "left_anti"))
+        pooled.write.mode("overwrite").parquet(f"{folder}/pooled/{number}")
 
     return quotes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -58,3 +58,20 @@ def test_flow_events_over_batches_equal_one(spark, rocks, tmp_path):
     q, many = run(jobs.flow_events(batches(spark, str(tmp_path / "b"), rows, schema, (20, 50, 70))), str(tmp_path / "qb"))
     assert sum(p["numInputRows"] > 0 for p in q.recentProgress) == 4
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and many.count() == 90
+
+
+def test_quote_intake_over_batches_equals_one(spark, tmp_path):
+    """Later quotes replace earlier ones of their source and id; contracts without a new quote keep their pooled row."""
+    rng = np.random.default_rng(4)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(("kalshi", "polymarket")[int(i % 2)], int(rng.integers(0, 12)) if i < 90 else 3, start + dt.timedelta(hours=int(rng.integers(0, 9))), float(np.round(rng.uniform(0.1, 0.9), 2)), "market", 1e4, 1e3, 5, None, None) for i in range(100)]
+    schema = "source string, quote_id long, ts timestamp, p double, kind string, liquidity double, volume_24h double, n int, bid double, ask double"
+    books = spark.createDataFrame([(c, 0.4, 0.02) for c in range(6)], "contract_id long, mid double, spread double")
+    maps = spark.createDataFrame([(s, q, q % 7, q % 2 == 0) for s in ("kalshi", "polymarket") for q in range(12)], "source string, quote_id long, contract_id long, invert boolean")
+    got = []
+    for name, cuts in (("a", ()), ("b", (30, 60, 90))):
+        run_ = jobs.intake(batches(spark, str(tmp_path / name), rows, schema, cuts), books, maps, str(tmp_path / f"{name}-out"))
+        run_.awaitTermination()
+        assert jobs.last_batch(run_) == len(cuts)
+        got.append(sorted((r["contract_id"], round(r["p"], 9), round(r["lo"], 9), round(r["hi"], 9), r["n_refs"]) for r in spark.read.parquet(f"{tmp_path}/{name}-out/pooled/{len(cuts)}").collect()))
+    assert got[0] == got[1] and len(got[0]) == 6
