@@ -277,7 +277,22 @@ def _(spark, sf):
 MULTS = [("adapted 1x", 1, 1), ("adapted 2x", 2, 2), ("adapted 3x", 3, 3), ("unadapted 2x", 1, 2), ("unadapted 3x", 1, 3)]
 
 
-@query("cost_robustness")
+COSTS = "(values " + ", ".join([f"('0/{n}', false, {d}, {c})" for n, d, c in MULTS] + [f"('0/oracle {m}x', true, {m}, {m})" for m in (1, 2, 3)]) + ") v(trial_id, perfect, dm, pm)"
+ROBUST = f"""with t0 as (select trial_id, date_id, seconds_in_bucket, cast(target as double) as target, case when perfect then cast(target as double) else edge end as e, bid_size, ask_size, ((spread_entry_bps + spread_exit_bps) / 2 + 1.5) * dm as decide,
+    ((spread_entry_bps + spread_exit_bps) / 2 + 1.5) * pm as pay from {DECF}, {COSTS}),
+  t1 as (select *, case when e > 0 then 1e0 else -1e0 end as side, least(1e5, 0.1 * case when e > 0 then ask_size else bid_size end) as raw from t0 where abs(e) > {POL[0]['threshold']} * decide),
+  t2 as (select *, raw * least(1e0, 1e5 / sum(raw) over (partition by trial_id, date_id, seconds_in_bucket)) as n from t1 where raw > 0),
+  tr as (select *, n * side * target / 1e4 as g, n * pay / 1e4 as c from t2),
+  dd as (select *, cum - greatest(max(cum) over (partition by trial_id order by date_id), 0) as down from (select *, sum(pnl) over (partition by trial_id order by date_id) as cum from (
+    select trial_id, date_id, coalesce(pnl, 0e0) as pnl from (select trial_id, range as date_id from {COSTS}, range(30)) left join (select trial_id, date_id, sum(g - c) as pnl from tr group by all) using (trial_id, date_id)))),
+  a as (select trial_id, count(*) as days, sum(pnl) as total_pnl_usd, avg(pnl) as mean_daily_pnl_usd, stddev_samp(pnl) as std_daily_pnl_usd, min(down) as max_drawdown_usd from dd group by 1),
+  b as (select trial_id, count(*) as trades, avg(case when g - c > 0 then 1e0 else 0e0 end) as hit_rate, sum(n) as nn, sum(g) as gross_usd, sum(c) as cost_usd, sum(abs(e) * n) as pred, sum(side * target * n) as made from tr group by 1)
+  select *, sharpe_daily * sqrt(252.0) as sharpe_annualized from (select trial_id, days, total_pnl_usd, mean_daily_pnl_usd, std_daily_pnl_usd, max_drawdown_usd, coalesce(trades, 0) as trades, coalesce(hit_rate, 0) as hit_rate, coalesce(gross_usd, 0) as gross_usd,
+    coalesce(cost_usd, 0) as cost_usd, case when std_daily_pnl_usd > 0 then mean_daily_pnl_usd / std_daily_pnl_usd else 0e0 end as sharpe_daily, coalesce(trades, 0) / cast(days as double) as trades_per_day, 2 * coalesce(nn, 0) / days as turnover_usd_per_day,
+    case when gross_usd > 0 then cost_usd / gross_usd end as cost_share_of_gross, pred / nn as edge_pred_bps, made / nn as edge_realized_bps, 1e4 * total_pnl_usd / nn as net_bps_per_trade, mean_daily_pnl_usd / {bt.POLICY['max_gross']} as return_on_capital_daily from a left join b using (trial_id))"""
+
+
+@query("cost_robustness", ROBUST, "total_pnl_usd mean_daily_pnl_usd std_daily_pnl_usd max_drawdown_usd hit_rate gross_usd cost_usd sharpe_daily sharpe_annualized trades_per_day turnover_usd_per_day cost_share_of_gross edge_pred_bps edge_realized_bps net_bps_per_trade return_on_capital_daily", 4)
 def _(spark, sf):
     d = decisions(spark, sf)
     a = bt.backtest(d, POL[:1], DAYS, MULTS)[2]
