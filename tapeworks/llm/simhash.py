@@ -265,15 +265,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 # Groups of near copies for a corpus, where similarity is that of sets of five-word shingles.
 
-TABLES, SIGNATURE = 24, 8  # fingerprints of three-word shingles that find links, and of five-word ones that screen them
-SIMILAR = 0.8
-SLACK = 2.0  # standard errors that a signature may be beyond the similarity: 97 of 100 pairs at the limit pass
-SKETCH, BELOW = 128, 0.03  # smallest shingle hashes that decide; they are all of a short text, else an estimate with this slack
-
-
-def _bit_majorities(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, salts: range) -> list[np.ndarray]:
-    """For each salt, the fingerprint of each text: the bits set in over half of its hashes."""
-    return [majority(mixed(h + np.uint64((salt * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)), starts, counts).view(np.int64) for salt in salts]
+WORDS, SIMILAR = 5, 0.8
+PARITY = 2  # parity bits for each shingle of a set, rounded up to a power of two: two sets differ in at least as many shingles as bits
+SAMPLE, COMMON, MOST = 4000, 3, 1 << 18  # about so many texts, among which a shingle that is there so often (the MOST commonest) is common: last in a prefix
+SLICE = 1000  # texts of one shingle that a task compares with as many others
 
 
 def _shingle_hashes(word: np.ndarray, row: np.ndarray, rows: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,21 +287,137 @@ def _shingle_hashes(word: np.ndarray, row: np.ndarray, rows: int, n: int) -> tup
     return mixed(h) >> np.uint64(1), start, count
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each text, in order, and how many each has."""
+    rows = len(at) - 1
+    data = LOWER[data]
+    row, begin, stop = word_spans(data, at)
+    h, _, count = _shingle_hashes(word_hashes(data, begin, stop), row, rows, WORDS)
+    row = np.repeat(np.arange(rows), count)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    row, h = row[new], h[new]
+    return row, h, np.bincount(row, minlength=rows)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _widths(count: np.ndarray) -> np.ndarray:
+    """Words of parity bits of sets of these sizes; those of two sets that may be similar differ twofold at most."""
+    return 1 << np.ceil(np.log2(np.maximum(PARITY * count, 64) / 64)).astype(np.int64)
+
+
+def _differ(bits: np.ndarray, first: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Parity bits that differ between the sets x and y; of two widths the larger is folded."""
+    out = np.zeros(len(x), np.int64)
+    least = np.minimum(width[x], width[y])
+    for w in np.unique(least):
+        mine = np.flatnonzero(least == w)
+        for at in np.array_split(mine, -(-len(mine) * int(w) // (1 << 20))):
+            got = np.zeros((len(at), w), np.uint64)
+            for side in (x[at], y[at]):
+                for fold in range(int((width[side] // w).max())):
+                    wide = np.flatnonzero(width[side] // w > fold)
+                    got[wide] ^= bits[(first[side[wide]] + fold * w)[:, None] + np.arange(w)]
+            out[at] = np.bitwise_count(got).sum(1, dtype=np.int64)
+    return out
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, at in pieces(batch, "_text"):
+            _, h, count = _sets(data, at)
+            yield pa.RecordBatch.from_arrays([batch.column("_key").slice(first, end - first), _lists(h, count)], names=["_key", "s"])
+
+
+def prefix(count: np.ndarray, similar: float) -> np.ndarray:
+    """How many of the first shingles of a text (in an order that holds for all) meet those of every text that is as similar."""
+    return np.where(count > 0, count - np.ceil(similar * count - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _screens(similar: float, common: np.ndarray, often: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text: the size of its set, two sums that stand for the set, its parities, and its prefix without and with common shingles."""
     for batch in batches:
         for first, end, data, at in pieces(batch, "_text"):
-            data = LOWER[data]
-            row, begin, stop = word_spans(data, at)
-            word = word_hashes(data, begin, stop)
+            row, h, count = _sets(data, at)
+            rows = end - first
+            start = np.concatenate([[0], np.cumsum(count)[:-1]])
+            full = np.flatnonzero(count)
             parts = []
-            for n, salts in ((3, range(TABLES)), (5, range(100, 100 + SIGNATURE))):
-                h, begin, count = _shingle_hashes(word, row, end - first, n)
-                got = np.stack(_bit_majorities(h, begin, count, salts), 1)
-                parts.append(pa.ListArray.from_arrays(pa.array(np.arange(end - first + 1) * got.shape[1], pa.int32()), pa.array(got.ravel())))
-            low = [np.unique(h[b : b + c])[:SKETCH].view(np.int64) for b, c in zip(begin.tolist(), count.tolist(), strict=True)]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in low])])
-            parts.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(low))))
-            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, end - first), batch.column("_key").slice(first, end - first), *parts], names=["_id", "_key", "tables", "signature", "sketch"])
+            for salt in (1, 2):
+                total = np.zeros(rows, np.uint64)
+                if len(full):
+                    total[full] = np.add.reduceat(mixed(h + np.uint64(salt)), start[full])
+                parts.append(pa.array(total.view(np.int64)))
+            width = _widths(count)
+            bit = (mixed(h) & (64 * width[row] - 1).astype(np.uint64)).astype(np.int64)
+            odd = np.bincount((64 * (np.cumsum(width) - width))[row] + bit, minlength=64 * int(width.sum())) & 1
+            parts.append(_lists(np.packbits(odd.astype(np.uint8)).view(np.int64), width))
+            seen = np.zeros(len(h), np.int64)
+            if len(common):
+                spot = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                seen = np.where(common[spot] == h, often[spot], 0)
+            order = np.lexsort((h, seen, row))
+            ahead = np.arange(len(h)) - start[row] < prefix(count, similar)[row]  # `row` is the same in that order
+            pick = order[ahead]
+            for mine in (pick[seen[pick] == 0], pick[seen[pick] > 0]):
+                parts.append(_lists(h[mine], np.bincount(row[mine], minlength=rows)))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").slice(first, rows), batch.column("_key").slice(first, rows), pa.array(count), *parts], names=["_id", "_key", "n", "set1", "set2", "parity", "rare", "common"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose shingle more than one row of the partition has."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        whole = pa.Table.from_batches(got).combine_chunks()
+        h = whole.column("h").to_numpy()
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        more = np.zeros(len(h), bool)
+        more[order[1:][same]] = more[order[:-1][same]] = True
+        yield from whole.filter(pa.array(more)).to_batches()
+
+
+def _across(similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one tree with different roots that sizes and parities allow; where a tree has two sides, pairs across only."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    whole = pa.Table.from_batches(got).combine_chunks()
+    order = np.argsort(whole.column("_tree").to_numpy(), kind="stable")
+    tree, root, side, node, n = (whole.column(c).to_numpy()[order] for c in ("_tree", "root", "_side", "node", "n"))
+    lists = whole.column("parity").combine_chunks()
+    bits, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+    first, width = (at[:-1] - at[0])[order], np.diff(at)[order]
+    i, ahead, pairs, held = np.arange(len(order)), 1, [], 0
+    while True:
+        i = i[i + ahead < len(order)]
+        i = i[tree[i] == tree[i + ahead]]
+        if not len(i):
+            break
+        j = i + ahead
+        ok = (root[i] != root[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (np.minimum(n[i], n[j]) >= (similar - 1e-9) * np.maximum(n[i], n[j]))
+        a, b = i[ok], j[ok]
+        for c in range(0, len(a), 1 << 18):
+            x, y = a[c : c + (1 << 18)], b[c : c + (1 << 18)]
+            near = _differ(bits, first, width, x, y) <= (n[x] + n[y]) * ((1 - similar) / (1 + similar)) + 1e-6
+            pairs.append(np.stack([np.minimum(node[x[near]], node[y[near]]), np.maximum(node[x[near]], node[y[near]])], 1))
+            held += near.sum()
+        if held > 1 << 21:
+            yield _pairs(pairs)
+            pairs, held = [], 0
+        ahead += 1
+    if pairs:
+        yield _pairs(pairs)
+
+
+def _pairs(parts: list[np.ndarray]) -> pa.RecordBatch:
+    got = np.unique(np.concatenate(parts), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
 
 
 def row_key(docs: DataFrame):
@@ -314,40 +425,98 @@ def row_key(docs: DataFrame):
     return F.xxhash64(*[docs[f"`{c}`"] for c in docs.columns])
 
 
+def _decide(similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of texts whose whole sets have `similar` in common."""
+    for batch in batches:
+        for first, end, data, at in pieces(batch, "_ta"):
+            rows = end - first
+            part = batch.slice(first, rows)
+            _, _, data_b, at_b = next(pieces(part, "_tb", 1 << 62, rows))
+            (row, h, n), (row_b, h_b, n_b) = _sets(data, at), _sets(data_b, at_b)
+            row, h = np.concatenate([row, row_b]), np.concatenate([h, h_b])
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            equal = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows)
+            yield part.select(["a", "b"]).filter(pa.array(equal >= (n + n_b - equal) * (similar - 1e-12)))
+
+
+def _fit(similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, bits, first = [], [], []
+        for c in "ab":
+            lists = batch.column(f"p{c}")
+            n.append(batch.column(f"n{c}").to_numpy())
+            first.append(lists.offsets.to_numpy().astype(np.int64))
+            bits.append(lists.flatten().to_numpy().view(np.uint64))
+        rows = np.arange(batch.num_rows)
+        width = np.concatenate([np.diff(f) for f in first])
+        start = np.concatenate([first[0][:-1] - first[0][0], first[1][:-1] - first[1][0] + len(bits[0])])
+        differ = _differ(np.concatenate(bits), start, width, rows, rows + batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(differ <= (n[0] + n[1]) * ((1 - similar) / (1 + similar)) + 1e-6))
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Of the pairs (a, b) those whose sets have `similar` in common: sizes and parities first, then all shingles of both texts."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (similar - 1e-9))
+    left = stored(sized.mapInArrow(partial(_fit, similar), "a long, b long"))
+    ends = left.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
+    whole = stored(texts.join(ends, "_key", "left_semi"))
+    if whole.count() > ends.count():  # rows that repeat
+        whole = whole.dropDuplicates(["_key"])
+    text = lambda c: whole.select(F.col("_key").alias(c), F.col("_text").alias(f"_t{c}"))
+    return stored(left.join(text("a"), "a").join(text("b"), "b").mapInArrow(partial(_decide, similar), "a long, b long"))
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: int = SLICE) -> DataFrame:
+    """(a, b): pairs of texts with `similar` of their shingles in common, which connect all that such pairs connect.
+
+    Two such texts have a shingle of their prefixes in common. Of each shingle the first text is compared with the others;
+    then the texts that are not yet connected are compared, each with each.
+    """
+    rare = nodes.select("node", F.explode("rare").alias("h")).repartition("h").mapInArrow(_shared, "node long, h long")
+    held = stored(rare.unionByName(nodes.select("node", F.explode("common").alias("h"))))
+    first = held.groupBy("h").agg(F.min("node").alias("a"))
+    stars = held.join(first, "h").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    near = near_pairs(stars, nodes, texts, similar)
+    held = held.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = stored(held)
+    apart = held.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high")
+    rows = held.join(apart.select("h", F.ceil(F.col("_n") / slice_).cast("int").alias("_slices")), "h")
+    rows = rows.withColumn("_mine", F.pmod(F.xxhash64("node"), "_slices").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
+    rows = rows.select("node", "root", F.xxhash64("h", low, high).alias("_tree"), F.when(low == high, 0).when(F.col("_mine") < F.col("_other"), 1).otherwise(2).alias("_side"))
+    rows = rows.join(nodes.select("node", "n", "parity"), "node").repartition("_tree")
+    more = rows.mapInArrow(partial(_across, similar), "a long, b long").distinct()
+    return near.unionByName(near_pairs(more, nodes, texts, similar))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
     """(_key) of the rows that are near copies of one that stays, and (_key) of rows that are there more than once.
 
-    Two texts are near copies if their fingerprints of one table differ in at most BUDGET bits, their signatures are as
-    close as those of texts with `similar` of their five-word shingles in common, and so are the smallest hashes of
-    these. Of each group (near copies of near copies included) the row with the smallest id stays; NULL ids come last.
+    Two texts are near copies if they have `similar` of their distinct five-word shingles in common (of those that either
+    has); every such pair counts, at any length. Of each group (near copies of near copies included) the row with the
+    smallest id stays; NULL ids come last.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    prints = docs.select(F.col(doc_id).alias("_id"), row_key(docs).alias("_key"), F.col(text).alias("_text")).mapInArrow(_signatures, f"_id {kind}, _key long, tables array<long>, signature array<long>, sketch array<long>")
-    prints = stored(prints)
+    rows = docs.select(F.col(doc_id).alias("_id"), row_key(docs).alias("_key"), F.col(text).alias("_text"))
+    texts = rows.select("_key", "_text")
+    rate = SAMPLE / max(docs.count(), 1)
+    sample = texts.where(F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(1 << 20)) < rate * (1 << 20)).mapInArrow(_shingles, "_key long, s array<long>")
+    often = sample.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= COMMON).orderBy(F.desc("c"), "h").limit(MOST).toArrow().sort_by("h")
+    common, often = often["h"].to_numpy().view(np.uint64), often["c"].to_numpy()  # they order prefixes, any order finds the same pairs
+    prints = stored(rows.mapInArrow(partial(_screens, similar, common, often), f"_id {kind}, _key long, n long, set1 long, set2 long, parity array<long>, rare array<long>, common array<long>"))
     twice = prints.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
     order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_key")
-    nodes = stored(prints.groupBy("signature", "tables").agg(F.min(order).alias("_first"), F.min("_key").alias("node")))  # equal texts once
-    found = links(nodes.select("node", F.posexplode("tables").alias("table", "fingerprint")))
-    found = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    angle = np.arccos(2 * similar / (1 + similar)) / np.pi
-    bits = 64 * SIGNATURE
-    most = bits * angle + SLACK * np.sqrt(bits * angle * (1 - angle))
-    side = nodes.select("node", "signature")
-    pairs = found.join(side.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = stored(pairs.where(differ <= float(most)).select("a", "b"))
-    ends = near.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    low = prints.join(ends, "_key", "left_semi").groupBy("_key").agg(F.min("sketch").alias("s"))
-    pairs = near.join(low.select(F.col("_key").alias("a"), F.col("s").alias("sa")), "a").join(low.select(F.col("_key").alias("b"), F.col("s").alias("sb")), "b")
-    full = F.greatest(F.size("sa"), F.size("sb")) == SKETCH
-    union = F.sort_array(F.array_union("sa", "sb"))
-    union = F.when(full, F.slice(union, 1, SKETCH)).otherwise(union)
-    share = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.greatest(F.size(union), F.lit(1))
-    equal = (F.size("sa") == 0) & (F.size("sb") == 0)
-    roots = components(pairs.where(equal | (share >= F.when(full, similar - BELOW).otherwise(similar))).select("a", "b"))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = named.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"), F.lit(True).alias("_stays"))
-    gone = prints.select("_key").distinct().join(stays, "_key", "left_anti")
+    sets = prints.groupBy("n", "set1", "set2").agg(F.min(order).alias("_first"), F.min("_key").alias("node"))  # equal sets once
+    named = stored(prints.select("_key", "n", "set1", "set2").join(sets, ["n", "set1", "set2"]).select("_key", "node", "_first"))
+    nodes = prints.join(named.where("_key = node").select("_key").distinct(), "_key", "left_semi").select(F.col("_key").alias("node"), "n", "parity", "rare", "common")
+    if not twice.isEmpty():
+        nodes = nodes.dropDuplicates(["node"])
+    roots = components(similar_pairs(stored(nodes), texts, similar))
+    groups = named.select("node", "_first").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = groups.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"))
+    gone = named.select("_key").distinct().join(stays, "_key", "left_anti")
     return gone, twice
 
 

@@ -184,3 +184,42 @@ def test_deduplicate_keeps_one_of_each_group(spark, tricky, nothing):
     got = simhash.deduplicate(tricky)
     assert got.columns == tricky.columns and sorted(r["doc_id"] or -1 for r in got.collect()) == [-1, 1, 4, 5, 7, 8, 9]
     assert simhash.deduplicate(nothing).count() == 0
+
+
+def kept(texts, similar=0.8):
+    """Ids that stay, by all pairs of sets of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = root[i], root[j]
+            if a != b and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return sorted(set(root))
+
+
+def drawn(draw, n):
+    return [f"w{x}" for x in draw.integers(50_000, size=n)]
+
+
+def left_ids(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in simhash.deduplicate(rows).collect())
+
+
+def test_deduplicate_finds_isolated_pairs_with_a_changed_block(spark):
+    draw, texts = np.random.default_rng(11), []
+    for share in np.linspace(0.78, 0.92, 60):
+        n = int(draw.integers(60, 400))
+        base = drawn(draw, n)
+        longer = round((n - 4) / share) - (n - 4)  # shingles of an appended block
+        at = int(draw.integers(n - 20))
+        cut = round((n - 4) * (1 - share) / (1 + share) - 2)
+        edits = {0: base + drawn(draw, longer), 1: base[longer:], 2: base[:at] + drawn(draw, max(cut, 1)) + base[at + max(cut, 1) :]}
+        texts += [" ".join(base), " ".join(edits[int(draw.integers(3))])]
+    want = kept(texts)
+    assert 70 < len(want) < 110  # both sides of the limit are there
+    assert left_ids(spark, texts) == want
