@@ -234,3 +234,18 @@ def test_deduplicate_finds_copies_of_texts_that_share_a_passage(spark):
         own[int(draw.integers(5, 55))] = "edit"
         texts.append(" ".join(passage + own))  # 0.98 with its own, 0.75 to 0.78 with the others
     assert left_ids(spark, texts) == kept(texts) == list(range(0, 300, 2))
+
+
+def test_deduplicate_decides_long_texts_by_all_shingles(spark):
+    draw, texts = np.random.default_rng(13), []
+    for share in np.linspace(0.70, 0.90, 60):
+        base = drawn(draw, int(draw.integers(300, 1500)))
+        n = len(base) - 4
+        far = round(n * (1 - share) / (1 + share) / 5)  # words edited one by one, each in five shingles
+        edit = list(base)
+        for k in draw.choice(np.arange(5, len(base) - 5, 5), far, replace=False):
+            edit[k] = "edit"
+        texts += [" ".join(base), " ".join(edit)]
+    want = kept(texts)
+    assert 70 < len(want) < 110
+    assert left_ids(spark, texts) == want
