@@ -60,7 +60,8 @@ def code_matrix(k: int) -> np.ndarray:
     draw, best = np.random.default_rng(k), None
     for _ in range(200):
         code = draw.choice(np.array([-1, 1], np.int8), (k, int(np.ceil(10 * np.log2(k)))))
-        far = min((code[i] != code[j]).sum() for i in range(k) for j in range(i))
+        dot = code.astype(np.float32) @ code.T.astype(np.float32)
+        far = (code.shape[1] - dot[~np.eye(k, dtype=bool)].max()) / 2
         if best is None or far > best[0]:
             best = (far, code)
     return best[1]
@@ -131,9 +132,12 @@ def has_letter(text: str) -> Column:
 
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Codes:
-    """Learn from at most `sample` of the rows where `learn` holds, whose language is not NULL and which hold a letter."""
+    """Learn from at most `sample` of the rows where `learn` holds, whose language is not NULL and which hold a letter.
+
+    Every language there is learned; one that the draw left out, and each of more than `sample` languages, adds a row.
+    """
     known = docs.where(learn & F.col(lang).isNotNull() & has_letter(text))
-    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(sample // 4).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("_l")).agg(F.count(F.lit(1)).alias("_n")).collect()}
     names = sorted(counts)
     if not names:
         return Codes([], np.zeros((0, WIDTH), np.float32), np.zeros(0, int))
@@ -143,6 +147,10 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     drawn = known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), place.alias("_at"), (place / rate[F.col(lang)]).alias("_in")).where("_in < 1")
     drawn = drawn.orderBy("_in", "_text").limit(sample)
     got = drawn.select("_lang", "_text").mapInArrow(_rows, "_lang string, _x binary").toArrow()
+    left_out = sorted(set(names) - set(got.column("_lang").to_pylist()))
+    if left_out:
+        one = known.where(F.col(lang).isin(left_out)).groupBy(F.col(lang).alias("_lang")).agg(F.min(F.struct(place.alias("_at"), F.col(text).alias("_text"))).alias("_first"))
+        got = pa.concat_tables([got, one.select("_lang", F.col("_first._text").alias("_text")).mapInArrow(_rows, "_lang string, _x binary").toArrow()])
     x = np.stack([np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for v in got.column("_x")]) if got.num_rows else np.zeros((0, WIDTH), np.float32)
     place_of = {n: i for i, n in enumerate(names)}
     return Codes(names, x, np.array([place_of[v] for v in got.column("_lang").to_pylist()]))

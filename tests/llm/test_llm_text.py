@@ -28,6 +28,16 @@ def test_language_edge_cases(spark, tricky, nothing):
     assert {r["lang_pred"] for r in langid.predict(tricky, langid.fit(nothing, F.lit(True)), {}).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    draw = np.random.default_rng(2)
+    rows = [(100 * n + i, " ".join(chr(97 + n) + chr(98 + n) + chr(97 + draw.integers(3)) for _ in range(30)), f"l{n}") for n in range(15) for i in range(1 + 40 * (n < 3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), sample=12)
+    assert model.names == sorted(f"l{n}" for n in range(15))
+    got = langid.predict(docs.where("lang = 'l14' or doc_id = 700"), model, {"lang": F.col("lang")}).collect()
+    assert all(r["lang"] == r["lang_pred"] for r in got) and len(got) == 2
+
+
 @pytest.mark.parametrize("k", [2, 4, 6, 12])
 def test_codewords_are_far_apart(k):
     code = langid.code_matrix(k)
