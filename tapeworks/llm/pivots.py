@@ -10,8 +10,9 @@ Queries are a stated set against all rows, in blocks: a vector is sent once for
 but the pivots.
 
 Edge cases: a vector that is NULL, holds a NULL or non-finite component, or has a NULL id takes no part; a vector shorter
-than the longest counts as ending in zeros, an empty one as zero; rows that repeat an id count once, with the
-smallest of their vectors; equal scores go to the smaller id; an empty table gives no rows; other columns are ignored.
+than the longest counts as ending in zeros, an empty one as zero; rows that repeat an id and its
+vector count once, further vectors of an id are candidates and queries of their own (the best k of a query id are those of
+all its vectors, as in the SQL; the SQL also repeats equal rows); equal scores go to the smaller id; an empty table gives no rows; other columns are ignored.
 Scores are exact while every inner product stays below 2 ** 53 in size.
 """
 
@@ -33,11 +34,12 @@ SAMPLE = 2000  # rows from which the pivots are picked
 
 
 def grid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(vec_id, v): components floor(scale * x) of the vectors that take part, one row for an id."""
+    """(vec_id, v): components floor(scale * x) of the vectors that take part, once for equal ids and vectors."""
     e = F.col(embedding)
     usable = e.isNotNull() & F.col(vec_id).isNotNull() & F.forall(e, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     whole = F.transform(e, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return vectors.where(usable).groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(whole).alias("v"))
+    rows = vectors.where(usable).select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("_e"), whole.alias("v"))
+    return rows.groupBy("vec_id", "_e").agg(F.first("v").alias("v")).select("vec_id", "v")
 
 
 def matrix(lists: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -121,11 +123,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     rows = stored(grid(vectors, vec_id, embedding, scale))
     n, m, width = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
     width = max(width or 0, 1)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
     pivots = spread_out(matrix(sample.column("v"), width) if sample.num_rows else np.zeros((0, width)), PIVOTS)
     table = stored(rows.mapInArrow(partial(_rows, pivots), "vec_id long, v array<double>, d array<double>"))
     q_blocks, blocks = -(-m // QUERY_BLOCK) or 1, -(-n // ROW_BLOCK) or 1
-    block = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
+    block = lambda count: F.pmod(F.xxhash64("vec_id", "v"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     queries = table.where(is_query).select("vec_id", "v", "d", block(q_blocks).alias("qb"), every(blocks).alias("rb"))
     others = table.select("vec_id", "v", "d", block(blocks).alias("rb"), every(q_blocks).alias("qb"))

@@ -109,6 +109,18 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(401)} | {999: 999, 1000: 999}
 
 
+def test_top_k_keeps_every_vector_of_an_id(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in draw.normal(size=3)]) for i in [*range(200), *range(0, 200, 5), *range(0, 200, 40)]]
+    got = pivots.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7)
+    grid = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    want = set()
+    for q in range(0, 200, 20):
+        all_ = sorted((-int(v @ w), o) for i, v in grid if i == q for o, w in grid if o != q)[:7]
+        want |= {(q, r + 1, o, -s) for r, (s, o) in enumerate(all_)}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def words(text):
     return "".join(c.lower() if c.isascii() and c.isalnum() or ord(c) > 127 else " " for c in text or "").split()
 
