@@ -4,13 +4,14 @@ Texts are words of letters and digits in lower case. A mask picks some of the wo
 the hash of the picked ones is looked up among the seeds of all benchmark items. Around a hit the whole diagonal (item and
 text laid over each other at that shift) is compared, and the longest stretch with at least IDENTITY equal words counts.
 A text overlaps an item if such a stretch has LEAST equal words, or if the stretches on all diagonals together hold
-COVER of the item's words (short items, insertions and deletions).
+COVER of the item's words (short items, insertions and deletions). An item under SHORTEST words overlaps only a text that
+has the same words and no others.
 
 The two masks for items of LEAST words or more meet every stretch that the rule accepts on one diagonal, and the two
 for shorter ones meet every item of SHORTEST words or more with IDENTITY equal words. Benchmarks are taken in blocks of
 BLOCK words, each one pass over the texts, so what a task holds of them is bounded at any size.
 
-Edge cases: NULL or empty texts and items overlap nothing, nor do items under SHORTEST words; items with the same words are
+Edge cases: NULL or empty texts and items overlap nothing; items with the same words are
 compared once and each is returned; repeated rows are each compared; NULL ids are returned as NULL; an empty table gives no
 rows; other columns are ignored.
 """
@@ -58,6 +59,18 @@ def _seeds(code: np.ndarray, owner: np.ndarray, mask: str, salt: int, known: np.
     return at, h
 
 
+def _whole(code: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash of all its words) of the texts that have some words, but under SHORTEST."""
+    some = np.flatnonzero((words > 0) & (words < SHORTEST))
+    first = (np.cumsum(words) - words)[some]
+    h = words[some].astype(np.uint64)
+    for k in range(SHORTEST - 1):
+        inside = words[some] > k
+        step = code[np.where(inside, first + k, 0)] if len(code) else h
+        h = np.where(inside, mixed(h * np.uint64(0x9E3779B97F4A7C15) + step), h)
+    return some, h
+
+
 class Index:
     """Seeds of a block of items: (hash, first word) sorted by hash, the words, and the item of each word."""
 
@@ -66,6 +79,9 @@ class Index:
         self.words = np.bincount(self.item, minlength=len(at) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.words)[:-1]])
         self.vocabulary = np.unique(self.code)
+        short, h = _whole(self.code, self.words)
+        order = np.argsort(h, kind="stable")
+        self.short, self.short_hash = short[order], h[order]
         self.seeds = []
         for salt, (masks, long_) in enumerate(((MASKS, True), (SHORT_MASKS, False))):
             use = ((self.words >= LEAST) == long_) & (self.words >= SHORTEST)
@@ -156,6 +172,9 @@ def overlaps(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[int,
                 span += [a + shift + x - first[r], a + shift + y - first[r]]
         if best >= LEAST or held.sum() >= COVER * index.words[i]:
             out.append((r, i, int(held.sum()), int(min(span)), int(max(span))))
+    some, h = _whole(code, np.bincount(row, minlength=len(at) - 1))
+    for r, lo, hi in zip(some.tolist(), np.searchsorted(index.short_hash, h, "left").tolist(), np.searchsorted(index.short_hash, h, "right").tolist(), strict=True):
+        out += [(r, i, int(index.words[i]), 0, int(index.words[i])) for i in index.short[lo:hi].tolist()]
     return out
 
 

@@ -170,6 +170,14 @@ def test_decontamination_with_substitutions(spark, tricky, nothing):
     assert left.columns == tricky.columns and left.count() == 11
 
 
+def test_decontamination_of_items_under_five_words(spark):
+    bench = spark.createDataFrame([(1, "Yes."), (2, "in 1789"), (3, "a b c d"), (4, "yes"), (5, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "YES"), (2, "in 1789!"), (3, "yes yes"), (4, "a b c"), (5, "a, b; c d"), (6, "d c b a"), (7, "it was in 1789"), (8, "..."), (9, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["words"], r["item_words"], r["first_word"], r["end_word"]) for r in decontaminate.find(docs, bench, block=4).collect()}
+    assert got == {(1, 1, 1, 1, 0, 1), (1, 4, 1, 1, 0, 1), (2, 2, 2, 2, 0, 2), (5, 3, 4, 4, 0, 4)}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 6, 7, 8, 9]
+
+
 def test_longest_stretch():
     draw = np.random.default_rng(5)
     for _ in range(300):
