@@ -4,7 +4,7 @@ Each language has a codeword; one linear classifier on hashed byte n-grams predi
 with the smallest loss-weighted distance, where a bit counts for a language as much as its classifier was right about
 that language in training. The two nearest codewords too close to each other flag the text as ambiguous.
 
-Training reads at most SAMPLE rows, drawn by a hash of id and text, an equal number for each language. Prediction reads
+Training reads about SAMPLE rows, drawn by a hash of id and text, an equal number for each language and one at least. Prediction reads
 every whole text. Nothing but the text enters a prediction.
 
 Edge cases: a NULL text, or one without a letter, is `und` with score 0; with no language to learn every text is `und`;
