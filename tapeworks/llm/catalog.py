@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import chat, ctw, decontaminate, htmltext, langid, mixing, pivots, quality, simhash, urlfilter
+from tapeworks.llm import chat, codes, ctw, decontaminate, htmltext, idfiles, langid, lexical, mixing, pivots, quality, simhash, urlfilter
 from tapeworks.llm.common import id_remainder, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +88,27 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"))
 
 
+@query
+def op11_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+ORACLES["op11_lexical"] = lexical.SQL
+
+
+@query
+def op12_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return codes.compress(read(spark, sf, "embeddings"))
+
+
+ORACLES["op12_codes"] = codes.sql()
+
+
+@query
+def op13_idfiles(spark: SparkSession, sf: str) -> DataFrame:
+    return idfiles.digest(spark, idfiles.write(read(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

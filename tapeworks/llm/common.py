@@ -57,9 +57,9 @@ def padded(data: np.ndarray, at: np.ndarray, before: int, after: int, fill: int)
     return out, starts
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, begin, end) of every word of the texts; positions are in `data`."""
-    inside = ~SPACES[data]
+def word_spans(data: np.ndarray, at: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of every word of the texts, runs of bytes that are no `gaps`; positions are in `data`."""
+    inside = ~gaps[data]
     first, last = inside.copy(), inside.copy()
     edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))]
     first[1:] &= ~inside[:-1]
