@@ -5,18 +5,21 @@ H trading state), ref, new_ref, side (B/S), shares, price, state."""
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeworks.functions.shared import stored
 from tapeworks.operators.scan import CHUNK_ROWS, cut, ordered_scan
 from tapeworks.operators.tape import KEYS, NO_PRICE
 
 ALL_SHARES = 1 << 50
+BOOK_STEPS = 1 << 17  # steps of a stock-day in one task
+BOOK_BLOCK = 256  # messages in one table of sums
 REDUCERS = ("E", "C", "X", "D", "U")
 SESSION_NS = (34_200 * 10**9, 57_600 * 10**9)
 HALT_PRICE = {"H": -1, "P": 0, "Q": 0, "T": 1}
@@ -81,22 +84,20 @@ def audit_rollup(audits: DataFrame, events: DataFrame, by: Sequence[str] = ("day
 
 def _real_orders(s: DataFrame, by: Sequence[str]) -> DataFrame:
     """Starts that exist, with the side they inherit. A replace starts an order only if the one it names was
-    alive, so chains are followed back to an add by pointer jumping: each pass halves what is left of them."""
+    alive, so chains are followed back to an add by pointer jumping: each pass halves what is left of them.
+    A pass writes the starts it has found and the links still open, nothing twice."""
     by = list(by)
-    adds = s.where("starts and msg <> 'U'").select(*by, "step", F.lit(True).alias("ok"), F.col("side").alias("root_side"))
-    ends = s.where("not starts and msg = 'U'").select(*by, (F.col("step") + 1).alias("step"), F.col("start_step").alias("up"), F.col("matched").alias("ok"))
-    open_ = cut(ends.where("ok and up is not null"))
-    known = cut(adds)
+    adds = s.where("starts and msg <> 'U'").select(*by, "step", F.col("side").alias("root_side"))
+    ends = s.where("not starts and msg = 'U' and matched").select(*by, (F.col("step") + 1).alias("step"), F.col("start_step").alias("up"))
+    known, open_ = adds, stored(ends)
     while True:
-        hit = open_.join(known.select(*by, F.col("step").alias("up"), "root_side"), [*by, "up"])
-        known2 = cut(known.unionByName(hit.select(*by, "step", F.lit(True).alias("ok"), "root_side")))
-        rest = open_.join(known2.select(*by, "step"), [*by, "step"], "left_anti")
+        roots = known.select(*by, F.col("step").alias("up"), "root_side")
         jump = open_.select(*by, F.col("step").alias("up"), F.col("up").alias("_far"))
-        nxt = cut(rest.join(jump, [*by, "up"]).select(*by, "step", F.col("_far").alias("up"), "ok"))
-        known = known2
-        if nxt.limit(1).count() == 0:
-            return known.drop("ok")
-        open_ = nxt
+        tried = stored(open_.join(roots, [*by, "up"], "left").join(jump, [*by, "up"], "left"))
+        known = known.unionByName(tried.where("root_side is not null").select(*by, "step", "root_side"))
+        open_ = tried.where("root_side is null and _far is not null").select(*by, "step", F.col("_far").alias("up"))
+        if open_.isEmpty():
+            return known
 
 
 def messages(events: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
@@ -134,11 +135,50 @@ def depth(msgs: DataFrame, by: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROW
     return ordered_scan(d, [*by, "direction", "price"], "step", sums={"depth": F.col("delta")}, chunk_rows=chunk_rows)
 
 
-def books(msgs: DataFrame, levels: int = 10, by: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def level_intervals(msgs: DataFrame, by: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """When each level stands, and with how many shares: direction, price, size, from_step, until_step (NULL: to the end)."""
+    keys = [*by, "direction", "price"]
+    d = level_changes(msgs).where("delta <> 0")
+    run = ordered_scan(d, keys, "step", sums={"_q": F.col("delta")}, leads={"until_step": F.col("step")}, chunk_rows=chunk_rows)
+    return run.where("_q > 0").select(*keys, F.col("_q").alias("size"), F.col("step").alias("from_step"), "until_step")
+
+
+def _top_levels(price: np.ndarray, delta: np.ndarray, open_price: np.ndarray, open_qty: np.ndarray, levels: int, worse: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prices, sizes) of the best levels of one side after each row; prices fall for worse = -1 and rise for worse = 1.
+
+    Rows come a block at a time. Only levels that the block touches change in it, so these and the best `levels` of the others
+    make a small table rows x levels of running sums, in which the k-th standing level of a row is read off a running count."""
+    n = len(price)
+    grid = np.unique(np.concatenate([open_price, price[delta != 0]]) * worse)
+    held = np.zeros(len(grid), np.int64)
+    held[np.searchsorted(grid, open_price * worse)] = open_qty
+    out_p, out_q = np.full((n, levels), worse * NO_PRICE), np.zeros((n, levels), np.int64)
+    for a in range(0, n, BOOK_BLOCK):
+        d = delta[a : a + BOOK_BLOCK]
+        moves = np.flatnonzero(d)
+        at = np.searchsorted(grid, price[a + moves] * worse)
+        touched = np.zeros(len(grid), bool)
+        touched[at] = True
+        cols = np.union1d(at, np.flatnonzero((held > 0) & ~touched)[:levels])
+        if not len(cols):
+            continue
+        size = np.zeros((len(d), len(cols)), np.int64)
+        size[moves, np.searchsorted(cols, at)] = d[moves]
+        size = held[cols] + size.cumsum(0)
+        count = (size > 0).cumsum(1)
+        for k in range(levels):
+            rows = np.flatnonzero(count[:, -1] > k)
+            first = (count[rows] > k).argmax(1)
+            out_p[a + rows, k], out_q[a + rows, k] = grid[cols[first]] * worse, size[rows, first]
+        held[cols] = size[-1]
+    return out_p, out_q
+
+
+def books(msgs: DataFrame, levels: int = 10, by: Sequence[str] = KEYS, chunk_rows: int = BOOK_STEPS) -> DataFrame:
     """Top levels a side after every message. A stock-day is cut into pieces; each piece opens with the levels
     standing at its start (sums of earlier pieces), so no task holds more than one piece and the open levels."""
     by = list(by)
-    d = cut(level_changes(msgs).withColumn("_piece", F.floor(F.col("step") / chunk_rows)))
+    d = stored(level_changes(msgs).withColumn("_piece", F.floor(F.col("step") / chunk_rows)))
     net = d.where("delta <> 0").groupBy(*by, "_piece", "direction", "price").agg(F.sum("delta").alias("_net"))
     w = Window.partitionBy(*by, "direction", "price").orderBy("_piece")
     run = net.withColumns({"_q": F.sum("_net").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("_piece").over(w)})
@@ -149,35 +189,21 @@ def books(msgs: DataFrame, levels: int = 10, by: Sequence[str] = KEYS, chunk_row
         *by, F.col("_p").alias("_piece"), "direction", "price", F.col("_q").alias("qty"))
     opening = opening.toDF(*opening.columns)  # its own columns, as it is grouped together with the rows it came from
     level = T.ArrayType(T.StructType([T.StructField("price", T.LongType()), T.StructField("size", T.LongType())]))
-    cols = ["step", "ts_ns", "type", "order_id", "size", "price", "direction"]
-    schema = T.StructType([*[d.schema[k] for k in [*by, *cols]], T.StructField("bids", level), T.StructField("asks", level)])
-
-    def walk(op: pd.DataFrame, ev: pd.DataFrame) -> pd.DataFrame:
-        held = {1: {}, -1: {}}
-        for s, p, q in zip(op["direction"], op["price"], op["qty"]):
-            held[int(s)][int(p)] = int(q)
-        prices = {s: sorted(h) for s, h in held.items()}
-        ev = ev.sort_values("step")
-        bids, asks = [], []
-        for s, p, x in zip(ev["direction"].tolist(), ev["price"].tolist(), ev["delta"].tolist()):
-            if x:
-                q = held[s].get(p, 0) + x
-                if q > 0:
-                    if p not in held[s]:
-                        bisect.insort(prices[s], p)
-                    held[s][p] = q
-                elif p in held[s]:
-                    del held[s][p]
-                    del prices[s][bisect.bisect_left(prices[s], p)]
-            best = [{"price": b, "size": held[1][b]} for b in prices[1][-levels:][::-1]]
-            bids.append(best + [{"price": -NO_PRICE, "size": 0}] * (levels - len(best)))
-            best = [{"price": a, "size": held[-1][a]} for a in prices[-1][:levels]]
-            asks.append(best + [{"price": NO_PRICE, "size": 0}] * (levels - len(best)))
-        out = ev[[*by, *cols]].copy()
-        out["bids"], out["asks"] = bids, asks
-        return out
-
-    return opening.groupBy(*by, "_piece").cogroup(d.groupBy(*by, "_piece")).applyInPandas(walk, schema)
+    cols = [*by, "step", "ts_ns", "type", "order_id", "size", "price", "direction"]
+    schema = T.StructType([*[d.schema[k] for k in cols], T.StructField("bids", level), T.StructField("asks", level)])
+
+    def piece(op: pa.Table, ev: pa.Table) -> pa.Table:
+        ev = ev.sort_by("step")
+        get = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+        sides = []
+        for side in (1, -1):
+            own, mine = get(op, "direction") == side, get(ev, "direction") == side
+            p, q = _top_levels(get(ev, "price"), np.where(mine, get(ev, "delta"), 0), get(op, "price")[own], get(op, "qty")[own], levels, -side)
+            both = pa.StructArray.from_arrays([pa.array(p.ravel()), pa.array(q.ravel())], names=["price", "size"])
+            sides.append(pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * levels, pa.int32()), both))
+        return pa.table([*[ev.column(c) for c in cols], *sides], names=[*cols, "bids", "asks"])
+
+    return opening.groupBy(*by, "_piece").cogroup(d.groupBy(*by, "_piece")).applyInArrow(piece, schema)
 
 
 def visible_rows(book: DataFrame, session: Sequence[int] = SESSION_NS, by: Sequence[str] = KEYS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -71,26 +71,52 @@ def _(spark, sf):
     return lc.depth(lc.messages(feed(spark, sf))).select("day", "ticker", "step", "direction", "price", "depth")
 
 
-@query("feed_books")
-def _(spark, sf):
-    return lc.books(lc.messages(feed(spark, sf)), 3)
+LEVELS = 3
+
 
+def flat(df, levels=LEVELS):
+    """The levels of a book row as columns."""
+    at = {f"{side}{i + 1}{'' if f == 'price' else '_size'}": F.col(f"{side}s")[i][f] for side in ("bid", "ask") for i in range(levels) for f in ("price", "size")}
+    return df.withColumns(at).drop("bids", "asks")
 
-# best bid after each message: the highest price whose latest depth is positive
-BBO = f"""(select m.day, m.ticker, m.step, max(case when d.direction = 1 and d.q > 0 then d.price end) as best_bid, min(case when d.direction = -1 and d.q > 0 then d.price end) as best_ask from {MSG} m left join
-  (select day, ticker, direction, price, step, sum(case when type = 1 then size else -size end) over w as q, lead(step) over w as until from {MSG} where type between 1 and 4 window w as (partition by day, ticker, direction, price order by step)) d
-  on d.day = m.day and d.ticker = m.ticker and d.step <= m.step and (d.until is null or d.until > m.step) group by 1, 2, 3)"""
 
+# each level's size from one of its messages to the next, and the best levels of every message among those that stand then
+_TOP = ", ".join(
+    f"""coalesce(max(l.price) filter (l.direction = {d} and l.place = {i}), {-d * lc.NO_PRICE}) as {side}{i}, coalesce(cast(max(l.q) filter (l.direction = {d} and l.place = {i}) as bigint), 0) as {side}{i}_size"""
+    for side, d in (("bid", 1), ("ask", -1)) for i in range(1, LEVELS + 1))
+BOOK = f"""(with msgs as materialized (select * from {MSG}),
+ runs as (select day, ticker, direction, price, step, sum(case when type = 1 then size else -size end) over w as q, lead(step) over w as until from msgs where type between 1 and 4 and size <> 0 window w as (partition by day, ticker, direction, price order by step)),
+ standing as (select m.day, m.ticker, m.step, d.direction, d.price, d.q, row_number() over (partition by m.day, m.ticker, m.step, d.direction order by -d.direction * d.price) as place
+   from msgs m join runs d on d.day = m.day and d.ticker = m.ticker and d.step <= m.step and (d.until is null or d.until > m.step) where d.q > 0)
+ select m.day, m.ticker, m.step, m.ts_ns, m.type, m.order_id, m.size, m.price, m.direction, {_TOP} from msgs m left join standing l on l.day = m.day and l.ticker = m.ticker and l.step = m.step and l.place <= {LEVELS} group by all)"""
 
-@query("feed_best_quotes", f"select day, ticker, step, coalesce(best_bid, -9999999999) as best_bid, coalesce(best_ask, 9999999999) as best_ask from {BBO}")
+
+@query("feed_books", f"select * from {BOOK}")
+def _(spark, sf):
+    return flat(lc.books(lc.messages(feed(spark, sf)), LEVELS))
+
+
+@query("feed_best_quotes", f"select day, ticker, step, bid1 as best_bid, ask1 as best_ask from {BOOK}")
 def _(spark, sf):
     b = lc.books(lc.messages(feed(spark, sf)), 1)
     return b.select("day", "ticker", "step", F.col("bids")[0]["price"].alias("best_bid"), F.col("asks")[0]["price"].alias("best_ask"))
 
 
-@query("feed_visible_rows")
+@query("feed_level_intervals", f"""select day, ticker, direction, price, cast(q as bigint) as size, step as from_step, until as until_step from (select *, sum(case when type = 1 then size else -size end) over w as q, lead(step) over w as until
+  from {MSG} where type between 1 and 4 and size <> 0 window w as (partition by day, ticker, direction, price order by step)) where q > 0""")
 def _(spark, sf):
-    return lc.to_tape(lc.visible_rows(lc.books(lc.messages(feed(spark, sf)), 3), NS))
+    return lc.level_intervals(lc.messages(feed(spark, sf)))
+
+
+_SEEN = [f"{side}{i}{f}" for side in ("bid", "ask") for i in range(1, LEVELS + 1) for f in ("", "_size")]
+_NOW = "[" + ", ".join(_SEEN) + "]"
+
+
+@query("feed_visible_rows", f"""select day, ticker, type, order_id, size, price, direction, step as seq, ts_ns / 1e9 as time, bid1 as bid_price, bid1_size as bid_size, ask1 as ask_price, ask1_size as ask_size, {', '.join(_SEEN)}
+  from (select *, lag({_NOW}) over (partition by day, ticker order by step) as before from {BOOK} where ts_ns >= {lc.SESSION_NS[0]} and ts_ns < {lc.SESSION_NS[1]})
+  where type >= 4 or before is null or before <> {_NOW}""", "time")
+def _(spark, sf):
+    return flat(lc.to_tape(lc.visible_rows(lc.books(lc.messages(feed(spark, sf)), LEVELS))))
 
 
 @query("feed_consistency", f"""select day, ticker, count(*) as eligible, count(*) as checked, count(*) as passed, 1e0 as pass_rate, 1e0 as coverage from (select *, row_number() over (partition by day, ticker order by step) as i from {MSG}) where i > 1 and type between 1 and 4 group by 1, 2""", "pass_rate coverage")
@@ -101,10 +127,17 @@ def _(spark, sf):
     return tp.consistency_summary(tp.consistency(rows))
 
 
-@query("feed_stats", f"""select day, ticker, count(*) as events, count(*) filter (msg in ('A', 'F')) as adds, count(*) filter (msg = 'P') as hidden, count(*) filter (msg = 'Q') as crosses, coalesce(any_value(x.executions), 0) as executions
-  from {E} left join (select day, ticker, count(*) as executions from {MSG} where type = 4 group by 1, 2) x using (day, ticker) group by day, ticker""")
+LIFE_T = life_sql("day, ticker")
+REAL = f"""(with recursive l as materialized (select * from {LIFE_T}), real(day, ticker, step) as (select day, ticker, step from l where starts and msg <> 'U' union all
+   select l.day, l.ticker, l.step + 1 from l join real r on l.day = r.day and l.ticker = r.ticker and l.start_step = r.step where l.msg = 'U' and not l.starts and l.left_before > 0)
+ select l.day, l.ticker, l.msg, l.left_before > 0 and r.step is not null as ok from l left join real r on l.day = r.day and l.ticker = r.ticker and l.start_step = r.step where not l.starts)"""
+_KINDS = {"executions": "msg in ('E', 'C')", "cancels": "msg = 'X'", "deletes": "msg = 'D'", "replaces": "msg = 'U'"}
+
+
+@query("feed_stats", f"""select day, ticker, count(*) as events, count(*) filter (msg in ('A', 'F')) as adds, count(*) filter (msg = 'P') as hidden, count(*) filter (msg = 'Q') as crosses, {', '.join(f'coalesce(any_value({k}), 0) as {k}' for k in (*_KINDS, 'unmatched'))}
+  from {E} left join (select day, ticker, {', '.join(f'count(*) filter (ok and {c}) as {k}' for k, c in _KINDS.items())}, count(*) filter (ok is distinct from true) as unmatched from {REAL} group by 1, 2) x using (day, ticker) group by day, ticker""")
 def _(spark, sf):
-    return lc.conversion_stats(feed(spark, sf)).select("day", "ticker", "events", "adds", "hidden", "crosses", "executions")
+    return lc.conversion_stats(feed(spark, sf))
 
 
 @query("feed_missing_tickers", f"select n_nationkey as ticker from nation where n_nationkey not in (select ticker from {E})")

@@ -77,6 +77,35 @@ def test_conversion_matches_a_sequential_walk(spark, seed):
     assert lc.conversion_stats(df).first()["unmatched"] == bad
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_books_hold_all_levels(spark, monkeypatch, block):
+    """All standing levels after every message, whatever the pieces: deep books, levels that vanish and come back."""
+    monkeypatch.setattr(lc, "BOOK_BLOCK", block)
+    rng = random.Random(9)
+    rows, depth, want = [], {}, []
+    for i in range(600):
+        side, price = rng.choice([1, -1]), rng.choice(range(9000, 9400, 20))
+        q = depth.get((side, price), 0)
+        kind = 1 if q == 0 or rng.random() < 0.4 else rng.choice([2, 3, 4])
+        size = 100 * rng.randrange(1, 5) if kind == 1 else q if rng.random() < 0.6 else rng.randrange(1, q + 1)
+        if rng.random() < 0.1:
+            kind, size = 5, 50
+        if kind != 5:
+            depth[side, price] = q + (size if kind == 1 else -size)
+        rows.append(("2024-01-02", "X", 2 * i, i * 10**9, kind, i, size, price, side))
+        best = lambda s: [(p, x) for p, x in sorted(((p, x) for (d, p), x in depth.items() if d == s and x > 0), key=lambda e: -s * e[0])][:6]
+        want.append(tuple(best(s) + [(-s * 9_999_999_999, 0)] * (6 - len(best(s))) for s in (1, -1)))
+    msgs = spark.createDataFrame(rows, "day string, ticker string, step long, ts_ns long, type int, order_id long, size long, price long, direction int")
+    for pieces in (90, 10**6):
+        got = lc.books(msgs, 6, chunk_rows=pieces).orderBy("step").collect()
+        assert [tuple([(x["price"], x["size"]) for x in r[s]] for s in ("bids", "asks")) for r in got] == want
+    at = {(r["direction"], r["price"], r["from_step"]): (r["size"], r["until_step"]) for r in lc.level_intervals(msgs, chunk_rows=100).collect()}
+    for i, (bids, asks) in enumerate(want):
+        standing = {(d, p): s for (d, p, a), (s, b) in at.items() if a <= 2 * i and (b is None or b > 2 * i)}
+        for d, levels in ((1, bids), (-1, asks)):
+            assert all(standing.get((d, p)) == s for p, s in levels if s)
+
+
 def test_rebuilt_book_is_consistent(spark):
     rows = lc.to_tape(lc.books(lc.messages(spark.createDataFrame(random_feed(4), EVENTS)), 10))
     r = tp.consistency_summary(tp.consistency(rows)).first()
