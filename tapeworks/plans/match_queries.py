@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import div
+from tapeworks.functions.shared import stored
 from tapeworks.operators import linkage as lk
 from tapeworks.operators import proposals as pr
 from tapeworks.operators import sizing as sz
@@ -51,29 +52,37 @@ def _(spark, sf):
     return p.select("id", F.array_sort("thr").alias("thr"), F.array_sort("dat").alias("dat"), F.array_sort("yr").alias("yr"), F.array_sort("ent").alias("ent"))
 
 
-INFO = f"""(select q.id as q, d.id as p, sum(ln(n / cast(df as double))) as info
-  from {tok_sql('benchmark', 'item_id')} q join {tok_sql('documents', 'doc_id')} d on q.t = d.t join (select t, count(*) as df from {tok_sql('documents', 'doc_id')} group by t) f on f.t = q.t, (select count(*) as n from documents)
-  group by 1, 2)"""
+def info_sql(k):
+    """The k documents that share most information with each benchmark text."""
+    return f"""(with d as materialized (select * from {tok_sql('documents', 'doc_id')}), n as (select count(*) as n from documents), f as materialized (select t, count(*) as df from d group by t),
+  w as (select t, cast(round(ln(n / cast(df as double)) * 1e6) as bigint) as w from f, n where n <= {lk.BIG_POOL} or df <= {lk.MAX_SHARE} * n)
+  select q.id as q, d.id as p, sum(w) / 1e6 as info from {tok_sql('benchmark', 'item_id')} q join w using (t) join d using (t) where w > 0 group by 1, 2
+  qualify row_number() over (partition by q.id order by sum(w) desc, d.id) <= {k})"""
 
 
-@query("block_candidates", f"select q, p, info from {INFO}", "info", 4)
+@query("block_candidates", f"select q, p, info from {info_sql(lk.BLOCK)}", "info", 4)
 def _(spark, sf):
-    b, d = prepared(spark, sf, "benchmark", "item_id"), prepared(spark, sf, "documents", "doc_id")
-    return lk.shared_information(b.select(F.col("id").alias("q"), "tok"), d.select(F.col("id").alias("p"), "tok"), "q", "p")
+    b, d = texts(spark, sf, "benchmark", "item_id"), texts(spark, sf, "documents", "doc_id")
+    b, d = stored(lk.with_tokens(b, "text").select(F.col("id").alias("q"), "tok")), stored(lk.with_tokens(d, "text").select(F.col("id").alias("p"), "tok"))
+    return lk.shared_information(b, d, "q", "p", lk.BLOCK, lk.MAX_SHARE)
 
 
 GRAM = "(select {k} as id, gram, count(*) as c from (select {k}, unnest(list_transform(range(1, len(x) - 1), lambda i: substr(x, i, 3))) as gram from (select {k}, '  ' || lower(text) || ' ' as x from {t})) group by 1, 2)"
 
 
-@query("text_similarity", f"""with g as (select * from {GRAM.format(k='item_id', t='benchmark')}), tk as (select * from {tok_sql('benchmark', 'item_id')}), nn as (select id, sqrt(sum(c * c)) as n from g group by id),
-  dots as (select a.id as x, b.id as y, sum(a.c * b.c) as dot from g a join g b using (gram) group by 1, 2), sh as (select a.id as x, b.id as y, count(*) as s from tk a join tk b using (t) group by 1, 2), sz as (select id, count(*) as n from tk group by id)
-  select x, y, 0.7 * coalesce(s, 0) / (p.n + q.n - coalesce(s, 0)) + 0.3 * dot / (u.n * v.n) as similarity from dots join nn u on u.id = x join nn v on v.id = y join sz p on p.id = x join sz q on q.id = y left join sh using (x, y) where x <> y and s is not null""", "similarity")
+SIMILAR = 0.65
+_J0 = (SIMILAR - lk.TRIGRAM_SHARE) / (1 - lk.TRIGRAM_SHARE)
+
+
+@query("text_similarity", f"""with c as materialized (select min(doc_id) as id, text from documents where text is not null group by text), tk as materialized (select * from {tok_sql('c', 'id')}), sz as (select id, count(*) as n from tk group by id),
+  sh as (select a.id as x, b.id as y, count(*) as s from tk a join tk b on a.t = b.t and a.id < b.id group by 1, 2), js as materialized (select x, y, s / (p.n + q.n - s) as j from sh join sz p on p.id = x join sz q on q.id = y where s / (p.n + q.n - s) >= {_J0} - 1e-9),
+  g as materialized (select * from {GRAM.format(k='id', t='(select id, text from c where id in (select x from js union select y from js)) z')}), nn as (select id, sqrt(sum(c * c)) as n from g group by id),
+  dots as (select x, y, sum(a.c * b.c) as dot from js join g a on a.id = x join g b on b.id = y and a.gram = b.gram group by 1, 2)
+  select x, y, {1 - lk.TRIGRAM_SHARE} * j + {lk.TRIGRAM_SHARE} * coalesce(dot, 0) / (u.n * v.n) as similarity from js left join dots using (x, y) join nn u on u.id = x join nn v on v.id = y where {1 - lk.TRIGRAM_SHARE} * j + {lk.TRIGRAM_SHARE} * coalesce(dot, 0) / (u.n * v.n) >= {SIMILAR}
+  union all select id, doc_id, 1e0 from documents join c using (text) where id <> doc_id""", "similarity")
 def _(spark, sf):
-    b = prepared(spark, sf, "benchmark", "item_id")
-    left, right = b.withColumnRenamed("id", "x"), b.withColumnRenamed("id", "y")
-    # pairs of benchmark texts that share a word, from an equi-join on words
-    pairs = left.select("x", F.explode("tok").alias("t")).join(right.select("y", F.explode("tok").alias("t")), "t").where("x <> y").select("x", "y").distinct()
-    return lk.similarity(pairs, left, right, "x", "y")
+    d = lk.with_tokens(texts(spark, sf, "documents", "doc_id"), "text")
+    return lk.similar_pairs(d, "id", SIMILAR)
 
 
 def sentences(df, key: str):
@@ -111,11 +120,16 @@ def _(spark, sf):
     return lk.candidates(c, q, q.where("quote_id % 7 = 0"), bundled)
 
 
-@query("match_search")
+@query("match_search", f"""with near as materialized (select q, p from {info_sql(lk.SEARCHED)}), tb as materialized (select * from {tok_sql('benchmark', 'item_id')}), td as materialized (select * from {tok_sql('documents', 'doc_id')}),
+  sb as (select id, count(*) as n from tb group by id), sd as (select id, count(*) as n from td group by id), sh as (select q, p, count(*) as s from near join tb on tb.id = q join td on td.id = p and td.t = tb.t group by 1, 2),
+  gb as materialized (select * from {GRAM.format(k='item_id', t='benchmark')}), gd as materialized (select * from {GRAM.format(k='doc_id', t='(select doc_id, text from documents where doc_id in (select p from near)) z')}),
+  nb as (select id, sqrt(sum(c * c)) as n from gb group by id), nd as (select id, sqrt(sum(c * c)) as n from gd group by id), dots as (select q, p, sum(gb.c * gd.c) as dot from near join gb on gb.id = q join gd on gd.id = p and gd.gram = gb.gram group by 1, 2)
+  select q as query_id, p as quote_id, {1 - lk.TRIGRAM_SHARE} * s / (sb.n + sd.n - s) + {lk.TRIGRAM_SHARE} * coalesce(dot, 0) / (nb.n * nd.n) as similarity from near join sh using (q, p) join sb on sb.id = q join sd on sd.id = p left join dots using (q, p) join nb on nb.id = q join nd on nd.id = p
+  qualify row_number() over (partition by q order by similarity desc, p) <= 5""", "similarity")
 def _(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "text")
-    return lk.search(q, d, 5)
+    return lk.search(q, d, 5).drop("place")
 
 
 @query("match_lookup", "select source, doc_id as quote_id, 'No' as outcome, n_chars from documents where doc_id in (select doc_id from labels where quality = 1)")

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -158,3 +160,75 @@ def test_name_pairs_lose_no_match(spark):
     every = q.select("q", F.struct(*[c for c in d.columns if c != "id"]).alias("a")).crossJoin(p.select("p", F.struct(*[c for c in d.columns if c != "id"]).alias("b")))
     want = {(r["q"], r["p"]) for r in every.where(lk.hard_reject().isNull() & F.arrays_overlap("a.tok", "b.tok")).collect()}
     assert want and want <= got
+
+
+def word_pool(seed, n, vocabulary=60):
+    draw = random.Random(seed)
+    return [(i, sorted({f"w{int(draw.paretovariate(0.7)) % vocabulary}" for _ in range(draw.randrange(0, 14))})) for i in range(n)]
+
+
+@pytest.mark.parametrize("share", [None, 0.2])
+def test_shared_information_top_k_equals_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(lk, "FIRST_STAGE", 1)
+    monkeypatch.setattr(lk, "STAGE_GROWTH", 2)
+    pool, asked = word_pool(1, 300), word_pool(2, 25)
+    df = Counter(t for _, ws in pool for t in ws)
+    w = {t: round(math.log(len(pool) / c) * 1e6) for t, c in df.items() if share is None or c <= share * len(pool)}
+    want = set()
+    for q, ws in asked:
+        sums = sorted(((-sum(w.get(t, 0) for t in set(ws) & set(p)), i) for i, p in pool if any(w.get(t, 0) > 0 for t in set(ws) & set(p))))[:7]
+        want |= {(q, i, -s) for s, i in sums}
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, tok array<string>")
+    got = lk.shared_information(frame(asked, "q"), frame(pool, "p"), "q", "p", 7, share)
+    assert {(r["q"], r["p"], round(r["info"] * 1e6)) for r in got.collect()} == want
+    assert lk.shared_information(frame(asked, "q"), frame(pool[:0], "p"), "q", "p", 7).count() == 0
+
+
+def test_shared_information_leaves_common_lists_unread(spark, monkeypatch):
+    """Texts of a rare word fill the top; the list of the word that nearly all texts hold is only looked up for them."""
+    monkeypatch.setattr(lk, "FIRST_STAGE", 1)
+    read = []
+    joined = lk.stored
+    monkeypatch.setattr(lk, "stored", lambda df: read.append(joined(df)) or read[-1])
+    pool = spark.range(5000).selectExpr("id as p", "case when id % 500 = 0 then array('all', 'rare') when id = 7 then array('rare') else array('all') end as tok")
+    got = lk.shared_information(spark.createDataFrame([(1, ["all", "rare"])], "q long, tok array<string>"), pool, "q", "p", 5)
+    assert [r["p"] for r in got.orderBy("p").collect()] == [0, 500, 1000, 1500, 2000]
+    assert max(d.count() for d in read if "info" in d.columns) == 11
+
+
+def words_of(text):
+    return sorted(set(text.split()))
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.65, 0.9])
+def test_similar_pairs_equal_brute_force(spark, threshold):
+    draw = random.Random(5)
+    texts = []
+    for i in range(60):
+        base = draw.choice(texts).split() if texts and draw.random() < 0.6 else [f"x{draw.randrange(80)}" for _ in range(draw.randrange(1, 15))]
+        for _ in range(draw.randrange(0, 4)):
+            base[draw.randrange(len(base))] = f"x{draw.randrange(80)}"
+        texts.append(" ".join(base))
+    texts += ["", None, "x1 x2"]
+    rows = [(i, t, words_of(t or "")) for i, t in enumerate(texts)]
+    first = {}
+    for i, t, _ in rows:
+        if t is not None:
+            first.setdefault(t, i)
+
+    def grams(t):
+        x = f"  {t} "
+        return Counter(x[i : i + 3] for i in range(len(x) - 2))
+
+    def similarity(a, b):
+        u, v, x, y = set(a.split()), set(b.split()), grams(a), grams(b)
+        norm = lambda g: math.sqrt(sum(c * c for c in g.values()))
+        return 0.7 * len(u & v) / max(len(u | v), 1) + 0.3 * sum(c * y[g] for g, c in x.items()) / (norm(x) * norm(y))
+
+    reps = sorted(first.items(), key=lambda e: e[1])
+    want = {(i, j): similarity(s, t) for s, i in reps for t, j in reps if i < j and similarity(s, t) >= threshold}
+    want |= {(first[t], i): 1.0 for i, t, _ in rows if t is not None and first[t] != i}
+    got = lk.similar_pairs(spark.createDataFrame(rows, "id long, text string, tok array<string>"), "id", threshold).collect()
+    assert {(r["x"], r["y"]): pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want)
+    with pytest.raises(ValueError, match="above 0.3"):
+        lk.similar_pairs(spark.createDataFrame(rows, "id long, text string, tok array<string>"), "id", 0.3)
