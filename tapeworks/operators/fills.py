@@ -1,29 +1,34 @@
 """Would a resting order have filled? Hypothetical orders matched against the later messages of their day.
 
-Every order depends only on its own terms and the tape, so the replay is a set of joins:
-
-1. the clock is cut into buckets; one aggregate per bucket keeps the extreme prints, quotes and levels;
-2. orders spread over the buckets they may live in, and the first bucket in which anything could end them
-   is found on that small summary;
-3. only the placement bucket and that bucket are matched with messages, to find the exact ending row;
-4. rows at the order's own price come from an equi-join on (group, bucket, side, price).
-
-No order meets a message outside these buckets, so the fan-out does not grow with the time an order rests.
+Every order depends only on its own terms and the messages while it rests. The clock is cut into buckets at least as long as
+the longest wait; an order goes to the bucket it is placed in, a message to its own bucket and the one before, so two copies of
+the tape are dealt out however many orders rest, and a task holds one bucket of one stock with the wait after it. There all
+orders are worked on together, as columns:
+
+* the first row that can end an order (a print or the opposite quote beyond its price, its level out of view) is found by
+  doubling steps over range maxima;
+* the rows at its own price and side are one run of the messages sorted by level;
+* the queue models walk these runs in step, the i-th row of every order at once, in the order of the messages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tapeworks.operators.scan import SLOT_SECONDS, asof, cut
-from tapeworks.operators.tape import KEYS, SESSION, clock_grid, depth_at
+from tapeworks.functions.shared import stored
+from tapeworks.operators.scan import SLOT_SECONDS, asof
+from tapeworks.operators.tape import KEYS, NO_PRICE, SESSION, clock_grid, depth_at
 
 MODELS = ("touch", "fifo", "through")
 ALL_MODELS = (*MODELS, "l2")
-BUCKET_SECONDS = 5.0
+BUCKET_SECONDS = 300.0
 EVERY, MAX_WAIT, SIZE = 5.0, 60.0, 100
 HORIZONS = (0.1, 1.0, 10.0, 60.0)
 TRADES = (4, 5)
@@ -70,10 +75,6 @@ def check_orders(orders: DataFrame, models: Sequence[str] = MODELS) -> DataFrame
     return orders.withColumn("place_seq", guard)
 
 
-def _bucket(t: Column, width: float) -> Column:
-    return F.floor(t / float(width))
-
-
 def place(tape: DataFrame, orders: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
     """Orders with the book they meet: queue ahead, rejection, deadline."""
     book = tape.select(
@@ -92,205 +93,183 @@ def place(tape: DataFrame, orders: DataFrame, by: Sequence[str] = KEYS) -> DataF
     }).drop("bids", "asks", "bid_price", "ask_price")
 
 
-def _ending_rows(tape: DataFrame, live: DataFrame, by: Sequence[str], width: float) -> DataFrame:
-    """Per live order the first halt, the first row that fills it whole, the first level exit (seq, time)."""
-    by = list(by)
-    deep_bid, deep_ask = F.element_at("bids", -1)["price"], F.element_at("asks", -1)["price"]
-    msg = tape.select(
-        *by, _bucket(F.col("time"), width).alias("_b"), "seq", "time", "type", "price", "bid_price", "ask_price",
-        deep_bid.alias("deep_bid"), deep_ask.alias("deep_ask"),
-    )
-    prints = F.when(F.col("type").isin(*TRADES), F.col("price"))
-    summary = msg.groupBy(*by, "_b").agg(
-        F.min(prints).alias("lo_print"), F.max(prints).alias("hi_print"),
-        F.min("ask_price").alias("lo_ask"), F.max("bid_price").alias("hi_bid"),
-        F.max("deep_bid").alias("hi_deep_bid"), F.min("deep_ask").alias("lo_deep_ask"),
-        F.max((F.col("type") == 7).cast("int")).alias("halts"),
-    )
-    o = live.select(*by, "order", "side", F.col("price").alias("limit"), "place_seq", "place_time", "deadline",
-                    "until", _bucket(F.col("place_time"), width).alias("_b0"))
-    later = o.withColumn("_b", F.explode(F.sequence(F.col("_b0"), _bucket(F.col("until"), width)))).where("_b > _b0")
-    buy, q = F.col("side") > 0, F.col("limit")
-    could = (
-        (F.col("halts") == 1)
-        | F.when(buy, (F.col("lo_print") < q) | (F.col("lo_ask") <= q) | (F.col("hi_deep_bid") > q))
-        .otherwise((F.col("hi_print") > q) | (F.col("hi_bid") >= q) | (F.col("lo_deep_ask") < q))
-    )
-    first = later.join(summary, [*by, "_b"]).where(could).groupBy(*by, "order").agg(F.min("_b").alias("_bx"))
-    o = o.join(first, [*by, "order"], "left")
-    probe = o.withColumn("_b", F.explode(F.array_distinct(F.array("_b0", F.coalesce("_bx", "_b0")))))
-    m = probe.join(msg, [*by, "_b"]).where(
-        (F.col("seq") > F.col("place_seq")) & (F.col("time") <= F.col("deadline"))
-    )
-    opp = F.when(buy, F.col("ask_price") <= q).otherwise(F.col("bid_price") >= q)
-    beyond = F.col("type").isin(*TRADES) & F.when(buy, F.col("price") < q).otherwise(F.col("price") > q)
-    gone = F.when(buy, F.col("deep_bid") > q).otherwise(F.col("deep_ask") < q)
-    row = F.struct("seq", "time")
-    ends = m.groupBy(*by, "order").agg(
-        F.min(F.when(F.col("type") == 7, row)).alias("halt"),
-        F.min(F.when(beyond | opp, row)).alias("all_in"),
-        F.min(F.when(gone, row)).alias("exit"),
-    )
-    return o.select(*by, "order", "_b0", F.coalesce("_bx", _bucket(F.col("until"), width)).alias("_b1")).join(
-        ends, [*by, "order"], "left"
-    )
-
-
-def _level_rows(tape: DataFrame, live: DataFrame, by: Sequence[str], width: float, kinds: Sequence[int],
-                same_side: bool) -> DataFrame:
-    """Messages at each order's own price between placement and its last possible row."""
-    by = list(by)
-    m = tape.where(F.col("type").isin(*kinds)).select(
-        *by, _bucket(F.col("time"), width).alias("_b"), "seq", "time", "type", "price", "order_id",
-        F.col("size").alias("shares"), *([F.col("direction").alias("side")] if same_side else []),
-    )
-    o = live.select(
-        *by, "order", "side" if same_side else F.lit(0).alias("_any"), "price", "size", "queue_ahead", "place_seq",
-        "deadline", "stop_seq", F.explode(F.sequence("_b0", "_b1")).alias("_b"),
-    )
-    keys = [*by, "_b", "price", *(["side"] if same_side else [])]
-    return o.join(m, keys).where(
-        (F.col("seq") > F.col("place_seq")) & (F.col("time") <= F.col("deadline"))
-        & (F.col("stop_seq").isNull() | (F.col("seq") <= F.col("stop_seq")))
-    )
-
-
-def fifo_fills(level: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Fills of each order under price-time priority.
-
-    `ahead` only falls, so it equals max(0, queue - earlier decrements); a cancel counts unless its id was
-    submitted at our price after us and not deleted since."""
-    one = [*by, "order"]
-    wid = Window.partitionBy(*one, "order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(F.col("type") == 1, 1).when(F.col("type") == 3, 0)
-    behind = F.coalesce(F.last(mark, ignorenulls=True).over(wid), F.lit(0)) == 1
-    level = level.withColumn("_behind", behind)
-    drop = F.when(F.col("type") == 4, F.col("shares")).when(
-        F.col("type").isin(2, 3) & ~F.col("_behind"), F.col("shares")
-    ).otherwise(0)
-    w = Window.partitionBy(*one).orderBy("seq")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    level = level.withColumn("_drop", drop)
-    level = level.withColumn(
-        "_ahead", F.greatest(F.col("queue_ahead") - F.coalesce(F.sum("_drop").over(past), F.lit(0)), F.lit(0))
-    ).where("type = 4").withColumn("_got", F.greatest(F.col("shares") - F.col("_ahead"), F.lit(0)))
-    level = level.where("_got > 0").withColumn(
-        "_cum", F.sum("_got").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).where(F.col("_cum") - F.col("_got") < F.col("size"))
-    row = F.struct("seq", "time")
-    return level.groupBy(*one).agg(
-        F.least(F.max("_cum"), F.max("size")).alias("got"), F.max(row).alias("last_fill"),
-        F.min(F.when(F.col("_cum") >= F.col("size"), row)).alias("full"),
-    )
-
-
-def l2_fills(level: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Fills when only displayed sizes are known: cancels shrink both parts of the queue pro rata.
-
-    The update is not a running sum, so each order folds its own rows at its own price, up to its end."""
-    one = [*by, "order"]
-    arr = level.groupBy(*one).agg(
-        F.first("queue_ahead").alias("queue_ahead"), F.first("size").alias("size"),
-        F.sort_array(F.collect_list(F.struct("seq", "time", "type", "shares"))).alias("_rows"),
-    )
-    zero = F.struct(
-        F.col("queue_ahead").cast("double").alias("a"), F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("got"),
-        F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("time"),
-    )
-
-    def step(s: Column, e: Column) -> Column:
-        q = e["shares"].cast("double")
-        a, b = s["a"], s["b"]
-        tot = F.nullif(a + b, F.lit(0.0))
-        cancel, trade = e["type"].isin(2, 3), e["type"] == 4
-        took = F.least(a, q)
-        fill = F.least(F.floor(q - took).cast("long"), F.col("size") - s["got"])
-        hit = trade & (fill > 0)
-        na = F.when(cancel & tot.isNotNull(), F.greatest(a - q * a / tot, F.lit(0.0))).when(trade, a - took).otherwise(a)
-        nb = F.when(cancel & tot.isNotNull(), F.greatest(b - q * b / tot, F.lit(0.0))).when(
-            e["type"] == 1, b + q).otherwise(b)
-        return F.struct(
-            na.alias("a"), nb.alias("b"), F.when(hit, s["got"] + fill).otherwise(s["got"]).alias("got"),
-            F.when(hit, e["seq"]).otherwise(s["seq"]).alias("seq"),
-            F.when(hit, e["time"]).otherwise(s["time"]).alias("time"),
-        )
-
-    done = arr.withColumn("_f", F.aggregate("_rows", zero, step)).where("_f.got > 0")
-    row = F.struct(F.col("_f.seq").alias("seq"), F.col("_f.time").alias("time"))
-    return done.select(
-        *one, F.col("_f.got").alias("got"), row.alias("last_fill"),
-        F.when(F.col("_f.got") >= F.col("size"), row).alias("full"),
-    )
+def _first_at_least(z: np.ndarray, start: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """For each (start, level) the first i >= start with z[i] >= level, len(z) if there is none: range maxima of doubling length."""
+    n = len(z)
+    most = [z]
+    while 2 << (len(most) - 1) <= n:
+        half = 1 << (len(most) - 1)
+        most.append(np.maximum(most[-1][:-half], most[-1][half:]))
+    at = start.copy()
+    for j in range(len(most) - 1, -1, -1):  # runs without a hit are passed, longest first
+        room = at + (1 << j) <= n
+        skip = np.flatnonzero(room)[most[j][at[room]] < level[room]]
+        at[skip] += 1 << j
+    return at
+
+
+def _submitted_at(level: np.ndarray, order_id: np.ndarray, kind: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For rows sorted by level, then row: the row in which the same id was last submitted at that level before, -1 if it
+    never was or has been deleted since."""
+    turn = np.lexsort((row, order_id, level))
+    mark = np.flatnonzero((kind[turn] == 1) | (kind[turn] == 3))
+    at = np.zeros(len(turn) + 1, np.int64) - 1
+    at[mark + 1] = mark
+    last = np.maximum.accumulate(at)[:-1]  # the last mark before each row, of any id
+    same = (last >= 0) & (level[turn[last]] == level[turn]) & (order_id[turn[last]] == order_id[turn]) & (kind[turn[last]] == 1)
+    out = np.full(len(turn), -1)
+    out[turn[same]] = row[turn[last[same]]]
+    return out
+
+
+def _walk(model: str, runs: tuple[np.ndarray, np.ndarray], first: np.ndarray, queue: np.ndarray, size: np.ndarray,
+          kind: np.ndarray, shares: np.ndarray, submitted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(filled, last filling row, row that filled the rest) of each order; rows are positions in the level order, -1 for none.
+
+    fifo: only orders placed before ours are ahead of it, so a cancel counts unless its id was submitted after us.
+    l2: ids are unknown, a cancel shrinks what is ahead of us and what is behind us pro rata."""
+    begin, end = runs
+    ahead, behind, left = queue.astype(np.float64 if model == "l2" else np.int64), np.zeros(len(queue)), size.copy()
+    last, full = np.full(len(queue), -1), np.full(len(queue), -1)
+    live, t = np.flatnonzero(begin < end), 0
+    while len(live):
+        e = begin[live] + t
+        k, q = kind[e], shares[e]
+        gone = (k == 2) | (k == 3)
+        if model == "fifo":
+            gone &= submitted[e] < first[live]
+            ahead[live[gone]] = np.maximum(ahead[live[gone]] - q[gone], 0)
+        else:
+            o, c = live[gone], q[gone].astype(np.float64)
+            total = ahead[o] + behind[o]
+            o, c, total = o[total > 0], c[total > 0], total[total > 0]
+            ahead[o], behind[o] = np.maximum(ahead[o] - c * ahead[o] / total, 0.0), np.maximum(behind[o] - c * behind[o] / total, 0.0)
+            behind[live[k == 1]] += q[k == 1]
+        hit = k == 4
+        o, x = live[hit], q[hit]
+        took = np.minimum(ahead[o], x)
+        ahead[o] -= took
+        got = np.minimum(np.floor(x - took).astype(np.int64), left[o])
+        some = got > 0
+        o, row = o[some], e[hit][some]
+        left[o] -= got[some]
+        last[o] = row
+        full[o[left[o] == 0]] = row[left[o] == 0]
+        t += 1
+        live = live[(begin[live] + t < end[live]) & (left[live] > 0)]
+    return size - left, last, full
+
+
+def _replay(orders: dict[str, np.ndarray], m: dict[str, np.ndarray], models: Sequence[str]) -> list[dict[str, np.ndarray]]:
+    """What becomes of orders placed in one bucket under each model, from the messages (by seq) of it and the next."""
+    n, seq, time, kind = len(m["seq"]), m["seq"], m["time"], m["type"]
+    side, price, size, queue = (orders[c] for c in ("side", "price", "size", "queue_ahead"))
+    buy = side > 0
+    none = np.int64(-(1 << 60))
+    trade = np.isin(kind, TRADES)
+    first = np.searchsorted(seq, orders["place_seq"], "right")
+    over = np.searchsorted(time, orders["deadline"], "right")  # the first row after the deadline
+    over = np.maximum(over, first)
+
+    def reach(for_buy: np.ndarray, of_buy: np.ndarray, for_sell: np.ndarray, of_sell: np.ndarray) -> np.ndarray:
+        """The first row after each placement at which the quantity of its side reaches the order's."""
+        out = np.full(len(side), n)
+        out[buy] = _first_at_least(for_buy, first[buy], of_buy[buy])
+        out[~buy] = _first_at_least(for_sell, first[~buy], of_sell[~buy])
+        return out
+
+    # a print or the opposite quote beyond the order's price; the deepest level in view better than it
+    beyond = reach(np.maximum(np.where(trade, -m["price"] - 1, none), -m["ask"]), -price, np.maximum(np.where(trade, m["price"] - 1, none), m["bid"]), price)
+    left_view = reach(m["deep_bid"], price + 1, -m["deep_ask"], 1 - price)
+    halts = np.append(np.flatnonzero(kind == 7), n)
+    halt = halts[np.searchsorted(halts, first)]
+    beyond, left_view, halt = (np.where(x < over, x, n) for x in (beyond, left_view, halt))
+    stop = np.minimum(np.minimum(halt, beyond + 1), np.minimum(left_view + 1, over))  # rows before it can fill in part
+
+    span = np.int64(n + 1)
+    level_of = lambda p, s: 2 * p + (s > 0)
+    shown = np.flatnonzero((kind >= 1) & (kind <= 4))
+    keys, of = np.unique(np.concatenate([level_of(m["price"][shown], m["direction"][shown]), level_of(price, side)]), return_inverse=True)
+    own, mine = of[: len(shown)], of[len(shown) :]
+    turn = np.lexsort((shown, own))
+    rows, own = shown[turn], own[turn]
+    place = own * span + rows
+    runs = np.searchsorted(place, mine * span + first), np.searchsorted(place, mine * span + np.maximum(stop, first))
+    submitted = _submitted_at(own, m["order_id"][rows], kind[rows], rows) if "fifo" in models else rows
+
+    prints = np.flatnonzero(trade)
+    known, at = np.unique(np.concatenate([m["price"][prints], price]), return_inverse=True)
+    turned = np.lexsort((prints, at[: len(prints)]))
+    print_place = at[: len(prints)][turned] * span + prints[turned]
+
+    out = []
+    for model in models:
+        got, last, full = np.zeros(len(side), np.int64), np.full(len(side), n), np.full(len(side), n)
+        if model == "touch":
+            hit = np.searchsorted(print_place, at[len(prints) :] * span + first)
+            row = np.append(print_place, (len(known) + 1) * span)[hit] - at[len(prints) :] * span
+            full = np.where(row < stop, row, n)
+            last, got = full, np.where(full < n, size, 0)
+        elif model != "through":
+            got, last, full = _walk(model, runs, first, queue, size, kind[rows], m["size"][rows], submitted)
+            last, full = (np.where(x >= 0, np.append(rows, n)[x], n) for x in (last, full))
+        whole = np.minimum(np.where(beyond < stop, beyond, n), full)  # the first row that fills all that is left
+        out.append({"got": np.where(whole < n, size, got), "fill": np.where(whole < n, whole, last), "whole": whole, "halt": halt, "left": left_view, "over": over})
+    return out
 
 
 def simulate(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODELS, by: Sequence[str] = KEYS,
              width: float = BUCKET_SECONDS, slot: float = SLOT_SECONDS) -> DataFrame:
     """One row per order and model: filled_qty, fill_seq, fill_time, fill_price, end_seq, end_time, end_reason,
-    queue_ahead. End reasons: filled, timeout, level_exit, halt, end_of_data, rejected."""
+    queue_ahead. End reasons: filled, timeout, level_exit, halt, end_of_data, rejected.
+
+    `width`: seconds of a bucket, the longest wait if that is longer."""
     by = list(by)
-    one = [*by, "order"]
     last = tape.groupBy(*by).agg(F.max(F.struct("seq", "time")).alias("_last"))
-    placed = cut(place(tape, check_orders(orders, models), by).join(last, by))
-    live = placed.where("not rejected").withColumn("until", F.least("deadline", "_last.time"))
-    rows = _ending_rows(tape, live, by, width)
-    live = live.join(rows, one).withColumn(
-        "stop_seq", F.least(F.col("halt.seq") - 1, F.col("all_in.seq"), F.col("exit.seq"))
-    )
-    at_deadline = asof(live.select(*one, "deadline"), tape, by, "deadline", "time", "seq", {"_to_seq": "seq"}, slot)
-    live = cut(live.join(at_deadline.drop("deadline"), one, "left"))
-
-    nothing = (F.lit(None).cast("long").alias("got"), F.lit(None).cast("struct<seq:bigint,time:double>").alias("last_fill"),
-               F.lit(None).cast("struct<seq:bigint,time:double>").alias("full"))
-    parts = []
-    queue_rows = None
-    if {"fifo", "l2"} & set(models):
-        queue_rows = _level_rows(tape, live, by, width, (1, 2, 3, 4), True)
-    for model in models:
-        if model == "through":
-            parts.append(live.select("*", *nothing).withColumn("model", F.lit(model)))
-        elif model == "touch":
-            hits = _level_rows(tape, live, by, width, TRADES, False).groupBy(*one).agg(
-                F.min(F.struct("seq", "time")).alias("full"))
-            got = live.join(hits, one, "left").withColumns(
-                {"got": F.when(F.col("full").isNotNull(), F.col("size")), "last_fill": F.col("full")})
-            parts.append(got.withColumn("model", F.lit(model)))
-        else:
-            got = fifo_fills(queue_rows, by) if model == "fifo" else l2_fills(queue_rows, by)
-            parts.append(live.join(got, one, "left").withColumn("model", F.lit(model)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p, allowMissingColumns=True)
-
-    # the first row that fills the order whole, if it comes before (or with) what would end it
-    whole_ok = F.col("all_in").isNotNull() & (F.col("all_in.seq") <= F.col("stop_seq"))
-    whole = F.least(F.when(whole_ok, F.col("all_in")), F.col("full"))
-    every = every.withColumn("_whole", whole)
-    filled = F.col("_whole").isNotNull()
-    halted = F.col("halt").isNotNull() & (F.col("exit").isNull() | (F.col("halt.seq") <= F.col("exit.seq")))
-    left = F.col("exit").isNotNull()
-    late = F.col("_last.time") > F.col("deadline")
-    reason = (
-        F.when(filled, "filled").when(halted, "halt").when(left, "level_exit").when(late, "timeout")
-        .otherwise("end_of_data")
-    )
-    pick = lambda f, to: F.when(filled, F.col(f"_whole.{f}")).when(halted, F.col(f"halt.{f}")).when(
-        left, F.col(f"exit.{f}")).when(late, to).otherwise(F.col(f"_last.{f}"))
-    some = filled | (F.coalesce("got", F.lit(0)) > 0)
-    extra = [x for x in orders.columns if x not in (*one, "side", "price", "size", "place_seq", "place_time", "max_wait")]
-    out = every.select(
-        *one, *extra, "model", "place_seq", "side", "price", "size",
-        F.when(filled, F.col("size")).otherwise(F.coalesce("got", F.lit(0))).alias("filled_qty"),
-        F.when(filled, F.col("_whole.seq")).otherwise(F.col("last_fill.seq")).alias("fill_seq"),
-        F.when(filled, F.col("_whole.time")).otherwise(F.col("last_fill.time")).alias("fill_time"),
-        F.when(some, F.col("price")).otherwise(0).alias("fill_price"),
-        pick("seq", F.col("_to_seq")).alias("end_seq"), pick("time", F.col("deadline")).alias("end_time"),
-        reason.alias("end_reason"), "queue_ahead",
-    )
-    refused = placed.where("rejected").withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).select(
-        *one, *extra, "model", "place_seq", "side", "price", "size",
-        F.lit(0).cast("long").alias("filled_qty"), F.lit(None).cast("long").alias("fill_seq"),
-        F.lit(None).cast("double").alias("fill_time"), F.lit(0).cast("long").alias("fill_price"),
-        F.col("place_seq").alias("end_seq"), F.col("place_time").alias("end_time"),
-        F.lit("rejected").alias("end_reason"), "queue_ahead",
-    )
-    return out.unionByName(refused)
+    placed = stored(place(tape, check_orders(orders, models), by).join(last, by).withColumns({"last_seq": F.col("_last.seq"), "last_time": F.col("_last.time")}).drop("_last"))
+    longest = placed.where("not rejected").agg(F.max("max_wait")).first()[0] or 0.0
+    width = max(float(width), float(longest) + 1e-6)
+    deep = lambda c: F.element_at(c, -1)["price"]
+    msg = tape.select(
+        *by, "seq", F.col("time").cast("double").alias("time"), "type", F.coalesce("order_id", F.lit(0)).alias("order_id"), "size", "price", "direction",
+        F.coalesce("bid_price", F.lit(-NO_PRICE)).alias("bid"), F.coalesce("ask_price", F.lit(NO_PRICE)).alias("ask"),
+        F.coalesce(deep("bids"), F.lit(-NO_PRICE)).alias("deep_bid"), F.coalesce(deep("asks"), F.lit(NO_PRICE)).alias("deep_ask"))
+    own = F.floor(F.col("time") / width)
+    msg = msg.withColumn("_b", F.explode(F.array(own - 1, own)))
+    live = placed.withColumn("_b", F.floor(F.col("place_time") / width))
+    extra = [x for x in orders.columns if x not in (*by, "order", "side", "price", "size", "place_seq", "place_time", "max_wait")]
+    kept = [*by, "order", *extra]
+    longs, whole, num = ("place_seq", "side", "price", "size", "queue_ahead", "last_seq"), T.LongType(), T.DoubleType()
+    schema = T.StructType([*[placed.schema[c] for c in kept], T.StructField("model", T.StringType()), *[placed.schema[c] for c in ("place_seq", "side", "price", "size")],
+                           *[T.StructField(c, kind) for c, kind in (("filled_qty", whole), ("fill_seq", whole), ("fill_time", num), ("fill_price", whole), ("end_seq", whole), ("end_time", num),
+                                                                    ("end_reason", T.StringType()), ("queue_ahead", whole))]])
+    names = to_arrow_schema(schema)
+
+    def bucket(o: pa.Table, msgs: pa.Table) -> pa.Table:
+        if not o.num_rows:
+            return names.empty_table()
+        msgs = msgs.sort_by("seq")
+        m = {c: msgs.column(c).to_numpy() for c in msgs.column_names if c not in by}
+        m = {c: v if c == "time" else v.astype(np.int64) for c, v in m.items()}
+        refused = o.column("rejected").to_numpy()
+        terms = {c: o.column(c).to_numpy().astype(np.int64) for c in longs} | {c: o.column(c).to_numpy() for c in ("deadline", "place_time", "last_time")}
+        n = len(m["seq"])
+        row = lambda c, at: np.append(m[c], 0)[np.minimum(at, n)]
+        out = []
+        for model, r in zip(models, _replay(terms, m, models), strict=True):
+            filled, late = r["whole"] < n, terms["last_time"] > terms["deadline"]
+            halted = (r["halt"] < n) & (r["halt"] <= r["left"])
+            why = [refused, filled, halted, r["left"] < n, late]
+            reason = np.select(why, ["rejected", "filled", "halt", "level_exit", "timeout"], "end_of_data")
+            end = np.select(why, [n, r["whole"], r["halt"], r["left"], np.maximum(r["over"] - 1, 0)], n)
+            at_end = [refused, filled | halted | (r["left"] < n), late]
+            end_seq = np.select(at_end, [terms["place_seq"], row("seq", end), row("seq", end)], terms["last_seq"])
+            end_time = np.select(at_end, [terms["place_time"], row("time", end), terms["deadline"]], terms["last_time"])
+            got = np.where(refused, 0, r["got"])
+            no_fill = refused | (r["fill"] >= n)
+            cols = {"model": pa.array([model] * len(got)), "filled_qty": pa.array(got), "fill_seq": pa.array(row("seq", r["fill"]), mask=no_fill), "fill_time": pa.array(row("time", r["fill"]), mask=no_fill),
+                    "fill_price": pa.array(np.where(got > 0, terms["price"], 0)), "end_seq": pa.array(end_seq), "end_time": pa.array(end_time), "end_reason": pa.array(reason.tolist())}
+            out.append(pa.table([cols.get(f.name, o.column(f.name) if f.name in o.column_names else None).cast(f.type) for f in names], schema=names))
+        return pa.concat_tables(out)
+
+    return live.groupBy(*by, "_b").cogroup(msg.groupBy(*by, "_b")).applyInArrow(bucket, schema)
