@@ -163,8 +163,6 @@ class Encoder:
                 self._add(ids, np.diff(last, prepend=-1))
             except ValueError:  # bytes that are no text: each piece alone
                 self._add(*self._whole([x.decode(errors="replace") for x in some]))
-            for x in some:
-                self.slot[x] = len(self.slot)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many of each text) of texts given by their bytes and offsets."""
@@ -179,22 +177,25 @@ class Encoder:
         cut[at] = True
         place = np.flatnonzero(cut)
         words = pa.Array.from_buffers(pa.large_binary(), len(place) - 1, [None, pa.py_buffer(place.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-        names = words.dictionary.to_pylist()
-        first = np.unique(words.indices.to_numpy(), return_index=True)[1] if names else np.zeros(0, np.int64)
-        apart = ~(inner[place[first]] & (inner[place[first + 1]]))  # at an edge of a text
-        new = [x not in self.slot for x in names]
-        if len(self.slot) + sum(new) > MEMO and self.slot:
+        names, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        first = np.zeros(len(names), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        known = self.slot.get
+        slot = np.fromiter((known(x, -1) for x in names), np.int64, len(names))
+        new = np.flatnonzero(slot < 0)
+        if len(self.slot) + len(new) > MEMO and self.slot:
             self.forget()
-            new = [True] * len(names)
-        self._learn([x for x, n, a in zip(names, new, apart, strict=True) if n and not a])
-        alone = [x for x, n, a in zip(names, new, apart, strict=True) if n and a]
+            new = np.arange(len(names))
+        apart = ~(inner[place[first[new]]] & inner[place[first[new] + 1]])  # at an edge of a text
+        joined, alone = ([names[i] for i in new[x]] for x in (~apart, apart))
+        slot[np.concatenate([new[~apart], new[apart]])] = len(self.slot) + np.arange(len(new))
+        self._learn(joined)
         if alone:
             self._add(*self._whole([x.decode(errors="replace") for x in alone]))
-            for x in alone:
-                self.slot[x] = len(self.slot)
+        self.slot.update(zip([*joined, *alone], range(len(self.slot), len(self.slot) + len(new)), strict=True))
         for kept in (self.flat, self.begin, self.count):
             kept[:] = [np.concatenate(kept)]
-        slot = np.fromiter((self.slot[x] for x in names), np.int64, len(names))[words.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        slot = slot[which]
         n, row = self.count[0][slot], np.searchsorted(at, place[:-1], "right") - 1
         place_of = np.repeat(self.begin[0][slot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return self.flat[0][place_of], np.bincount(row, n, len(at) - 1).astype(np.int64)
