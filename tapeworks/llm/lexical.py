@@ -4,8 +4,8 @@ Documents with the same normaliser m (a function of their length) form a stratum
 documents of neighbouring strata; its postings stand by term, stratum and falling tf, so what a term adds to a score depends on
 (stratum, tf) alone and is computed once for each such group. The first group of a term in a stratum gives the term's largest
 addition there, and their weighted sum bounds every score of the stratum. A query visits the strata of a block in the order of that
-bound and stops at the first that cannot reach its floor: the k-th best score that the single best strata of all blocks gave in a
-first pass, or the k-th best of this block. Scores are whole numbers and exact.
+bound and stops at the first that cannot reach its floor: the k-th best of the scores that a first pass took from the best stratum of
+each block (some documents of each, as all blocks together give k), or the k-th best of this block. Scores are whole numbers and exact.
 
 The length histogram (by the 8 leading bits of the length, so of bounded size) deals documents out by length and splits a length
 that many share; nothing is sorted or sampled. Postings are kept for the terms of the queries if these are at most VOCABULARY
@@ -41,6 +41,7 @@ TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 VOCABULARY = 1 << 22
 QUERY_TERMS = 1 << 20
 PART_TERMS = 1 << 21  # terms of the texts of one part of the index
+DOC_COST = 200  # a document counts as so many terms more when they are dealt out
 BLOCK_DOCS, BLOCK_POSTINGS = 8192, 1 << 20
 LENGTH_BITS = 8
 SCALE = 1_000_000_000
@@ -159,9 +160,9 @@ def build(docs: DataFrame, vocabulary: np.ndarray | None = None, doc_id: str = "
     bins = sorted(tuple(r) for r in lengths.groupBy("bin").agg(F.count(F.lit(1)), F.sum("n")).collect())  # at most 2 ** LENGTH_BITS rows for each doubling
     n_docs, n_terms = sum(r[1] for r in bins), sum(r[2] for r in bins)
     parts = max(-(-n_terms // PART_TERMS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    upto = np.cumsum([r[2] for r in bins]) if bins else np.ones(1)
-    first = (np.concatenate([[0], upto[:-1]]) * parts // max(n_terms, 1)).astype(np.int64)
-    last = np.minimum((upto - 1) * parts // max(n_terms, 1), parts - 1).astype(np.int64)
+    upto = np.cumsum([r[2] + DOC_COST * r[1] for r in bins]) if bins else np.ones(1, np.int64)
+    first = np.concatenate([[0], upto[:-1]]) * parts // upto[-1]
+    last = (upto - 1) * parts // upto[-1]
     kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("doc_id", rows.schema["_id"].dataType), T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
     dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(1 << 40)))
     dealt = dealt.mapInArrow(partial(_forward, vocabulary, np.array([r[0] for r in bins], np.int64), first, last), kind)
@@ -258,15 +259,15 @@ def search(index: Index, asked: DataFrame, k: int = TOP) -> DataFrame:
     packed = stored(asked.join(dfs, "term").withColumn("w", weight).where("w > 0").groupBy("item_id").agg(F.collect_list(F.struct("term", "w")).alias("terms")))  # of one query
     kind = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("doc_id", index.blocks.schema["docs"].dataType.elementType), T.StructField("score", T.LongType())])
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    at, done = folder(spark), 0
+    at, done, n_blocks = folder(spark), 0, max(index.blocks.count(), 1)
 
     def answer(items: list, queries: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        run = lambda floors, first: index.blocks.mapInArrow(partial(_search, queries, floors, k, first), kind).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        run = lambda floors, each, first: index.blocks.mapInArrow(partial(_search, queries, floors, each, first), kind).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         floors = np.zeros(len(queries), np.int64)
-        for r in run(floors, True).where(F.col("rank") == k).select("q", "score").collect():
+        for r in run(floors, min(max(4 * k // n_blocks, 1), k), True).where(F.col("rank") == k).select("q", "score").collect():
             floors[r[0]] = r[1]
         names = spark.createDataFrame(list(enumerate(items)), T.StructType([T.StructField("q", T.IntegerType()), asked.schema["item_id"]]))
-        run(floors, False).join(names, "q").select("item_id", "rank", "doc_id", "score").write.parquet(f"{at}/block={done}")
+        run(floors, k, False).join(names, "q").select("item_id", "rank", "doc_id", "score").write.parquet(f"{at}/block={done}")
 
     items, queries, held = [], [], 0
     for r in packed.toLocalIterator():
