@@ -2,8 +2,8 @@
 
 Every order depends only on its own terms and the messages while it rests. The clock is cut into buckets at least as long as
 the longest wait; an order goes to the bucket it is placed in, a message to its own bucket and the one before, so two copies of
-the tape are dealt out however many orders rest, and a task holds one bucket of one stock with the wait after it. There all
-orders are worked on together, as columns:
+the tape are dealt out however many orders rest, and a task's call holds one bucket of one stock with the wait after it, or
+several small ones. There all orders are worked on together, as columns:
 
 * the first row that can end an order (a print or the opposite quote beyond its price, its level out of view) is found by
   doubling steps over range maxima;
@@ -32,6 +32,7 @@ BUCKET_SECONDS = 300.0
 EVERY, MAX_WAIT, SIZE = 5.0, 60.0, 100
 HORIZONS = (0.1, 1.0, 10.0, 60.0)
 TRADES = (4, 5)
+CALL_ROWS = 1 << 17  # messages worked on together, where buckets are smaller
 
 
 def sample_orders(tape: DataFrame, every: float = EVERY, max_wait: float = MAX_WAIT, size: int = SIZE,
@@ -160,16 +161,22 @@ def _walk(model: str, runs: tuple[np.ndarray, np.ndarray], first: np.ndarray, qu
     return size - left, last, full
 
 
+def _places(group_m: np.ndarray, x: np.ndarray, group_o: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many rows (group, x), sorted so, stand at or before each (group, y)."""
+    rank = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+    span = np.int64(len(rank) + 1)
+    return np.searchsorted(group_m * span + rank[: len(x)], group_o * span + rank[len(x) :], "right")
+
+
 def _replay(orders: dict[str, np.ndarray], m: dict[str, np.ndarray], models: Sequence[str]) -> list[dict[str, np.ndarray]]:
-    """What becomes of orders placed in one bucket under each model, from the messages (by seq) of it and the next."""
-    n, seq, time, kind = len(m["seq"]), m["seq"], m["time"], m["type"]
+    """What becomes of orders under each model, from the messages of their groups (a bucket and the next), by group and seq."""
+    n, kind, g_m, g_o = len(m["seq"]), m["type"], m["group"], orders["group"]
     side, price, size, queue = (orders[c] for c in ("side", "price", "size", "queue_ahead"))
     buy = side > 0
     none = np.int64(-(1 << 60))
     trade = np.isin(kind, TRADES)
-    first = np.searchsorted(seq, orders["place_seq"], "right")
-    over = np.searchsorted(time, orders["deadline"], "right")  # the first row after the deadline
-    over = np.maximum(over, first)
+    first = _places(g_m, m["seq"], g_o, orders["place_seq"])
+    over = np.maximum(_places(g_m, m["time"], g_o, orders["deadline"]), first)  # the first row after the deadline
 
     def reach(for_buy: np.ndarray, of_buy: np.ndarray, for_sell: np.ndarray, of_sell: np.ndarray) -> np.ndarray:
         """The first row after each placement at which the quantity of its side reaches the order's."""
@@ -189,8 +196,8 @@ def _replay(orders: dict[str, np.ndarray], m: dict[str, np.ndarray], models: Seq
     span = np.int64(n + 1)
     level_of = lambda p, s: 2 * p + (s > 0)
     shown = np.flatnonzero((kind >= 1) & (kind <= 4))
-    keys, of = np.unique(np.concatenate([level_of(m["price"][shown], m["direction"][shown]), level_of(price, side)]), return_inverse=True)
-    own, mine = of[: len(shown)], of[len(shown) :]
+    levels, of = np.unique(np.concatenate([level_of(m["price"][shown], m["direction"][shown]), level_of(price, side)]), return_inverse=True)
+    own, mine = g_m[shown] * len(levels) + of[: len(shown)], g_o * len(levels) + of[len(shown) :]
     turn = np.lexsort((shown, own))
     rows, own = shown[turn], own[turn]
     place = own * span + rows
@@ -199,15 +206,16 @@ def _replay(orders: dict[str, np.ndarray], m: dict[str, np.ndarray], models: Seq
 
     prints = np.flatnonzero(trade)
     known, at = np.unique(np.concatenate([m["price"][prints], price]), return_inverse=True)
+    at = np.concatenate([g_m[prints], g_o]) * len(known) + at
     turned = np.lexsort((prints, at[: len(prints)]))
-    print_place = at[: len(prints)][turned] * span + prints[turned]
+    print_place = np.append(at[: len(prints)][turned] * span + prints[turned], np.iinfo(np.int64).max)
 
     out = []
     for model in models:
         got, last, full = np.zeros(len(side), np.int64), np.full(len(side), n), np.full(len(side), n)
         if model == "touch":
             hit = np.searchsorted(print_place, at[len(prints) :] * span + first)
-            row = np.append(print_place, (len(known) + 1) * span)[hit] - at[len(prints) :] * span
+            row = print_place[hit] - at[len(prints) :] * span
             full = np.where(row < stop, row, n)
             last, got = full, np.where(full < n, size, 0)
         elif model != "through":
@@ -223,20 +231,24 @@ def simulate(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODELS,
     """One row per order and model: filled_qty, fill_seq, fill_time, fill_price, end_seq, end_time, end_reason,
     queue_ahead. End reasons: filled, timeout, level_exit, halt, end_of_data, rejected.
 
-    `width`: seconds of a bucket, the longest wait if that is longer."""
+    `width`: seconds of a bucket, the longest wait if that is longer. Small buckets share a task's call, large ones have their own."""
     by = list(by)
-    last = tape.groupBy(*by).agg(F.max(F.struct("seq", "time")).alias("_last"))
-    placed = stored(place(tape, check_orders(orders, models), by).join(last, by).withColumns({"last_seq": F.col("_last.seq"), "last_time": F.col("_last.time")}).drop("_last"))
-    longest = placed.where("not rejected").agg(F.max("max_wait")).first()[0] or 0.0
-    width = max(float(width), float(longest) + 1e-6)
+    last = tape.groupBy(*by).agg(F.max(F.struct("seq", "time")).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    placed = place(tape, check_orders(orders, models), by).join(last, by)
+    placed = stored(placed.withColumns({"last_seq": F.col("_last.seq"), "last_time": F.col("_last.time")}).drop("_last"))
+    rows, longest = placed.groupBy(*by).agg(F.first("_rows").alias("_rows"), F.max(F.when(~F.col("rejected"), F.col("max_wait"))).alias("_w")).agg(F.sum("_rows"), F.max("_w")).first()
+    width = max(float(width), float(longest or 0.0) + 1e-6)
+    calls = -(-2 * (rows or 0) // CALL_ROWS) or 1
     deep = lambda c: F.element_at(c, -1)["price"]
     msg = tape.select(
         *by, "seq", F.col("time").cast("double").alias("time"), "type", F.coalesce("order_id", F.lit(0)).alias("order_id"), "size", "price", "direction",
         F.coalesce("bid_price", F.lit(-NO_PRICE)).alias("bid"), F.coalesce("ask_price", F.lit(NO_PRICE)).alias("ask"),
         F.coalesce(deep("bids"), F.lit(-NO_PRICE)).alias("deep_bid"), F.coalesce(deep("asks"), F.lit(NO_PRICE)).alias("deep_ask"))
     own = F.floor(F.col("time") / width)
-    msg = msg.withColumn("_b", F.explode(F.array(own - 1, own)))
-    live = placed.withColumn("_b", F.floor(F.col("place_time") / width))
+    call = F.pmod(F.xxhash64(*by, "_b"), F.lit(calls))
+    msg = msg.withColumn("_b", F.explode(F.array(own - 1, own))).withColumn("_call", call)
+    live = placed.drop("_rows").withColumn("_b", F.floor(F.col("place_time") / width)).withColumn("_call", call)
+    groups = [*by, "_b"]
     extra = [x for x in orders.columns if x not in (*by, "order", "side", "price", "size", "place_seq", "place_time", "max_wait")]
     kept = [*by, "order", *extra]
     longs, whole, num = ("place_seq", "side", "price", "size", "queue_ahead", "last_seq"), T.LongType(), T.DoubleType()
@@ -248,11 +260,15 @@ def simulate(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODELS,
     def bucket(o: pa.Table, msgs: pa.Table) -> pa.Table:
         if not o.num_rows:
             return names.empty_table()
-        msgs = msgs.sort_by("seq")
-        m = {c: msgs.column(c).to_numpy() for c in msgs.column_names if c not in by}
-        m = {c: v if c == "time" else v.astype(np.int64) for c, v in m.items()}
+        group = np.zeros(o.num_rows + msgs.num_rows, np.int64)
+        for c in groups:
+            codes = pa.chunked_array([*o.column(c).chunks, *msgs.column(c).chunks]).combine_chunks().dictionary_encode("encode")
+            group = np.unique(group * len(codes.dictionary) + codes.indices.to_numpy(), return_inverse=True)[1]
+        m = {c: msgs.column(c).to_numpy() for c in msgs.column_names if c not in groups} | {"group": group[o.num_rows :]}
+        turn = np.lexsort((m["seq"], m["group"]))
+        m = {c: v[turn] if c == "time" else v[turn].astype(np.int64) for c, v in m.items()}
         refused = o.column("rejected").to_numpy()
-        terms = {c: o.column(c).to_numpy().astype(np.int64) for c in longs} | {c: o.column(c).to_numpy() for c in ("deadline", "place_time", "last_time")}
+        terms = {"group": group[: o.num_rows]} | {c: o.column(c).to_numpy().astype(np.int64) for c in longs} | {c: o.column(c).to_numpy() for c in ("deadline", "place_time", "last_time")}
         n = len(m["seq"])
         row = lambda c, at: np.append(m[c], 0)[np.minimum(at, n)]
         out = []
@@ -272,4 +288,4 @@ def simulate(tape: DataFrame, orders: DataFrame, models: Sequence[str] = MODELS,
             out.append(pa.table([cols.get(f.name, o.column(f.name) if f.name in o.column_names else None).cast(f.type) for f in names], schema=names))
         return pa.concat_tables(out)
 
-    return live.groupBy(*by, "_b").cogroup(msg.groupBy(*by, "_b")).applyInArrow(bucket, schema)
+    return live.groupBy("_call").cogroup(msg.groupBy("_call")).applyInArrow(bucket, schema)
