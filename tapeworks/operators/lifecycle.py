@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeworks.functions.shared import stored
-from tapeworks.operators.scan import CHUNK_ROWS, cut, ordered_scan
+from tapeworks.operators.scan import CHUNK_ROWS, cut, one_piece, ordered_scan
 from tapeworks.operators.tape import KEYS, NO_PRICE
 
 ALL_SHARES = 1 << 50
@@ -40,11 +40,16 @@ def order_steps(events: DataFrame) -> DataFrame:
 
 def lifetimes(events: DataFrame, by: Sequence[str] = ("day",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Steps with the shares left before them, and the step that started the order (NULL: unknown reference)."""
+    steps = stored(order_steps(events))
+    return _lifetimes(steps, by, chunk_rows, one_piece(steps, "step", chunk_rows))
+
+
+def _lifetimes(steps: DataFrame, by: Sequence[str], chunk_rows: int, short: bool) -> DataFrame:
     keys = [*by, "ref"]
-    s = ordered_scan(order_steps(events), keys, "step", sums={"_cum": F.col("take")}, chunk_rows=chunk_rows)
+    s = ordered_scan(steps, keys, "step", sums={"_cum": F.col("take")}, chunk_rows=chunk_rows, short=short)
     start = F.when(F.col("starts"), F.struct(F.col("shares").alias("shares"), F.col("price").alias("price"), F.col("side").alias("side"),
                                              F.col("_cum").alias("cum"), F.col("step").alias("step")))
-    s = ordered_scan(s, keys, "step", ffill={"_start": start}, chunk_rows=chunk_rows)
+    s = ordered_scan(s, keys, "step", ffill={"_start": start}, chunk_rows=chunk_rows, short=short)
     left = F.greatest(F.col("_start.shares") - (F.col("_cum") - F.col("take") - F.col("_start.cum")), F.lit(0))
     return s.withColumns({
         "left_before": F.when(~F.col("starts"), F.coalesce(left, F.lit(0))), "start_step": F.col("_start.step"),
@@ -62,13 +67,15 @@ def shares_left(events: DataFrame, by: Sequence[str] = ("day",)) -> DataFrame:
 def audit(events: DataFrame, by: Sequence[str] = ("day",), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per day: references by type to unknown or finished orders, peak live orders, orders left at the end."""
     by = list(by)
-    s = lifetimes(events, by, chunk_rows)
+    steps = stored(order_steps(events))
+    short = one_piece(steps, "step", chunk_rows)
+    s = _lifetimes(steps, by, chunk_rows, short)
     done = ~F.col("starts") & F.col("matched") & (F.col("left_before") <= F.col("take"))
     again = F.col("starts") & (F.coalesce(F.col("_pl"), F.lit(0)) > 0)
     live_after = F.when(F.col("starts"), F.col("shares")).otherwise(F.greatest(F.col("left_before") - F.col("take"), F.lit(0)))
-    s = ordered_scan(s.withColumn("_la", live_after), [*by, "ref"], "step", lags={"_pl": F.col("_la")}, chunk_rows=chunk_rows)
+    s = ordered_scan(s.withColumn("_la", live_after), [*by, "ref"], "step", lags={"_pl": F.col("_la")}, chunk_rows=chunk_rows, short=short)
     change = F.when(done, -1).when(again, 0).when(F.col("starts"), 1).otherwise(0)
-    run = ordered_scan(s.withColumn("_chg", change), by, "step", sums={"_live": F.col("_chg")}, chunk_rows=chunk_rows)
+    run = ordered_scan(s.withColumn("_chg", change), by, "step", sums={"_live": F.col("_chg")}, chunk_rows=chunk_rows, short=short)
     miss = lambda k: F.count_if((F.col("msg") == k) & ~F.col("starts") & ~F.col("matched")).alias(f"unmatched_{k}")
     return run.groupBy(*by).agg(
         F.count_if(~F.col("starts")).alias("references"), *[miss(k) for k in REDUCERS],

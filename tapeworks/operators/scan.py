@@ -18,6 +18,22 @@ CHUNK_ROWS = 1_000_000  # row positions per piece; a piece holds at most this ma
 SLOT_SECONDS = 900.0  # clock seconds per as-of piece
 
 
+def one_piece(df: DataFrame, seq: str, chunk_rows: int = CHUNK_ROWS) -> bool:
+    """Do all rows fall into one piece? One aggregate of one column."""
+    lo, hi = df.agg(F.min(seq), F.max(seq)).first()
+    return lo is None or lo // chunk_rows == hi // chunk_rows
+
+
+def _plain_scan(df: DataFrame, by: list[str], seq: str, sums: dict, lags: dict, leads: dict, ffill: dict, bfill: dict) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(seq)
+    upto, beyond = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    out = {n: F.coalesce(F.sum(e).over(upto), F.lit(0)) for n, e in sums.items()}
+    out |= {n: F.lag(e).over(w) for n, e in lags.items()} | {n: F.lead(e).over(w) for n, e in leads.items()}
+    out |= {n: F.last(e, ignorenulls=True).over(upto) for n, e in ffill.items()} | {n: F.first(e, ignorenulls=True).over(beyond) for n, e in bfill.items()}
+    kept = [x for x in df.columns if x not in out]
+    return df.withColumns({f"_out_{n}": e for n, e in out.items()}).select(*kept, *[F.col(f"_out_{n}").alias(n) for n in out])
+
+
 def ordered_scan(
     df: DataFrame,
     by: Sequence[str],
@@ -29,12 +45,16 @@ def ordered_scan(
     ffill: dict[str, Column] | None = None,
     bfill: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    short: bool | None = None,
 ) -> DataFrame:
     """Add running values per group `by` in the order of `seq` (an integer, unique within the group).
 
     sums: running sum including the row. lags / leads: value of the previous / next row.
     ffill: last non-NULL value at or before the row. bfill: first non-NULL value strictly after it.
+    short: whether no group has rows in two pieces, so that plain windows do; None: seen from the range of `seq`.
     """
+    if one_piece(df, seq, chunk_rows) if short is None else short:
+        return _plain_scan(df, list(by), seq, sums or {}, lags or {}, leads or {}, ffill or {}, bfill or {})
     sums, lags, leads = sums or {}, lags or {}, leads or {}
     ffill, bfill = ffill or {}, bfill or {}
     by = list(by)
@@ -144,9 +164,9 @@ def avg_rank(value: str, parts: Sequence[str]) -> Column:
 
 
 def islands(df: DataFrame, by: Sequence[str], seq: str, starts: Column, out: str = "island",
-            chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+            chunk_rows: int = CHUNK_ROWS, short: bool | None = None) -> DataFrame:
     """Number the runs of a group: a new run begins where `starts` holds."""
-    return ordered_scan(df, by, seq, sums={out: F.when(starts, 1).otherwise(0)}, chunk_rows=chunk_rows)
+    return ordered_scan(df, by, seq, sums={out: F.when(starts, 1).otherwise(0)}, chunk_rows=chunk_rows, short=short)
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
