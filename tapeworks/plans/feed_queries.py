@@ -209,6 +209,6 @@ def _(spark, sf):
     maps = table(spark, sf, "customer").select(F.explode(F.array(F.lit("kalshi"), F.lit("polymarket"))).alias("source"), F.col("c_custkey").alias("quote_id"),
                                                F.col("c_custkey").alias("contract_id"), F.lit(False).alias("invert"))
     at = jobs.shared_folder(spark)
-    run = jobs.intake(q, pr.book_columns(books(spark, sf)), maps, at)
-    run.awaitTermination()
-    return spark.read.parquet(f"{at}/pooled/{jobs.last_batch(run)}").select("contract_id", "p", "lo", "hi", "n_refs")
+    held = pr.book_columns(books(spark, sf))
+    jobs.intake(q, held, maps, at).awaitTermination()
+    return jobs.newest(spark, jobs.pooled_table(at, held, q, maps)).select("contract_id", "p", "lo", "hi", "n_refs")

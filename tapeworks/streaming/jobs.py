@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from tapeworks.functions.shared import folder as shared_folder
+from tapeworks.functions.shared import stored
 from tapeworks.operators import proposals
 
+CLOSE_NS = 20 * 3600 * 10**9  # the exchange's last event of a day, 20:00
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,36 +31,53 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 class OrderAudit(StatefulProcessor):
-    """Shares left of one order; emits steps that name an unknown or finished order. Empty state is dropped."""
+    """Shares left of one order; emits steps that name an unknown or finished order. Empty state is dropped, and a timer
+    forgets an order that is never used up, once its day has closed behind the watermark."""
+
+    def __init__(self, close_ns: int = CLOSE_NS) -> None:
+        self.close_ns = close_ns
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.left = handle.getValueState("left", "left long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("step")
-        now = self.left.get()[0] if self.left.exists() else 0
-        bad = []
-        for r in pdf.itertuples():
-            if r.starts:
-                now = int(r.shares)
-            elif now <= 0:
-                bad.append((r.day, r.ref, r.seq, r.msg))
-            else:
-                now = max(0, now - int(r.take))
-        if now > 0:
-            self.left.update((now,))
-        else:
+        known = self.left.exists()
+        starts = pdf["starts"].to_numpy(bool)
+        life = starts.cumsum()  # 0: the order that was there before
+        taken = np.where(starts, 0, pdf["take"].to_numpy(np.int64)).cumsum()
+        begun = np.append(0, taken[starts])
+        base = np.append(self.left.get()[0] if known else 0, pdf["shares"].to_numpy()[starts].astype(np.int64))
+        after = base[life] - (taken - begun[life])
+        before = after + np.diff(taken, prepend=0)
+        if after[-1] > 0:
+            self.left.update((int(after[-1]),))
+            if not known:
+                self.handle.registerTimer(self._closed(key[0]))
+        elif known:
             self.left.clear()
-        yield pd.DataFrame(bad, columns=["day", "ref", "seq", "msg"])
+        yield pdf.loc[~starts & (before <= 0), ["day", "ref", "seq", "msg"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.left.clear()
+        return iter(())
+
+    def _closed(self, day) -> int:
+        at = pd.Timestamp(day).tz_localize("UTC")
+        return int(at.timestamp() * 1000) + self.close_ns // 1_000_000 + 1
 
     def close(self) -> None:
         pass
 
 
-def order_audit(steps: DataFrame) -> DataFrame:
-    """Unmatched references of a stream of order steps (lifecycle.order_steps), per (day, ref)."""
+def order_audit(steps: DataFrame, close_ns: int = CLOSE_NS, late: str = "2 hours") -> DataFrame:
+    """Unmatched references of a stream of order steps (lifecycle.order_steps), per (day, ref). Steps that come later than `late`
+    behind the newest of earlier batches are dropped; a day's orders are forgotten once the watermark has passed its close."""
     schema = T.StructType([steps.schema[k] for k in ("day", "ref", "seq", "msg")])
-    return steps.groupBy("day", "ref").transformWithStateInPandas(OrderAudit(), schema, "Append", "None")
+    at = (F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("ts_ns") / 1e9).cast("timestamp")
+    timed = steps.withColumn("at", at).withWatermark("at", late)
+    return timed.groupBy("day", "ref").transformWithStateInPandas(OrderAudit(close_ns), schema, "Append", "EventTime")
 
 
 class FlowEvents(StatefulProcessor):
@@ -100,11 +120,6 @@ def open_buckets(flows: DataFrame, closed: DataFrame, width: str = "10 seconds")
     return w.select("ticker", F.col("window.start").alias("start"), "flow", "n").join(closed.select("ticker", "start"), ["ticker", "start"], "left_anti")
 
 
-def last_batch(run) -> int:
-    """Number of the last micro-batch of a run that had rows."""
-    return max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=0)
-
-
 class CoolDown(StatefulProcessor):
     """Lets a contract's proposal through if none went out in the last hours, or the numbers moved. What went out last is
     forgotten by a timer once those hours lie behind the watermark: from then on it can hold nothing back."""
@@ -157,22 +172,92 @@ def _latest(quotes: DataFrame) -> DataFrame:
     return newest.select(*[F.col(c) if c in ("source", "quote_id") else F.col(f"_q.{c}").alias(c) for c in quotes.columns])
 
 
+class Buckets:
+    """A table of rows by key in PARTS buckets, one folder for each version of a bucket, and a manifest (bucket, version) for each
+    batch. A batch writes the buckets that it touches and a manifest; it reads by the manifest of the batch before, so a batch
+    that is run again gives the same table. Versions that no manifest since the batch before names are deleted."""
+
+    PARTS = 64
+
+    def __init__(self, folder: str, keys: list[str], schema: T.StructType, parts: int = PARTS) -> None:
+        self.folder, self.keys, self.schema, self.parts = folder, keys, schema, parts
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+
+    def manifest(self, spark: SparkSession, number: int) -> dict[int, int]:
+        """At most PARTS rows."""
+        return {r["bucket"]: r["version"] for r in spark.read.schema("bucket int, version int").parquet(f"{self.folder}/manifest/{number}").collect()} if number >= 0 else {}
+
+    def read(self, spark: SparkSession, number: int, only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.folder}/{b}/{v}" for b, v in sorted(self.manifest(spark, number).items()) if only is None or b in only]
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+    def put(self, spark: SparkSession, number: int, touched: set[int], rows: DataFrame) -> None:
+        """The new rows of the touched buckets, all that they hold."""
+        at = f"{self.folder}/new/{number}"
+        rows.withColumn("_b", self.bucket()).repartition("_b").write.mode("overwrite").partitionBy("_b").parquet(at)
+        names = self.manifest(spark, number - 1)
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for b in sorted(touched):  # a rename of a folder each; a bucket left without rows is an empty folder
+            to = path(f"{self.folder}/{b}/{number}")
+            fs.delete(to, True)
+            fs.mkdirs(to.getParent())
+            fresh = path(f"{at}/_b={b}")
+            if not (fs.rename(fresh, to) if fs.exists(fresh) else fs.mkdirs(to)):
+                raise OSError(f"could not write {to}")
+            for old in fs.listStatus(to.getParent()):
+                version = int(old.getPath().getName())
+                if version < names.get(b, number) and version != number:
+                    fs.delete(old.getPath(), True)
+        fs.delete(path(at), True)
+        now = [(b, v) for b, v in (names | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(now, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/{number}")
+        if number >= 2:
+            fs.delete(path(f"{self.folder}/manifest/{number - 2}"), True)
+
+    def touched(self, rows: DataFrame) -> set[int]:
+        return {r[0] for r in rows.select(self.bucket()).distinct().collect()}
+
+
+def quote_table(folder: str, quotes: DataFrame) -> Buckets:
+    return Buckets(f"{folder}/quotes", ["source", "quote_id"], quotes.schema)
+
+
+def pooled_table(folder: str, books: DataFrame, quotes: DataFrame, mappings: DataFrame) -> Buckets:
+    """Its columns are those that pooling gives."""
+    spark = books.sparkSession
+    none = spark.createDataFrame([], quotes.schema).join(mappings.select("source", "quote_id", "contract_id", "invert"), ["source", "quote_id"])
+    return Buckets(f"{folder}/pooled", ["contract_id"], proposals.pool(books, none).schema)
+
+
 def intake(quotes: DataFrame, books: DataFrame, mappings: DataFrame, folder: str):
     """Start a quote stream: each micro-batch is merged into the table of latest quotes (one per source and id), and the
-    contracts that its quotes serve are pooled again; the others keep their row. Both tables live under `folder`, one
-    version per batch, so that a batch that is run again reads the same version before it."""
+    contracts that its quotes serve are pooled again; the others keep their row. Both are tables in buckets under `folder`: a
+    batch reads and writes the buckets it touches only."""
+    latest, pooled = quote_table(folder, quotes), pooled_table(folder, books, quotes, mappings)
+
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         links = mappings.select("source", "quote_id", "contract_id", "invert")
-        new = _latest(batch)
-        merged = new if number == 0 else _latest(spark.read.schema(batch.schema).parquet(f"{folder}/quotes/{number - 1}").unionByName(new))
-        merged.write.mode("overwrite").parquet(f"{folder}/quotes/{number}")
-        touched = new.select("source", "quote_id").join(links, ["source", "quote_id"]).select("contract_id").distinct()
-        refs = spark.read.schema(batch.schema).parquet(f"{folder}/quotes/{number}").join(links.join(touched, "contract_id", "left_semi"), ["source", "quote_id"])
-        pooled = proposals.pool(books, refs)
-        if number > 0:
-            old = spark.read.schema(pooled.schema).parquet(f"{folder}/pooled/{number - 1}")
-            pooled = pooled.unionByName(old.join(touched, "contract_id", "left_anti"))
-        pooled.write.mode("overwrite").parquet(f"{folder}/pooled/{number}")
+        new = stored(_latest(batch))
+        hit = latest.touched(new)
+        latest.put(spark, number, hit, _latest(latest.read(spark, number - 1, hit).unionByName(new)))
+        served = stored(new.select("source", "quote_id").join(links, ["source", "quote_id"]).select("contract_id").distinct())
+        wanted = stored(links.join(served, "contract_id", "left_semi"))  # all quotes of the contracts to pool again
+        refs = latest.read(spark, number, latest.touched(wanted)).join(wanted, ["source", "quote_id"])
+        hit = pooled.touched(served)
+        kept = pooled.read(spark, number - 1, hit).join(served, "contract_id", "left_anti")
+        pooled.put(spark, number, hit, kept.unionByName(proposals.pool(books, refs)))
 
     return quotes.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def newest(spark: SparkSession, table: Buckets) -> DataFrame:
+    """The table as the last finished batch left it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(f"{table.folder}/manifest")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(x.getPath().getName()) for x in fs.listStatus(at) if fs.exists(path(x.getPath(), "_SUCCESS"))] if fs.exists(at) else []
+    return table.read(spark, max(done, default=-1))

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from tapeworks.operators import lifecycle as lc
 from tapeworks.streaming import jobs
 
 HOUR = 3600
@@ -70,8 +71,54 @@ def test_quote_intake_over_batches_equals_one(spark, tmp_path):
     maps = spark.createDataFrame([(s, q, q % 7, q % 2 == 0) for s in ("kalshi", "polymarket") for q in range(12)], "source string, quote_id long, contract_id long, invert boolean")
     got = []
     for name, cuts in (("a", ()), ("b", (30, 60, 90))):
-        run_ = jobs.intake(batches(spark, str(tmp_path / name), rows, schema, cuts), books, maps, str(tmp_path / f"{name}-out"))
-        run_.awaitTermination()
-        assert jobs.last_batch(run_) == len(cuts)
-        got.append(sorted((r["contract_id"], round(r["p"], 9), round(r["lo"], 9), round(r["hi"], 9), r["n_refs"]) for r in spark.read.parquet(f"{tmp_path}/{name}-out/pooled/{len(cuts)}").collect()))
+        src, out = batches(spark, str(tmp_path / name), rows, schema, cuts), str(tmp_path / f"{name}-out")
+        jobs.intake(src, books, maps, out).awaitTermination()
+        table = jobs.newest(spark, jobs.pooled_table(out, books, src, maps))
+        got.append(sorted((r["contract_id"], round(r["p"], 9), round(r["lo"], 9), round(r["hi"], 9), r["n_refs"]) for r in table.collect()))
+        assert (tmp_path / f"{name}-out/quotes/manifest/{len(cuts)}/_SUCCESS").exists()
+        assert jobs.newest(spark, jobs.quote_table(out, src)).count() == len({(r[0], r[1]) for r in rows})
     assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_bucketed_table_writes_what_a_batch_touches(spark, tmp_path):
+    """A batch writes its buckets only, can be run again, and versions that nothing names are gone."""
+    table = jobs.Buckets(str(tmp_path / "t"), ["k"], spark.createDataFrame([], "k long, v long").schema, parts=8)
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v long")
+    versions = lambda: sorted((int(p.parent.name), int(p.name)) for p in (tmp_path / "t").glob("[0-9]*/[0-9]*"))
+    first = frame([(k, 0) for k in range(200)])
+    table.put(spark, 0, table.touched(first), first)
+    assert versions() == [(b, 0) for b in range(8)] and table.read(spark, 0).count() == 200
+    for number in (1, 2, 2, 3):  # batch 2 is run again
+        new = frame([(7, number)])
+        hit = table.touched(new)
+        before = table.read(spark, number - 1, hit)
+        table.put(spark, number, hit, before.where("k <> 7").unionByName(new))
+        assert {(r["k"], r["v"]) for r in table.read(spark, number).collect()} == {(k, number if k == 7 else 0) for k in range(200)}
+        assert len(versions()) == 9  # the bucket in its last two versions, the others in one
+    assert jobs.newest(spark, table).where("k = 7").first()["v"] == 3
+
+
+def test_order_audit_over_batches_equals_the_batch_operator(spark, rocks, tmp_path):
+    """Unmatched references over five micro-batches and three days; orders never used up are forgotten after the close."""
+    rng = np.random.default_rng(6)
+    rows, start = [], dt.date(2024, 1, 2)
+    for day in range(3):
+        live = []
+        for i in range(80):
+            msg = str(rng.choice(list("AAAAEXDU"))) if live else "A"
+            ref = int(rng.choice(live[-12:])) if live and msg != "A" else 1000 * day + i
+            if rng.random() < 0.1:
+                ref = 10**6 + i
+            live += [1000 * day + i] if msg in "AU" else []
+            rows.append((start + dt.timedelta(days=day), "X", 1000 * day + i, int(34_200 + 10 * i) * 10**9, msg, ref, 1000 * day + i if msg == "U" else None, "B", int(rng.integers(1, 4)) * 100, 10000, None))
+    rows.append((start + dt.timedelta(days=9), "X", 99_999, 0, "A", 99_999, None, "B", 100, 10000, None))  # lets the watermark pass all others
+    rows.append((start + dt.timedelta(days=9), "X", 99_999 + 1, 0, "A", 99_999 + 1, None, "B", 100, 10000, None))
+    schema = "day date, ticker string, seq long, ts_ns long, msg string, ref long, new_ref long, side string, shares long, price long, state string"
+    src = batches(spark, str(tmp_path / "in"), rows, schema, (50, 100, 170, 241))
+    q, out = run(jobs.order_audit(lc.order_steps(src)), str(tmp_path / "q"))
+    life = lc.lifetimes(spark.createDataFrame(rows, schema))
+    want = sorted((r["day"], r["ref"], r["seq"], r["msg"]) for r in life.where("not starts and not matched").collect())
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 20
+    ran = [p for p in q.recentProgress if p["numInputRows"]]
+    assert len(ran) == 5 and max(p["stateOperators"][0]["numRowsTotal"] for p in ran) > 20
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6  # two orders and their timers are left
