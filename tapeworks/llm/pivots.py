@@ -4,7 +4,8 @@ Every vector's distances to PIVOTS vectors and to the origin are computed once a
 largest difference between a query's and a candidate's row of that table is a lower bound of their distance, hence an
 upper bound of their inner product (the origin's column alone is the bound by lengths). A task takes a block of queries
 and a block of candidates, evaluates each query's candidates in the order of the bound (then of the id), and stops at the
-first whose bound can't enter the best k. The best k of the blocks are merged by query.
+first whose bound can't enter the best k. Where the bounds eliminate little (vectors spread evenly in many dimensions) it stops
+reading pivots early and takes the remaining products together. The best k of the blocks are merged by query.
 
 Queries are a stated set against all rows, in blocks: a vector is sent once for each block of queries. Nothing is broadcast
 but the pivots.
@@ -30,6 +31,8 @@ from tapeworks.functions.shared import stored
 
 PIVOTS = 24
 QUERY_BLOCK, ROW_BLOCK, TOGETHER = 2048, 8192, 64
+STEP, WORTH = 6, 0.1  # pivots in a step; the share of the pairs left that a step must eliminate for the next one to be taken
+DENSE = 0.2  # share of pairs left above which products are taken together
 SAMPLE = 2000  # rows from which the pivots are picked
 
 
@@ -76,35 +79,62 @@ def _rows(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def search_block(k: int, q_id: np.ndarray, q: np.ndarray, q_d: np.ndarray, ids: np.ndarray, x: np.ndarray, x_d: np.ndarray) -> tuple[list, list, list, int]:
-    """The best k of each query among the rows: (query ids, ids, scores) and the number of products that were evaluated."""
+    """The best k of each query among the rows: (query ids, ids, scores) and the number of products that were evaluated.
+
+    Bounds by a few pivots name each query's most promising rows, whose products give it a floor; further pivots lower the bounds as
+    long as each step still eliminates enough of the pairs. Where few are left, a query takes its candidates in the order of the
+    bound; where most are, the rest of the products of all queries are one matrix product."""
     order = np.argsort(ids)
     ids, x, x_d = ids[order], x[order], x_d[order]
     x2, seen = (x * x).sum(1), 0
     out_q, out_i, out_s = [], [], []
     for a in range(0, len(q), TOGETHER):
-        part = q_d[a : a + TOGETHER]
-        bound = np.abs(part[:, :1] - x_d[:, 0])
-        for p in range(1, x_d.shape[1]):
-            np.maximum(bound, np.abs(part[:, p : p + 1] - x_d[:, p]), out=bound)
+        part, some = q_d[a : a + TOGETHER], q[a : a + TOGETHER]
+        both = (some * some).sum(1)[:, None] + x2
+        far, most, floor, alive, done = np.zeros(both.shape), None, np.full(len(part), -np.inf), 1.0, 0
+        own = ids == q_id[a : a + TOGETHER, None]
+        while done < part.shape[1]:
+            for p in range(done, min(done + STEP, part.shape[1])):
+                np.maximum(far, np.abs(part[:, p : p + 1] - x_d[:, p]), out=far)
+            done += STEP
+            most = np.floor((both - np.maximum(far - 1e-6, 0) ** 2) / 2 + 1e-9 * both + 1e-6)
+            most[own] = -np.inf
+            if done == STEP and len(ids) > 4 * k:
+                first = np.argpartition(-most, 2 * k, axis=1)[:, : 2 * k]
+                got = np.einsum("qd,qkd->qk", some, x[first])
+                got[np.take_along_axis(own, first, 1)] = -np.inf
+                floor, seen = np.partition(got, -k, axis=1)[:, -k], seen + first.size
+            left = float((most >= floor[:, None]).mean())
+            if left > (1 - WORTH) * alive:
+                break
+            alive = left
+        if left > DENSE:
+            scores = some @ x.T
+            scores[own] = -np.inf
+            seen += scores.size
         for b in range(len(part)):
-            i = a + b
-            both = (q[i] @ q[i]) + x2
-            most = np.floor((both - np.maximum(bound[b] - 1e-6, 0) ** 2) / 2 + 1e-9 * both + 1e-6)
-            turn = np.argsort(-most, kind="stable")  # ids ascend within equal bounds
-            turn = turn[ids[turn] != q_id[i]]
-            best_i, best_s, at, step = ids[:0], most[:0], 0, 128
-            while at < len(turn):
-                first = turn[at]
-                if len(best_i) == k and (most[first] < best_s[-1] or (most[first] == best_s[-1] and ids[first] > best_i[-1])):
-                    break
-                some = turn[at : at + step]
-                seen += len(some)
-                best_s = np.concatenate([best_s, x[some] @ q[i]])
-                best_i = np.concatenate([best_i, ids[some]])
+            if left > DENSE:
+                s = scores[b]
+                kth = max(np.partition(s, -k)[-k] if len(s) > k else -np.inf, np.finfo(float).min)
+                best_i, best_s = ids[s >= kth], s[s >= kth]
                 keep = np.lexsort((best_i, -best_s))[:k]
                 best_i, best_s = best_i[keep], best_s[keep]
-                at, step = at + step, 2 * step
-            out_q.append(np.full(len(best_i), q_id[i]))
+            else:
+                turn = np.flatnonzero(most[b] >= max(floor[b], np.finfo(float).min))
+                turn = turn[np.argsort(-most[b][turn], kind="stable")]  # ids ascend within equal bounds
+                best_i, best_s, at, step = ids[:0], x2[:0], 0, 128
+                while at < len(turn):
+                    first = turn[at]
+                    if len(best_i) == k and (most[b, first] < best_s[-1] or (most[b, first] == best_s[-1] and ids[first] > best_i[-1])):
+                        break
+                    take = turn[at : at + step]
+                    seen += len(take)
+                    best_s = np.concatenate([best_s, x[take] @ some[b]])
+                    best_i = np.concatenate([best_i, ids[take]])
+                    keep = np.lexsort((best_i, -best_s))[:k]
+                    best_i, best_s = best_i[keep], best_s[keep]
+                    at, step = at + step, 2 * step
+            out_q.append(np.full(len(best_i), q_id[a + b]))
             out_i.append(best_i)
             out_s.append(best_s)
     return out_q, out_i, out_s, seen

@@ -36,6 +36,21 @@ def test_top_k_stops_early():
     assert seen < 0.5 * 20 * 4000
 
 
+@pytest.mark.parametrize("n", [30, 500])
+def test_top_k_block_in_many_dimensions(n):
+    """Where pivots eliminate next to nothing: ties, fewer rows than wanted, the query among the rows; products at most twice."""
+    draw = np.random.default_rng(1)
+    x = np.floor(draw.normal(size=(n, 64)) * 8)
+    x[: n // 3] = x[0]
+    d = pivots.distances(x, pivots.spread_out(x, 24))
+    for k in (20, 40):
+        got_q, got_i, got_s, seen = pivots.search_block(k, np.arange(n), x, d, np.arange(n), x, d)
+        for q in range(n):
+            want = sorted(((-(x[i] @ x[q]), i) for i in range(n) if i != q))[:k]
+            assert got_i[q].tolist() == [i for _, i in want] and got_s[q].tolist() == [-s for s, _ in want] and (got_q[q] == q).all()
+        assert seen <= 2 * n * n
+
+
 def test_top_k_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, [1.0]), (1, None), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [float("inf")]), (None, [9.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (6, []), (7, [-1.0, 0.5])]
     df = spark.createDataFrame([(*r, 3) for r in rows], "vec_id long, embedding array<double>, rank int")
