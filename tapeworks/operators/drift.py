@@ -237,13 +237,11 @@ def block_bootstrap(df: DataFrame, by: Sequence[str], t: str, x: str, block: flo
     return means.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-def evaluate_rule(dec: DataFrame, by: Sequence[str] = KEYS, split: float = SPLIT, horizon: float = DECISION_HORIZON,
-                  fee: float = TAKER_FEE_TICKS, min_n: int = MIN_CELL, reps: int = 2000, block: float = BLOCK_SECONDS,
-                  seed: int = 0) -> DataFrame:
-    """Choose on decisions that resolve before the split, score on the decisions after it."""
+def rule_scores(dec: DataFrame, by: Sequence[str] = KEYS, split: float = SPLIT, horizon: float = DECISION_HORIZON,
+                fee: float = TAKER_FEE_TICKS, min_n: int = MIN_CELL) -> tuple[DataFrame, DataFrame]:
+    """(scores, scored decisions after the split) of the rule chosen on decisions that resolve before the split."""
     by = list(by)
     one = [*by, "model"]
-    dec = cut(dec)
     train, test = dec.where(F.col("t") + float(horizon) <= split), dec.where(F.col("t") >= split)
     rule = choose(train, by, min_n)
     ins = apply_rule(rule, train, by).groupBy(*one).agg(F.avg("ev").alias("in_sample"))
@@ -255,9 +253,43 @@ def evaluate_rule(dec: DataFrame, by: Sequence[str] = KEYS, split: float = SPLIT
         share("post").alias("share_post"), share("cross").alias("share_cross"), F.count(F.lit(1)).alias("n_test"),
         F.avg(F.when(F.col("action") != "none", F.col("ev"))).alias("per_trade"), F.avg("net").alias("net_of_fee"),
     )
+    return perf.join(ins, one, "left"), oos
+
+
+def evaluate_rule(dec: DataFrame, by: Sequence[str] = KEYS, split: float = SPLIT, horizon: float = DECISION_HORIZON,
+                  fee: float = TAKER_FEE_TICKS, min_n: int = MIN_CELL, reps: int = 2000, block: float = BLOCK_SECONDS,
+                  seed: int = 0) -> DataFrame:
+    """Choose on decisions that resolve before the split, score on the decisions after it."""
+    one = [*by, "model"]
+    perf, oos = rule_scores(cut(dec), by, split, horizon, fee, min_n)
     ci = block_bootstrap(oos, one, "t", "ev", block, reps, seed)
     net = block_bootstrap(oos, one, "t", "net", block, reps, seed).withColumnsRenamed({"lo": "net_lo", "hi": "net_hi"})
-    return perf.join(ins, one, "left").join(ci, one, "left").join(net, one, "left")
+    return perf.join(ci, one, "left").join(net, one, "left")
+
+
+def with_morning_median(dec: DataFrame, split: float = SPLIT, horizon: float = DECISION_HORIZON, by: Sequence[str] = KEYS) -> DataFrame:
+    """Decisions with queue buckets by the median of those that resolve before the split only, so that the buckets of a day
+    do not know its afternoon; a group without a morning has none."""
+    known = dec.where((F.col("model") == "fifo") & (F.col("t") + float(horizon) <= split))
+    med = known.groupBy(*by).agg(F.percentile("queue", F.lit(0.5)).alias("_m"))
+    return dec.join(med, list(by), "left").withColumn("queue_bucket", queue_bucket(F.col("queue"), F.col("_m"))).drop("_m")
+
+
+def horizon_sensitivity(tape: DataFrame, horizons: Sequence[float] = (10.0, 30.0, 60.0), base: float = DECISION_HORIZON, split: float = SPLIT,
+                        rule_by: Sequence[str] = ("ticker",), by: Sequence[str] = KEYS, fee: float = TAKER_FEE_TICKS, min_n: int = MIN_CELL, **how) -> DataFrame:
+    """Scores of the rule at several horizons (check "horizon"), and at the base horizon with morning-only queue buckets
+    (check "morning_median"). `how` goes to `decisions`."""
+    parts = []
+    for h in horizons:
+        dec = cut(decisions(tape, h, by=by, **how))
+        checks = {"horizon": dec} | ({"morning_median": with_morning_median(dec, split, h, by)} if h == base else {})
+        for name, d in checks.items():
+            scores = rule_scores(d, rule_by, split, h, fee, min_n)[0]
+            parts.append(scores.select(F.lit(name).alias("check"), F.lit(float(h)).alias("horizon"), *scores.columns))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def leave_one_day_out(dec: DataFrame, by: Sequence[str] = ("ticker",), day: str = "day", min_n: int = MIN_CELL,

@@ -188,10 +188,15 @@ def _(spark, sf):
     return parts
 
 
-DEC_ORDERS = f"""(select day, ticker, cast(h as varchar) as "order", seq as place_seq, t, imb, mid, ask_price, bid_price, qb, qa,
-  case when imb > 0 then 1 else -1 end as side, case when imb > 0 then bid_price else ask_price end as price, 100 as size, t + 3600 - time as max_wait
-  from (select g.*, (bid_size - ask_size) / cast(bid_size + ask_size as double) as imb, bid_size as qb, ask_size as qa from {SEEN.replace('range(45)', 'range(47)')} g) where imb <> 0)"""
-DEC = f"""(select d.day, d.ticker, d."order", f.model, d.t, d.side, imb as imbalance, abs(imb) as strength, signal_bucket, queue,
+def dec_orders_sql(horizon):
+    return f"""(select day, ticker, cast(h as varchar) as "order", seq as place_seq, t, imb, mid, ask_price, bid_price, qb, qa,
+  case when imb > 0 then 1 else -1 end as side, case when imb > 0 then bid_price else ask_price end as price, 100 as size, t + {horizon} - time as max_wait
+  from (select g.*, (bid_size - ask_size) / cast(bid_size + ask_size as double) as imb, bid_size as qb, ask_size as qa from {SEEN.replace('range(45)', f'range({int((86400 - horizon) / EVERY + 1e-9) + 1})')} g) where imb <> 0)"""
+
+
+def dec_sql(horizon):
+    orders = dec_orders_sql(horizon)
+    return f"""(select d.day, d.ticker, d."order", f.model, d.t, d.side, imb as imbalance, abs(imb) as strength, signal_bucket, queue,
    (case when queue >= 0.5 * mq then 1 else 0 end) + (case when queue >= mq then 1 else 0 end) + (case when queue >= 2 * mq then 1 else 0 end) as queue_bucket,
    (ask_price - bid_price) / 100.0 as spread, 1e6 / mid as tick_bps, d.side * (m - mid) / 100.0 as move,
    d.side * (m - (case when imb > 0 then ask_price else bid_price end)) / 100.0 as ev_cross, filled_qty / 100.0 as fill_frac,
@@ -199,7 +204,10 @@ DEC = f"""(select d.day, d.ticker, d."order", f.model, d.t, d.side, imb as imbal
    filled_qty / 100.0 * d.side * (m - d.price) / 100.0 - d.side * (m - (case when imb > 0 then ask_price else bid_price end)) / 100.0 as diff
   from (select *, quantile_cont(queue, 0.5) over (partition by day, ticker) as mq from (select *, case when imb > 0 then qb else qa end as queue,
      (case when abs(imb) > 0.2 then 1 else 0 end) + (case when abs(imb) > 0.4 then 1 else 0 end) + (case when abs(imb) > 0.6 then 1 else 0 end) + (case when abs(imb) > 0.8 then 1 else 0 end) as signal_bucket
-     from {_mid_at(DEC_ORDERS, 't + 3600')})) d join {fills_sql('(select day, ticker, "order", place_seq, side, price, size, max_wait from ' + DEC_ORDERS + ')', '')} f on d.day = f.day and d.ticker = f.ticker and d."order" = f."order")"""
+     from {_mid_at(orders, f't + {horizon}')})) d join {fills_sql('(select day, ticker, "order", place_seq, side, price, size, max_wait from ' + orders + ')', '')} f on d.day = f.day and d.ticker = f.ticker and d."order" = f."order")"""
+
+
+DEC = dec_sql(3600)
 
 
 @query("decision_values", f"select * from {DEC}", "t imbalance strength spread tick_bps move ev_cross fill_frac ev_post diff")
@@ -282,6 +290,25 @@ def _(spark, sf):
     return drift.sensitivity(decided(spark, sf), ["ticker"], HALF, HORIZON)
 
 
+def _scores_sql(check, horizon, dec):
+    rule = rule_sql(f"t + {horizon} <= 43200").replace(DEC, dec)
+    score = lambda when: SCORED.format(dec=dec, rule=rule, on="d.ticker = r.ticker") + f" where {when} group by ticker, model"
+    return f"""select '{check}' as "check", {horizon}e0 as horizon, * from (select ticker, model, avg(ev) as out_of_sample, avg(ev * tick_bps) as oos_bps, avg(ev_post) as always_post, avg(ev_cross) as always_cross,
+   avg(case when action = 'post' then 1.0 else 0.0 end) as share_post, avg(case when action = 'cross' then 1.0 else 0.0 end) as share_cross, count(*) as n_test, avg(ev) filter (action <> 'none') as per_trade,
+   avg(ev - 0.3 * (case when action = 'cross' then 1 else 0 end)) as net_of_fee from {score('t >= 43200')}) left join (select ticker, model, avg(ev) as in_sample from {score(f't + {horizon} <= 43200')}) using (ticker, model)"""
+
+
+MORNING = f"""(select * replace ((case when queue >= 0.5 * mm then 1 else 0 end) + (case when queue >= mm then 1 else 0 end) + (case when queue >= 2 * mm then 1 else 0 end) as queue_bucket) from
+  (select d.*, quantile_cont(queue, 0.5) filter (model = 'fifo' and t + 3600 <= 43200) over (partition by day, ticker) as mm from {DEC} d))"""
+SWEPT = (600, 3600, 7200)
+
+
+@query("horizon_sensitivity", " union all ".join([*[_scores_sql("horizon", h, dec_sql(h)) for h in SWEPT], _scores_sql("morning_median", 3600, MORNING)]),
+       "horizon out_of_sample oos_bps always_post always_cross share_post share_cross per_trade net_of_fee in_sample", 5)
+def _(spark, sf):
+    return drift.horizon_sensitivity(tape(spark, sf), [float(h) for h in SWEPT], HORIZON, HALF, ["ticker"], every=EVERY, session=DAY, slot=SLOT, width=WIDTH)
+
+
 def cells(spark, sf):
     t = tape(spark, sf)
     return drift.stock_day_cells(drifted(spark, sf, fills.ALL_MODELS), tp.facts(t, DAY), 600.0)
