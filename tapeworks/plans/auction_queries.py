@@ -13,12 +13,20 @@ from tapeworks.plans.registry import query
 
 S = f"({snapshots_sql('sql')})"
 COLS = ("far_price", "near_price", "target", "wap")
-DAYS = (0, 29)
+LAST = f"(select max(date_id) from {S})"
+CALENDAR = f"(select unnest(range(0, {LAST} + 1)) as date_id)"  # every day up to the last, traded or not
 PATH = "partition by stock_id, date_id order by seconds_in_bucket"
 INST = "partition by date_id, seconds_in_bucket"
 SPREAD = "(ask_price - bid_price) / ((ask_price + bid_price) / 2) * 1e4"
-PLAN = au.blocks(30)
-OPEN = PLAN[:-1]
+
+
+def days(spark, sf):
+    """The first and the last day of the table."""
+    return 0, snapshots(spark, sf).agg(F.max("date_id")).first()[0] or 0
+
+
+def plan(spark, sf):
+    return au.blocks(days(spark, sf)[1] + 1)
 
 
 def weights(df):
@@ -76,7 +84,7 @@ def _(spark, sf):
 
 @query("index_weights")
 def _(spark, sf):
-    return au.index_weights(snapshots(spark, sf), DAYS)
+    return au.index_weights(snapshots(spark, sf), days(spark, sf))
 
 
 def _clip(x, k):
@@ -138,9 +146,13 @@ def _(spark, sf):
     return au.build(df, weights(df)).select(*bt.ID, *au.feature_list())
 
 
-@query("walk_forward_folds", f"""select date_id, count(*) as n, {' '.join(f"case when date_id between {b.first} and {b.last} then {b.fold} else" for b in OPEN)} null {'end ' * len(OPEN)} as fold from {S} group by date_id""")
+_PLAN = f"""(select cast(round({au.FIRST_DAYS[1]} * share) as bigint) as a, (cast(round({au.FIRST_DAYS[-1] - 1} * share) as bigint) - cast(round({au.FIRST_DAYS[1]} * share) as bigint) + 1) // {len(au.ROLES) - 2} as n
+  from (select {LAST} / {au.DAYS - 1}.0 as share))"""
+
+
+@query("walk_forward_folds", f"""select date_id, count(*) as n, any_value(k) as fold from {S} left join (select k, a + (k - 1) * n as first, a + k * n - 1 as last from {_PLAN}, range({len(au.ROLES) - 1}) r(k)) on date_id between first and last group by date_id""")
 def _(spark, sf):
-    return au.assign_folds(snapshots(spark, sf), OPEN).groupBy("date_id", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return au.assign_folds(snapshots(spark, sf), plan(spark, sf)[:-1]).groupBy("date_id", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stock_median_baseline", f"select stock_id, quantile_cont(target, 0.5) as pred from {S} where target is not null and date_id <= 14 group by stock_id", "pred")
@@ -245,11 +257,11 @@ def _(spark, sf):
 
 DAYSQL = f"""(select *, cum_pnl_usd - greatest(max(cum_pnl_usd) over (partition by trial_id order by date_id), 0) as drawdown_usd from (select *, sum(pnl_usd) over (partition by trial_id order by date_id) as cum_pnl_usd from (
   select trial_id, date_id, coalesce(n_trades, 0) as n_trades, coalesce(notional, 0) as notional, coalesce(gross_usd, 0) as gross_usd, coalesce(cost_usd, 0) as cost_usd, coalesce(pnl_usd, 0) as pnl_usd
-  from (select trial_id, range as date_id from {POLS}, range(30)) left join (select trial_id, date_id, count(*) as n_trades, sum(notional) as notional, sum(gross_usd) as gross_usd, sum(cost_usd) as cost_usd, sum(pnl_usd) as pnl_usd from {TRD} group by all) t using (trial_id, date_id))))"""
+  from (select trial_id, date_id from {POLS}, {CALENDAR} c) left join (select trial_id, date_id, count(*) as n_trades, sum(notional) as notional, sum(gross_usd) as gross_usd, sum(cost_usd) as cost_usd, sum(pnl_usd) as pnl_usd from {TRD} group by all) t using (trial_id, date_id))))"""
 
 
 def backtested(spark, sf):
-    return bt.backtest(decisions(spark, sf), POL, DAYS)
+    return bt.backtest(decisions(spark, sf), POL, days(spark, sf))
 
 
 @query("daily_pnl", f"select * from {DAYSQL}", "notional gross_usd cost_usd pnl_usd cum_pnl_usd drawdown_usd")
@@ -284,7 +296,7 @@ ROBUST = f"""with t0 as (select trial_id, date_id, seconds_in_bucket, cast(targe
   t2 as (select *, raw * least(1e0, 1e5 / sum(raw) over (partition by trial_id, date_id, seconds_in_bucket)) as n from t1 where raw > 0),
   tr as (select *, n * side * target / 1e4 as g, n * pay / 1e4 as c from t2),
   dd as (select *, cum - greatest(max(cum) over (partition by trial_id order by date_id), 0) as down from (select *, sum(pnl) over (partition by trial_id order by date_id) as cum from (
-    select trial_id, date_id, coalesce(pnl, 0e0) as pnl from (select trial_id, range as date_id from {COSTS}, range(30)) left join (select trial_id, date_id, sum(g - c) as pnl from tr group by all) using (trial_id, date_id)))),
+    select trial_id, date_id, coalesce(pnl, 0e0) as pnl from (select trial_id, date_id from {COSTS}, {CALENDAR} c) left join (select trial_id, date_id, sum(g - c) as pnl from tr group by all) using (trial_id, date_id)))),
   a as (select trial_id, count(*) as days, sum(pnl) as total_pnl_usd, avg(pnl) as mean_daily_pnl_usd, stddev_samp(pnl) as std_daily_pnl_usd, min(down) as max_drawdown_usd from dd group by 1),
   b as (select trial_id, count(*) as trades, avg(case when g - c > 0 then 1e0 else 0e0 end) as hit_rate, sum(n) as nn, sum(g) as gross_usd, sum(c) as cost_usd, sum(abs(e) * n) as pred, sum(side * target * n) as made from tr group by 1)
   select *, sharpe_daily * sqrt(252.0) as sharpe_annualized from (select trial_id, days, total_pnl_usd, mean_daily_pnl_usd, std_daily_pnl_usd, max_drawdown_usd, coalesce(trades, 0) as trades, coalesce(hit_rate, 0) as hit_rate, coalesce(gross_usd, 0) as gross_usd,
@@ -295,8 +307,8 @@ ROBUST = f"""with t0 as (select trial_id, date_id, seconds_in_bucket, cast(targe
 @query("cost_robustness", ROBUST, "total_pnl_usd mean_daily_pnl_usd std_daily_pnl_usd max_drawdown_usd hit_rate gross_usd cost_usd sharpe_daily sharpe_annualized trades_per_day turnover_usd_per_day cost_share_of_gross edge_pred_bps edge_realized_bps net_bps_per_trade return_on_capital_daily", 4)
 def _(spark, sf):
     d = decisions(spark, sf)
-    a = bt.backtest(d, POL[:1], DAYS, MULTS)[2]
-    o = bt.backtest(sizing.with_oracle(d), POL[:1], DAYS, [(f"oracle {m}x", m, m) for m in (1, 2, 3)])[2]
+    a = bt.backtest(d, POL[:1], days(spark, sf), MULTS)[2]
+    o = bt.backtest(sizing.with_oracle(d), POL[:1], days(spark, sf), [(f"oracle {m}x", m, m) for m in (1, 2, 3)])[2]
     return a.unionByName(o)
 
 
@@ -323,12 +335,12 @@ def _(spark, sf):
 
 @query("value_of_information")
 def _(spark, sf):
-    return sizing.voi_curve(decisions(spark, sf), DAYS, (0.0, 0.1, 0.3, 0.6), (1.0, 2.0))
+    return sizing.voi_curve(decisions(spark, sf), days(spark, sf), (0.0, 0.1, 0.3, 0.6), (1.0, 2.0))
 
 
 @query("break_even_correlation")
 def _(spark, sf):
-    return sizing.break_even(sizing.voi_curve(decisions(spark, sf), DAYS, (0.0, 0.1, 0.3, 0.6), (1.0, 2.0)), ["cost_mult"], "rho", "threshold_net_bps")
+    return sizing.break_even(sizing.voi_curve(decisions(spark, sf), days(spark, sf), (0.0, 0.1, 0.3, 0.6), (1.0, 2.0)), ["cost_mult"], "rho", "threshold_net_bps")
 
 
 def feat(spark, sf):
@@ -344,30 +356,31 @@ RIDGE = au.ModelSpec("ridge", au.ALL_GROUPS, {"alpha": 10.0})
 @query("ridge_walk_forward", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    return au.walk_forward(f, RIDGE, PLAN, weights(df))
+    return au.walk_forward(f, RIDGE, plan(spark, sf), weights(df))
 
 
 @query("boosted_fold", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    return au.forecasts(f, au.ModelSpec("boosted", ("book", "auction"), {"rounds": 3, "depth": 3, "valid_days": 3}), OPEN[-1:])
+    return au.forecasts(f, au.ModelSpec("boosted", ("book", "auction"), {"rounds": 3, "depth": 3, "valid_days": 3}), plan(spark, sf)[-2:-1])
 
 
 @query("model_comparison", digits=4)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    a = au.walk_forward(f, au.ModelSpec("median"), PLAN, weights(df))
-    b = au.walk_forward(f, au.ModelSpec("zero"), PLAN, weights(df))
+    a = au.walk_forward(f, au.ModelSpec("median"), plan(spark, sf), weights(df))
+    b = au.walk_forward(f, au.ModelSpec("zero"), plan(spark, sf), weights(df))
     return au.compare_models(a, b, df)
 
 
 @query("experiment_grid", digits=3)
 def _(spark, sf):
-    return au.experiment_grid({"noisy view": decisions(spark, sf)}, DAYS)[1]
+    return au.experiment_grid({"noisy view": decisions(spark, sf)}, days(spark, sf))[1]
 
 
 @query("holdout_score", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)
-    research = preds(spark, sf).where(F.col("date_id") < PLAN[-1].first).select(*bt.ID, "pred")
-    return au.holdout_score(f, df, weights(df), au.ModelSpec("median"), research, POL[0], PLAN)
+    blocks = plan(spark, sf)
+    research = preds(spark, sf).where(F.col("date_id") < blocks[-1].first).select(*bt.ID, "pred")
+    return au.holdout_score(f, df, weights(df), au.ModelSpec("median"), research, POL[0], blocks)

@@ -169,3 +169,19 @@ def test_walk_forward_cache_follows_its_inputs(spark, tmp_path):
     au.walk_forward(feat, spec, plan, w.withColumn("index_weight", F.col("stock_id") / 3), at)
     assert len(list(tmp_path.iterdir())) == 3
     assert au.fingerprint(feat.repartition(3)) == au.fingerprint(feat)
+
+
+def test_queries_cover_the_days_of_the_table(spark, tmp_path):
+    """Days and folds come from the data: events of twenty further days are traded and dealt to folds."""
+    from pyspark.sql import functions as F
+
+    from tapeworks.plans import catalog
+    from tests.conftest import SF
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    later = ev.withColumns({"ts": F.col("ts") + F.expr("interval 20 days"), "event_id": F.col("event_id") + 10**7})
+    ev.unionByName(later).write.parquet(str(tmp_path / "events.parquet"))
+    folds = {r["date_id"]: r["fold"] for r in catalog.QUERIES["walk_forward_folds"](spark, str(tmp_path)).collect()}
+    assert max(folds) == 49 and {f for f in folds.values() if f is not None} == {0, 1, 2, 3, 4} and folds[30] is not None
+    days = catalog.QUERIES["daily_pnl"](spark, str(tmp_path)).groupBy("trial_id").agg(F.max("date_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    assert {(r["last"], r["n"]) for r in days.collect()} == {(49, 50)}
