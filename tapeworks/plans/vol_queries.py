@@ -275,31 +275,54 @@ def _(spark, sf):
     return chains.digital_from_calls(qs, chain(spark, sf))
 
 
-@query("price_references", f"""select question_id as contract_id, 'Q' || chr(65 + cast(underlying as integer)) as ticker, strike, expiry, p, lo, hi, 0.9 as score, (question_id % 3 <> 0) = (question_id % 2 = 0) as invert,
-  'parsed Q' || chr(65 + cast(underlying as integer)) || (case when question_id % 3 = 0 then ' > ' else ' < ' end) || cast(cast(strike as decimal(10, 1)) as varchar) || ' by ' || cast(date '2026-01-05' + cast(1 + question_id % 90 as integer) as varchar) as why from ({DIGITAL})""", "strike p lo hi score")
-def _(spark, sf):
+def priced(spark, sf):
+    """Contracts that ask for a price, and the calls that price them."""
     ticker = F.concat(F.lit("Q"), F.chr(65 + F.col("o_custkey") % 4))
     side = F.when(F.col("o_orderkey") % 3 == 0, "close above").otherwise("finish below")
     c = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("contract_id"), F.concat(F.lit("Will the firm ("), ticker, F.lit(") "), side, F.lit(" $"), (450.5 + F.col("o_orderkey") % 100).cast("string"), F.lit(" soon?")).alias("title"),
         F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("No").alias("name"), F.lit(ASOF).cast("date").alias("asof"),
         F.date_add(F.lit(ASOF).cast("date"), (1 + F.col("o_orderkey") % 90).cast("int")).alias("resolves_at"))
-    return linkage.price_references(c, chain(spark, sf).withColumn("ticker", F.concat(F.lit("Q"), F.chr(65 + F.col("underlying")))))
+    return c, chain(spark, sf).withColumn("ticker", F.concat(F.lit("Q"), F.chr(65 + F.col("underlying"))))
+
+
+@query("price_references", f"""select question_id as contract_id, 'Q' || chr(65 + cast(underlying as integer)) as ticker, strike, expiry, p, lo, hi, 0.9 as score, (question_id % 3 <> 0) = (question_id % 2 = 0) as invert,
+  'parsed Q' || chr(65 + cast(underlying as integer)) || (case when question_id % 3 = 0 then ' > ' else ' < ' end) || cast(cast(strike as decimal(10, 1)) as varchar) || ' by ' || cast(date '2026-01-05' + cast(1 + question_id % 90 as integer) as varchar) as why from ({DIGITAL})""", "strike p lo hi score")
+def _(spark, sf):
+    return linkage.price_references(*priced(spark, sf))
 
 
 BEATEN = "case o_custkey % 3 when 0 then 'AAPL' when 1 then 'MSFT' else 'NVDA' end"
 
 
-@query("earnings_references", f"""select p_partkey as contract_id, ticker, p, 0.9 as score, p_partkey % 2 = 0 as invert, 'parsed ' || ticker || ' EPS beat' as why
-  from (select *, case p_size % 4 when 0 then 'AAPL' when 1 then 'MSFT' when 2 then 'NVDA' end as ticker from part) join (select ticker, (6.0 + count(*) filter (o_totalprice > 250000)) / (8.0 + count(*)) as p
-    from (select *, row_number() over (partition by ticker order by o_orderkey desc) as i from (select *, {BEATEN} as ticker from orders)) where i <= 12 group by 1) using (ticker) where p_size % 5 <> 0""", "p score")
-def _(spark, sf):
+def beaten(spark, sf):
+    """Contracts that ask for an earnings beat, and the earnings record."""
     firm = F.element_at(F.array(*[F.lit(x) for x in ("Apple", "Microsoft", "NVIDIA", "A firm nobody knows")]), (1 + F.col("p_size") % 4).cast("int"))
     c = table(spark, sf, "part").select(
         F.col("p_partkey").alias("contract_id"), F.concat(firm, F.when(F.col("p_size") % 5 == 0, " reports earnings").otherwise(" beats the consensus")).alias("title"),
         F.when(F.col("p_partkey") % 2 == 0, "No").otherwise("Yes").alias("name"))
     r = table(spark, sf, "orders").select(F.expr(BEATEN).alias("ticker"), F.col("o_orderkey").alias("date"), F.lit(250000.0).alias("estimate"), F.col("o_totalprice").alias("reported"))
-    return linkage.earnings_references(c, r)
+    return c, r
+
+
+@query("earnings_references", f"""select p_partkey as contract_id, ticker, p, 0.9 as score, p_partkey % 2 = 0 as invert, 'parsed ' || ticker || ' EPS beat' as why
+  from (select *, case p_size % 4 when 0 then 'AAPL' when 1 then 'MSFT' when 2 then 'NVDA' end as ticker from part) join (select ticker, (6.0 + count(*) filter (o_totalprice > 250000)) / (8.0 + count(*)) as p
+    from (select *, row_number() over (partition by ticker order by o_orderkey desc) as i from (select *, {BEATEN} as ticker from orders)) where i <= 12 group by 1) using (ticker) where p_size % 5 <> 0""", "p score")
+def _(spark, sf):
+    return linkage.earnings_references(*beaten(spark, sf))
+
+
+@query("match_references")
+def _(spark, sf):
+    """Contracts of all kinds, against the sentences of all documents, the option chains and the earnings record."""
+    from tapeworks.plans.match_queries import contracts, quotes
+
+    asks, calls = priced(spark, sf)
+    beats, reports = beaten(spark, sf)
+    kinds = [contracts(spark, sf).withColumn("asof", F.lit(ASOF).cast("date")), asks.withColumn("contract_id", 10**10 + F.col("contract_id")),
+             beats.withColumns({"contract_id": 2 * 10**10 + F.col("contract_id"), "asof": F.lit(ASOF).cast("date"), "resolves_at": F.lit(None).cast("timestamp")})]
+    every = [k.select("contract_id", "title", "name", "asof", F.col("resolves_at").cast("timestamp").alias("resolves_at")) for k in kinds]
+    return linkage.references(every[0].unionByName(every[1]).unionByName(every[2]), quotes(spark, sf), calls, reports)
 
 
 @query("beat_probabilities", """select o_custkey as ticker, count(*) as n, count(*) filter (o_totalprice > 250000) as beats, (6.0 + count(*) filter (o_totalprice > 250000)) / (8.0 + count(*)) as p

@@ -232,3 +232,25 @@ def test_similar_pairs_equal_brute_force(spark, threshold):
     assert {(r["x"], r["y"]): pytest.approx(r["similarity"]) for r in got} == want and len(got) == len(want)
     with pytest.raises(ValueError, match="above 0.3"):
         lk.similar_pairs(spark.createDataFrame(rows, "id long, text string, tok array<string>"), "id", 0.3)
+
+
+def test_references_of_all_kinds_in_one_ranking(spark):
+    """Text, price and earnings references of a contract stand in one list; bundled ones stand alone; excluded ones are gone."""
+    d = lambda x: F.lit(x).cast("date")
+    contracts = spark.createDataFrame([(1, "Will Apple close above $105 by March?", "Yes"), (2, "Will Apple beat earnings estimates and close above $105", "No"), (3, "Will Zebra Corp win the Gold Award?", "Yes"), (4, "Will Zebra Corp win the Gold Award?", "Yes"), (5, "Will Apple close above $105", "No")],
+                                      "contract_id long, title string, name string").withColumns({"asof": d("2026-01-05"), "resolves_at": F.lit("2026-02-20").cast("timestamp")})
+    quotes = spark.createDataFrame([(10, "kalshi", "Will Zebra Corp win the Gold Award?", "Yes"), (11, "kalshi", "Zebra Corp to win the Gold Award", "Yes"), (12, "polymarket", "Will Apple close above $105 by March?", "Yes"), (13, "kalshi", "Will it rain?", "Yes")],
+                                   "quote_id long, source string, question string, outcome string").withColumn("end", F.lit("2026-02-20").cast("timestamp"))
+    calls = spark.createDataFrame([("AAPL", "C", k, max(100 - k, 0) + 3.0, max(100 - k, 0) + 3.2) for k in (90.0, 100.0, 110.0, 120.0)], "ticker string, kind string, strike double, bid double, ask double").withColumn("expiry", d("2026-03-20"))
+    reports = spark.createDataFrame([("AAPL", i, 1.0, 1.5) for i in range(12)], "ticker string, date int, estimate double, reported double")
+    got = lk.references(contracts, quotes, calls, reports, exclude=quotes.where("quote_id = 11"), bundled=spark.createDataFrame([(4, 99)], "contract_id long, quote_id long"), k=2)
+    rows = {}
+    for r in got.orderBy("contract_id", "place").collect():
+        rows.setdefault(r["contract_id"], []).append((r["kind"], r["quote_id"]))
+    assert rows[4] == [("bundled", 99)] and rows[3] == [("text", 10)]
+    assert rows[1][0] == ("text", 12) and ("price", None) in rows[1] and len(rows[1]) == 2
+    assert ("earnings", None) in rows[2] and ("price", None) in rows[5]
+    built = {(r["contract_id"], r["kind"]): r for r in got.where("p is not null").collect()}
+    assert built[2, "earnings"]["invert"] and not built[1, "price"]["invert"] and built[5, "price"]["invert"] and 0 < built[1, "price"]["p"] < 1
+    alone = lk.price_references(contracts, calls).where("contract_id = 1").first()
+    assert built[1, "price"]["p"] == alone["p"] and built[1, "price"]["why"] == alone["why"]
