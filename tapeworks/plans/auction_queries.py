@@ -378,6 +378,22 @@ def _(spark, sf):
     return au.experiment_grid({"noisy view": decisions(spark, sf)}, days(spark, sf))[1]
 
 
+@query("experiment_log", digits=3)
+def _(spark, sf):
+    """Four models under four policies, logged; the second run of the same grid finds every trial in the log."""
+    from tapeworks.functions.shared import folder
+    from tapeworks.operators import experiments as ex
+    from tapeworks.sources import trials
+
+    f, df = feat(spark, sf)
+    specs = [au.ModelSpec("zero"), au.ModelSpec("median"), RIDGE, au.ModelSpec("boosted", ("book", "auction"), {"rounds": 3, "depth": 3, "valid_days": 3})]
+    made, at, mark = ex.model_decisions(f, df, weights(df), plan(spark, sf), specs), folder(spark), ex.data_fingerprint(df)
+    ex.log_grid(made, days(spark, sf), at, mark, POL)
+    again = ex.log_grid(made, days(spark, sf), at, mark, POL)
+    entries = trials.flatten(again).join(again.select("trial_id", "key"), "trial_id")
+    return entries.select("key", "n_obs", *[F.try_element_at("entries", F.lit(k)).alias(k.replace(".", "_")) for k in ("tags.model", "config.policy.threshold", "config.policy.sizing", "metrics.trades", "metrics.sharpe_daily")])
+
+
 @query("holdout_score", digits=3)
 def _(spark, sf):
     f, df = feat(spark, sf)

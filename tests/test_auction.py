@@ -185,3 +185,36 @@ def test_queries_cover_the_days_of_the_table(spark, tmp_path):
     assert max(folds) == 49 and {f for f in folds.values() if f is not None} == {0, 1, 2, 3, 4} and folds[30] is not None
     days = catalog.QUERIES["daily_pnl"](spark, str(tmp_path)).groupBy("trial_id").agg(F.max("date_id").alias("last"), F.count(F.lit(1)).alias("n"))
     assert {(r["last"], r["n"]) for r in days.collect()} == {(49, 50)}
+
+
+def test_experiment_grid_logs_every_trial_once(spark, tmp_path):
+    """A second run logs nothing; a new model or other data logs its own trials; records hold the traded results."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tapeworks.operators import backtest, experiments as ex
+    from tapeworks.operators.auction import ModelSpec
+    from tapeworks.sources import trials
+
+    rng = np.random.default_rng(3)
+    rows = [(s, d, 60 * t, float(rng.normal(0, 4)), float(rng.normal(0, 6)), 1e5, 1e5, 1.0, 1.0) for s in range(4) for d in range(8) for t in range(3)]
+    dec = spark.createDataFrame(rows, "stock_id int, date_id int, seconds_in_bucket int, edge double, target double, bid_size double, ask_size double, spread_entry_bps double, spread_exit_bps double")
+    policies = [{"threshold": 0.5, "sizing": "flat"}, {"threshold": 1.0, "sizing": "ramp"}]
+    a, b, c = ModelSpec("zero"), ModelSpec("ridge", ("book",), {"alpha": 1.0}), ModelSpec("boosted", ("book",), {"depth": 3})
+    other = dec.withColumn("edge", -F.col("edge"))
+    at = str(tmp_path / "log")
+    first = ex.log_grid([(a, dec), (b, other)], (0, 7), at, "x", policies)
+    assert sorted(r["key"] for r in first.collect()) == ["0:0", "0:1", "1:0", "1:1"]
+    ids = {r["config_hash"]: r["trial_id"] for r in first.collect()}
+    again = ex.log_grid([(a, dec), (b, other)], (0, 7), at, "x", policies)
+    assert {r["config_hash"]: r["trial_id"] for r in again.collect()} == ids and trials.records(spark, at).count() == 4
+    ex.log_grid([(c, dec), (b, other)], (0, 7), at, "x", policies)
+    assert trials.records(spark, at).count() == 6
+    ex.log_grid([(a, dec)], (0, 7), at, "y", policies[:1])
+    assert trials.records(spark, at).count() == 7
+    want = {r["trial_id"]: r["total_pnl_usd"] for r in backtest.backtest(other, policies, (0, 7))[2].collect()}
+    got = {r["key"]: json.loads(r["metrics"])["total_pnl_usd"] for r in first.collect()}
+    assert got["1:0"] == pytest.approx(want["0/base"]) and got["1:1"] == pytest.approx(want["1/base"])
+    assert {len(r["pnl_values"]) for r in first.collect()} == {8}
+    assert ex.label(c) == "boosted[book, depth 3]" and ex.data_fingerprint(dec) == ex.data_fingerprint(dec.repartition(3)) != ex.data_fingerprint(other)
