@@ -98,6 +98,19 @@ def bill_rate(discount_pct: Column, days: int = 91) -> Column:
     return -F.ln(1 - discount_pct / 100 * days / 360) * 365 / days
 
 
+def with_bill_rate(meta: DataFrame, bills: DataFrame, days: int = 91) -> DataFrame:
+    """meta (with quote_time) with `r`, the rate of the last bill discount on or before the quote's New York date; NULL before
+    the first. bills: date, discount_pct; one row per date (the largest discount of a date counts). The dates of both make one ordered list, as
+    long as the calendar."""
+    asof = F.to_date(F.from_utc_timestamp("quote_time", "America/New_York"))
+    quoted = bills.where("discount_pct is not null").groupBy("date").agg(F.max("discount_pct").alias("_d"))
+    asked = meta.select(asof.alias("date")).distinct()
+    every = quoted.join(asked.withColumn("_asked", F.lit(True)), "date", "full")
+    last = F.last("_d", ignorenulls=True).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    rates = every.withColumn("r", bill_rate(last, days)).where("_asked").select(F.col("date").alias("_asof"), "r")
+    return meta.drop("r").withColumn("_asof", asof).join(rates, "_asof", "left").drop("_asof")
+
+
 def ex_dates(spans: DataFrame, by: Sequence[str], after: str, until: str) -> DataFrame:
     """Projected ex-dates in (after, until]: third Fridays of March, June, September, December; June 19 is a
     holiday, so the day before."""

@@ -312,6 +312,27 @@ def _(spark, sf):
     return linkage.earnings_references(*beaten(spark, sf))
 
 
+@query("bill_rates", """select d as date, -ln(1 - pct / 100 * 91 / 360) * 365 / 91 as r from (select distinct cast(o_orderdate as date) as d from orders) asof left join
+  (select cast(l_shipdate as date) as date, max(l_discount * 60) as pct from lineitem where l_linenumber = 1 and l_shipdate >= date '1992-02-01' group by 1) b on d >= b.date""", "r")
+def _(spark, sf):
+    """The rate of every order date from the bill discounts of the ship dates."""
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1 and l_shipdate >= date '1992-02-01'")
+    bills = li.select(F.col("l_shipdate").cast("date").alias("date"), (F.col("l_discount") * 60).alias("discount_pct"))
+    meta = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct().withColumn("quote_time", F.to_timestamp(F.concat(F.col("date").cast("string"), F.lit(" 21:00:00"))))
+    return chains.with_bill_rate(meta, bills).select("date", "r")
+
+
+@query("chain_carry_at_bill_rate", f"""with r as (select -ln(1 - max(l_discount) * 60 / 100 * 91 / 360) * 365 / 91 as r from lineitem) select underlying, expiry, max(r) as r, max(500 * exp(r * (days - case when expiry >= date '2026-03-08' then 1 / 24e0 else 0 end) / 365e0)) as forward
+  from ({chain_sql('sql')}), r group by underlying, expiry""", "r forward", 5)
+def _(spark, sf):
+    """Carry of every expiry at the bill's rate instead of a given one, without dividends."""
+    ch = chain(spark, sf)
+    bills = table(spark, sf, "lineitem").select(F.lit("2026-01-02").cast("date").alias("date"), (F.col("l_discount") * 60).alias("discount_pct"))
+    meta = chains.with_bill_rate(chain_meta(ch), bills)
+    none = ch.select("underlying", F.col("expiry").alias("ex_date"), F.lit(0.0).alias("amount")).where("false")
+    return chains.carry(ch.select("underlying", "expiry"), meta, none).select("underlying", "expiry", "r", "forward")
+
+
 @query("match_references")
 def _(spark, sf):
     """Contracts of all kinds, against the sentences of all documents, the option chains and the earnings record."""
