@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.functions.shared import cut  # noqa: F401
+from tapeworks.functions.shared import cut, stored  # noqa: F401
 
 CHUNK_ROWS = 1_000_000  # row positions per piece; a piece holds at most this many rows of a group
 SLOT_SECONDS = 900.0  # clock seconds per as-of piece
+SLOT_ROWS = 1 << 18  # states per as-of piece, where a slot holds far more
 
 
 def one_piece(df: DataFrame, seq: str, chunk_rows: int = CHUNK_ROWS) -> bool:
@@ -109,6 +110,19 @@ def ordered_scan(
     return res.select(*keep, *sums, *lags, *leads, *ffill, *bfill)
 
 
+CUT_SAMPLES = 16  # sampled states between two cuts of a crowded slot
+
+
+def _cuts(st: DataFrame, keys: Sequence[str], slot_rows: int) -> DataFrame:
+    """(keys, _cuts): for slots with far more than slot_rows states, places (time, seq) that cut them into pieces of about slot_rows.
+
+    Every CUT_SAMPLES-th of a sample of one state in slot_rows / CUT_SAMPLES; the sample is drawn by hash, so reruns agree."""
+    sampled = st.where(F.pmod(F.xxhash64("_s", "_t"), F.lit(max(slot_rows // CUT_SAMPLES, 1))) == 0)
+    seen = sampled.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_t", "_s"))).alias("_seen"))
+    cuts = F.filter("_seen", lambda c, i: (i > 0) & (i % CUT_SAMPLES == 0))
+    return seen.where(F.size("_seen") >= 2 * CUT_SAMPLES).select(*keys, cuts.alias("_cuts"))
+
+
 def asof(
     points: DataFrame,
     states: DataFrame,
@@ -118,11 +132,13 @@ def asof(
     seq: str,
     cols: dict[str, str],
     slot: float = SLOT_SECONDS,
+    slot_rows: int = SLOT_ROWS,
 ) -> DataFrame:
     """Last state with `time` <= point's `at`, ties broken by `seq`; NULL columns before the first state.
 
     `cols` maps output names to state columns. One union and one shuffle on (group, clock slot); the state
-    in effect at a slot's start comes from a per-slot aggregate, so no task sees more than one slot.
+    in effect at a slot's start comes from a per-slot aggregate, so no task sees more than one slot. A slot that holds
+    far more than `slot_rows` states (half a day's rows in one second) is cut again, by places in the order of (time, seq).
     """
     by = list(by)
     pcols = [x for x in points.columns if x not in by]
@@ -140,8 +156,17 @@ def asof(
         F.lit(1).alias("_k"),
         F.struct(*pcols).alias("_pt"),
     )
-    u = st.unionByName(pt, allowMissingColumns=True)
-    keys = [*by, "_slot"]
+    keys = [*by, "_slot", "_part"]
+    crowded = _cuts(st.select(*by, "_slot", "_t", "_s"), keys[:-1], slot_rows)
+    if crowded.isEmpty():
+        u = st.unionByName(pt, allowMissingColumns=True).withColumn("_part", F.lit(0))
+    else:
+        crowded = stored(crowded)
+        none = F.array().cast("array<struct<_t:double,_s:bigint>>")
+        place = lambda d, before: d.join(crowded, keys[:-1], "left").withColumn("_part", F.size(F.filter(F.coalesce("_cuts", none), before))).drop("_cuts")
+        st = place(st, lambda c: c <= F.struct(F.col("_t").alias("_t"), F.col("_s").alias("_s")))
+        pt = place(pt, lambda c: c["_t"] <= F.col("_t"))  # behind all states of its time
+        u = st.unionByName(pt, allowMissingColumns=True).repartition(*keys)
     w = Window.partitionBy(*keys).orderBy("_t", "_k", "_s").rowsBetween(Window.unboundedPreceding, 0)
     inside = (
         u.withColumn("_in", F.last("_st", ignorenulls=True).over(w))
@@ -149,7 +174,7 @@ def asof(
         .select(*keys, "_pt", "_in")
     )
     ends = u.groupBy(*keys).agg(F.max_by("_st", F.when(F.col("_k") == 0, F.struct("_t", "_s"))).alias("_end"))
-    ws = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    ws = Window.partitionBy(*by).orderBy("_slot", "_part").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(*keys, F.last("_end", ignorenulls=True).over(ws).alias("_carry"))
     res = inside.join(carry, keys, "left").withColumn("_hit", F.coalesce("_in", "_carry"))
     return res.select(*by, *[F.col(f"_pt.{x}").alias(x) for x in pcols], *[F.col(f"_hit.{k}").alias(k) for k in cols])

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +49,26 @@ def test_asof_matches_search(spark, tape, days):
             assert s == (None if i < 0 else i)
 
 
+def test_asof_cuts_crowded_slots(spark):
+    """Half of all rows in one second, many at one time: the same answers, and no piece above twice the median."""
+    from tapeworks.operators import scan
+
+    rng = random.Random(8)
+    times = sorted([rng.uniform(0, 4000) for _ in range(2000)] + [2000 + rng.choice([0.0, 0.25, rng.random()]) for _ in range(2000)])
+    states = spark.createDataFrame([("x", t, i, i * 10) for i, t in enumerate(times)], "g string, t double, seq long, v long")
+    asked = [rng.uniform(-5, 4100) for _ in range(200)] + [2000.0, 2000.25, 2000.5, 1999.999] * 5
+    points = spark.createDataFrame([("x", i, t) for i, t in enumerate(asked)], "g string, id long, at double")
+    want = {i: max((j * 10 for j, t in enumerate(times) if t <= a), default=None) for i, a in enumerate(asked)}
+    for rows in (64, 10**6):
+        got = scan.asof(points, states, ["g"], "at", "t", "seq", {"v": "v"}, slot=1000.0, slot_rows=rows)
+        assert {r["id"]: r["v"] for r in got.collect()} == want
+    st = states.select("g", F.floor(F.col("t") / 1000).alias("_slot"), F.col("t").alias("_t"), F.col("seq").alias("_s"))
+    cuts = {r["_slot"]: [tuple(c) for c in r["_cuts"]] for r in scan._cuts(st, ["g", "_slot"], 256).collect()}
+    inside = [i for i, t in enumerate(times) if 2000 <= t < 3000]
+    pieces = Counter(sum(c <= (times[i], i) for c in cuts[2]) for i in inside)
+    assert len(pieces) >= 5 and max(pieces.values()) <= 2 * sorted(pieces.values())[len(pieces) // 2]
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_t(2, 500), np.repeat(3.25, 40), [1e9]])
