@@ -40,3 +40,9 @@ def stored(df: DataFrame) -> DataFrame:
     at = folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores before costly work on each: a table read in fewer pieces than there are cores is dealt out first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

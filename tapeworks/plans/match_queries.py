@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeworks.functions.mathx import div
-from tapeworks.functions.shared import stored
+from tapeworks.functions.shared import spread, stored
 from tapeworks.operators import linkage as lk
 from tapeworks.operators import proposals as pr
 from tapeworks.operators import sizing as sz
@@ -28,7 +28,7 @@ def tok_sql(tab, key):
 
 
 def texts(spark, sf, name, key):
-    return table(spark, sf, name).select(F.col(key).alias("id"), "text")
+    return spread(table(spark, sf, name).select(F.col(key).alias("id"), "text"))
 
 
 def prepared(spark, sf, name, key):
@@ -85,10 +85,10 @@ def _(spark, sf):
     return lk.similar_pairs(d, "id", SIMILAR)
 
 
-def sentences(df, key: str):
-    """Every sentence of every text, each a question of its own: (key, place, text)."""
+def sentences(df, key: str, *more: str):
+    """Every sentence of every text, each a question of its own: (key, more, place, text)."""
     parts = F.split("text", r"\n+|(?<=[.?!])\s+")
-    return df.select(key, F.posexplode(parts).alias("place", "text")).where(F.trim("text") != "")
+    return df.select(key, *more, F.posexplode(parts).alias("place", "text")).where(F.trim("text") != "")
 
 
 def contracts(spark, sf):
@@ -98,9 +98,8 @@ def contracts(spark, sf):
 
 
 def quotes(spark, sf):
-    d = sentences(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
-    src = table(spark, sf, "documents").select("doc_id", "source")
-    return d.join(src, "doc_id").select((F.col("doc_id") * 100_000 + F.col("place")).alias("quote_id"), "source", F.col("text").alias("question"), F.lit("No").alias("outcome"),
+    d = sentences(spread(table(spark, sf, "documents").select("doc_id", "source", "text")), "doc_id", "source")
+    return d.select((F.col("doc_id") * 100_000 + F.col("place")).alias("quote_id"), "source", F.col("text").alias("question"), F.lit("No").alias("outcome"),
                                         F.lit("2026-07-02").cast("timestamp").alias("end"))
 
 
@@ -128,7 +127,7 @@ def _(spark, sf):
   qualify row_number() over (partition by q order by similarity desc, p) <= 5""", "similarity")
 def _(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "text")
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("quote_id"), "text"))
     return lk.search(q, d, 5).drop("place")
 
 
