@@ -254,3 +254,13 @@ def test_references_of_all_kinds_in_one_ranking(spark):
     assert built[2, "earnings"]["invert"] and not built[1, "price"]["invert"] and built[5, "price"]["invert"] and 0 < built[1, "price"]["p"] < 1
     alone = lk.price_references(contracts, calls).where("contract_id = 1").first()
     assert built[1, "price"]["p"] == alone["p"] and built[1, "price"]["why"] == alone["why"]
+
+
+def test_numbers_and_dates_in_titles(spark):
+    """Prices, fractions and thousands are thresholds; years and days of a month are not; the verb may is no month."""
+    cases = {
+        "Above $1,000.50 by March 5th, 2026?": (["1000.5"], ["3-5"]), "it may rain, May 3 or Sept. 22nd": ([], ["5-3", "9-22"]), "a5 b.6 7.8.9 x,4": (["4", "7.8"], []),
+        "MAY and june": ([], ["5-", "6-"]), "3rd of July": (["3"], ["7-"]), "Jan 2 and Jan 2, then 2": ([], ["1-2"]), "Dec 300": (["300"], ["12-"]), "mid-March 7.50%": (["7.5"], ["3-7"]), "": ([], []),
+    }
+    d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", lk.thresholds(F.col("t")).alias("thr"), lk.dates(F.col("t")).alias("dat"))
+    assert {r["t"]: (r["thr"], r["dat"]) for r in d.collect()} == cases
