@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WORDS, SIMILAR = 5, 0.8
 PARITY = 2  # parity bits for each shingle of a set, rounded up to a power of two: two sets differ in at least as many shingles as bits
 SAMPLE, COMMON, MOST = 4000, 3, 1 << 18  # about so many texts, among which a shingle that is there so often (the MOST commonest) is common: last in a prefix
+STAR_TURNS = 2  # further texts of a divided shingle that all others are compared with
 SLICE = 1000  # texts of one shingle that a task compares with as many others
 
 
@@ -471,17 +472,28 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: fl
 def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: int = SLICE) -> DataFrame:
     """(a, b): pairs of texts with `similar` of their shingles in common, which connect all that such pairs connect.
 
-    Two such texts have a shingle of their prefixes in common. Of each shingle the first text is compared with the others;
-    then the texts that are not yet connected are compared, each with each.
+    Two such texts have a shingle of their prefixes in common. Of each shingle the first text is compared with the others, then, where
+    these are not yet connected, some more by turns; then the texts that are still not connected are compared, each with each.
     """
     rare = nodes.select("node", F.explode("rare").alias("h")).repartition("h").mapInArrow(_shared, "node long, h long")
     held = stored(rare.unionByName(nodes.select("node", F.explode("common").alias("h"))))
     first = held.groupBy("h").agg(F.min("node").alias("a"))
     stars = held.join(first, "h").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     near = near_pairs(stars, nodes, texts, similar)
-    held = held.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = stored(held)
-    apart = held.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high")
+    rooted = lambda pairs: stored(held.join(components(pairs), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    divided = lambda d: d.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high")
+    found = rooted(near)
+    apart = stored(divided(found))
+    for turn in range(STAR_TURNS):  # each shingle with a centre of its own: what has many links meets one of them
+        if apart.isEmpty():
+            break
+        rows = found.join(apart.select("h"), "h", "left_semi")
+        centre = rows.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", "h", F.lit(turn)), "node")).alias("_c"))
+        stars = rows.join(centre, "h").where("root <> _c.root").select(F.least("node", "_c.node").alias("a"), F.greatest("node", "_c.node").alias("b")).distinct()
+        near = near.unionByName(near_pairs(stars, nodes, texts, similar))
+        found = rooted(near)
+        apart = stored(divided(found))
+    held = found
     rows = held.join(apart.select("h", F.ceil(F.col("_n") / slice_).cast("int").alias("_slices")), "h")
     rows = rows.withColumn("_mine", F.pmod(F.xxhash64("node"), "_slices").cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
     low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
@@ -508,7 +520,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     prints = stored(rows.mapInArrow(partial(_screens, similar, common, often), f"_id {kind}, _key long, n long, set1 long, set2 long, parity array<long>, rare array<long>, common array<long>"))
     twice = prints.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
     order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_key")
-    sets = prints.groupBy("n", "set1", "set2").agg(F.min(order).alias("_first"), F.min("_key").alias("node"))  # equal sets once
+    sets = stored(prints.groupBy("n", "set1", "set2").agg(F.min(order).alias("_first"), F.min("_key").alias("node")))  # equal sets once; a stage of its own, so that a large group's rows can be split in the join
     named = stored(prints.select("_key", "n", "set1", "set2").join(sets, ["n", "set1", "set2"]).select("_key", "node", "_first"))
     nodes = prints.join(named.where("_key = node").select("_key").distinct(), "_key", "left_semi").select(F.col("_key").alias("node"), "n", "parity", "rare", "common")
     if not twice.isEmpty():
