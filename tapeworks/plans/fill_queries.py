@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tapeworks.operators import drift, fills, tape as tp
 from tapeworks.plans.adapters import DAY, tape
 from tapeworks.plans.registry import query
-from tapeworks.plans.tape_queries import LASTROW, MID, T, TRADES, _at
+from tapeworks.plans.tape_queries import FACTS, LASTROW, MID, T, TRADES, _at
 
 SLOT = 7200.0
 WIDTH = 600.0
@@ -314,12 +314,27 @@ def cells(spark, sf):
     return drift.stock_day_cells(drifted(spark, sf, fills.ALL_MODELS), tp.facts(t, DAY), 600.0)
 
 
-@query("stock_day_cells")
+_WIDE = ", ".join(f"max({x}) filter (model = '{m}') as {x}_{m}" for m in fills.ALL_MODELS for x in ("p_fill", "drift", "drift_bps"))
+_MEAN = "sum({0} * filled_qty) / nullif(sum(filled_qty) filter ({0} is not null), 0)".format
+CELLS = f"""(with d as materialized (select * from {_stack(fills_sql(ORDERS, 'decision_time,', fills.ALL_MODELS))}),
+ s as (select day, ticker, model, avg(case when filled_qty > 0 then 1e0 else 0e0 end) as p_fill, {_MEAN('drift_600')} as drift, {_MEAN('drift_600_bps')} as drift_bps, count(*) as orders from d group by day, ticker, model),
+ w as (select day, ticker, max(orders) as orders, {_WIDE} from s group by day, ticker),
+ g as (select day, ticker, avg(case when l2 = fifo then 1e0 else 0e0 end) as l2_agrees, avg(case when l2 = 1 and fifo = 0 then 1e0 else 0e0 end) as l2_only, avg(case when fifo = 1 and l2 = 0 then 1e0 else 0e0 end) as fifo_only
+   from (select day, ticker, "order", max(case when filled_qty > 0 then 1 else 0 end) filter (model = 'l2') as l2, max(case when filled_qty > 0 then 1 else 0 end) filter (model = 'fifo') as fifo from d group by all) group by day, ticker)
+ select w.*, drift_bps_touch - drift_bps_fifo as gap_bps, drift_touch - drift_fifo as gap_ticks, l2_agrees, l2_only, fifo_only, mean_price, tick_bps, spread_ticks, share_one_tick, depth_best, tick_class
+ from w join g using (day, ticker) left join {FACTS} f using (day, ticker))"""
+_NUM = [f"{x}_{m}" for m in fills.ALL_MODELS for x in ("p_fill", "drift", "drift_bps")] + "gap_bps gap_ticks l2_agrees l2_only fifo_only mean_price tick_bps spread_ticks share_one_tick depth_best".split()
+
+
+@query("stock_day_cells", f"select * from {CELLS}", " ".join(_NUM))
 def _(spark, sf):
     return cells(spark, sf)
 
 
-@query("many_days_by_ticker")
+@query("many_days_by_ticker", f"""select ticker, count(*) as days, (select tick_class from {CELLS} y where y.ticker = x.ticker group by tick_class order by count(*) desc, tick_class limit 1) as tick_class, avg(mean_price) as mean_price, avg(spread_ticks) as spread_ticks,
+  avg(gap_bps) as gap_bps, avg(case when gap_bps is not null then (case when gap_bps > 0 then 1e0 else 0e0 end) end) as share_gap_positive, {', '.join(f'avg(p_fill_{m}) as p_fill_{m}' for m in fills.ALL_MODELS)},
+  avg(100 * (p_fill_l2 - p_fill_fifo)) as l2_extra_fills_pp, avg(drift_bps_l2 - drift_bps_fifo) as l2_drift_error_bps, avg(l2_agrees) as l2_agrees from {CELLS} x group by ticker""",
+       "mean_price spread_ticks gap_bps share_gap_positive " + " ".join(f"p_fill_{m}" for m in fills.ALL_MODELS) + " l2_extra_fills_pp l2_drift_error_bps l2_agrees")
 def _(spark, sf):
     return drift.by_ticker(cells(spark, sf))
 

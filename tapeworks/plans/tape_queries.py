@@ -132,14 +132,17 @@ def _(spark, sf):
         "lag", F.col("lag").cast("long"))
 
 
-@query("stylised_facts", f"""select b.*, coalesce(n_trades, 0) as n_trades, case when share_one_tick > 0.5 then 'large-tick' else 'small-tick' end as tick_class from (
+FACTS = f"""(select b.*, coalesce(n_trades, 0) as n_trades, case when share_one_tick > 0.5 then 'large-tick' else 'small-tick' end as tick_class from (
   select day, ticker, sum(m * held) / nullif(sum(held), 0) / 1e4 as mean_price, sum(1e6 / m * held) / nullif(sum(held), 0) as tick_bps,
    sum(s / 100 * held) / nullif(sum(held), 0) as spread_ticks, sum(s / m * 1e4 * held) / nullif(sum(held), 0) as spread_bps,
    sum(case when s = 100 then held else 0 end) / nullif(sum(held), 0) as share_one_tick, sum((bid_size + ask_size) / 2.0 * held) / nullif(sum(held), 0) as depth_best,
    count(*) as n_messages, {', '.join(f'count(*) filter (type = {k}) as n_{v}' for k, v in tp.MESSAGE_TYPES.items())},
    cast(coalesce(sum(size) filter (type = 4), 0) as bigint) as volume_visible
   from (select *, {MID} as m, cast(ask_price - bid_price as double) as s from {HELD}) group by day, ticker) b
-  left join (select day, ticker, count(*) as n_trades from {TRADES} group by day, ticker) n using (day, ticker)""",
+  left join (select day, ticker, count(*) as n_trades from {TRADES} group by day, ticker) n using (day, ticker))"""
+
+
+@query("stylised_facts", f"select * from {FACTS}",
        "mean_price tick_bps spread_ticks spread_bps share_one_tick depth_best")
 def _(spark, sf):
     return tp.facts(tape(spark, sf), DAY)
@@ -223,7 +226,11 @@ def _(spark, sf):
     return same.withColumn("kind", F.lit("contemporaneous")).unionByName(nxt.withColumn("kind", F.lit("lagged")))
 
 
-@query("impact_units")
+@query("impact_units", f"""select day, ticker, beta * 1000 as beta_per_1000, r2, beta / 100 as beta_usd_per_share, beta * 1000 * tick_bps as beta_bps_per_1000, mb * 1000 as median_window_beta_per_1000,
+  case when r2 > 0 then beta * 1000 / sqrt(r2) end as slope_over_root_r2, beta * depth_best as beta_times_depth, depth_best, mean_price
+  from (select day, ticker, {REGS} from {BUCKETS} group by day, ticker) join (select day, ticker, mean_price, tick_bps, depth_best from {FACTS}) using (day, ticker)
+  left join (select day, ticker, quantile_cont(beta, 0.5) as mb from {WINREG} group by day, ticker) using (day, ticker)""",
+       "beta_per_1000 r2 beta_usd_per_share beta_bps_per_1000 median_window_beta_per_1000 slope_over_root_r2 beta_times_depth depth_best mean_price", 5)
 def _(spark, sf):
     t = tape(spark, sf)
     return signals.impact_units(buckets(spark, sf), tp.facts(t, DAY), regs(spark, sf))
