@@ -349,7 +349,16 @@ def _(spark, sf):
     return evaluate.bootstrap_ci(d, ["series"], "pos", "x", statistic="mean", reps=500, block=1.0)
 
 
-@query("latency_sweep")
+LATE_ORDERS = f"""(select s.day, s.ticker, s.h || '/' || side || '/' || latency as "order", s.t as decision_time, latency, p.seq as place_seq, side, case when side > 0 then s.bid_price else s.ask_price end as price, 300 as size, s.t + latency + 3600 - p.time as max_wait
+  from (select * from {SEEN}, (values {', '.join(f'({x}::double)' for x in LATENCIES)}) l(latency), (values (1), (-1)) v(side) where t <= {86400 - WAIT - HORIZON} - latency) s asof join (select * from {T} qualify {LASTROW}) p on s.day = p.day and s.ticker = p.ticker and s.t + latency >= p.time)"""
+LATE = f"""(select day, ticker, latency, model, avg(case when end_reason = 'rejected' then 1e0 else 0e0 end) as rejected, avg(case when filled_qty > 0 then 1e0 else 0e0 end) as p_fill, {_MEAN('drift_600_bps')} as drift_bps
+  from {_stack(fills_sql(LATE_ORDERS, 'decision_time, latency,', ('touch', 'fifo', 'l2')))} group by all)"""
+
+
+@query("latency_sweep", f"""with c as materialized (select * from {LATE}), k as (select ticker, tick_class from {FACTS} group by ticker, tick_class qualify row_number() over (partition by ticker order by count(*) desc, tick_class) = 1),
+  j as (select c.*, z.drift_bps as d0, tick_class from c left join (select day, ticker, model, drift_bps from c where latency = 0) z using (day, ticker, model) join k using (ticker))
+  select class, latency, model, avg(rejected) as rejected, avg(p_fill) as p_fill, avg(drift_bps) as drift_bps, avg(drift_bps - d0) as change_bps, count(*) as stock_days from (select *, tick_class as class from j union all select *, 'all' from j) group by class, latency, model""",
+       "latency rejected p_fill drift_bps change_bps")
 def _(spark, sf):
     t = tape(spark, sf)
     o = orders(spark, sf, LATENCIES)
