@@ -170,6 +170,17 @@ def _(spark, sf):
     return evaluate.compare_forecasts(losses(f, 0.0), losses(f, 100.0), ["trial_id"], "pos")
 
 
+@query("forecast_comparison_statistic", f"""with d as materialized (select trial_id, pos, (abs(pnl) - abs(pnl - 100)) / 1000 as d from {FULL}),
+  m as materialized (select trial_id, count(*) as n, avg(d) as mean, avg(case when d < 0 then 1e0 else 0e0 end) as share_better, cast(floor(4 * power(count(*) / 100e0, 2 / 9e0)) as bigint) as lag from d group by 1),
+  e as materialized (select d.trial_id, row_number() over (partition by d.trial_id order by pos) as i, d - mean as e, n, lag from d join m using (trial_id)),
+  g as (select a.trial_id, k, sum(a.e * b.e) as g from e a, range(0, 40) r(k), e b where b.trial_id = a.trial_id and b.i = a.i + k and k <= a.lag group by 1, 2),
+  v as (select trial_id, sum(g * case when k = 0 then 1 else 2 * (1 - k / (lag + 1e0)) end) / any_value(n) as lrv from g join m using (trial_id) group by 1)
+  select trial_id, mean / sqrt(lrv / n) * sqrt((n - 1) / cast(n as double)) as stat, mean as mean_diff, mean / sqrt(lrv / n) as dm, lrv, lag, n, share_better from m join v using (trial_id)""", "stat mean_diff dm lrv share_better", 5)
+def _(spark, sf):
+    f = full(spark, sf)
+    return evaluate.compare_forecasts(losses(f, 0.0), losses(f, 100.0), ["trial_id"], "pos").drop("p_value")
+
+
 CI = "1.959963984540054"
 
 
