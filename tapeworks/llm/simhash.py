@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 WORDS, SIMILAR = 5, 0.8
 PARITY = 2  # parity bits for each shingle of a set, rounded up to a power of two: two sets differ in at least as many shingles as bits
 SAMPLE, COMMON, MOST = 4000, 3, 1 << 18  # about so many texts, among which a shingle that is there so often (the MOST commonest) is common: last in a prefix
-STAR_TURNS = 2  # further texts of a divided shingle that all others are compared with
+CROWD, CENTRES = 500, 8  # in a divided shingle of so many texts, so many more of them are compared with all others first
 SLICE = 1000  # texts of one shingle that a task compares with as many others
 
 
@@ -473,7 +473,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: in
     """(a, b): pairs of texts with `similar` of their shingles in common, which connect all that such pairs connect.
 
     Two such texts have a shingle of their prefixes in common. Of each shingle the first text is compared with the others, then, where
-    these are not yet connected, some more by turns; then the texts that are still not connected are compared, each with each.
+    many are not yet connected, a few more; then the texts that are still not connected are compared, each with each.
     """
     rare = nodes.select("node", F.explode("rare").alias("h")).repartition("h").mapInArrow(_shared, "node long, h long")
     held = stored(rare.unionByName(nodes.select("node", F.explode("common").alias("h"))))
@@ -484,12 +484,12 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: in
     divided = lambda d: d.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high")
     found = rooted(near)
     apart = stored(divided(found))
-    for turn in range(STAR_TURNS):  # each shingle with a centre of its own: what has many links meets one of them
-        if apart.isEmpty():
-            break
-        rows = found.join(apart.select("h"), "h", "left_semi")
-        centre = rows.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", "h", F.lit(turn)), "node")).alias("_c"))
-        stars = rows.join(centre, "h").where("root <> _c.root").select(F.least("node", "_c.node").alias("a"), F.greatest("node", "_c.node").alias("b")).distinct()
+    crowds = apart.where(F.col("_n") >= CROWD)
+    if not crowds.isEmpty():  # some more centres: what has many links meets one of them
+        rows = found.join(crowds.select("h"), "h", "left_semi")
+        centres = rows.groupBy("h").agg(F.array(*[F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(CENTRES)]).alias("_c"))
+        centres = centres.select("h", F.explode(F.array_distinct("_c")).alias("_c"))
+        stars = rows.join(centres, "h").where("root <> _c.root").select(F.least("node", "_c.node").alias("a"), F.greatest("node", "_c.node").alias("b")).distinct()
         near = near.unionByName(near_pairs(stars, nodes, texts, similar))
         found = rooted(near)
         apart = stored(divided(found))
