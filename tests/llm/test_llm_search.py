@@ -284,9 +284,3 @@ def test_deduplicate_decides_long_texts_by_all_shingles(spark):
     want = kept(texts)
     assert 70 < len(want) < 110
     assert left_ids(spark, texts) == want
-
-
-def test_deduplicate_with_more_centres(spark, monkeypatch):
-    """The same groups where every divided shingle counts as crowded."""
-    monkeypatch.setattr(simhash, "CROWD", 3)
-    test_deduplicate_finds_copies_of_texts_that_share_a_passage(spark)
