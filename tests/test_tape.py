@@ -39,6 +39,17 @@ def test_scan_does_not_depend_on_pieces(spark, tape):
     assert run(7) == run(10**6)
 
 
+def test_next_value_is_not_sought_anew_for_every_row(spark, tape):
+    """A frame from the next row to the end of the group is gone through for each row; both forms of the scan read backwards."""
+    for k in (7, 10**6):
+        d = ordered_scan(tape, ["day"], "seq", bfill={"b": F.when(F.col("type") == 3, F.col("seq"))}, chunk_rows=k)
+        assert "unboundedfollowing" not in d._jdf.queryExecution().optimizedPlan().toString().lower()
+        for _, g in d.toPandas().groupby("day"):
+            g = g.sort_values("seq")
+            want = g["seq"].where(g["type"] == 3).shift(-1).bfill()
+            assert (g["b"].fillna(-1) == want.fillna(-1)).all()
+
+
 def test_asof_matches_search(spark, tape, days):
     pts = spark.createDataFrame([(d, float(t)) for d in days for t in np.arange(-5, 320, 3.7)], "day string, t double")
     for slot in (11.0, 1e6):
