@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tapeworks.functions.mathx import HART_DEN, HART_NUM, bind, c, div, norm_cdf, norm_pdf
+from tapeworks.functions.shared import stored
 from tapeworks.operators.scan import cut
 
 TICK = 0.01
@@ -286,16 +287,24 @@ def snapshot_report(chain: DataFrame, cy: DataFrame, by: Sequence[str] = ("under
 
 def digital_from_calls(questions: DataFrame, calls: DataFrame, r: float = 0.04, by: Sequence[str] = ("underlying",)) -> DataFrame:
     """P(S_T > K) of each question from the call spread that strictly brackets K on the first expiry at or
-    after its date, with a bid/ask band. questions: question_id, asof, strike, when."""
+    after its date, with a bid/ask band. questions: question_id, asof, strike, when.
+
+    Dates and strikes are looked up once each: asked and listed strikes of an expiry make one ordered list, in which the call
+    before and the call behind an asked strike are the last ones seen from either end. No question meets a whole expiry."""
     by = list(by)
     good = calls.where((F.col("kind") == "C") & (F.col("bid") > 0) & (F.col("ask") >= F.col("bid")))
-    first = questions.join(good.select(*by, "expiry").distinct(), by).where(F.col("expiry") >= F.col("when"))
-    first = first.groupBy(*by, "question_id", "asof", "when", F.col("strike").alias("_k")).agg(F.min("expiry").alias("expiry"))
-    j = first.join(good.select(*by, "expiry", "strike", "bid", "ask"), [*by, "expiry"])
-    row = F.struct("strike", "bid", "ask")
-    g = j.groupBy(*by, "question_id", "asof", "_k", "expiry").agg(
-        F.max(F.when(F.col("strike") < F.col("_k"), row)).alias("_l"), F.min(F.when(F.col("strike") > F.col("_k"), row)).alias("_h"))
-    g = g.where("_l is not null and _h is not null")
+    q = questions.select(*by, "question_id", "asof", "when", F.col("strike").alias("_k")).distinct()
+    asked = stored(q.select(*by, "when", "_k").distinct())
+    first = asked.select(*by, "when").distinct().join(good.select(*by, "expiry").distinct(), by).where(F.col("expiry") >= F.col("when"))
+    first = asked.join(first.groupBy(*by, "when").agg(F.min("expiry").alias("expiry")), [*by, "when"])
+    row = F.struct("strike", "bid", "ask")  # of several calls at a strike, the largest counts below and the smallest above
+    listed = good.groupBy(*by, "expiry", F.col("strike").alias("_k")).agg(F.max(row).alias("_low"), F.min(row).alias("_high"), F.lit(1).alias("_call"))
+    every = first.select(*by, "expiry", "_k").distinct().withColumn("_call", F.lit(0)).unionByName(listed, allowMissingColumns=True)
+    seen = lambda x, k: F.last(x, ignorenulls=True).over(  # noqa: E731  # asked strikes stand before the call at their own strike
+        Window.partitionBy(*by, "expiry").orderBy(k, "_call").rowsBetween(Window.unboundedPreceding, 0))
+    ends = every.select(*by, "expiry", "_k", "_call", seen("_low", F.col("_k")).alias("_l"), seen("_high", F.desc("_k")).alias("_h"))
+    ends = ends.where("_call = 0 and _l is not null and _h is not null").drop("_call")
+    g = q.join(first.join(ends, [*by, "expiry", "_k"]), [*by, "when", "_k"])
     t = F.greatest(F.datediff("expiry", "asof"), F.lit(1)) / 365.0
     k = F.exp(r * t) / (F.col("_h.strike") - F.col("_l.strike"))
     lim = lambda x: F.least(F.greatest(x, F.lit(0.005)), F.lit(0.995))

@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 from collections import Counter
@@ -264,3 +265,28 @@ def test_numbers_and_dates_in_titles(spark):
     }
     d = spark.createDataFrame([(k,) for k in cases], "t string").select("t", lk.thresholds(F.col("t")).alias("thr"), lk.dates(F.col("t")).alias("dat"))
     assert {r["t"]: (r["thr"], r["dat"]) for r in d.collect()} == cases
+
+
+def test_questions_do_not_meet_a_whole_expiry(spark):
+    """Brackets by brute force, several calls at a strike among them; a question is joined with its own strike, not with all of an expiry."""
+    rng = random.Random(21)
+    day = lambda k: datetime.date(2026, 1, 5) + datetime.timedelta(k)
+    listed = [("u", "C", day(e), float(rng.randint(90, 110)), rng.choice([0.0, 1.0, 2.0]), rng.choice([2.0, 3.0])) for e in (7, 30) for _ in range(25)]
+    asked = [(i, "u", day(0), day(rng.randint(1, 35)), rng.randint(176, 224) / 2) for i in range(120)]
+    calls = spark.createDataFrame(listed, "underlying string, kind string, expiry date, strike double, bid double, ask double")
+    out = chains.digital_from_calls(spark.createDataFrame(asked, "question_id long, underlying string, asof date, when date, strike double"), calls)
+    want = {}
+    for i, _, asof, when, k in asked:
+        after = [x for x in listed if x[4] > 0 and x[2] >= when]
+        same = [x[3:] for x in after if x[2] == min(y[2] for y in after)]
+        low, high = [x for x in same if x[0] < k], [x for x in same if x[0] > k]
+        if low and high:
+            (kl, bl, al), (kh, bh, ah) = max(low), min(high)
+            e = min(y[2] for y in after)
+            m = math.exp(0.04 * (e - asof).days / 365) / (kh - kl)
+            want[i] = (e, *(min(max(v, 0.005), 0.995) for v in (m * ((bl + al) - (bh + ah)) / 2, m * (bl - ah), m * (al - bh))))
+    got = {r["question_id"]: (r["expiry"], r["p"], r["lo"], r["hi"]) for r in out.collect()}
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(got[i][0] == want[i][0] and got[i][1:] == pytest.approx(want[i][1:]) for i in want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(ln.lstrip(" :+-").startswith("Aggregate") and "question_id" in ln and "max(" in ln for ln in plan.splitlines())
