@@ -290,3 +290,18 @@ def test_questions_do_not_meet_a_whole_expiry(spark):
     assert all(got[i][0] == want[i][0] and got[i][1:] == pytest.approx(want[i][1:]) for i in want)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any(ln.lstrip(" :+-").startswith("Aggregate") and "question_id" in ln and "max(" in ln for ln in plan.splitlines())
+
+
+def test_copies_are_matched_once_and_pairs_far_apart_are_not_written(spark):
+    """Copies of quotes and contracts get what comparing all rows gives; quotes that share only the name are no pairs."""
+    ask = "Will Zorba win the long northern race"
+    at = datetime.datetime(2026, 6, 30)
+    quotes = [(i, "s", ask + "?", "No", at) for i in range(40)] + [(100 + i, "s", f"Zorba eats {' '.join(f'dish{i}x{j}' for j in range(9))}", "No", at) for i in range(60)]
+    contracts = [(i, ask, "Yes", at) for i in (7, 8, 9)]
+    q = spark.createDataFrame(quotes, "quote_id long, source string, question string, outcome string, end timestamp")
+    c = spark.createDataFrame(contracts, "contract_id long, title string, name string, resolves_at timestamp")
+    got = lk.candidates(c, q, k=3)
+    assert sorted((r["contract_id"], r["quote_id"], r["invert"]) for r in got.collect()) == [(i, j, True) for i in (7, 8, 9) for j in (0, 1, 2)]
+    prepared = lk.prepare(q.withColumn("text", lk.quote_text()), "text"), lk.prepare(c.withColumn("text", lk.contract_text()), "text")
+    pairs = lk.name_pairs(prepared[1], prepared[0], "contract_id", "quote_id")
+    assert {r["quote_id"] for r in pairs.collect()} == set(range(40))
