@@ -305,3 +305,18 @@ def test_copies_are_matched_once_and_pairs_far_apart_are_not_written(spark):
     prepared = lk.prepare(q.withColumn("text", lk.quote_text()), "text"), lk.prepare(c.withColumn("text", lk.contract_text()), "text")
     pairs = lk.name_pairs(prepared[1], prepared[0], "contract_id", "quote_id")
     assert {r["quote_id"] for r in pairs.collect()} == set(range(40))
+
+
+def test_block_candidates_are_all_documents_that_share_a_word(spark):
+    """No best few of a query and no word too common to count: every pair, with the information of all its shared words."""
+    from tapeworks.plans import match_queries as mq
+    from tapeworks.plans.registry import QUERIES
+    from tests.conftest import SF
+
+    words = lambda name, key: {r["id"]: set(r["tok"]) for r in mq.lk.with_tokens(mq.texts(spark, SF, name, key), "text").collect()}
+    asked, pool = words("benchmark", "item_id"), words("documents", "doc_id")
+    df = Counter(w for t in pool.values() for w in t)
+    want = {(q, p): sum(round(math.log(len(pool) / df[w]) * 1e6) for w in a & t) / 1e6 for q, a in asked.items() for p, t in pool.items() if a & t}
+    got = {(r["q"], r["p"]): r["info"] for r in QUERIES["block_candidates"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+    assert max(df.values()) > 0.2 * len(pool)
