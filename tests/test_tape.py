@@ -80,6 +80,13 @@ def test_asof_cuts_crowded_slots(spark):
     assert len(pieces) >= 5 and max(pieces.values()) <= 2 * sorted(pieces.values())[len(pieces) // 2]
 
 
+def test_a_quantile_between_equal_values_is_that_value(spark):
+    """An edge inside a run of equal values does not move off it by rounding, so that these values stand on the edge."""
+    v, n = -3.53538259600654, 49
+    edges = quantiles(spark.createDataFrame([(v,)] * n, "v double"), [], "v", {f"e{i}": i / 10 for i in range(1, 10)}).first()
+    assert set(edges) == {v}
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.standard_t(2, 500), np.repeat(3.25, 40), [1e9]])
