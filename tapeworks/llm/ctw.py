@@ -6,11 +6,11 @@ and ones and the Krichevsky-Trofimov estimate; its weighted probability is half
 its children, and the mixture over all depths follows from those. The score is the base-10 logarithm of the model's
 probability of the text; bits_per_byte is its code length.
 
-Counts come from every learned text: n-gram and word counts are summed in tasks, then by key. A context is kept where its
-count is at least 1 / CONTEXTS of all bytes learned (what is rarer below a node is pooled as one more child), so there are at
-most CONTEXTS for each depth and decision at any size of the corpus, and tasks can hold them. Whole bytes are looked up for
-grams with at least 1 / GRAMS of the bytes, the rest goes bit by bit to the same numbers. Subtrees are built by partitions
-of the two nearest bytes; only the 255 * 257 nodes above meet in the driver.
+Counts come from every learned text: n-gram and word counts are summed in tasks, then by key. Every context learned is kept.
+Subtrees are built by partitions of the two nearest bytes, some of these contexts at a time; only the 255 * 257 nodes above meet
+in the driver. A partition also gives the logarithm of each gram (context and byte) that any text has, learned or not. Grams with
+at least 1 / GRAMS of the bytes (at most GRAMS of them) are looked up in tasks, all others by a join. `fit` gives a smaller model
+that a task can hold: there contexts with less than 1 / CONTEXTS of the bytes are pooled below their node as one more child.
 
 The base score is that of single words. Words with at least 1 / WORDS of all tokens (at most WORDS of them) are looked up in
 tasks, all others by a join on a 64-bit hash of the word.
@@ -22,6 +22,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,6 +36,7 @@ from tapeworks.llm.common import LOWER, SPACES, fields, mixed, padded, pieces, w
 
 DEPTH, CONTEXTS, GRAMS, WORDS = 5, 1 << 18, 1 << 21, 1 << 20
 END, WINDOW, HELD = 10, 1 << 20, 1_500_000
+SUBTREE = 100_000  # grams whose subtrees a task builds at a time
 _TEXT = np.where(SPACES, 32, LOWER).astype(np.uint8)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -233,10 +235,22 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy()
 
 
+def _contexts(gram: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of the grams, some contexts of the two nearest bytes at a time: their subtrees are apart."""
+    two = (gram >> np.uint64(8)) & np.uint64(65535)
+    order = np.argsort(two, kind="stable")
+    ends = np.append(np.flatnonzero(two[order][1:] != two[order][:-1]) + 1, len(order)) if len(order) else order
+    a = 0
+    while a < len(order):
+        b = int(ends[min(np.searchsorted(ends, a + SUBTREE), len(ends) - 1)])
+        yield order[a:b]
+        a = b
+
+
 def _up(depth: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gram, n = _whole(batches)
-    if len(gram):
-        _, sums = subtree(gram, n, depth, least, 2)
+    for one in _contexts(gram):
+        _, sums = subtree(gram[one], n[one], depth, least, 2)
         yield pa.RecordBatch.from_arrays([pa.array(sums[0].view(np.int64)), *map(pa.array, sums[1:])], names=["key", "a", "b", "ka", "kb", "inner"])
 
 
@@ -293,8 +307,8 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", depth: int = DEPTH) -> tuple[Model, DataFrame, dict[str, int]]:
-    """The model, the word counts (key, n), and the totals learned: texts, tokens, vocabulary, bytes."""
+def _learned(docs: DataFrame, learn: Column, text: str, depth: int) -> tuple[DataFrame, dict[str, int]]:
+    """The counts (kind 0: grams, 1: words; key, n), and the totals learned: texts, tokens, vocabulary, bytes."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be from 2 to 6")
     learned = docs.where(learn).select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -302,9 +316,16 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", depth: int = DEPTH)
     total = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     texts = counts.where((F.col("kind") == 0) & (F.col("key").bitwiseAND(255) == END)).agg(F.sum("n")).first()[0] or 0
     size, words = total.get(0, (0, 0))[0], total.get(1, (0, 0))
-    totals = {"texts": texts, "tokens": words[0] + texts, "vocabulary": words[1] + (texts > 0), "bytes": size}
-    least = max(1, -(-size // CONTEXTS))
-    table = counts.where("kind = 0").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(65535))
+    return counts, {"texts": texts, "tokens": words[0] + texts, "vocabulary": words[1] + (texts > 0), "bytes": size}
+
+
+def _dealt(grams_: DataFrame) -> DataFrame:
+    """By the two nearest bytes of context."""
+    return grams_.repartition(F.shiftright("key", 8).bitwiseAND(65535))
+
+
+def _above(table: DataFrame, depth: int, least: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], dict[int, Table]]:
+    """What the nodes above the subtrees hand down, and their predictions."""
     up = table.mapInArrow(partial(_up, depth, least), "key long, a long, b long, ka long, kb long, inner double")
     up = up.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("a", "b", "ka", "kb", "inner")]).orderBy("key").toArrow()  # 255 * 256 rows at most
     one = Level(up["key"].to_numpy().view(np.uint64), *[up[c].to_numpy() for c in ("a", "b", "ka", "kb", "inner")])
@@ -313,16 +334,53 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", depth: int = DEPTH)
     so_far, rest, leaf0 = root.down(np.zeros(len(root.key)), np.ones(len(root.key)))
     spot = np.searchsorted(root.key, one.key & np.uint64(255))
     above, left, leaf1 = one.down(so_far[spot], rest[spot])
-    upper = {0: Table(root.key, leaf0), 1: Table(one.key, leaf1)}
-    got = table.mapInArrow(partial(_down, depth, least, max(1, -(-size // GRAMS)), (one.key, above, left), upper), "depth int, key long, p double").toArrow()
-    of, key, p = got["depth"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["p"].to_numpy()
-    nodes = upper | {d: Table(key[of == d], p[of == d].astype(np.float32)) for d in range(2, depth + 1)}
+    return (one.key, above, left), {0: Table(root.key, leaf0), 1: Table(one.key, leaf1)}
+
+
+def _common_words(counts: DataFrame, totals: dict[str, int]) -> tuple[DataFrame, Table]:
     word_counts = counts.where("kind = 1").select("key", "n")
     common = word_counts.where(F.col("n") * WORDS >= totals["tokens"]).toArrow()  # WORDS rows at most
-    words = Table(common["key"].to_numpy().view(np.uint64), common["n"].to_numpy())
+    return word_counts, Table(common["key"].to_numpy().view(np.uint64), common["n"].to_numpy())
+
+
+def fit(docs: DataFrame, learn: Column, text: str = "text", depth: int = DEPTH) -> tuple[Model, DataFrame, dict[str, int]]:
+    """A model that a task can hold, contexts rarer than 1 / CONTEXTS of all bytes pooled (`score` keeps them all); the word counts
+    (key, n); and the totals learned."""
+    counts, totals = _learned(docs, learn, text, depth)
+    least = max(1, -(-totals["bytes"] // CONTEXTS))
+    table = _dealt(counts.where("kind = 0").select("key", "n"))
+    above, upper = _above(table, depth, least)
+    got = table.mapInArrow(partial(_down, depth, least, max(1, -(-totals["bytes"] // GRAMS)), above, upper), "depth int, key long, p double").toArrow()
+    of, key, p = got["depth"].to_numpy(), got["key"].to_numpy().view(np.uint64), got["p"].to_numpy()
+    nodes = upper | {d: Table(key[of == d], p[of == d].astype(np.float32)) for d in range(2, depth + 1)}
+    word_counts, words = _common_words(counts, totals)
     return Model(depth, nodes, Table(key[of == -1], p[of == -1].astype(np.float32)), words), word_counts, totals
 
 
+def _predict(depth: int, above: tuple[np.ndarray, np.ndarray, np.ndarray], upper: dict[int, Table], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, p) of each gram of the partition, learned or only asked for: its count in all texts, and its logarithm with all contexts kept."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    t = pa.Table.from_batches(got)
+    gram, n, m = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy(), t.column("m").to_numpy()
+    for one in _contexts(gram):
+        mine, learned, asked = _summed(gram[one], n[one], m[one])
+        seen = learned > 0
+        levels, _ = subtree(mine[seen], learned[seen], depth, 1, 2)
+        key, carried, left = above
+        nodes = dict(upper)
+        for d, level in zip(range(2, depth + 1), reversed(levels), strict=True):
+            spot = np.searchsorted(key, level.key & np.uint64((1 << (8 * d)) - 1))
+            so_far, rest, leaf = level.down(carried[spot], left[spot])
+            nodes[d] = Table(level.key, carried[spot] + left[spot] * next_one(level.a, level.b) if d == depth else leaf)
+            key, carried, left = level.key, so_far, rest
+        model = Model(depth, nodes, Table(gram[:0], np.zeros(0)), None)
+        for a in range(0, len(mine), 1 << 17):
+            part = slice(a, a + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(mine[part].view(np.int64)), pa.array((learned + asked)[part]), pa.array(model.log10(mine[part]))], names=["key", "n", "p"])
+
+
 def _score(model, totals: dict[str, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     floor = totals["tokens"] + 0.5 * (totals["vocabulary"] + 1)
@@ -331,9 +389,14 @@ def _score(model, totals: dict[str, int], batches: Iterator[pa.RecordBatch]) ->
         for first, end, data, at in pieces(batch, "_text"):
             n = end - first
             flat, row, scored = byte_stream(data, at, m.depth)
-            score = np.zeros(n)
+            score, seldom = np.zeros(n), []
             for where, gram in grams(flat, scored, m.depth):
-                score += np.bincount(row[where], m.log10(gram), n)
+                found, p = m.bytes.find(gram)
+                score += np.bincount(row[where], p, n)
+                seldom.append((row[where][~found], gram[~found]))
+            of, gram = (np.concatenate(x) for x in zip(*seldom, strict=True)) if seldom else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            ahead = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
+            seldom = pa.ListArray.from_arrays(pa.array(ahead, pa.int32()), pa.array(gram.view(np.int64)))
             size = np.bincount(row[scored], minlength=n)
             data = LOWER[data]
             owner, begin, stop = word_spans(data, at)
@@ -344,20 +407,32 @@ def _score(model, totals: dict[str, int], batches: Iterator[pa.RecordBatch]) ->
             cut = np.concatenate([[0], np.cumsum(np.bincount(owner[~found], minlength=n))])
             rare = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h[~found].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k).slice(first, n) for k in kept], *map(pa.array, (np.bincount(owner, minlength=n) + 1, known, base, score, -score / np.log10(2) / size)), rare],
-                names=[*kept, "n_tokens", "_known", "_base", "score", "bits_per_byte", "_rare"])
+                [*[batch.column(k).slice(first, n) for k in kept], *map(pa.array, (np.bincount(owner, minlength=n) + 1, known, base, score, size)), rare, seldom],
+                names=[*kept, "n_tokens", "_known", "_base", "_score", "_size", "_rare", "_grams"])
 
 
 def score(docs: DataFrame, learn: Column, keep: dict[str, Column], text: str = "text", depth: int = DEPTH) -> DataFrame:
     """The columns `keep` of every row, with n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
-    model, counts, totals = fit(docs, learn, text, depth)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # CONTEXTS nodes for each depth and decision, WORDS words at most
+    counts, totals = _learned(docs, learn, text, depth)
+    learned = counts.where("kind = 0").select("key", "n", F.lit(0).cast("long").alias("m"))
+    others = docs.where(~F.coalesce(learn, F.lit(False))).select(F.coalesce(F.col(text), F.lit("")).alias("_text")).mapInArrow(partial(_count, depth), "kind int, key long, n long")
+    others = others.where("kind = 0").groupBy("key").agg(F.sum("n").alias("m")).select("key", F.lit(0).cast("long").alias("n"), "m")
+    above, upper = _above(_dealt(learned), depth, 1)
+    table = stored(_dealt(learned.unionByName(others)).mapInArrow(partial(_predict, depth, above, upper), "key long, n long, p double"))
+    size = table.agg(F.sum("n")).first()[0] or 0
+    common = table.where(F.col("n") * GRAMS >= size).select("key", "p").toArrow()  # GRAMS rows at most
+    counts, words = _common_words(counts, totals)
+    model = Model(depth, {}, Table(common["key"].to_numpy().view(np.uint64), common["p"].to_numpy()), words)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS grams, WORDS words at most
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    more = {"n_tokens": "long", "_known": "long", "_base": "double", "score": "double", "bits_per_byte": "double", "_rare": "array<long>"}
+    more = {"n_tokens": "long", "_known": "long", "_base": "double", "_score": "double", "_size": "long", "_rare": "array<long>", "_grams": "array<long>"}
     scored = stored(rows.mapInArrow(partial(_score, held, totals), fields(rows, ("_text",), **more)))
     floor = totals["tokens"] + 0.5 * (totals["vocabulary"] + 1)
     rare = scored.where(F.size("_rare") > 0).select("_row", F.explode("_rare").alias("key")).join(counts, "key", "left")
     rare = rare.groupBy("_row").agg(F.count("n").alias("_more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("_less"))
-    out = scored.drop("_rare").join(rare, "_row", "left")
+    seldom = table.where(F.col("n") * GRAMS < size).select("key", "p")
+    seldom = scored.where(F.size("_grams") > 0).select("_row", F.explode("_grams").alias("key")).join(seldom, "key").groupBy("_row").agg(F.sum("p").alias("_p"))
+    out = scored.drop("_rare", "_grams").join(rare, "_row", "left").join(seldom, "_row", "left")
+    out = out.withColumn("score", F.col("_score") + F.coalesce("_p", F.lit(0.0)))
     return out.select(*keep, "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
-                      (F.col("_base") + F.coalesce("_less", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte")
+                      (F.col("_base") + F.coalesce("_less", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("_size")).alias("bits_per_byte"))

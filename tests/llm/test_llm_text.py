@@ -265,6 +265,18 @@ def test_ctw_equals_the_recursion(spark):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(x in c for x in w), n)
 
 
+def test_ctw_scores_with_contexts_of_any_rarity(spark, monkeypatch):
+    """Scores are those of the whole tree, however few contexts a task may hold; rare grams come by a join, unlearned ones too."""
+    monkeypatch.setattr(ctw, "CONTEXTS", 20)
+    monkeypatch.setattr(ctw, "GRAMS", 40)
+    train = ["the cat sat on the mat and the dog sat on the log", "a zebra crossed the road once", "the cat " * 30]
+    rows = [(i, t, True) for i, t in enumerate(train)] + [(9, "a zebra sat on qqq", False), (9, "a zebra sat on qqq", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = ctw.score(df, F.col("train"), {"doc_id": F.col("doc_id")}, depth=3).collect()
+    want = naive_ctw(train, 3)
+    assert len(got) == 5 and all(r["score"] == pytest.approx(want(dict((i, t) for i, t, _ in rows)[r["doc_id"]]), rel=1e-6) for r in got)
+
+
 def test_ctw_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(i, "abc abd " * 5 + chr(97 + i)) for i in range(9)], "doc_id long, text string")
     model, _, _ = ctw.fit(df, F.lit(True), depth=2)
