@@ -16,6 +16,8 @@ from tapeworks.functions.shared import stored
 from tapeworks.operators import proposals
 
 CLOSE_NS = 20 * 3600 * 10**9  # the exchange's last event of a day, 20:00
+BUCKETS = 256  # of the references of a day
+CONTRACTS = 1024  # buckets of contracts
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,36 +33,46 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 class OrderAudit(StatefulProcessor):
-    """Shares left of one order; emits steps that name an unknown or finished order. Empty state is dropped, and a timer
-    forgets an order that is never used up, once its day has closed behind the watermark."""
+    """Shares left of the orders of one bucket of a day; emits steps that name an unknown or finished order. Used-up orders are dropped,
+    and a timer forgets the bucket once its day has closed behind the watermark."""
 
     def __init__(self, close_ns: int = CLOSE_NS) -> None:
         self.close_ns = close_ns
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.left = handle.getValueState("left", "left long")
+        self.open = handle.getValueState("open", "ref array<long>, left array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("step")
-        known = self.left.exists()
-        starts = pdf["starts"].to_numpy(bool)
-        life = starts.cumsum()  # 0: the order that was there before
-        taken = np.where(starts, 0, pdf["take"].to_numpy(np.int64)).cumsum()
-        begun = np.append(0, taken[starts])
-        base = np.append(self.left.get()[0] if known else 0, pdf["shares"].to_numpy()[starts].astype(np.int64))
-        after = base[life] - (taken - begun[life])
-        before = after + np.diff(taken, prepend=0)
-        if after[-1] > 0:
-            self.left.update((int(after[-1]),))
+        pdf = pd.concat(list(rows)).sort_values(["ref", "step"])
+        known = self.open.exists()
+        held, left = (np.array(x, np.int64) for x in (self.open.get() if known else ((), ())))  # in the order of ref
+        ref, starts = pdf["ref"].to_numpy(np.int64), pdf["starts"].to_numpy(bool)
+        first = np.append(True, ref[1:] != ref[:-1])
+        begins = starts | first  # of a life: an order, or what an earlier batch left of it
+        life = begins.cumsum() - 1
+        spot = np.searchsorted(held, ref[begins])
+        found = np.append(held, ref[-1] + 1)[spot] == ref[begins]
+        base = np.where(starts[begins], pdf["shares"].to_numpy()[begins], np.where(found, np.append(left, 0)[spot], 0)).astype(np.int64)
+        take = np.where(starts, 0, pdf["take"].to_numpy(np.int64))
+        taken = take.cumsum()
+        after = base[life] - (taken - (taken - take)[begins][life])
+        before = after + take
+        last = np.append(first[1:], True)
+        other = ~np.isin(held, ref[last])
+        now = np.concatenate([held[other], ref[last]]), np.concatenate([left[other], after[last]])
+        keep = np.flatnonzero(now[1] > 0)
+        keep = keep[np.argsort(now[0][keep])]
+        if len(keep):
+            self.open.update((now[0][keep].tolist(), now[1][keep].tolist()))
             if not known:
                 self.handle.registerTimer(self._closed(key[0]))
         elif known:
-            self.left.clear()
+            self.open.clear()
         yield pdf.loc[~starts & (before <= 0), ["day", "ref", "seq", "msg"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.left.clear()
+        self.open.clear()
         return iter(())
 
     def _closed(self, day) -> int:
@@ -72,12 +84,13 @@ class OrderAudit(StatefulProcessor):
 
 
 def order_audit(steps: DataFrame, close_ns: int = CLOSE_NS, late: str = "2 hours") -> DataFrame:
-    """Unmatched references of a stream of order steps (lifecycle.order_steps), per (day, ref). Steps that come later than `late`
-    behind the newest of earlier batches are dropped; a day's orders are forgotten once the watermark has passed its close."""
+    """Unmatched references of a stream of order steps (lifecycle.order_steps), per day and ref. Steps that come later than `late`
+    behind the newest of earlier batches are dropped; a day's orders are forgotten once the watermark has passed its close. State
+    is kept by BUCKETS buckets of a day's references: a call and a state read for each bucket, not for each order."""
     schema = T.StructType([steps.schema[k] for k in ("day", "ref", "seq", "msg")])
     at = (F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("ts_ns") / 1e9).cast("timestamp")
-    timed = steps.withColumn("at", at).withWatermark("at", late)
-    return timed.groupBy("day", "ref").transformWithStateInPandas(OrderAudit(close_ns), schema, "Append", "EventTime")
+    timed = steps.withColumns({"at": at, "_bucket": F.pmod(F.xxhash64("ref"), F.lit(BUCKETS))}).withWatermark("at", late)
+    return timed.groupBy("day", "_bucket").transformWithStateInPandas(OrderAudit(close_ns), schema, "Append", "EventTime")
 
 
 class FlowEvents(StatefulProcessor):
@@ -121,36 +134,45 @@ def open_buckets(flows: DataFrame, closed: DataFrame, width: str = "10 seconds")
 
 
 class CoolDown(StatefulProcessor):
-    """Lets a contract's proposal through if none went out in the last hours, or the numbers moved. What went out last is
-    forgotten by a timer once those hours lie behind the watermark: from then on it can hold nothing back."""
+    """Lets a contract's proposal through if none went out in the last hours, or the numbers moved; holds the contracts of one bucket.
+    What went out last is forgotten by a timer once those hours lie behind the watermark: from then on it can hold nothing back."""
 
-    def __init__(self, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE) -> None:
-        self.seconds, self.move = hours * 3600.0, move
+    def __init__(self, kind: str, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE) -> None:
+        self.kind, self.seconds, self.move = kind, hours * 3600.0, move
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "p double, ask double, at double")
+        self.last = handle.getValueState("last", f"id array<{self.kind}>, p array<double>, ask array<double>, at array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["ts", "p"])
-        last = tuple(self.last.get()) if self.last.exists() else None
+        known = self.last.exists()
+        out = {c: tuple(v) for c, *v in zip(*self.last.get(), strict=True)} if known else {}
         keep = []
-        for i, r in enumerate(pdf.itertuples()):
-            at = r.ts.timestamp()
-            fresh = last is None or at - last[2] > self.seconds
-            if fresh or abs(r.p - last[0]) >= self.move or abs(r.ask - last[1]) >= self.move:
-                last = (float(r.p), float(r.ask), at)
+        for i, (c, ts, p, ask) in enumerate(zip(pdf["contract_id"].tolist(), pdf["ts"], pdf["p"].tolist(), pdf["ask"].tolist(), strict=True)):
+            last, at = out.get(c), ts.timestamp()
+            if last is None or at - last[2] > self.seconds or abs(p - last[0]) >= self.move or abs(ask - last[1]) >= self.move:
+                out[c] = (p, ask, at)
                 keep.append(i)
         if keep:
-            self.last.update(last)
-            self.handle.registerTimer(self._over(last[2]))
+            self._hold(out, not known)
         yield pdf.iloc[keep][["contract_id", "ts", "p", "ask"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and self._over(self.last.get()[2]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()  # nothing newer went out since the timer was set
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if self.last.exists():
+            self._hold({c: tuple(v) for c, *v in zip(*self.last.get(), strict=True) if self._over(v[2]) > now}, True)
         return iter(())
 
+    def _hold(self, out: dict, timer: bool) -> None:
+        """A bucket that holds anything has a timer: for the contract that can be forgotten first."""
+        if not out:
+            self.last.clear()
+            return
+        self.last.update((list(out), *(list(x) for x in zip(*out.values(), strict=True))))
+        if timer:
+            self.handle.registerTimer(min(self._over(v[2]) for v in out.values()))
+
     def _over(self, at: float) -> int:
         return int((at + self.seconds) * 1000) + 1000
 
@@ -159,10 +181,12 @@ class CoolDown(StatefulProcessor):
 
 
 def cool_down(props: DataFrame, hours: float = proposals.COOL_HOURS, move: float = proposals.MOVE, late: str = "1 hour") -> DataFrame:
-    """Proposals (contract_id, ts, p, ask) that go out. Rows that come later than `late` behind the newest of earlier batches are dropped."""
+    """Proposals (contract_id, ts, p, ask) that go out. Rows that come later than `late` behind the newest of earlier batches are dropped.
+    State is kept by CONTRACTS buckets: a call and a state read for each bucket, not for each contract."""
     schema = T.StructType([props.schema[k] for k in ("contract_id", "ts", "p", "ask")])
-    timed = props.withWatermark("ts", late)
-    return timed.groupBy("contract_id").transformWithStateInPandas(CoolDown(hours, move), schema, "Append", "EventTime")
+    timed = props.withColumn("_bucket", F.pmod(F.xxhash64("contract_id"), F.lit(CONTRACTS))).withWatermark("ts", late)
+    kind = props.schema["contract_id"].dataType.simpleString()
+    return timed.groupBy("_bucket").transformWithStateInPandas(CoolDown(kind, hours, move), schema, "Append", "EventTime")
 
 
 def _latest(quotes: DataFrame) -> DataFrame:

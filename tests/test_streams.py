@@ -122,3 +122,26 @@ def test_order_audit_over_batches_equals_the_batch_operator(spark, rocks, tmp_pa
     ran = [p for p in q.recentProgress if p["numInputRows"]]
     assert len(ran) == 5 and max(p["stateOperators"][0]["numRowsTotal"] for p in ran) > 20
     assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 6  # two orders and their timers are left
+
+
+def test_order_audit_keeps_state_by_bucket(spark, rocks, tmp_path):
+    """Many open orders of a day are a bounded number of states and timers, and are still there for the next batch."""
+    day, n = dt.date(2024, 1, 2), 3000
+    rows = [(day, "X", i, 34_200 * 10**9 + i, "A", i, None, "B", 100, 10000, None) for i in range(n)]
+    rows += [(day, "X", n + i, 34_300 * 10**9 + i, "E", i, None, "B", 60, 10000, None) for i in range(n)] + [(day, "X", 2 * n + i, 34_400 * 10**9 + i, "E", i, None, "B", 60, 10000, None) for i in range(10)]
+    rows += [(day, "X", 3 * n, 34_500 * 10**9, "E", 5, None, "B", 60, 10000, None)]
+    schema = "day date, ticker string, seq long, ts_ns long, msg string, ref long, new_ref long, side string, shares long, price long, state string"
+    src = batches(spark, str(tmp_path / "in"), rows, schema, (n, 2 * n, 2 * n + 10))
+    q, out = run(jobs.order_audit(lc.order_steps(src)), str(tmp_path / "q"))
+    assert sorted(map(tuple, out.collect())) == [(day, 5, 3 * n, "E")]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]) <= 4 * jobs.BUCKETS < n
+
+
+def test_cool_down_keeps_state_by_bucket(spark, rocks, tmp_path):
+    """Many contracts are a bounded number of states and timers; what went out holds back in the next batch."""
+    n, at = 6000, dt.datetime(2026, 1, 1)
+    rows = [(c, at, 0.3, 0.3) for c in range(n)] + [(c, at + dt.timedelta(minutes=5), 0.3, 0.3) for c in range(n)] + [(7, at + dt.timedelta(minutes=6), 0.9, 0.3)]
+    src = batches(spark, str(tmp_path / "in"), rows, "contract_id long, ts timestamp, p double, ask double", (n, 2 * n))
+    q, out = run(jobs.cool_down(src, hours=12, move=0.02), str(tmp_path / "q"))
+    assert sorted((r["contract_id"], r["ts"]) for r in out.collect()) == sorted([(c, at) for c in range(n)] + [(7, rows[-1][1])])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]) <= 4 * jobs.CONTRACTS < n
