@@ -2,7 +2,8 @@
 
 quality      documents that the classifier, learned from all labels, scores below its threshold go
 language     documents of no language, or of one that the codewords can't tell, go
-near_dedup   of each group of near copies the document with the smallest id stays
+near_dedup   of each group of near copies (fingerprints as operator 9 links them, or 0.8 of all five-word shingles) the
+             document with the smallest id stays
 decontaminate  documents that overlap a benchmark item go
 mix          how many words of each document the mix of sources takes
 
@@ -38,7 +39,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
+    return simhash.deduplicate(docs, budget=simhash.BUDGET)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -468,8 +468,19 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: fl
     return stored(left.join(text("a"), "a").join(text("b"), "b").mapInArrow(partial(_decide, similar), "a long, b long"))
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: int = SLICE) -> DataFrame:
-    """(a, b): pairs of texts with `similar` of their shingles in common, which connect all that such pairs connect.
+def fingerprint_links(texts: DataFrame, named: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links that connect all nodes with texts whose fingerprints differ in at most `budget` bits (operator 9)."""
+    prints = fingerprints(texts, "_key", "_text").select(F.col("doc_id").alias("_key"), "fingerprint").distinct()
+    prints = stored(prints.join(named.select("_key", "node").distinct(), "_key").select("node", "fingerprint").distinct())
+    distinct = prints.select("fingerprint").distinct()
+    roots = components(links(distinct.select(F.col("fingerprint").alias("node"), F.lit(0).alias("table"), "fingerprint"), budget))
+    grouped = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("node", F.coalesce("root", "fingerprint").alias("_group"))
+    first = grouped.groupBy("_group").agg(F.min("node").alias("b"))
+    return stored(grouped.join(first, "_group").where("node <> b").select(F.col("node").alias("a"), "b"))
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: int = SLICE, linked: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of texts with `similar` of their shingles in common, which connect all that such pairs connect; and those `linked` already.
 
     Two such texts have a shingle of their prefixes in common. Of each shingle the first text is compared with the others;
     then the texts that are not yet connected are compared, each with each.
@@ -479,6 +490,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: in
     first = held.groupBy("h").agg(F.min("node").alias("a"))
     stars = held.join(first, "h").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     near = near_pairs(stars, nodes, texts, similar)
+    near = near if linked is None else near.unionByName(linked)
     held = held.join(components(near), "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = stored(held)
     apart = held.groupBy("h").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high")
@@ -491,11 +503,12 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, similar: float, slice_: in
     return near.unionByName(near_pairs(more, nodes, texts, similar))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(_key) of the rows that are near copies of one that stays, and (_key) of rows that are there more than once.
 
     Two texts are near copies if they have `similar` of their distinct five-word shingles in common (of those that either
-    has); every such pair counts, at any length. Of each group (near copies of near copies included) the row with the
+    has); every such pair counts, at any length. With a `budget`, texts whose fingerprints differ in at most so many bits are near copies
+    too, as operator 9 links them. Of each group (near copies of near copies included) the row with the
     smallest id stays; NULL ids come last.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -513,16 +526,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     nodes = prints.join(named.where("_key = node").select("_key").distinct(), "_key", "left_semi").select(F.col("_key").alias("node"), "n", "parity", "rare", "common")
     if not twice.isEmpty():
         nodes = nodes.dropDuplicates(["node"])
-    roots = components(similar_pairs(stored(nodes), texts, similar))
+    linked = None if budget is None else fingerprint_links(texts, named, budget)
+    roots = components(similar_pairs(stored(nodes), texts, similar, linked=linked))
     groups = named.select("node", "_first").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = groups.groupBy("root").agg(F.min("_first").alias("_first")).select(F.col("_first._key").alias("_key"))
     gone = named.select("_key").distinct().join(stays, "_key", "left_anti")
     return gone, twice
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, budget: int | None = None) -> DataFrame:
     """The rows of docs without near copies: one of each group stays."""
-    gone, twice = repeats(docs, doc_id, text, similar)
+    gone, twice = repeats(docs, doc_id, text, similar, budget)
     keyed = docs.withColumn("_row_key", row_key(docs))
     left = keyed.join(gone.select(F.col("_key").alias("_row_key")), "_row_key", "left_anti")
     twice = stored(twice.select(F.col("_key").alias("_row_key")))

@@ -284,3 +284,15 @@ def test_deduplicate_decides_long_texts_by_all_shingles(spark):
     want = kept(texts)
     assert 70 < len(want) < 110
     assert left_ids(spark, texts) == want
+
+
+def test_near_copies_of_the_pipeline_are_those_of_the_fingerprints_too(spark):
+    """Texts that operator 9 links are one group, though few of their distinct shingles are the same."""
+    import corpus_pipeline
+
+    draw = np.random.default_rng(14)
+    texts = ["alpha beta gamma " * 400 + " ".join(drawn(draw, 30)) for _ in range(3)] + [" ".join(drawn(draw, 60))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(rows).collect()} == {0, 3}
+    assert kept(texts) == left_ids(spark, texts) == [0, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [0, 3]
