@@ -320,3 +320,15 @@ def test_block_candidates_are_all_documents_that_share_a_word(spark):
     got = {(r["q"], r["p"]): r["info"] for r in QUERIES["block_candidates"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in want)
     assert max(df.values()) > 0.2 * len(pool)
+
+
+def test_few_pairs_are_compared_and_none_is_lost(spark):
+    """Texts that share some rarer words, but fewer than they must, are no candidates."""
+    draw = random.Random(8)
+    sets = [sorted(draw.sample(range(2000), 60)) for _ in range(120)]
+    sets += [sorted(set(s[:50]) | set(draw.sample(range(2000), 12))) for s in sets[:15]]
+    df = Counter(w for s in sets for w in s)
+    rows = [(i, len(s), sorted((w for w in s if df[w] > 1), key=lambda w: (df[w], w))) for i, s in enumerate(sets)]
+    got = {(r["x"], r["y"]) for r in lk.pairs_to_compare(spark.createDataFrame(rows, "x long, n int, ids array<long>"), 0.5).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j]))}
+    assert len(want) >= 15 and want <= got and len(got) <= 2 * len(want)
