@@ -332,3 +332,10 @@ def test_few_pairs_are_compared_and_none_is_lost(spark):
     got = {(r["x"], r["y"]) for r in lk.pairs_to_compare(spark.createDataFrame(rows, "x long, n int, ids array<long>"), 0.5).collect()}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j]))}
     assert len(want) >= 15 and want <= got and len(got) <= 2 * len(want)
+
+
+def test_folding_needs_no_python_and_equals_nfkd(spark):
+    texts = ["café", "½ price… ﬁne №5", "72° in Ünter", "é ẛ̣ 𝐀𝟙 한글 ß漢", "plain", "", None, *("a" + chr(c) + "b" + chr(c) for c in (*range(0xA0, 0x250), *range(0x2000, 0x2200), *range(0xFB00, 0xFB07)))]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", "text", lk.fold("text").alias("f"))
+    assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["text"], r["f"]) for r in got.collect() if r["f"] != (None if r["text"] is None else lk._ascii(r["text"]))] == []
