@@ -18,6 +18,8 @@ from tapeworks.operators import proposals
 CLOSE_NS = 20 * 3600 * 10**9  # the exchange's last event of a day, 20:00
 BUCKETS = 256  # of the references of a day
 CONTRACTS = 1024  # buckets of contracts
+QUOTE = ["bid_price", "bid_size", "ask_price", "ask_size"]
+QUOTES = 65_536  # numbers of a ticker's quotes in a run
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -93,32 +95,61 @@ def order_audit(steps: DataFrame, close_ns: int = CLOSE_NS, late: str = "2 hours
     return timed.groupBy("day", "_bucket").transformWithStateInPandas(OrderAudit(close_ns), schema, "Append", "EventTime")
 
 
+def _flow(now: pd.DataFrame, before: pd.DataFrame) -> pd.Series:
+    """Order-flow imbalance of quotes from those before them; 0 where there is none."""
+    b, a, pb, pa = now["bid_price"], now["ask_price"], before["bid_price"], before["ask_price"]
+    e = (now["bid_size"] * (b >= pb) - (before["bid_size"] * (b <= pb)).fillna(0) - now["ask_size"] * (a <= pa) + (before["ask_size"] * (a >= pa)).fillna(0))
+    return e.where(pb.notna(), 0.0).astype(float)
+
+
+class FlowRuns(StatefulProcessor):
+    """Flow within the quotes of one run of a batch, QUOTES numbers of a ticker. Its first quote and its last, which other runs need, go on as they are."""
+
+    def init(self, handle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        out = pdf.assign(_run=key[1], flow=_flow(pdf, pdf[QUOTE].shift(1)), edge=0)
+        ends = out.iloc[[0, -1]].assign(edge=[1, 2])
+        yield pd.concat([out.iloc[1:], ends])[["ticker", "_run", "ts", "seq", *QUOTE, "flow", "edge"]]
+
+    def close(self) -> None:
+        pass
+
+
 class FlowEvents(StatefulProcessor):
-    """Order-flow imbalance of each quote from the one before it, across micro-batches; the last quote is kept."""
+    """Passes on the flow within runs, and sets that of each run's first quote from the last quote of the run before it, across
+    micro-batches; the last quote is kept."""
 
     def init(self, handle) -> None:
         self.last = handle.getValueState("last", "bp long, bs long, ap long, asz long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        q = ["bid_price", "bid_size", "ask_price", "ask_size"]
-        prev = pdf[q].shift(1)
+        if not key[2]:
+            yield from (x[["ticker", "ts", "flow"]] for x in rows)
+            return
+        pdf = pd.concat(list(rows)).sort_values(["seq", "edge"], ignore_index=True)  # two rows a run
+        prev = pdf[QUOTE].shift(1)
         if self.last.exists():
             prev.iloc[0] = list(self.last.get())
-        b, a, pb, pa = pdf["bid_price"], pdf["ask_price"], prev["bid_price"], prev["ask_price"]
-        e = (pdf["bid_size"] * (b >= pb) - (prev["bid_size"] * (b <= pb)).fillna(0) - pdf["ask_size"] * (a <= pa) + (prev["ask_size"] * (a >= pa)).fillna(0))
-        flow = e.where(pb.notna(), 0.0)
-        self.last.update(tuple(int(x) for x in pdf[q].iloc[-1]))
-        yield pd.DataFrame({"ticker": pdf["ticker"], "ts": pdf["ts"], "flow": flow.astype(float)})
+        self.last.update(tuple(int(x) for x in pdf[QUOTE].iloc[-1]))
+        yield pdf.assign(flow=_flow(pdf, prev)).loc[pdf["edge"] == 1, ["ticker", "ts", "flow"]]
 
     def close(self) -> None:
         pass
 
 
-def flow_events(quotes: DataFrame) -> DataFrame:
-    """(ticker, ts, flow) of a stream of quotes with seq, ts and the best bid and ask."""
+def flow_events(quotes: DataFrame, run: int = QUOTES) -> DataFrame:
+    """(ticker, ts, flow) of a stream of quotes with seq, ts and the best bid and ask. A task holds the quotes of `run` numbers of a ticker, and
+    the two ends of each run of a ticker in a batch, never all quotes of a ticker."""
     schema = T.StructType([quotes.schema["ticker"], quotes.schema["ts"], T.StructField("flow", T.DoubleType())])
-    return quotes.groupBy("ticker").transformWithStateInPandas(FlowEvents(), schema, "Append", "None")
+    kept = [quotes.schema["ticker"], T.StructField("_run", T.LongType()), quotes.schema["ts"], quotes.schema["seq"], *[quotes.schema[x] for x in QUOTE]]
+    runs = T.StructType([*kept, T.StructField("flow", T.DoubleType()), T.StructField("edge", T.LongType())])
+    cut = quotes.withColumn("_run", F.floor(F.col("seq") / run).cast("long")).select(*[x.name for x in kept])
+    parts = cut.groupBy("ticker", "_run").transformWithStateInPandas(FlowRuns(), runs, "Append", "None")
+    parts = parts.withColumns({"_ends": F.col("edge") > 0, "_run": F.when(F.col("edge") > 0, F.lit(-1)).otherwise(F.col("_run"))})
+    return parts.groupBy("ticker", "_run", "_ends").transformWithStateInPandas(FlowEvents(), schema, "Append", "None")
 
 
 def flow_buckets(flows: DataFrame, width: str = "10 seconds", late: str = "1 minute") -> DataFrame:

@@ -61,6 +61,21 @@ def test_flow_events_over_batches_equal_one(spark, rocks, tmp_path):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and many.count() == 90
 
 
+def test_flow_events_of_a_ticker_are_cut_into_runs(spark, rocks, tmp_path):
+    """Whatever the length of a run, across micro-batches too, flows are those of the whole series."""
+    rng = np.random.default_rng(5)
+    start = dt.datetime(2026, 1, 1)
+    rows = [(int(i % 2), i, start + dt.timedelta(seconds=i), int(100 + rng.integers(0, 3)), int(rng.integers(1, 9)), int(104 + rng.integers(0, 3)), int(rng.integers(1, 9))) for i in range(80)]
+    schema = "ticker long, seq long, ts timestamp, bid_price long, bid_size long, ask_price long, ask_size long"
+    want, last = [], {}
+    for t, _, ts, b, bs, a, as_ in rows:
+        pb, pbs, pa, pas = last.get(t, (None,) * 4)
+        want.append((t, ts, 0.0 if pb is None else float(bs * (b >= pb) - pbs * (b <= pb) - as_ * (a <= pa) + pas * (a >= pa))))
+        last[t] = (b, bs, a, as_)
+    _, got = run(jobs.flow_events(batches(spark, str(tmp_path / "a"), rows, schema, (25, 60)), run=7), str(tmp_path / "qa"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_quote_intake_over_batches_equals_one(spark, tmp_path):
     """Later quotes replace earlier ones of their source and id; contracts without a new quote keep their pooled row."""
     rng = np.random.default_rng(4)
