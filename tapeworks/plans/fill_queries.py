@@ -378,7 +378,7 @@ def _(spark, sf):
     facts = tp.facts(t, DAY).groupBy("ticker").agg(F.avg("spread_ticks").alias("spread_ticks"), F.avg("depth_best").alias("depth_best"), F.sum("n_trades").alias("n_trades"),
                                                    F.mode("tick_class", deterministic=True).alias("tick_class"))
     r2 = regs(spark, sf).groupBy("ticker").agg(F.avg("r2").alias("mean_r2"), F.min("r2").alias("min_r2"), F.percentile("beta", F.lit(0.5)).alias("median_beta"))
-    sums = drift.summarize(drifted(spark, sf), HORIZONS, ["ticker"]).where("model = 'fifo'").select("ticker", "n_orders", "p_fill", F.col("drift_600_bps").alias("fifo_drift_bps"))
+    sums = drift.summarize(drifted(spark, sf, ("fifo",)), HORIZONS, ["ticker"]).select("ticker", "n_orders", "p_fill", F.col("drift_600_bps").alias("fifo_drift_bps"))
     out = cut(check).join(cut(facts), "ticker").join(cut(r2), "ticker").join(cut(sums), "ticker")
     return out.join(drift.verdict(rules(spark, sf)), "ticker")
 
