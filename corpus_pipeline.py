@@ -24,18 +24,22 @@ def _kept(docs: DataFrame) -> dict:
     return {f"_{i}": docs[f"`{c}`"] for i, c in enumerate(docs.columns)}
 
 
+def _text(docs: DataFrame) -> str:
+    return f"_{docs.columns.index('text')}"
+
+
 def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return _back(quality.score(docs, model, _kept(docs)).where("predicted = 1"), docs)
+    return _back(quality.score(docs, model, _kept(docs), kept_text=_text(docs)).where("predicted = 1"), docs)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.lit(True))
-    return _back(langid.predict(docs, model, _kept(docs)).where("lang_pred <> 'und' and not ambiguous"), docs)
+    return _back(langid.predict(docs, model, _kept(docs), kept_text=_text(docs)).where("lang_pred <> 'und' and not ambiguous"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

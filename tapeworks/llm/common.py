@@ -15,7 +15,7 @@ GAP = "[\\x20\\x09-\\x0D]+"
 SPACES = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PIECE_BYTES, PIECE_ROWS = 2 << 20, 512
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 512  # a task holds about 40 bytes for each byte of a piece
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -113,10 +113,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_lang").slice(first, end - first), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["_lang", "_x"])
 
 
-def _predict(model: Codes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(model: Codes, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         best, score, second = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-        for first, end, data, at in pieces(batch, "_text"):
+        for first, end, data, at in pieces(batch, text):
             best[first:end], score[first:end], second[first:end] = model.decode(ngram_rows(data, at))
         known = np.asarray(batch.column("_letter").fill_null(False)) & bool(model.names)
         names = np.array(model.names, object)
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     return Codes(names, x, np.array([place_of[v] for v in got.column("_lang").to_pylist()]))
 
 
-def predict(docs: DataFrame, model: Codes, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns `keep` of every row, with lang_pred, score and ambiguous."""
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"), has_letter(text).alias("_letter"))
-    return rows.mapInArrow(partial(_predict, model), fields(rows, ("_text", "_letter"), lang_pred="string", score="double", ambiguous="boolean"))
+def predict(docs: DataFrame, model: Codes, keep: dict[str, Column], text: str = "text", kept_text: str | None = None) -> DataFrame:
+    """The columns `keep` of every row, with lang_pred, score and ambiguous. kept_text: which of `keep` is the text, so that it is not carried twice."""
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], *([] if kept_text else [F.col(text).alias("_text")]), has_letter(text).alias("_letter"))
+    return rows.mapInArrow(partial(_predict, model, kept_text or "_text"), fields(rows, ("_text", "_letter"), lang_pred="string", score="double", ambiguous="boolean"))

@@ -150,10 +150,10 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_y").slice(first, end - first), lists], names=["_y", "_s"])
 
 
-def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model: Model, text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         score = np.zeros(batch.num_rows)
-        for first, end, data, at in pieces(batch, "_text"):
+        for first, end, data, at in pieces(batch, text):
             score[first:end] = model.scores(data, at)
         kept = [c for c in batch.schema.names if c != "_text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=[*kept, "score", "predicted"])
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     return Model([s.values.to_numpy() for s in got.column("_s")], np.array(got.column("_y").to_pylist(), int))
 
 
-def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns `keep` of every row, with score and predicted."""
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("_text"))
-    return rows.mapInArrow(partial(_score, model), fields(rows, ("_text",), score="double", predicted="int"))
+def score(docs: DataFrame, model: Model, keep: dict[str, Column], text: str = "text", kept_text: str | None = None) -> DataFrame:
+    """The columns `keep` of every row, with score and predicted. kept_text: which of `keep` is the text, so that it is not carried twice."""
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], *([] if kept_text else [F.col(text).alias("_text")]))
+    return rows.mapInArrow(partial(_score, model, kept_text or "_text"), fields(rows, ("_text",), score="double", predicted="int"))

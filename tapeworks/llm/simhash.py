@@ -28,7 +28,8 @@ from tapeworks.llm.common import LOWER, mixed, pieces, word_hashes, word_spans
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 SUBTREE = 50_000  # distinct fingerprints of a block value from which its subtree is dealt as pairs of children
-FRONTIER = 1 << 20  # pairs of nodes that a task looks at together
+FRONTIER = 1 << 17  # pairs of nodes that a task looks at together
+RUN_PAIRS = 1 << 18  # near pairs that a task holds before it gives them out
 
 
 def _fingerprints(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +408,7 @@ def _across(similar: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             near = _differ(bits, first, width, x, y) <= (n[x] + n[y]) * ((1 - similar) / (1 + similar)) + 1e-6
             pairs.append(np.stack([np.minimum(node[x[near]], node[y[near]]), np.maximum(node[x[near]], node[y[near]])], 1))
             held += near.sum()
-        if held > 1 << 21:
+        if held > RUN_PAIRS:
             yield _pairs(pairs)
             pairs, held = [], 0
         ahead += 1

@@ -1,6 +1,9 @@
 """Pivot search, fingerprints and components, decontamination, near-copy groups: against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -296,3 +299,19 @@ def test_near_copies_of_the_pipeline_are_those_of_the_fingerprints_too(spark):
     assert {r["component_id"] for r in simhash.near_duplicates(rows).collect()} == {0, 3}
     assert kept(texts) == left_ids(spark, texts) == [0, 1, 2, 3]
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, "").collect()) == [0, 3]
+
+
+def test_memory_of_a_dense_group_and_of_a_run_of_texts():
+    """A task holds little beside its rows: near fingerprints of one group, and the words of one batch of texts."""
+    draw = np.random.default_rng(1)
+    dense = np.unique((draw.integers(0, 1 << 8, 40_000).astype(np.uint64) << np.uint64(40)) | draw.integers(0, 1 << 8, 40_000).astype(np.uint64))
+    group = np.zeros(len(dense), int)
+    words = [" ".join(draw.choice(["alpha", "beta", "gamma", "delta"], 1500)) for _ in range(1000)]
+    texts = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(words)], names=["_key", "_text"])
+    most = []
+    for work in (lambda: simhash.trie_links(dense, group, group), lambda: list(simhash._shingles(iter([texts])))):
+        tracemalloc.start()
+        work()
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert most[0] < 150 and most[1] < 30, most
