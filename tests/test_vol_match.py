@@ -339,3 +339,22 @@ def test_folding_needs_no_python_and_equals_nfkd(spark):
     got = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", "text", lk.fold("text").alias("f"))
     assert "Python" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["text"], r["f"]) for r in got.collect() if r["f"] != (None if r["text"] is None else lk._ascii(r["text"]))] == []
+
+
+@pytest.mark.parametrize("few", [lk.FEW_PROBES, 0])
+def test_quotes_that_no_contract_can_match_are_not_written(spark, monkeypatch, few):
+    """Only quotes near to a contract leave the place where they are read, whether or not the probes go to all tasks; excluded and equal ones count as before."""
+    monkeypatch.setattr(lk, "FEW_PROBES", few)
+    held, written = lk.stored, []
+    monkeypatch.setattr(lk, "stored", lambda df: written.append(held(df)) or written[-1])
+    at = datetime.datetime(2026, 6, 30)
+    ask, generic = "Will Zorba win the long northern race", "Will the Federal Party win the Election"
+    quotes = [(i, "s", ask, "No", at) for i in range(6)] + [(10, "s", generic, "Yes", at), (11, "s", None, "Yes", at)]
+    quotes += [(100 + i, "s", f"Zorba eats {' '.join(f'dish{i}x{j}' for j in range(9))} and pays {i}", "No", at) for i in range(80)]
+    quotes += [(200 + i, "s", f"Village {i} sleeps", "No", at) for i in range(80)]
+    q = spark.createDataFrame(quotes, "quote_id long, source string, question string, outcome string, end timestamp")
+    c = spark.createDataFrame([(1, ask + "?", "Yes", at), (2, generic, "Yes", at), (3, ask, "Yes", at)], "contract_id long, title string, name string, resolves_at timestamp")
+    bundled = spark.createDataFrame([(3, 77)], "contract_id long, quote_id long")
+    got = lk.candidates(c, q, q.where("quote_id in (0, 2)"), bundled, k=3)
+    assert sorted((r["contract_id"], r["quote_id"]) for r in got.collect()) == [(1, 1), (1, 3), (1, 4), (2, 10), (3, 77)]
+    assert max(d.count() for d in written if "quote_id" in d.columns) <= 7
