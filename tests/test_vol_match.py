@@ -358,3 +358,36 @@ def test_quotes_that_no_contract_can_match_are_not_written(spark, monkeypatch, f
     got = lk.candidates(c, q, q.where("quote_id in (0, 2)"), bundled, k=3)
     assert sorted((r["contract_id"], r["quote_id"]) for r in got.collect()) == [(1, 1), (1, 3), (1, 4), (2, 10), (3, 77)]
     assert max(d.count() for d in written if "quote_id" in d.columns) <= 7
+
+
+@pytest.mark.parametrize("piece, most", [(lk.PIECE, lk.MOST_MET), (300, 50)])
+def test_pairs_of_sets_are_counted_in_pieces(spark, monkeypatch, piece, most):
+    """However small the pieces, the pairs are those of brute force with their Jaccard; no other pair is written. Sets that come twice and sets without a key change nothing."""
+    monkeypatch.setattr(lk, "PIECE", piece)
+    monkeypatch.setattr(lk, "MOST_MET", most)
+    held, written = lk.stored, []
+    monkeypatch.setattr(lk, "stored", lambda df: written.append(held(df)) or written[-1])
+    draw = random.Random(3)
+    sets = [sorted(draw.sample(range(400), draw.choice([2, 12, 30, 30]))) for _ in range(80)]
+    sets += [sorted(set(s[: len(s) * 3 // 4]) | set(draw.sample(range(400), 2))) for s in sets[:40]] + [[], sets[5]]
+    df = Counter(w for s in sets for w in s)
+    rows = [(f"k{i:03d}", len(s), sorted((w for w in s if df[w] > 1), key=lambda w: (df[w], w))) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame([*rows, rows[0], (None, *rows[1][1:])], "x string, n int, ids array<long>")
+    got = lk.pairs_to_compare(frame, 0.5).collect()
+    jaccard = lambda a, b: len(set(a) & set(b)) / max(len(set(a) | set(b)), 1)
+    want = {(f"k{i:03d}", f"k{k:03d}"): jaccard(sets[i], sets[k]) for k in range(len(sets)) for i in range(k) if jaccard(sets[i], sets[k]) >= 0.5}
+    assert {(r["x"], r["y"]): r["_j"] for r in got} == want and len(got) == len(want) > 30
+    assert (len(written) > 5) == (piece == 300)
+
+
+def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
+    """Where two words have the same hash, another one is taken for all."""
+    real, asked = lk.F.xxhash64, []
+
+    def clash(seed, *more):
+        asked.append(seed)
+        return F.lit(1).cast("long") if len(asked) == 1 else real(seed, *more)
+
+    monkeypatch.setattr(lk.F, "xxhash64", clash)
+    h, seed = lk.word_hashes(spark.createDataFrame([("a",), ("b",), ("a",)], "word string"))
+    assert seed == 1 and sorted(r["df"] for r in h.collect()) == [1, 2]
