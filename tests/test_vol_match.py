@@ -391,3 +391,22 @@ def test_words_with_one_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(lk.F, "xxhash64", clash)
     h, seed = lk.word_hashes(spark.createDataFrame([("a",), ("b",), ("a",)], "word string"))
     assert seed == 1 and sorted(r["df"] for r in h.collect()) == [1, 2]
+
+
+def test_grams_are_written_once_a_text(spark, monkeypatch):
+    """Cosines of many pairs of few texts, in small pieces, by brute force; a table of grams has a row a text, not a row a pair."""
+    monkeypatch.setattr(lk, "PIECE", 200)
+    monkeypatch.setattr(lk, "MOST_MET", 100)
+    held, written = lk.stored, []
+    monkeypatch.setattr(lk, "stored", lambda df: written.append(held(df)) or written[-1])
+    sizes = []
+    monkeypatch.setattr(lk, "forget", lambda df: sizes.append((df.columns, df.count())))
+    draw = random.Random(6)
+    texts = [(f"t{i:02d}", " ".join(draw.choice(["Zebra", "émigré", "quick", "ox", "𐐀"]) for _ in range(draw.randrange(1, 30)))) for i in range(20)]
+    pairs = [(a, b, 0.5) for i, (a, _) in enumerate(texts) for b, _ in texts[i + 1 :]]
+    got = lk.pair_cosines(spark.createDataFrame(pairs, "x string, y string, _j double"), spark.createDataFrame(texts, "x string, text string"), "text").collect()
+    grams = {k: Counter(x[i : i + 3] for x in [f"  {t.lower()} "] for i in range(len(x) - 2)) for k, t in texts}
+    norm = lambda g: math.sqrt(sum(c * c for c in g.values()))
+    want = {(a, b): sum(c * grams[b][g] for g, c in grams[a].items()) / (norm(grams[a]) * norm(grams[b])) for a, b, _ in pairs}
+    assert {(r["x"], r["y"]): pytest.approx(r["cosine"]) for r in got} == want and len(got) == len(pairs)
+    assert [n for c, n in sizes if "gram" in c] == [20] and len(written) > 3
